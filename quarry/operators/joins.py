@@ -166,5 +166,11 @@ def three_way(chunks: DataFrame, embeddings: DataFrame, documents: DataFrame, ch
     return chunks.join(embeddings, chunk_key).join(documents, doc_key)
 
 
+def double_lookup(edges: DataFrame, src_types: DataFrame, dst_types: DataFrame, src: str = "src",
+                  dst: str = "dst") -> DataFrame:
+    """JON-06: edges with a left lookup for each endpoint (two aliased joins)."""
+    return edges.join(src_types, src, "left").join(dst_types, dst, "left")
+
+
 def string_type(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.StringType)
