@@ -1 +1,138 @@
-"""Registered queries."""
+"""Registered queries for validation / data quality (VAL)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.operators import quality as Q
+from quarry.plans.registry import query, rounded, table
+
+
+@query("value_constraints", """
+SELECT 'lineitem' AS table_name, rule, column_name, violations, 'error' AS severity, violations = 0 AS passed FROM (
+  SELECT 'below_min' AS rule, 'l_quantity' AS column_name, count(*) FILTER (WHERE l_quantity < 5) AS violations FROM lineitem
+  UNION ALL SELECT 'above_max', 'l_quantity', count(*) FILTER (WHERE l_quantity > 45) FROM lineitem
+  UNION ALL SELECT 'above_max', 'l_discount', count(*) FILTER (WHERE l_discount > 0.08) FROM lineitem
+  UNION ALL SELECT 'not_null', 'l_shipdate', count(*) FILTER (WHERE l_shipdate IS NULL) FROM lineitem
+  UNION ALL SELECT 'regex', 'l_returnflag',
+                   count(*) FILTER (WHERE l_returnflag IS NOT NULL AND NOT regexp_matches(l_returnflag, '^[AR]$')) FROM lineitem)
+""")
+def q_value_constraints(spark, sf):
+    return Q.value_constraints(table(spark, sf, "lineitem"), {
+        "l_quantity": {"min": 5, "max": 45},
+        "l_discount": {"max": 0.08},
+        "l_shipdate": {"not_null": True},
+        "l_returnflag": {"regex": "^[AR]$"},
+        "absent": {"min": 0},
+    }, table_name="lineitem")
+
+
+@query("unique_check", """
+SELECT 'orders' AS table_name, 'unique' AS rule, 'o_orderkey' AS column_name,
+       count(*) - (count(DISTINCT o_orderkey) + max(CASE WHEN o_orderkey IS NULL THEN 1 ELSE 0 END)) AS violations,
+       'error' AS severity FROM orders
+UNION ALL SELECT 'orders', 'unique', 'o_custkey',
+       count(*) - (count(DISTINCT o_custkey) + max(CASE WHEN o_custkey IS NULL THEN 1 ELSE 0 END)), 'error' FROM orders
+UNION ALL SELECT 'lineitem', 'unique', 'l_orderkey',
+       count(*) - (count(DISTINCT l_orderkey) + max(CASE WHEN l_orderkey IS NULL THEN 1 ELSE 0 END)), 'error' FROM lineitem
+UNION ALL SELECT 'lineitem', 'required', 'l_comment', 1, 'error'
+UNION ALL SELECT 'lineitem', 'type_float', 'l_quantity', 0, 'error'
+UNION ALL SELECT 'orders', 'type_datetime', 'o_orderdate', 0, 'error'
+""")
+def q_unique_check(spark, sf):
+    o = Q.schema_rules(table(spark, sf, "orders"), types={"o_orderdate": "datetime"},
+                       unique=["o_orderkey", "o_custkey"], table_name="orders")
+    li = Q.schema_rules(table(spark, sf, "lineitem"), required=["l_comment"], types={"l_quantity": "float"},
+                        unique=["l_orderkey"], table_name="lineitem")
+    return o.unionByName(li).drop("passed")
+
+
+_ROW_RULES = [
+    {"name": "price_positive", "expr": "l_extendedprice > 0", "on_fail": "error"},
+    {"name": "disc_or_tax", "expr": "l_discount < 0.05 OR l_tax > 0.04", "on_fail": "warn"},
+    {"name": "flag_status", "expr": "NOT (l_returnflag = 'N' AND l_linestatus = 'X')", "on_fail": "warn"},
+]
+
+
+@query("row_rules", """
+SELECT 'lineitem' AS table_name, rule, '' AS column_name, violations, severity, violations = 0 AS passed FROM (
+  SELECT 'price_positive' AS rule, count(*) FILTER (WHERE NOT coalesce(l_extendedprice > 0, false)) AS violations,
+         'error' AS severity FROM lineitem
+  UNION ALL SELECT 'disc_or_tax', count(*) FILTER (WHERE NOT coalesce(l_discount < 0.05 OR l_tax > 0.04, false)),
+         'warning' FROM lineitem
+  UNION ALL SELECT 'flag_status', count(*) FILTER (WHERE NOT coalesce(NOT (l_returnflag = 'N' AND l_linestatus = 'X'), false)),
+         'warning' FROM lineitem)
+""")
+def q_row_rules(spark, sf):
+    return Q.row_rules(table(spark, sf, "lineitem"), _ROW_RULES, table_name="lineitem")
+
+
+@query("aggregate_rules", """
+SELECT 'orders' AS table_name, rule, column_name, value, passed FROM (
+  SELECT 'row_count' AS rule, '' AS column_name, CAST(count(*) AS DOUBLE) AS value,
+         count(*) >= 100 AND count(*) <= 10000000 AS passed FROM orders
+  UNION ALL SELECT 'unique_count', 'o_orderpriority', CAST(count(DISTINCT o_orderpriority) AS DOUBLE),
+         count(DISTINCT o_orderpriority) >= 6 FROM orders
+  UNION ALL SELECT 'null_ratio', 'o_orderstatus', round(count(*) FILTER (WHERE o_orderstatus IS NULL) / count(*), 6),
+         count(*) FILTER (WHERE o_orderstatus IS NULL) / count(*) <= 0.1 FROM orders)
+""")
+def q_aggregate_rules(spark, sf):
+    return rounded(Q.aggregate_rules(table(spark, sf, "orders"), [
+        {"type": "row_count", "min": 100, "max": 10_000_000},
+        {"type": "unique_count", "column": "o_orderpriority", "min": 6},
+        {"type": "null_ratio", "column": "o_orderstatus", "max": 0.1},
+    ], table_name="orders"))
+
+
+@query("validation_summary", """
+WITH r AS (
+  SELECT 'nation' AS table_name, 'error' AS severity, count(*) FILTER (WHERE n_regionkey > 3) AS v FROM nation
+  UNION ALL SELECT 'nation', 'warning', count(*) FILTER (WHERE NOT coalesce(n_nationkey < 20, false)) FROM nation
+  UNION ALL SELECT 'region', 'error', count(*) FILTER (WHERE r_regionkey > 10) FROM region
+  UNION ALL SELECT 'orders', 'warning', count(*) FILTER (WHERE o_totalprice > 400000) FROM orders
+  UNION ALL SELECT 'orders', 'error', count(*) FILTER (WHERE NOT coalesce(o_orderstatus IN ('F', 'O', 'P'), false)) FROM orders)
+SELECT table_name, CAST(count(*) FILTER (WHERE v > 0 AND severity = 'error') AS BIGINT) AS errors,
+       CAST(count(*) FILTER (WHERE v > 0 AND severity = 'warning') AS BIGINT) AS warnings,
+       count(*) FILTER (WHERE v > 0 AND severity = 'error') = 0 AS valid
+FROM r GROUP BY 1
+UNION ALL SELECT 'parts', 0, 1, true
+""")
+def q_validation_summary(spark, sf):
+    n = table(spark, sf, "nation")
+    r1 = Q.value_constraints(n, {"n_regionkey": {"max": 3}}, table_name="nation")
+    r2 = Q.row_rules(n, [{"name": "key_small", "expr": "n_nationkey < 20"}], table_name="nation")
+    r3 = Q.value_constraints(table(spark, sf, "region"), {"r_regionkey": {"max": 10}}, table_name="region")
+    o = table(spark, sf, "orders")
+    r4 = Q.value_constraints(o, {"o_totalprice": {"max": 400000}}, table_name="orders", severity="warning")
+    r5 = Q.row_rules(o, [{"name": "status_known", "expr": "o_orderstatus IN ('F', 'O', 'P')", "on_fail": "error"}],
+                     table_name="orders")
+    return Q.validation_summary([r1, r2, r3, r4, r5], expected_tables=["nation", "region", "orders", "parts"])
+
+
+_QRULES = {"qty_range": "l_quantity BETWEEN 5 AND 45", "discount_cap": "l_discount <= 0.08"}
+
+
+@query("quarantine_split", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount,
+       concat_ws(',', CASE WHEN NOT coalesce(l_quantity BETWEEN 5 AND 45, false) THEN 'qty_range' END,
+                      CASE WHEN NOT coalesce(l_discount <= 0.08, false) THEN 'discount_cap' END) AS failed_rules
+FROM lineitem
+WHERE NOT coalesce(l_quantity BETWEEN 5 AND 45, false) OR NOT coalesce(l_discount <= 0.08, false)
+""")
+def q_quarantine_split(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
+    _good, bad = Q.quarantine_split(li, _QRULES)
+    return bad.withColumn("failed_rules", F.array_join("failed_rules", ","))
+
+
+@query("factor_levels_check", """
+SELECT 'required_columns' AS "check", true AS passed, '' AS detail
+UNION ALL SELECT 'numeric_response', true, 'l_quantity'
+UNION ALL SELECT 'min_rows', count(*) >= 10, CAST(count(*) AS VARCHAR) FROM lineitem
+UNION ALL SELECT 'null_share', count(*) FILTER (WHERE l_quantity IS NULL) / count(*) <= 0.5,
+                 CAST(count(*) FILTER (WHERE l_quantity IS NULL) AS VARCHAR) FROM lineitem
+UNION ALL SELECT 'levels_l_returnflag', count(DISTINCT l_returnflag) >= 2, CAST(count(DISTINCT l_returnflag) AS VARCHAR) FROM lineitem
+UNION ALL SELECT 'levels_l_linestatus', count(DISTINCT l_linestatus) >= 2, CAST(count(DISTINCT l_linestatus) AS VARCHAR) FROM lineitem
+""")
+def q_factor_levels_check(spark, sf):
+    return Q.factor_levels_check(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
