@@ -1 +1,306 @@
-"""Registered queries."""
+"""Registered queries for text, search and graph operators (TXT, SRCH, GRF)."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from quarry.operators import graph as G
+from quarry.operators import search as S
+from quarry.operators import text as TX
+from quarry.plans.registry import query, rounded, table
+
+_ALLOW = "(?i)(?:" + "|".join(TX.DEFAULT_ALLOWLIST) + ")"
+
+
+def _duck_redact_chain(src: str, id_col: str, text_expr: str, allow: bool, extra_cols: str = "") -> tuple[str, str]:
+    """CTE chain applying the patterns in order in DuckDB; returns (ctes, last cte name)."""
+    ctes = [f"r0 AS (SELECT {id_col}{extra_cols}, {text_expr} AS t FROM {src})"]
+    for i, (_n, p, rep) in enumerate(TX.DEFAULT_PATTERNS):
+        if allow:
+            ms = f"regexp_extract_all(t, '{p}')"
+            pcs = f"string_split_regex(t, '{p}')"
+            expr = (f"CASE WHEN t IS NULL THEN NULL ELSE {pcs}[1] || array_to_string(list_transform("
+                    f"range(1, len({ms}) + 1), lambda i: CASE WHEN regexp_matches({ms}[i], '{_ALLOW}') "
+                    f"THEN {ms}[i] ELSE '{rep}' END || {pcs}[i + 1]), '') END")
+        else:
+            expr = f"regexp_replace(t, '{p}', '{rep}', 'g')"
+        ctes.append(f"r{i + 1} AS (SELECT * EXCLUDE (t), {expr} AS t FROM r{i})")
+    return ",\n".join(ctes), f"r{len(TX.DEFAULT_PATTERNS)}"
+
+
+_C1, _L1 = _duck_redact_chain("documents", "doc_id", "text", allow=False)
+
+
+@query("redact_simple", f"WITH {_C1} SELECT doc_id, t AS redacted FROM {_L1}")
+def q_redact_simple(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", TX.redact(F.col("text"), allowlist=()).alias("redacted"))
+
+
+_C2, _L2 = _duck_redact_chain("documents", "doc_id", "text", allow=True)
+
+
+@query("redact_allowlist", f"WITH {_C2} SELECT doc_id, t AS redacted FROM {_L2}")
+def q_redact_allowlist(spark, sf):
+    d = table(spark, sf, "documents")
+    return TX.redact_df(d.select("doc_id", "text"), "text", "redacted").drop("text")
+
+
+def _counts_sql() -> str:
+    ctes = ["s0 AS (SELECT doc_id, text AS t FROM documents)"]
+    sel = []
+    for i, (name, p, rep) in enumerate(TX.DEFAULT_PATTERNS):
+        ctes.append(f"s{i + 1} AS (SELECT doc_id, regexp_replace(t, '{p}', '{rep}', 'g') AS t FROM s{i})")
+        sel.append(f"SELECT doc_id, '{name}' AS type, CAST(len(regexp_extract_all(t, '{p}')) AS BIGINT) AS count FROM s{i}")
+    return "WITH " + ",\n".join(ctes) + " SELECT * FROM (" + " UNION ALL ".join(sel) + ") WHERE count > 0"
+
+
+@query("redaction_counts", _counts_sql())
+def q_redaction_counts(spark, sf):
+    return TX.redaction_counts(table(spark, sf, "documents"), "doc_id", "text", allowlist=())
+
+
+def _chunk_sql(pattern: str, strategy: str, whole: str) -> str:
+    strip = r"regexp_replace(piece, '^\s+|\s+$', '', 'g')"
+    return f"""
+WITH s AS (SELECT doc_id, text, string_split_regex(text, '{pattern}') AS pieces,
+                  regexp_extract_all(text, '{pattern}') AS delims FROM documents),
+e AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) - 1 AS idx, delims FROM s),
+f AS (SELECT doc_id, idx, piece,
+             CAST(coalesce(sum(length(piece) + coalesce(length(delims[idx + 1]), 0))
+                  OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+             AS start_char FROM e),
+c AS (SELECT doc_id, CAST(idx AS INTEGER) AS chunk_index, {strip} AS content, start_char,
+             start_char + length(piece) AS end_char, CAST(length(piece) // 4 AS BIGINT) AS token_count,
+             '{strategy}' AS strategy FROM f WHERE length({strip}) > 0)
+SELECT * FROM c
+UNION ALL
+SELECT doc_id, 0, coalesce(text, ''), 0, coalesce(length(text), 0), CAST(coalesce(length(text), 0) // 4 AS BIGINT),
+       '{whole}' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c)
+"""
+
+
+@query("chunk_paragraphs", _chunk_sql(r"\n\n+", "paragraphs", "single"))
+def q_chunk_paragraphs(spark, sf):
+    return TX.chunk_text(table(spark, sf, "documents"), "doc_id", "text", strategy="paragraphs")
+
+
+@query("chunk_lines", _chunk_sql(r"\n", "custom", "single"))
+def q_chunk_lines(spark, sf):
+    out = TX.chunk_text(table(spark, sf, "documents"), "doc_id", "text", pattern="\n")
+    return out.withColumn("strategy", F.when(F.col("strategy") == "custom_whole", "single").otherwise(F.col("strategy")))
+
+
+@query("document_meta", r"""
+SELECT doc_id, substr(sha256(text), 1, 16) AS content_hash, length(text) AS n_chars,
+       nullif(trim(regexp_extract(text, '(?m)^#\s+(.+)$', 1)), '') AS title
+FROM documents
+""")
+def q_document_meta(spark, sf):
+    return TX.document_meta(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_OLD_TS = dt.datetime(2024, 1, 1)
+
+
+def _old_snapshot(d):
+    return d.filter(F.col("lang") != "de").select(
+        "doc_id",
+        F.sha2(F.when(F.col("lang") == "fr", F.concat(F.col("text"), F.lit("~"))).otherwise(F.col("text")), 256)
+        .alias("content_hash"),
+        F.when(F.col("source") == "src3", F.lit(_OLD_TS)).alias("archived_at"))
+
+
+@query("upsert_actions", """
+WITH o AS (SELECT doc_id, sha256(CASE WHEN lang = 'fr' THEN text || '~' ELSE text END) AS h,
+                  CASE WHEN source = 'src3' THEN TIMESTAMP '2024-01-01' END AS a FROM documents WHERE lang <> 'de'),
+     n AS (SELECT doc_id, sha256(text) AS h FROM documents)
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id,
+       CASE WHEN o.h IS NULL THEN 'inserted' WHEN n.h IS NULL THEN 'kept' WHEN n.h <> o.h THEN 'updated'
+            WHEN o.a IS NOT NULL THEN 'revived' ELSE 'unchanged' END AS action
+FROM n FULL JOIN o ON n.doc_id = o.doc_id
+""")
+def q_upsert_actions(spark, sf):
+    d = table(spark, sf, "documents")
+    new = d.select("doc_id", F.sha2(F.col("text"), 256).alias("content_hash"))
+    return TX.hash_upsert(_old_snapshot(d), new, "doc_id").select("doc_id", "action")
+
+
+@query("soft_delete", """
+SELECT doc_id, CASE WHEN source IN ('src5', 'src7') AND archived_at IS NULL THEN TIMESTAMP '2025-01-01'
+                    ELSE archived_at END AS archived_at
+FROM (SELECT doc_id, source, CASE WHEN source = 'src7' THEN TIMESTAMP '2024-06-01' END AS archived_at FROM documents)
+""")
+def q_soft_delete(spark, sf):
+    d = table(spark, sf, "documents").select(
+        "doc_id", "source",
+        F.when(F.col("source") == "src7", F.lit(dt.datetime(2024, 6, 1))).cast("timestamp_ntz").alias("archived_at"))
+    ids = d.filter(F.col("source").isin("src5", "src7")).select("doc_id")
+    out = TX.soft_delete(d, ids, "doc_id", dt.datetime(2025, 1, 1))
+    return out.select("doc_id", F.col("archived_at").cast("timestamp_ntz").alias("archived_at"))
+
+
+@query("rechunk_changed", "SELECT doc_id, chunk_index, content, token_count FROM (" + _chunk_sql(r"\n", "custom", "single") + ")")
+def q_rechunk_changed(spark, sf):
+    d = table(spark, sf, "documents")
+    old_docs = d.withColumn("text", F.when(F.col("lang") == "fr", F.concat(F.col("text"), F.lit("\nstale line")))
+                            .otherwise(F.col("text")))
+    old_chunks = TX.chunk_text(old_docs, "doc_id", "text", pattern="\n")
+    changed = d.filter(F.col("lang") == "fr")
+    return TX.rechunk_changed(old_chunks, changed, "doc_id", "text", pattern="\n").select(
+        "doc_id", "chunk_index", "content", "token_count")
+
+
+@query("extract_refs", """
+SELECT DISTINCT doc_id AS source, target, 'references' AS relation FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{7,}')) AS target FROM documents)
+WHERE target <> CAST(doc_id AS VARCHAR)
+""")
+def q_extract_refs(spark, sf):
+    return TX.extract_refs(table(spark, sf, "documents"), "doc_id", "text", patterns=[r"[A-Z][a-z]{7,}"])
+
+
+_STOP_SQL = ", ".join(f"'{w}'" for w in TX.STOP_WORDS)
+
+
+@query("keywords", rf"""
+SELECT DISTINCT doc_id, kw AS keyword FROM (
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+')) AS kw FROM documents)
+WHERE regexp_full_match(kw, '[a-z][a-z0-9_-]{{2,}}') AND length(kw) > 3 AND kw NOT IN ({_STOP_SQL})
+""")
+def q_keywords(spark, sf):
+    return TX.keywords(table(spark, sf, "documents"), "doc_id", "text")
+
+
+_QUERIES = [("q1", "then"), ("q2", "ment"), ("q3", "xylophone"), ("q4", "@mail")]
+
+
+def _kw_sql(top_k: int) -> str:
+    parts = [f"""SELECT '{q}' AS query_id, doc_id, NULL::VARCHAR AS title, substr(text, 1, 200) AS snippet, 1.0 AS score,
+       row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE contains(lower(text), '{t}')
+       QUALIFY rank <= {top_k}""" for q, t in _QUERIES]
+    return " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+
+
+@query("search_keyword", _kw_sql(10))
+def q_search_keyword(spark, sf):
+    return S.keyword_search(table(spark, sf, "documents"), _QUERIES, "doc_id", "text", top_k=10)
+
+
+def _query_vectors(spark, sf):
+    e = table(spark, sf, "embeddings")
+    first = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
+    qs = e.join(first, ["label", "vec_id"]).select(F.concat(F.lit("label_"), F.col("label")).alias("query_id"),
+                                                     "embedding")
+    return S.collect_query_vectors(qs, "query_id", "embedding")
+
+
+_VEC_SQL = """
+WITH q AS (SELECT 'label_' || label AS query_id, CAST(embedding AS DOUBLE[]) AS qv
+           FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1),
+s AS (SELECT q.query_id, e.vec_id AS doc_id,
+             CASE WHEN list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) = 0
+                    OR list_dot_product(q.qv, q.qv) = 0 THEN 0.0
+                  ELSE list_dot_product(CAST(e.embedding AS DOUBLE[]), q.qv)
+                       / (sqrt(list_dot_product(q.qv, q.qv))
+                          * sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))) END AS score
+      FROM embeddings e, q)
+SELECT query_id, doc_id, round(score, 5) AS score,
+       row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+FROM s QUALIFY rank <= {k}
+"""
+
+
+@query("search_vector", _VEC_SQL.format(k=10))
+def q_search_vector(spark, sf):
+    hits = S.vector_search(table(spark, sf, "embeddings"), "vec_id", "embedding", _query_vectors(spark, sf), 10)
+    return hits.withColumn("score", F.round("score", 5))
+
+
+@query("search_hybrid", f"""
+WITH kw AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents
+            WHERE contains(lower(text), 'then') QUALIFY rank <= 10),
+     vs AS (SELECT doc_id, rank FROM ({_VEC_SQL.format(k=10)}) WHERE query_id = 'label_0'),
+     u AS (SELECT doc_id, 0.5 / (60 + rank) AS rrf FROM kw UNION ALL SELECT doc_id, 0.5 / (60 + rank) FROM vs),
+     g AS (SELECT doc_id, sum(rrf) AS score FROM u GROUP BY doc_id)
+SELECT 'q1' AS query_id, doc_id, round(score, 9) AS score,
+       row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM g QUALIFY rank <= 5
+""")
+def q_search_hybrid(spark, sf):
+    kw = S.keyword_search(table(spark, sf, "documents"), [("q1", "then")], "doc_id", "text", top_k=10)
+    qv = [(q, v) for q, v in _query_vectors(spark, sf) if q == "label_0"]
+    vs = S.vector_search(table(spark, sf, "embeddings"), "vec_id", "embedding", [("q1", qv[0][1])], top_k=10)
+    out = S.hybrid_search(kw, vs, top_k=5)
+    return out.withColumn("score", F.round("score", 9))
+
+
+_C3, _L3 = _duck_redact_chain("hits", "query_id", "snippet", allow=True, extra_cols=", rank, doc_id")
+
+
+@query("token_budget", f"""
+WITH hits AS ({_kw_sql(10)}),
+{_C3},
+b AS (SELECT query_id, rank, doc_id, '### None' || chr(10) || t || chr(10) || chr(10) AS block FROM {_L3}),
+r AS (SELECT *, sum(length(block) // 4) OVER (PARTITION BY query_id ORDER BY rank
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 5 AS running FROM b)
+SELECT query_id, '## Relevant Context' || chr(10) || chr(10) || string_agg(block, '' ORDER BY rank) AS context,
+       string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rank) AS sources, CAST(max(running) AS BIGINT) AS token_count
+FROM r WHERE running <= 200 GROUP BY query_id
+""")
+def q_token_budget(spark, sf):
+    hits = S.keyword_search(table(spark, sf, "documents"), _QUERIES, "doc_id", "text", top_k=10)
+    return S.token_budget_context(hits, max_tokens=200)
+
+
+def _li_edges(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return li.select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("src"),
+                     F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
+
+
+@query("graph_neighbors", """
+SELECT src, dst, CASE WHEN src = 'p7' THEN dst ELSE src END AS neighbor,
+       CASE WHEN src = 'p7' THEN 'outgoing' ELSE 'incoming' END AS direction
+FROM (SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst FROM lineitem) WHERE src = 'p7' OR dst = 'p7'
+""")
+def q_graph_neighbors(spark, sf):
+    return G.neighbors(_li_edges(spark, sf), "p7")
+
+
+_KHOP_EDGES = """
+SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier
+UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation"""
+
+
+@query("graph_khop", f"""
+WITH RECURSIVE e0 AS ({_KHOP_EDGES}),
+e AS (SELECT src AS a, dst AS b FROM e0 UNION SELECT dst, src FROM e0),
+walk(node, depth) AS (SELECT 's1', 0 UNION SELECT e.b, w.depth + 1 FROM walk w JOIN e ON e.a = w.node WHERE w.depth < 3)
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY node
+""")
+def q_graph_khop(spark, sf):
+    s = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("src"),
+                                           F.concat(F.lit("n"), F.col("s_nationkey")).alias("dst"))
+    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("src"),
+                                         F.concat(F.lit("r"), F.col("n_regionkey")).alias("dst"))
+    return G.k_hop(s.unionByName(n), ["s1"], 3)
+
+
+@query("lineage_closure", """
+WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation
+                     UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
+walk(node, depth) AS (SELECT 'r1', 0 UNION SELECT e.child, w.depth + 1 FROM walk w JOIN e ON e.parent = w.node
+                      WHERE w.depth < 50)
+SELECT node, CAST(min(depth) AS INTEGER) AS depth, 'down' AS direction FROM walk WHERE node <> 'r1' GROUP BY node
+""")
+def q_lineage_closure(spark, sf):
+    n = table(spark, sf, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent"),
+                                         F.concat(F.lit("n"), F.col("n_nationkey")).alias("child"))
+    c = table(spark, sf, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey")).alias("parent"),
+                                           F.concat(F.lit("c"), F.col("c_custkey")).alias("child"))
+    return G.lineage(n.unionByName(c), "r1", "down")
+
+
+_ = rounded
