@@ -1 +1,141 @@
-"""Registered queries."""
+"""Registered queries for extraction strategies and context columns (EXT, CTX).
+
+Documents are built from the driver's tables with ``to_json`` (one document
+per order / conversation / small block of orders), parsed to VARIANT and
+extracted back; the oracle is the plain table.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.operators import context as C
+from quarry.operators import extract as E
+from quarry.plans.registry import query, table
+
+
+@query("json_flat_object", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def q_json_flat_object(spark, sf):
+    docs = table(spark, sf, "events").select("event_id", F.try_parse_json("props").alias("doc"))
+    return E.flat_object(docs, "$", keep=["event_id"])
+
+
+def _order_blocks(spark, sf):
+    o = table(spark, sf, "orders")
+    row = F.concat(F.lit("["), F.col("o_orderkey").cast("string"), F.lit(","), F.col("o_custkey").cast("string"),
+                   F.lit(","), F.col("o_totalprice").cast("string"), F.lit(","), F.to_json(F.array("o_orderstatus"))
+                   .substr(F.lit(2), F.length(F.to_json(F.array("o_orderstatus"))) - 2), F.lit("]"))
+    blocks = o.groupBy(F.floor(F.col("o_orderkey") / 10).alias("file_path")).agg(
+        F.concat(F.lit('{"columns":["o_orderkey","o_custkey","o_totalprice","o_orderstatus"],"values":['),
+                 F.array_join(F.collect_list(row), ","), F.lit("]}")).alias("text"))
+    return blocks.select("file_path", F.try_parse_json("text").alias("doc"))
+
+
+@query("json_headers_data", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def q_json_headers_data(spark, sf):
+    return E.headers_data(_order_blocks(spark, sf), "$").drop("file_path")
+
+
+@query("json_array_of_objects", "SELECT conv_id, role, text, turn FROM conversations")
+def q_json_array_of_objects(spark, sf):
+    c = table(spark, sf, "conversations")
+    docs = c.groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(F.struct("turn", "role", "text"))
+                                                         .alias("turns"))).alias("t")) \
+        .select("conv_id", F.try_parse_json("t").alias("doc"))
+    return E.array_of_objects(docs, "$.turns[*]", keep=["conv_id"])
+
+
+@query("json_repeat_over", """
+SELECT l_orderkey AS o_orderkey, l_quantity, l_extendedprice, l_linenumber FROM lineitem
+""")
+def q_json_repeat_over(spark, sf):
+    li = table(spark, sf, "lineitem")
+    line = F.struct("l_linenumber", F.struct(
+        F.array(F.lit("l_quantity"), F.lit("l_extendedprice")).alias("columns"),
+        F.array(F.array("l_quantity", "l_extendedprice")).alias("values")).alias("measure"))
+    docs = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.to_json(F.struct(F.collect_list(line).alias("lines"))).alias("t")) \
+        .select("o_orderkey", F.try_parse_json("t").alias("doc"))
+    return E.extract_with(docs, {"strategy": "headers_data", "path": "{line}.measure",
+                                 "repeat_over": {"path": "$.lines", "as": "line",
+                                                 "inject_fields": {"l_linenumber": "{line}.l_linenumber"}}},
+                          keep=["o_orderkey"])
+
+
+@query("unpivot", """
+SELECT l_orderkey, l_linenumber, 'l_quantity' AS variable, l_quantity AS value FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, 'l_discount', l_discount FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem
+""")
+def q_unpivot(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return E.unpivot_table(li, ["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax", "absent"])
+
+
+@query("json_doc_join", """
+SELECT o.o_orderkey, o.o_totalprice, l.l_linenumber, l.l_quantity
+FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+""")
+def q_json_doc_join(spark, sf):
+    o = table(spark, sf, "orders")
+    li = table(spark, sf, "lineitem")
+    lines = li.groupBy("l_orderkey").agg(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))
+                                         .alias("lines"))
+    docs = (o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
+            .select(F.col("o_orderkey").alias("file_path"),
+                    F.try_parse_json(F.to_json(F.struct(F.array(F.struct("o_orderkey", "o_totalprice")).alias("order"),
+                                                        F.coalesce("lines", F.array()).alias("lines")))).alias("doc")))
+    out = E.doc_join(docs, {"path": "$.order[*]", "key": "o_orderkey"}, {"path": "$.lines[*]", "key": "l_orderkey"},
+                     "left")
+    return out.select("o_orderkey", "o_totalprice", "l_linenumber", "l_quantity")
+
+
+@query("context_priority", r"""
+SELECT c_name AS file_path, nullif(regexp_extract(c_name, 'Customer#0*(\d+)', 1), '') AS customer_no,
+       coalesce(CASE WHEN c_nationkey < 5 THEN c_mktsegment END, 'UNKNOWN') AS segment,
+       'EU' AS region, 'T1' AS tool
+FROM customer
+""")
+def q_context_priority(spark, sf):
+    c = table(spark, sf, "customer")
+    docs = c.select(F.col("c_name").alias("file_path"), F.try_parse_json(F.to_json(F.struct(F.struct(
+        F.when(F.col("c_nationkey") < 5, F.col("c_mktsegment")).alias("segment")).alias("meta")))).alias("doc"))
+    fields = {
+        "customer_no": {"regex": {"pattern": r"Customer#0*(?P<customer_no>\d+)", "group": "customer_no",
+                                  "scope": "filename"}},
+        "segment": {"json_path": "$.meta.segment", "default": "UNKNOWN"},
+        "region": {"default": "NA"},
+        "tool": {"default": "T1"},
+    }
+    return C.file_context(docs, fields, overrides={"region": "EU", "tool": "T9"}, allowed_overrides=["region"])
+
+
+@query("regex_capture", "SELECT p_partkey, lower(nullif(regexp_extract(p_type, '^([A-Z]{3})', 1), '')) AS kind FROM part")
+def q_regex_capture(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", C.regex_capture(F.col("p_type"), r"^(?P<kind>[A-Z]{3})", "kind", "lower").alias("kind"))
+
+
+@query("attach_context", """
+SELECT l.l_orderkey AS key, l.l_linenumber, l.l_quantity, l.l_returnflag AS o_orderstatus, o.o_custkey
+FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey
+""")
+def q_attach_context(spark, sf):
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), "l_linenumber", "l_quantity",
+                                             F.col("l_returnflag").alias("o_orderstatus"))
+    ctx = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey", "o_orderstatus",
+                                            "o_orderpriority")
+    return C.attach_context(li, ctx, "key", keys=["o_custkey", "o_orderstatus"])
+
+
+@query("attach_keyed_context", """
+WITH ctx AS (SELECT user_id, arg_min(event_type, event_id) AS first_event_type, count(*) AS n_events
+             FROM events GROUP BY user_id)
+SELECT e.event_id, e.user_id, e.value, ctx.first_event_type, ctx.n_events
+FROM events e LEFT JOIN ctx USING (user_id)
+""")
+def q_attach_keyed_context(spark, sf):
+    e = table(spark, sf, "events")
+    ctx = e.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_event_type"),
+                                   F.count(F.lit(1)).alias("n_events"))
+    return C.attach_context(e.select("event_id", "user_id", "value"), ctx, "user_id")

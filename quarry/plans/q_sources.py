@@ -1 +1,110 @@
-"""Registered queries."""
+"""Registered queries for readers, probes and sinks (SRC, SNK).
+
+Round-trip queries write the driver's table to a folder under the shared
+checkpoint directory and read it back with the library's readers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.session import scratch_path
+from quarry.sources import readers as R
+from quarry.sources import sinks as K
+from quarry.sources.probe import probe_schema
+from quarry.plans.registry import query, table
+
+
+@query("scan_csv_roundtrip", "SELECT * FROM nation")
+def q_scan_csv_roundtrip(spark, sf):
+    out = scratch_path(spark, "nation-csv")
+    table(spark, sf, "nation").write.mode("overwrite").option("header", True).csv(out)
+    return R.read_delimited(spark, out + "/*.csv")
+
+
+@query("json_lines", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def q_json_lines(spark, sf):
+    out = scratch_path(spark, "events-jsonl")
+    table(spark, sf, "events").select("props").write.mode("overwrite").text(out)
+    return R.read_json_lines(spark, out, schema="k bigint")
+
+
+@query("scan_parquet_project", "SELECT l_orderkey, l_quantity FROM lineitem")
+def q_scan_parquet_project(spark, sf):
+    return R.read_parquet(spark, f"{sf}/lineitem.parquet", columns=["l_orderkey", "l_quantity", "not_there"])
+
+
+@query("read_options_slice", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def q_read_options_slice(spark, sf):
+    return R.apply_read_options(table(spark, sf, "orders"), columns=["o_orderkey", "o_custkey", "o_totalprice", "nope"],
+                                exclude_columns=["o_custkey"], skip_rows=100, row_limit=50, order_by=["o_orderkey"])
+
+
+_CUST = [("c_custkey", "integer"), ("c_name", "string"), ("c_nationkey", "integer"), ("c_acctbal", "float"),
+         ("c_mktsegment", "string")]
+
+
+@query("probe_schema", " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, {i} AS position, '{t}' AS inferred_type, count(*) FILTER (WHERE {c} IS NULL) > 0 AS nullable,
+       count(*) FILTER (WHERE {c} IS NULL) AS null_count, count(DISTINCT {c}) AS distinct_count, count(*) AS row_count,
+       (SELECT string_agg(CAST({c} AS VARCHAR), '|' ORDER BY c_custkey)
+        FROM (SELECT c_custkey, {c} FROM customer WHERE {c} IS NOT NULL ORDER BY c_custkey LIMIT 10)) AS samples
+FROM customer""" for i, (c, t) in enumerate(_CUST)))
+def q_probe_schema(spark, sf):
+    return probe_schema(table(spark, sf, "customer"), samples=10, order_by=["c_custkey"])
+
+
+_TREE = {"or": [
+    {"and": [{"field": "p_name", "operator": "contains", "value": "RING"},
+             {"field": "p_size", "operator": "gt", "value": 20}]},
+    {"not": [{"field": "p_brand", "operator": "startswith", "value": "brand#1"}]},
+]}
+
+
+@query("predicate_tree", """
+SELECT * FROM part
+WHERE (contains(lower(p_name), 'ring') AND p_size > 20) OR NOT starts_with(lower(p_brand), 'brand#1')
+""")
+def q_predicate_tree(spark, sf):
+    return table(spark, sf, "part").filter(R.file_predicate(_TREE, {"p_name": "p_name", "p_size": "p_size",
+                                                                    "p_brand": "p_brand"}))
+
+
+@query("multi_file_union", """
+SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice AS total_price, o_orderdate,
+       CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS o_orderpriority
+FROM orders
+""")
+def q_multi_file_union(spark, sf):
+    o = table(spark, sf, "orders")
+    base = scratch_path(spark, "orders-split")
+    paths = []
+    for st in ("F", "O", "P"):
+        part = o.filter(F.col("o_orderstatus") == st)
+        if st == "P":
+            part = part.drop("o_orderpriority")
+        p = f"{base}/status={st}"
+        part.write.mode("overwrite").parquet(p)
+        paths.append(p)
+    return R.read_many(spark, paths, "parquet", renames={"o_totalprice": "total_price"})
+
+
+@query("sanitize_name", r"""
+SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(p_name || '/' || p_brand || ':' || p_type || '?',
+       '[<>:"/\\|?*]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS output_name
+FROM part
+""")
+def q_sanitize_name(spark, sf):
+    p = table(spark, sf, "part")
+    raw = F.concat(F.col("p_name"), F.lit("/"), F.col("p_brand"), F.lit(":"), F.col("p_type"), F.lit("?"))
+    return p.select("p_partkey", K.sanitize_name_col(raw).alias("output_name"))
+
+
+@query("stable_row_id", """
+SELECT c_custkey, substr(sha256('{"_seed":42,"c_custkey":' || c_custkey || ',"c_name":"' || c_name
+                                || '","c_nationkey":' || c_nationkey || '}'), 1, 8) AS row_id
+FROM customer
+""")
+def q_stable_row_id(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", K.row_id(["c_custkey", "c_name", "c_nationkey"]).alias("row_id"))
