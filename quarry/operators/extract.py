@@ -170,17 +170,38 @@ def headers_data(docs: DataFrame, path: str = "$", headers_key: str | None = Non
         n = rows.filter(F.col("__h").isNull()).agg(F.max(F.size(
             F.try_variant_get(F.col("__r"), "$", "array<variant>")))).first()[0] or 0
         rows = rows.withColumn("__h", F.coalesce(F.col("__h"), F.array(*[F.lit(f"col_{i}") for i in range(n)])))
-    hs = rows.select("__h").distinct().limit(MAX_HEADER_SETS + 1).collect()
-    if len(hs) > MAX_HEADER_SETS:
+    # ONE discovery job: header sets and the merged type of every header position.
+    # Array rows give (position -> value); object rows give (header name -> value).
+    by_pos = rows.select("__h", F.posexplode(F.try_variant_get(F.col("__r"), "$", "array<variant>"))
+                         .alias("__i", "__v")).select("__h", F.col("__i").cast("string").alias("__k"), "__v")
+    by_key = rows.select("__h", F.explode(F.try_variant_get(F.col("__r"), "$", "map<string,variant>"))
+                         .alias("__k", "__v")).select("__h", F.concat(F.lit("k:"), "__k").alias("__k"), "__v")
+    marker = rows.select("__h", F.lit(None).cast("string").alias("__k"), F.lit(None).cast("variant").alias("__v"))
+    found = (by_pos.unionByName(by_key).unionByName(marker).filter(F.col("__h").isNotNull())
+             .groupBy("__h", "__k").agg(F.schema_of_variant_agg("__v").alias("__t"))
+             .limit(MAX_HEADER_SETS * MAX_DISCOVERED_COLUMNS + 1).collect())
+    info: dict[tuple, dict[str, str]] = {}
+    for r in found:
+        info.setdefault(tuple(r["__h"]), {})
+        if r["__k"] is not None:
+            info[tuple(r["__h"])][r["__k"]] = r["__t"]
+    if len(info) > MAX_HEADER_SETS:
         raise ValueError("too many distinct header sets")
-    header_sets = [list(r["__h"]) for r in hs if r["__h"] is not None]
     parts = []
-    for hdr in header_sets:
+    for hdr, tmap in sorted(info.items()):
+        hdr = list(hdr)
         sub = rows.filter(F.col("__h") == F.array(*[F.lit(h) for h in hdr]))
         cell = lambda i, h: F.coalesce(F.try_variant_get(F.col("__r"), f"$[{i}]", "variant"),
                                        F.try_variant_get(F.col("__r"), _key_path(h), "variant"))
-        types = sub.agg(*[F.schema_of_variant_agg(cell(i, h)).alias(f"t{i}") for i, h in enumerate(hdr)]).first()
-        sel = [typed(cell(i, h), spark_type_for(types[f"t{i}"])).alias(h) for i, h in enumerate(hdr)]
+
+        def col_type(i, h):
+            ts = [t for t in (tmap.get(str(i)), tmap.get("k:" + h)) if t]
+            kinds = {spark_type_for(t) for t in ts}
+            if len(kinds) == 1:
+                return kinds.pop()
+            return "double" if kinds and kinds <= {"bigint", "double"} else "string"
+
+        sel = [typed(cell(i, h), col_type(i, h)).alias(h) for i, h in enumerate(hdr)]
         parts.append(sub.select(*keep, "__rn", *sel))
     if not parts:
         return docs.select(*keep).limit(0)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.fdist import f_sf_udf
+from quarry.session import ensure_checkpoint_dir
 
 RESULT_COLUMNS = ["response_column", "effect_order", "source", "ss", "df", "ms", "f", "p_value",
                   "variance_pct", "significant"]
@@ -69,6 +70,11 @@ def anova(df: DataFrame, factors: Sequence[str], response: str | Sequence[str],
     responses = [response] if isinstance(response, str) else list(response)
     factors = list(factors)
     cells = anova_cells(df, factors, responses, interactions and len(factors) >= 2)
+    # The cell table (one row per level / cell) feeds several joins below.  It is
+    # checkpointed to the shared checkpoint folder so the data is read exactly once
+    # and later stages work on the small table only.
+    ensure_checkpoint_dir(df.sparkSession)
+    cells = cells.checkpoint(eager=True)
     tot = (cells.filter(F.size("parts") == 0)
            .select("response_column", F.col("n").alias("grand_n"), F.col("mean").alias("grand_mean"),
                    (F.col("n") * F.col("var_pop")).alias("ss_total")))
@@ -106,7 +112,8 @@ def anova(df: DataFrame, factors: Sequence[str], response: str | Sequence[str],
     resid = resid.withColumn("ms_res", F.when(F.col("df_res") > 0, F.col("ss_res") / F.col("df_res")).otherwise(F.lit(0.0)))
     pct = lambda ss: F.when(F.col("ss_total") > 0, ss / F.col("ss_total") * 100).otherwise(F.lit(0.0))
     ms = F.when(F.col("df") > 0, F.col("ss") / F.col("df")).otherwise(F.lit(0.0))
-    eff_out = (rows.join(resid, "response_column")
+    # effect rows are a handful: one partition, so the p-value UDF runs in one Python task
+    eff_out = (rows.join(resid, "response_column").coalesce(1)
                .withColumn("ms", ms)
                .withColumn("f", F.when(F.col("ms_res") > 0, F.col("ms") / F.col("ms_res")))
                .withColumn("p_value", f_sf_udf(F.col("f"), F.col("df").cast("double"), F.col("df_res").cast("double")))
