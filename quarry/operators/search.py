@@ -39,9 +39,9 @@ def keyword_search(docs: DataFrame, queries: Sequence[tuple[str, str]], id_col:
     base = docs.filter(F.col(archived_col).isNull()) if archived_col else docs
     hit = lambda x: F.contains(hay_c, x["q"]) | (F.contains(hay_t, x["q"]) if hay_t is not None else F.lit(False))
     title = F.col(title_col) if title_col else F.lit(None).cast("string")
-    matched = base.select(F.col(id_col).alias("doc_id"), title.alias("title"),
-                          F.substring(content, 1, SNIPPET_CHARS).alias("snippet"),
-                          F.explode(F.filter(qarr, hit)).alias("m"))
+    flagged = base.withColumn("__m", F.filter(qarr, hit))
+    matched = flagged.select(F.col(id_col).alias("doc_id"), title.alias("title"),
+                             F.substring(content, 1, SNIPPET_CHARS).alias("snippet"), F.explode("__m").alias("m"))
     out = matched.select(F.col("m.query_id").alias("query_id"), "doc_id", "title", "snippet",
                          F.lit(1.0).alias("score"))
     return top_k_per_group(out, ["query_id"], "score", top_k, ["doc_id"], rank_col="rank")
@@ -125,10 +125,12 @@ def token_budget_context(hits: DataFrame, max_tokens: int = 2000, sanitize: bool
     blocks = hits.select("query_id", "rank", "doc_id", block.alias("block")) \
         .withColumn("tokens", F.floor(F.length("block") / 4).cast("bigint"))
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kept = blocks.withColumn("running", F.sum("tokens").over(w) + header_tokens) \
-        .filter(F.col("running") <= max_tokens)
-    ordered = F.sort_array(F.collect_list(F.struct("rank", "block", "doc_id")))
-    return kept.groupBy("query_id").agg(ordered.alias("__b"), F.max("running").alias("token_count")).select(
+    ranked = blocks.withColumn("running", F.sum("tokens").over(w) + header_tokens)
+    fits = F.col("running") <= max_tokens
+    # a query whose first block does not fit still gets the header-only context
+    ordered = F.sort_array(F.collect_list(F.when(fits, F.struct("rank", "block", "doc_id"))))
+    used = F.coalesce(F.max(F.when(fits, F.col("running"))), F.lit(header_tokens).cast("bigint"))
+    return ranked.groupBy("query_id").agg(ordered.alias("__b"), used.alias("token_count")).select(
         "query_id", F.concat(F.lit(CONTEXT_HEADER), F.array_join(F.transform("__b", lambda x: x["block"]), ""))
         .alias("context"),
         F.array_join(F.transform("__b", lambda x: x["doc_id"].cast("string")), ",").alias("sources"),
