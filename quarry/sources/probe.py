@@ -6,6 +6,7 @@ counts) unpivoted to one row per column; samples come from a bounded top-n.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,8 +95,20 @@ def precheck_files(spark: SparkSession, paths: str | Sequence[str], kind: str =
                    F.struct(F.lit("warning").alias("severity"), F.lit("NON_OBJECT_ROWS").alias("code"),
                             F.lit("array elements should be objects").alias("suggestion"))),
         ]
-    return (b.select("file_path", F.explode(F.filter(F.array(*issues), lambda x: x.isNotNull())).alias("i"))
-            .select("file_path", "i.*"))
+    out = (b.select("file_path", F.explode(F.filter(F.array(*issues), lambda x: x.isNotNull())).alias("i"))
+           .select("file_path", "i.*"))
+    if not isinstance(paths, str):
+        # zero-length files produce no input split: compare the listing with the request
+        # (one row of metadata per requested file, never file contents)
+        seen = {r[0].split(":", 1)[-1] for r in b.select("file_path").collect()}
+        gone = [p for p in paths if os.path.abspath(p.split(":", 1)[-1]) not in
+                {os.path.abspath(s) for s in seen}]
+        if gone:
+            extra = spark.createDataFrame(
+                [(p, "error", "EMPTY_FILE", "file is empty or missing") for p in gone],
+                "file_path string, severity string, code string, suggestion string")
+            out = out.unionByName(extra)
+    return out
 
 
 # SRC-15 / 16 ----------------------------------------------------------------------------------
