@@ -304,3 +304,47 @@ def q_lineage_closure(spark, sf):
 
 
 _ = rounded
+
+
+# JON-07 / TXT-11 ---------------------------------------------------------------------
+_KW_CTE = rf"""kw AS (SELECT DISTINCT doc_id, lang, kw AS token FROM (
+  SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+')) AS kw FROM documents)
+  WHERE regexp_full_match(kw, '[a-z][a-z0-9_-]{{2,}}') AND length(kw) > 3 AND kw NOT IN ({_STOP_SQL})),
+n AS (SELECT doc_id, count(*) AS n FROM kw GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS ov FROM kw a JOIN kw b
+      ON a.lang = b.lang AND a.token = b.token AND a.doc_id < b.doc_id GROUP BY 1, 2),
+jp AS (SELECT o.a, o.b, o.ov AS overlap, o.ov / (na.n + nb.n - o.ov) AS jaccard
+       FROM o JOIN n na ON o.a = na.doc_id JOIN n nb ON o.b = nb.doc_id
+       WHERE o.ov * 20 >= 3 * (na.n + nb.n - o.ov))"""
+
+
+@query("jaccard_pairs", f"WITH {_KW_CTE} SELECT a, b, overlap, round(jaccard, 6) AS jaccard FROM jp")
+def q_jaccard_pairs(spark, sf):
+    from quarry.operators.similarity import jaccard_pairs, keyword_sets
+
+    toks = keyword_sets(table(spark, sf, "documents"), "doc_id", "text", "lang")
+    return rounded(jaccard_pairs(toks, 0.15))
+
+
+@query("link_audit", f"""
+WITH {_KW_CTE},
+lk AS (SELECT d.doc_id AS s, d.doc_id + 1 AS t FROM documents d WHERE d.doc_id + 1 IN (SELECT doc_id FROM documents)),
+lo AS (SELECT lk.s, lk.t, count(kb.token) AS ov FROM lk LEFT JOIN kw ka ON ka.doc_id = lk.s
+       LEFT JOIN kw kb ON kb.doc_id = lk.t AND kb.token = ka.token GROUP BY 1, 2),
+ls AS (SELECT lo.s, lo.t, CASE WHEN coalesce(ns.n, 0) + coalesce(nt.n, 0) - lo.ov > 0
+                               THEN lo.ov / (coalesce(ns.n, 0) + coalesce(nt.n, 0) - lo.ov) ELSE 0.0 END AS sim
+       FROM lo LEFT JOIN n ns ON ns.doc_id = lo.s LEFT JOIN n nt ON nt.doc_id = lo.t)
+SELECT s AS source, t AS target, round(sim, 6) AS similarity,
+       CASE WHEN sim < 0.05 THEN 'questionable' ELSE 'valid' END AS status FROM ls
+UNION ALL
+SELECT a, b, round(jaccard, 6), 'missing' FROM jp
+WHERE NOT EXISTS (SELECT 1 FROM lk WHERE (lk.s = jp.a AND lk.t = jp.b) OR (lk.s = jp.b AND lk.t = jp.a))
+""")
+def q_link_audit(spark, sf):
+    from quarry.operators.similarity import keyword_sets, link_audit
+
+    d = table(spark, sf, "documents")
+    toks = keyword_sets(d, "doc_id", "text", "lang")
+    links = d.select(F.col("doc_id").alias("source"), (F.col("doc_id") + 1).alias("target")) \
+        .join(d.select(F.col("doc_id").alias("target")), "target", "left_semi")
+    return rounded(link_audit(toks, links, 0.15, 0.05))
