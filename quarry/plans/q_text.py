@@ -348,3 +348,26 @@ def q_link_audit(spark, sf):
     links = d.select(F.col("doc_id").alias("source"), (F.col("doc_id") + 1).alias("target")) \
         .join(d.select(F.col("doc_id").alias("target")), "target", "left_semi")
     return rounded(link_audit(toks, links, 0.15, 0.05))
+
+
+# TXT-12 ------------------------------------------------------------------------------
+_TARGETS = ["Small Ring", "widget", "band"]
+_ALIASES = {"band": ["ring"]}
+
+
+@query("fuzzy_levels", """
+SELECT * FROM (SELECT 'Small Ring' AS target, p_name AS best, 1.0 AS confidence, 'exact' AS tier FROM part
+               WHERE lower(p_name) = 'small ring' ORDER BY p_partkey LIMIT 1)
+UNION ALL
+SELECT * FROM (SELECT 'widget', p_name, CASE WHEN lower(p_name) = 'widget' THEN 1.0 ELSE 0.85 END,
+                      CASE WHEN lower(p_name) = 'widget' THEN 'exact' ELSE 'substring' END FROM part
+               WHERE contains(lower(p_name), 'widget')
+               ORDER BY (lower(p_name) = 'widget') DESC, p_partkey LIMIT 1)
+UNION ALL
+SELECT * FROM (SELECT 'band', p_name, 0.9, 'alias' FROM part WHERE contains(lower(p_name), 'ring')
+               ORDER BY p_partkey LIMIT 1)
+""")
+def q_fuzzy_levels(spark, sf):
+    from quarry.operators.matching import match_names
+
+    return match_names(table(spark, sf, "part"), "p_name", "p_partkey", _TARGETS, _ALIASES)
