@@ -319,3 +319,24 @@ def coverage(required: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
     pct = F.when(F.col("required") == 0, F.lit(100.0)).otherwise(F.col("mapped") * 100.0 / F.col("required"))
     return agg.withColumn("coverage_pct", F.round(pct, 6)).withColumn(
         "status", F.when(F.col("coverage_pct") >= 100, "green").when(F.col("coverage_pct") >= 80, "yellow").otherwise("red"))
+
+
+# OPT-05 ---------------------------------------------------------------------------
+def metric_aggregations(df: DataFrame, by: Sequence[str], metrics: Mapping[str, Sequence[str]],
+                        method: str = "exact") -> DataFrame:
+    """``{column: [mean, median, std, 3sigma, min, max, count]}`` per group."""
+    exprs = []
+    for c, fns in metrics.items():
+        x = F.col(c).cast("double")
+        for fn in fns:
+            if fn == "median":
+                exprs.append(quantile_expr(x, [0.5], method)[0].alias(f"{c}_median"))
+            elif fn == "3sigma":
+                exprs.append((F.lit(3.0) * F.stddev_samp(x)).alias(f"{c}_3sigma"))
+            elif fn == "mean":
+                exprs.append(F.avg(x).alias(f"{c}_mean"))
+            elif fn == "std":
+                exprs.append(F.stddev_samp(x).alias(f"{c}_std"))
+            elif fn in ("min", "max", "count"):
+                exprs.append(getattr(F, fn)(x).alias(f"{c}_{fn}"))
+    return df.groupBy(*by).agg(*exprs)

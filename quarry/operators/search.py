@@ -176,3 +176,37 @@ def hash_embedding(dim: int = 16) -> Callable:
 def threshold(hits: DataFrame, min_score: float) -> DataFrame:
     """OPT-07: similarity threshold on search results."""
     return hits.filter(F.col("score") >= F.lit(min_score))
+
+
+# OPT-06 ---------------------------------------------------------------------------
+def bm25_search(docs: DataFrame, id_col: str, text_col: str, queries: Sequence[tuple[str, str]], top_k: int = 10,
+                k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 over lower-cased word tokens: score = sum over query terms of
+    idf * tf*(k1+1) / (tf + k1*(1 - b + b*dl/avgdl)), idf = ln((N-df+0.5)/(df+0.5) + 1).
+
+    Only the query terms are counted (a literal array filter), so the term table
+    is |documents| x |query terms| at most; N and avgdl come from one aggregate."""
+    terms = sorted({t.lower() for _q, text in queries for t in text.split()})
+    if not terms:
+        raise ValueError("empty queries")
+    toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    base = docs.select(F.col(id_col).alias("doc_id"), toks.alias("__t"))
+    stats_row = base.agg(F.count(F.lit(1)).alias("N"), F.avg(F.size("__t")).alias("avgdl")).first()
+    n_docs, avgdl = stats_row["N"], stats_row["avgdl"] or 0.0
+    tarr = F.array(*[F.lit(t) for t in terms])
+    tf = (base.select("doc_id", F.size("__t").alias("dl"),
+                      F.explode(F.filter("__t", lambda x: F.array_contains(tarr, x))).alias("term"))
+          .groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    dfreq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.ln((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
+    part = (tf.join(F.broadcast(dfreq), "term")  # one row per query term
+            .withColumn("w", idf * F.col("tf") * (k1 + 1)
+                        / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))))
+    qmap = [(q, sorted({t.lower() for t in text.split()})) for q, text in queries]
+    qarr = F.array(*[F.struct(F.lit(q).alias("query_id"), F.array(*[F.lit(t) for t in ts]).alias("ts"))
+                     for q, ts in qmap])
+    scored = (part.select("doc_id", "term", "w", F.explode(F.filter(qarr, lambda x: F.array_contains(x["ts"],
+                                                                                               F.col("term"))))
+                          .alias("q"))
+              .groupBy(F.col("q.query_id").alias("query_id"), "doc_id").agg(F.sum("w").alias("score")))
+    return top_k_per_group(scored, ["query_id"], "score", top_k, ["doc_id"], rank_col="rank")

@@ -223,3 +223,56 @@ def qq_points(df: DataFrame, factors: Sequence[str], response: str) -> DataFrame
 
 
 _ = Window
+
+
+# OPT-01 / 03 / 04 -----------------------------------------------------------------
+Z_975 = 1.959963984540054  # normal quantile used for the 95% interval (normal approximation)
+
+
+def group_means(df: DataFrame, factor: str, response: str, z: float = Z_975) -> DataFrame:
+    """Per level: count, mean, std, se and a normal-approximation confidence interval."""
+    y = F.col(response).cast("double")
+    g = (df.select(factor, y.alias("__y")).filter(F.col("__y").isNotNull()).groupBy(factor)
+         .agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("mean"), F.stddev_samp("__y").alias("std")))
+    se = F.col("std") / F.sqrt(F.col("n"))
+    return g.withColumn("se", se).withColumn("ci_low", F.col("mean") - z * se) \
+        .withColumn("ci_high", F.col("mean") + z * se)
+
+
+def detect_roles(df: DataFrame, max_levels: int = 100, min_numeric: int = 10) -> DataFrame:
+    """Factor candidates: non-numeric columns with at most ``max_levels`` distinct values;
+    responses: numeric columns with at least ``min_numeric`` non-null values.  One aggregate."""
+    from pyspark.sql import types as T
+
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
+    aggs = []
+    for i, c in enumerate(df.columns):
+        aggs += [F.count_distinct(F.col(c)).alias(f"d{i}"), F.count(F.col(c)).alias(f"n{i}")]
+    wide = df.agg(*aggs)
+    rows = [F.struct(F.lit(c).alias("column_name"),
+                     (F.when(F.lit(c in numeric) & (F.col(f"n{i}") >= min_numeric), "response")
+                      .when(F.lit(c not in numeric) & (F.col(f"d{i}") <= max_levels), "factor")
+                      .otherwise("other")).alias("role"),
+                     F.col(f"d{i}").alias("distinct_count"), F.col(f"n{i}").alias("non_null"))
+            for i, c in enumerate(df.columns)]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def transform_response(df: DataFrame, response: str, transform: str | None = None, where: str | None = None,
+                       out: str | None = None) -> DataFrame:
+    """Optional filter expression, then log / sqrt / inverse of the response
+    (undefined values -> null)."""
+    if where:
+        df = df.filter(F.expr(where))
+    y = F.col(response).cast("double")
+    if transform == "log":
+        v = F.when(y > 0, F.ln(y))
+    elif transform == "sqrt":
+        v = F.when(y >= 0, F.sqrt(y))
+    elif transform == "inverse":
+        v = F.try_divide(F.lit(1.0), y)
+    elif transform in (None, "none"):
+        v = y
+    else:
+        raise ValueError(f"unknown transform {transform}")
+    return df.withColumn(out or response, v)

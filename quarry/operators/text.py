@@ -77,11 +77,15 @@ def redact_pattern(text: Column, pattern: str, replacement: str, allowlist: Sequ
     allow = _allow_regex(allowlist)
     if allow is None:
         return F.regexp_replace(text, pattern, replacement)
-    pieces = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
+    pieces = F.split(text, pattern, -1)
     kept = F.transform(matches, lambda m: F.when(m.rlike(allow), m).otherwise(F.lit(replacement)))
     tail = F.zip_with(kept, F.slice(pieces, 2, F.size(matches)), lambda r, s: F.concat(r, s))
-    return F.when(text.isNull(), text).otherwise(F.concat(pieces[0], F.array_join(tail, "")))
+    # cheap paths first: no match -> unchanged; no allow-listed match -> plain replace;
+    # only texts holding an allow-listed match pay for split + re-assembly
+    return (F.when(text.isNull() | (F.size(matches) == 0), text)
+            .when(~F.exists(matches, lambda m: m.rlike(allow)), F.regexp_replace(text, pattern, replacement))
+            .otherwise(F.concat(pieces[0], F.array_join(tail, ""))))
 
 
 def redact(text: Column, patterns: Sequence[tuple[str, str, str]] = tuple(DEFAULT_PATTERNS),

@@ -51,6 +51,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = FL.apply_row_filters(lines, [{"column": "l_quantity", "operator": "gte", "value": 1},
                                         {"column": "l_discount", "operator": "between", "value": [0.0, 0.1]}])
     good, _bad = Q.quarantine_split(kept, {"price_positive": "l_extendedprice > 0"})
+    # the extracted rows feed two aggregates (group-by and ANOVA cells): extract once
+    good = good.persist(StorageLevel.MEMORY_AND_DISK)
     agg = A.config_groupby(good, ["l_returnflag", "l_linestatus"],
                            {"l_quantity": "sum", "l_extendedprice": "mean", "l_discount": "mean"})
     anova = ST.anova(good, ["l_returnflag"], "l_quantity").filter(F.col("source") == "l_returnflag") \

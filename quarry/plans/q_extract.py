@@ -7,8 +7,11 @@ extracted back; the oracle is the plain table.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+_KEEP = StorageLevel.MEMORY_AND_DISK
+
 from quarry.operators import context as C
 from quarry.operators import extract as E
 from quarry.plans.registry import query, table
@@ -28,7 +31,8 @@ def _order_blocks(spark, sf):
     blocks = o.groupBy(F.floor(F.col("o_orderkey") / 10).alias("file_path")).agg(
         F.concat(F.lit('{"columns":["o_orderkey","o_custkey","o_totalprice","o_orderstatus"],"values":['),
                  F.array_join(F.collect_list(row), ","), F.lit("]}")).alias("text"))
-    return blocks.select("file_path", F.try_parse_json("text").alias("doc"))
+    # documents are read by the discovery pass and the extraction: keep them
+    return blocks.select("file_path", F.try_parse_json("text").alias("doc")).persist(_KEEP)
 
 
 @query("json_headers_data", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
@@ -55,7 +59,7 @@ def q_json_repeat_over(spark, sf):
         F.array(F.array("l_quantity", "l_extendedprice")).alias("values")).alias("measure"))
     docs = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.to_json(F.struct(F.collect_list(line).alias("lines"))).alias("t")) \
-        .select("o_orderkey", F.try_parse_json("t").alias("doc"))
+        .select("o_orderkey", F.try_parse_json("t").alias("doc")).persist(_KEEP)
     return E.extract_with(docs, {"strategy": "headers_data", "path": "{line}.measure",
                                  "repeat_over": {"path": "$.lines", "as": "line",
                                                  "inject_fields": {"l_linenumber": "{line}.l_linenumber"}}},
@@ -85,6 +89,7 @@ def q_json_doc_join(spark, sf):
             .select(F.col("o_orderkey").alias("file_path"),
                     F.try_parse_json(F.to_json(F.struct(F.array(F.struct("o_orderkey", "o_totalprice")).alias("order"),
                                                         F.coalesce("lines", F.array()).alias("lines")))).alias("doc")))
+    docs = docs.persist(_KEEP)
     out = E.doc_join(docs, {"path": "$.order[*]", "key": "o_orderkey"}, {"path": "$.lines[*]", "key": "l_orderkey"},
                      "left")
     return out.select("o_orderkey", "o_totalprice", "l_linenumber", "l_quantity")

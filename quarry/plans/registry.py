@@ -38,6 +38,7 @@ def load_all() -> None:
         q_extract,
         q_filters,
         q_joins,
+        q_options,
         q_quality,
         q_sources,
         q_stats,
