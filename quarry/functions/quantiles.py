@@ -34,7 +34,18 @@ def quantile_expr(c: Column | str, probs: Sequence[float], method: str = "exact"
 
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float], method: str = "exact") -> list[float | None]:
-    """Global quantiles of one column as Python floats (one small aggregate row)."""
+    """Global quantiles of one column as Python floats.
+
+    ``exact`` (default) locates the needed ranks by histogram refinement with
+    bounded memory (see ``exact_quantile``); ``percentile`` is Spark's single
+    aggregate (same values, memory grows with distinct values); ``approx`` and
+    ``nearest`` as in ``quantile_expr``."""
+    if method == "exact":
+        from quarry.functions.exact_quantile import exact_quantiles
+
+        return exact_quantiles(df, column, probs)
+    if method == "percentile":
+        method = "exact"
     src = df.select(F.col(column).alias("__qx")).filter(F.col("__qx").isNotNull())
     row = src.agg(quantile_expr("__qx", probs, method).alias("q")).first()
     vals = row["q"] if row is not None else None
