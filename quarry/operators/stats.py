@@ -4,8 +4,9 @@ The data is read once: a single ``GROUPING SETS`` aggregate gives count,
 mean and population variance for every factor level, every pair of factors
 and the grand total (per response column, after an ``unpivot``).  Everything
 after that is arithmetic on a table with one row per level/cell, still
-expressed as Spark DataFrame operations; p-values come from a pandas UDF over
-the effect rows.  Group values are never materialised as arrays.
+expressed as Spark DataFrame operations; p-values come from a JVM expression
+for the F tail (``functions.fdist_expr``).  Group values are never
+materialised as arrays.
 
 Sums of squares follow the marginal formulas: SS_A = sum n_a (m_a - M)^2,
 SS_AB = max(0, SS_cells - SS_A - SS_B), residual = max(0, SS_T - explained).
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.fdist import f_sf_udf
+from quarry.functions.fdist_expr import f_sf_expr
 from quarry.session import ensure_checkpoint_dir
 
 RESULT_COLUMNS = ["response_column", "effect_order", "source", "ss", "df", "ms", "f", "p_value",
@@ -112,11 +113,11 @@ def anova(df: DataFrame, factors: Sequence[str], response: str | Sequence[str],
     resid = resid.withColumn("ms_res", F.when(F.col("df_res") > 0, F.col("ss_res") / F.col("df_res")).otherwise(F.lit(0.0)))
     pct = lambda ss: F.when(F.col("ss_total") > 0, ss / F.col("ss_total") * 100).otherwise(F.lit(0.0))
     ms = F.when(F.col("df") > 0, F.col("ss") / F.col("df")).otherwise(F.lit(0.0))
-    # effect rows are a handful: one partition, so the p-value UDF runs in one Python task
-    eff_out = (rows.join(resid, "response_column").coalesce(1)
+    # p-values: F upper tail as a JVM expression (Lanczos + continued fraction), no Python worker
+    eff_out = (rows.join(resid, "response_column")
                .withColumn("ms", ms)
                .withColumn("f", F.when(F.col("ms_res") > 0, F.col("ms") / F.col("ms_res")))
-               .withColumn("p_value", f_sf_udf(F.col("f"), F.col("df").cast("double"), F.col("df_res").cast("double")))
+               .withColumn("p_value", f_sf_expr(F.col("f"), F.col("df"), F.col("df_res")))
                .select("response_column", F.element_at(omap, F.col("source")).alias("effect_order"), "source",
                        "ss", "df", "ms", "f", "p_value", pct(F.col("ss")).alias("variance_pct"),
                        F.coalesce(F.col("p_value") < F.lit(alpha), F.lit(False)).alias("significant")))
