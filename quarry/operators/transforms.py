@@ -419,3 +419,35 @@ def sanitize_regex_group_names(pattern: str) -> tuple[str, list[str]]:
         return "("
 
     return re.sub(r"\(\?P<([A-Za-z_][A-Za-z0-9_]*)>", repl, pattern), names
+
+
+# OPT-08 -------------------------------------------------------------------------
+def apply_output_options(df: DataFrame, nan_replacement: Any = None, string_strip: bool = False,
+                         string_case: str | None = None, max_columns: int | None = None,
+                         max_rows: int | None = None) -> DataFrame:
+    """Profile output keys: fill nulls/NaN in numeric columns, strip / case strings,
+    and enforce column and row limits (a limit violation raises; rows are counted
+    with a bounded ``limit(max_rows + 1)`` probe, never truncated silently)."""
+    if max_columns is not None and len(df.columns) > max_columns:
+        raise ValueError(f"{len(df.columns)} columns exceed the limit of {max_columns}")
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if nan_replacement is not None and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.coalesce(F.nanvl(c, F.lit(None).cast(f.dataType)), F.lit(nan_replacement).cast(f.dataType))
+        elif nan_replacement is not None and isinstance(f.dataType, T.NumericType):
+            c = F.coalesce(c, F.lit(nan_replacement).cast(f.dataType))
+        if isinstance(f.dataType, T.StringType):
+            if string_strip:
+                c = F.trim(c)
+            if string_case == "upper":
+                c = F.upper(c)
+            elif string_case == "lower":
+                c = F.lower(c)
+            elif string_case == "title":
+                c = F.initcap(c)
+        cols.append(c.alias(f.name))
+    out = df.select(*cols)
+    if max_rows is not None and out.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"output exceeds the limit of {max_rows} rows")
+    return out
