@@ -172,14 +172,21 @@ def headers_data(docs: DataFrame, path: str = "$", headers_key: str | None = Non
         rows = rows.withColumn("__h", F.coalesce(F.col("__h"), F.array(*[F.lit(f"col_{i}") for i in range(n)])))
     # ONE discovery job: header sets and the merged type of every header position.
     # Array rows give (position -> value); object rows give (header name -> value).
-    by_pos = rows.select("__h", F.posexplode(F.try_variant_get(F.col("__r"), "$", "array<variant>"))
-                         .alias("__i", "__v")).select("__h", F.col("__i").cast("string").alias("__k"), "__v")
-    by_key = rows.select("__h", F.explode(F.try_variant_get(F.col("__r"), "$", "map<string,variant>"))
-                         .alias("__k", "__v")).select("__h", F.concat(F.lit("k:"), "__k").alias("__k"), "__v")
-    marker = rows.select("__h", F.lit(None).cast("string").alias("__k"), F.lit(None).cast("variant").alias("__v"))
-    found = (by_pos.unionByName(by_key).unionByName(marker).filter(F.col("__h").isNotNull())
-             .groupBy("__h", "__k").agg(F.schema_of_variant_agg("__v").alias("__t"))
-             .limit(MAX_HEADER_SETS * MAX_DISCOVERED_COLUMNS + 1).collect())
+    # One scan: every row contributes (position, value) entries, (k:name, value)
+    # entries for object rows, and one marker entry so each header set appears.
+    entry_t = "array<struct<k:string,v:variant>>"
+    arr = F.try_variant_get(F.col("__r"), "$", "array<variant>")
+    obj = F.try_variant_get(F.col("__r"), "$", "map<string,variant>")
+    pos_e = F.coalesce(F.transform(arr, lambda v, i: F.struct(i.cast("string").alias("k"), v.alias("v"))),
+                       F.array().cast(entry_t))
+    key_e = F.coalesce(F.transform(F.map_entries(obj), lambda e: F.struct(F.concat(F.lit("k:"), e["key"]).alias("k"),
+                                                                          e["value"].alias("v"))),
+                       F.array().cast(entry_t))
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("k"), F.lit(None).cast("variant").alias("v")))
+    found = (rows.filter(F.col("__h").isNotNull())
+             .select("__h", F.explode(F.concat(pos_e, key_e, marker)).alias("__e"))
+             .groupBy("__h", F.col("__e.k").alias("__k")).agg(F.schema_of_variant_agg("__e.v").alias("__t"))
+             .collect())  # one row per (header set, column): checked against the limits below
     info: dict[tuple, dict[str, str]] = {}
     for r in found:
         info.setdefault(tuple(r["__h"]), {})
@@ -238,21 +245,22 @@ def repeat_over(docs: DataFrame, path: str, as_name: str, base: Mapping[str, Any
     p = _norm_path(path)
     p = p if p.endswith("[*]") else p + "[*]"
     el = explode_path(docs.select(*keep, F.col(doc_col)), doc_col, p, "__item", pos="__item_pos")
-    inject = {}
-    for name, ipath in (inject_fields or {}).items():
-        inject[name] = ipath
+    inject = dict(inject_fields or {})
     inj_cols = []
     for name, ipath in inject.items():
         ip = ipath.replace("{" + as_name + "}", "$")
         inj_cols.append(F.try_variant_get(F.col("__item"), _norm_path(ip), "variant").alias(f"__inj_{name}"))
     el = el.select(*keep, "__item_pos", F.col("__item").alias("__doc"), *inj_cols)
+    types = None
+    if inject:
+        # type discovery on the exploded elements only (not on the extracted table)
+        types = el.agg(*[F.schema_of_variant_agg(f"__inj_{n}").alias(n) for n in inject]).first()
     cfg = dict(base)
     bpath = cfg.get("path", "$").replace("{" + as_name + "}", "$")
     cfg["path"] = bpath
     inner_keep = list(keep) + ["__item_pos"] + [f"__inj_{n}" for n in inject]
     out = extract_with(el, cfg, doc_col="__doc", keep=inner_keep)
     if inject:
-        types = out.agg(*[F.schema_of_variant_agg(f"__inj_{n}").alias(n) for n in inject]).first()
         out = out.select(*[c for c in out.columns if not c.startswith("__inj_")],
                          *[typed(F.col(f"__inj_{n}"), spark_type_for(types[n])).alias(n) for n in inject])
     return out.drop("__item_pos")
