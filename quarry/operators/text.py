@@ -24,6 +24,9 @@ DEFAULT_PATTERNS: list[tuple[str, str, str]] = [
     ("ip_address", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[IP]"),
     ("bearer_token", r"Bearer\s+[a-zA-Z0-9._-]+", "[BEARER_TOKEN]"),
 ]
+# Literal that every match of a default pattern contains (a cheap pre-check).
+LITERAL_HINTS = {DEFAULT_PATTERNS[0][1]: "@", DEFAULT_PATTERNS[1][1]: "sk-", DEFAULT_PATTERNS[2][1]: "AKIA",
+                 DEFAULT_PATTERNS[7][1]: "Bearer"}
 # Optional extra pattern from the redaction configuration.
 INTERNAL_IP_PATTERN = ("internal_ip", r"\b(?:10|172\.(?:1[6-9]|2[0-9]|3[01])|192\.168)\.[0-9.]+\b", "[INTERNAL_IP]")
 # Matches containing one of these (case-insensitive) are kept.
@@ -75,17 +78,21 @@ def redact_pattern(text: Column, pattern: str, replacement: str, allowlist: Sequ
     Without an allow-list this is ``regexp_replace``.  With one, the text is
     split at the matches and re-assembled, each match replaced or kept."""
     allow = _allow_regex(allowlist)
+    hint = LITERAL_HINTS.get(pattern)
     if allow is None:
-        return F.regexp_replace(text, pattern, replacement)
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pieces = F.split(text, pattern, -1)
-    kept = F.transform(matches, lambda m: F.when(m.rlike(allow), m).otherwise(F.lit(replacement)))
-    tail = F.zip_with(kept, F.slice(pieces, 2, F.size(matches)), lambda r, s: F.concat(r, s))
-    # cheap paths first: no match -> unchanged; no allow-listed match -> plain replace;
-    # only texts holding an allow-listed match pay for split + re-assembly
-    return (F.when(text.isNull() | (F.size(matches) == 0), text)
-            .when(~F.exists(matches, lambda m: m.rlike(allow)), F.regexp_replace(text, pattern, replacement))
-            .otherwise(F.concat(pieces[0], F.array_join(tail, ""))))
+        out = F.regexp_replace(text, pattern, replacement)
+    else:
+        matches = F.regexp_extract_all(text, F.lit(pattern), 0)
+        pieces = F.split(text, pattern, -1)
+        kept = F.transform(matches, lambda m: F.when(m.rlike(allow), m).otherwise(F.lit(replacement)))
+        tail = F.zip_with(kept, F.slice(pieces, 2, F.size(matches)), lambda r, s: F.concat(r, s))
+        # cheap paths first: no match -> unchanged; no allow-listed match -> plain replace;
+        # only texts holding an allow-listed match pay for split + re-assembly
+        out = (F.when(text.isNull() | (F.size(matches) == 0), text)
+               .when(~F.exists(matches, lambda m: m.rlike(allow)), F.regexp_replace(text, pattern, replacement))
+               .otherwise(F.concat(pieces[0], F.array_join(tail, ""))))
+    # a literal every match must contain: texts without it skip the regex entirely
+    return F.when(F.contains(text, F.lit(hint)), out).otherwise(text) if hint else out
 
 
 def redact(text: Column, patterns: Sequence[tuple[str, str, str]] = tuple(DEFAULT_PATTERNS),
@@ -316,12 +323,17 @@ def keep_existing_targets(edges: DataFrame, nodes: DataFrame, node_col: str) ->
 def keyword_array(text: Column, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> Column:
     """Distinct keywords: lower-cased word tokens fully matching
     ``[a-z][a-z0-9_-]{2,}``, longer than 3, not stop words."""
-    toks = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_-]+"), 0)
-    good = F.filter(toks, lambda t: t.rlike(r"^[a-z][a-z0-9_-]{2,}$") & (F.length(t) > 3))
+    # One regex pass: a maximal run of word characters ([\p{L}\p{N}_-]) that is
+    # entirely [a-z][a-z0-9_-] and at least 4 long -- the look-arounds pin the
+    # match to the run's boundaries, so no per-token filter is needed.
+    good = F.regexp_extract_all(F.lower(text), F.lit(KEYWORD_RUN), 0)
     stop = F.array(*[F.lit(s) for s in stop_words])
     return F.array_except(F.array_distinct(good), stop)
 
 
+KEYWORD_RUN = r"(?<![\p{L}\p{N}_-])[a-z][a-z0-9_-]{3,}(?![\p{L}\p{N}_-])"
+
+
 def keywords(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col), F.explode(keyword_array(F.col(text_col))).alias("keyword"))
 
