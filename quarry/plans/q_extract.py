@@ -77,7 +77,7 @@ def q_unpivot(spark, sf):
 
 
 @query("json_doc_join", """
-SELECT o.o_orderkey, o.o_totalprice, l.l_linenumber, l.l_quantity
+SELECT o.o_orderkey, o.o_totalprice, CAST(l.l_linenumber AS DOUBLE) AS l_linenumber, l.l_quantity
 FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey
 """)
 def q_json_doc_join(spark, sf):
@@ -92,7 +92,8 @@ def q_json_doc_join(spark, sf):
     docs = docs.persist(_KEEP)
     out = E.doc_join(docs, {"path": "$.order[*]", "key": "o_orderkey"}, {"path": "$.lines[*]", "key": "l_orderkey"},
                      "left")
-    return out.select("o_orderkey", "o_totalprice", "l_linenumber", "l_quantity")
+    return out.select("o_orderkey", "o_totalprice", F.col("l_linenumber").cast("double").alias("l_linenumber"),
+                      "l_quantity")
 
 
 @query("context_priority", r"""

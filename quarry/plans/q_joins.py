@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import joins as J
-from quarry.plans.registry import query, table
+from quarry.plans.registry import nullable_ints_as_double, query, table
 
 
 def _orders_customers(spark, sf):
@@ -37,7 +37,8 @@ query("join_full", _JOIN_SQL.format(how="FULL", key="coalesce(o.o_custkey, c.c_c
 
 
 @query("join_subset_suffix", """
-SELECT s.s_suppkey, s.s_name, s.s_nationkey, s.n_name, n.n_nationkey, n.n_name AS n_name_joined, n.n_regionkey
+SELECT s.s_suppkey, s.s_name, s.s_nationkey, s.n_name, CAST(n.n_nationkey AS DOUBLE) AS n_nationkey,
+       n.n_name AS n_name_joined, CAST(n.n_regionkey AS DOUBLE) AS n_regionkey
 FROM (SELECT s_suppkey, s_name, s_nationkey, 'S-' || s_name AS n_name FROM supplier) s
 LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON s.s_nationkey = n.n_nationkey
 """)
@@ -45,7 +46,8 @@ def q_join_subset_suffix(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey",
                                             F.concat(F.lit("S-"), F.col("s_name")).alias("n_name"))
     n = table(spark, sf, "nation").filter(F.col("n_nationkey") < 20)
-    return J.join_with_subset(s, n, "s_nationkey", "n_nationkey", "left", columns=["n_name", "n_regionkey"])
+    out = J.join_with_subset(s, n, "s_nationkey", "n_nationkey", "left", columns=["n_name", "n_regionkey"])
+    return nullable_ints_as_double(out, "n_nationkey", "n_regionkey")
 
 
 @query("semi_join", """
@@ -99,10 +101,10 @@ def q_double_lookup(spark, sf):
 
 
 @query("union_diagonal", """
-SELECT c_custkey AS key, c_name AS name, c_acctbal AS acctbal, c_mktsegment AS segment, NULL::BIGINT AS supplier_nation
+SELECT c_custkey AS key, c_name AS name, c_acctbal AS acctbal, c_mktsegment AS segment, NULL::DOUBLE AS supplier_nation
 FROM customer
 UNION ALL
-SELECT s_suppkey, s_name, s_acctbal, NULL, s_nationkey FROM supplier
+SELECT s_suppkey, s_name, s_acctbal, NULL, CAST(s_nationkey AS DOUBLE) FROM supplier
 """)
 def q_union_diagonal(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"),
@@ -110,17 +112,19 @@ def q_union_diagonal(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"),
                                             F.col("s_acctbal").alias("acctbal"),
                                             F.col("s_nationkey").cast("bigint").alias("supplier_nation"))
-    return J.union_diagonal([c, s])
+    return nullable_ints_as_double(J.union_diagonal([c, s]), "supplier_nation")
 
 
 @query("combine_tagged", """
-SELECT n_nationkey, n_name, n_regionkey, NULL::INTEGER AS r_regionkey, NULL AS r_name, 'nation' AS __table_id__
+SELECT CAST(n_nationkey AS DOUBLE) AS n_nationkey, n_name, CAST(n_regionkey AS DOUBLE) AS n_regionkey,
+       NULL::DOUBLE AS r_regionkey, NULL AS r_name, 'nation' AS __table_id__
 FROM nation
 UNION ALL
-SELECT NULL, NULL, NULL, r_regionkey, r_name, 'region' FROM region
+SELECT NULL, NULL, NULL, CAST(r_regionkey AS DOUBLE), r_name, 'region' FROM region
 """)
 def q_combine_tagged(spark, sf):
-    return J.combine_tagged({"nation": table(spark, sf, "nation"), "region": table(spark, sf, "region")})
+    out = J.combine_tagged({"nation": table(spark, sf, "nation"), "region": table(spark, sf, "region")})
+    return nullable_ints_as_double(out, "n_nationkey", "n_regionkey", "r_regionkey")
 
 
 @query("concat_rows", """
@@ -135,10 +139,12 @@ def q_concat_rows(spark, sf):
 @query("concat_columns", """
 WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS pos FROM nation),
      r AS (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS pos FROM region)
-SELECT n.n_nationkey, n.n_name, n.n_regionkey, r.r_regionkey, r.r_name FROM n FULL JOIN r ON n.pos = r.pos
+SELECT n.n_nationkey, n.n_name, n.n_regionkey, CAST(r.r_regionkey AS DOUBLE) AS r_regionkey, r.r_name
+FROM n FULL JOIN r ON n.pos = r.pos
 """)
 def q_concat_columns(spark, sf):
-    return J.concat_columns(table(spark, sf, "nation"), table(spark, sf, "region"), ["n_nationkey"], ["r_regionkey"])
+    out = J.concat_columns(table(spark, sf, "nation"), table(spark, sf, "region"), ["n_nationkey"], ["r_regionkey"])
+    return nullable_ints_as_double(out, "r_regionkey")
 
 
 @query("dedup_keep_first", """

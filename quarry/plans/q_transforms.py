@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quarry.operators import transforms as X
-from quarry.plans.registry import query, rounded, table
+from quarry.plans.registry import nullable_ints_as_double, query, rounded, table
 
 
 @query("rename_columns", """
@@ -148,12 +148,14 @@ def q_derive_regex(spark, sf):
 
 @query("derive_lookup", """
 SELECT o_orderkey, o_orderpriority,
-       CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 END AS prio_rank
+       CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 END AS DOUBLE)
+       AS prio_rank
 FROM orders
 """)
 def q_derive_lookup(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    return X.derive_lookup(o, "o_orderpriority", {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3}, "prio_rank")
+    out = X.derive_lookup(o, "o_orderpriority", {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3}, "prio_rank")
+    return nullable_ints_as_double(out, "prio_rank")
 
 
 @query("alias_resolve", """

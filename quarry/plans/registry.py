@@ -47,6 +47,14 @@ def load_all() -> None:
     )
 
 
+def nullable_ints_as_double(df: DataFrame, *cols: str) -> DataFrame:
+    """Integer columns that can be null are compared as doubles on both sides
+    (pandas has no common nullable-integer form for the two engines)."""
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.col(c).cast("double") for c in cols})
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (oracle hygiene: summation order differs between engines)."""
     from pyspark.sql import functions as F
