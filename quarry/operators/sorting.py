@@ -61,7 +61,8 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], score_col: str, k:
     """Top k per group.  A filtered ``row_number`` is planned with a per-partition
     group limit (WindowGroupLimit) so each mapper only forwards k rows per group."""
     w = Window.partitionBy(*group_cols).orderBy(F.col(score_col).desc(), *[F.col(c) for c in tie_cols])
-    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
+    return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k) \
+        .withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
 
 def running_sum(df: DataFrame, partition_cols: Sequence[str], order_cols: Sequence[str], value_col: str,

@@ -240,7 +240,7 @@ def document_meta(df: DataFrame, id_col: str, text_col: str, path_col: str | Non
     text = F.col(text_col)
     heading = F.regexp_extract(text, r"(?m)(?d)^#\s+(.+)$", 1)
     cols = [F.col(id_col), F.substring(F.sha2(text, 256), 1, 16).alias("content_hash"),
-            F.length(text).alias("n_chars")]
+            F.length(text).cast("bigint").alias("n_chars")]
     if path_col:
         p = F.col(path_col)
         stem = F.regexp_extract(p, r"([^/\\]+?)(\.[^./\\]*)?$", 1)

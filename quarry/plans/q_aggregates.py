@@ -204,7 +204,7 @@ def q_pattern_ratio(spark, sf):
 
 @query("coverage", """
 WITH r AS (SELECT DISTINCT n_nationkey AS k FROM nation),
-     m AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey % 3 <> 0),
+     m AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9900),
      j AS (SELECT r.k, m.k AS mk FROM r LEFT JOIN m ON r.k = m.k)
 SELECT count(*) AS required, count(mk) AS mapped,
        coalesce(string_agg(CASE WHEN mk IS NULL THEN CAST(k AS VARCHAR) END, ',' ORDER BY CAST(k AS VARCHAR)), '') AS missing,
@@ -215,5 +215,5 @@ FROM j
 """)
 def q_coverage(spark, sf):
     req = table(spark, sf, "nation").select(F.col("n_nationkey").alias("k"))
-    mapped = table(spark, sf, "customer").filter(F.col("c_nationkey") % 3 != 0).select(F.col("c_nationkey").alias("k"))
+    mapped = table(spark, sf, "customer").filter(F.col("c_acctbal") > 9900).select(F.col("c_nationkey").alias("k"))
     return A.coverage(req, mapped, "k")

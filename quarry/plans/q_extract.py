@@ -50,7 +50,7 @@ def q_json_array_of_objects(spark, sf):
 
 
 @query("json_repeat_over", """
-SELECT l_orderkey AS o_orderkey, l_quantity, l_extendedprice, l_linenumber FROM lineitem
+SELECT l_orderkey AS o_orderkey, l_quantity, l_extendedprice, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem
 """)
 def q_json_repeat_over(spark, sf):
     li = table(spark, sf, "lineitem")

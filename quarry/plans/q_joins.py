@@ -9,16 +9,19 @@ from quarry.plans.registry import nullable_ints_as_double, query, table
 
 
 def _orders_customers(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    # keep only customers with an even key so that every join type differs
-    c = (table(spark, sf, "customer").filter(F.col("c_custkey") % 2 == 0)
+    # large orders only: some customers have none of them (right / full joins differ)
+    o = table(spark, sf, "orders").filter(F.col("o_totalprice") > 300000).select("o_orderkey", "o_custkey",
+                                                                                 "o_totalprice")
+    # customers in credit only (a data attribute), so that every join type differs
+    c = (table(spark, sf, "customer").filter(F.col("c_acctbal") >= 0)
          .select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal"))
     return o, c
 
 
 _JOIN_SQL = """
 SELECT o.o_orderkey, {key} AS o_custkey, o.o_totalprice, c.c_name, c.c_acctbal
-FROM orders o {how} JOIN (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 0) c
+FROM (SELECT * FROM orders WHERE o_totalprice > 300000) o
+{how} JOIN (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0) c
   ON o.o_custkey = c.c_custkey
 """
 
