@@ -19,24 +19,27 @@ def _orders_customers(spark, sf):
 
 
 _JOIN_SQL = """
-SELECT o.o_orderkey, {key} AS o_custkey, o.o_totalprice, c.c_name, c.c_acctbal
+SELECT {okey} AS o_orderkey, {key} AS o_custkey, o.o_totalprice, c.c_name, c.c_acctbal
 FROM (SELECT * FROM orders WHERE o_totalprice > 300000) o
 {how} JOIN (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0) c
   ON o.o_custkey = c.c_custkey
 """
+_NULLABLE_KEY = "CAST(o.o_orderkey AS DOUBLE)"
 
 
-def _join_query(how, key):
+def _join_query(how, nullable_order_key):
     def q(spark, sf):
         o, c = _orders_customers(spark, sf)
-        return J.output_join(o, c, ["o_custkey"], how)
+        out = J.output_join(o, c, ["o_custkey"], how)
+        return nullable_ints_as_double(out, "o_orderkey") if nullable_order_key else out
     return q
 
 
-query("join_inner", _JOIN_SQL.format(how="INNER", key="o.o_custkey"))(_join_query("inner", None))
-query("join_left", _JOIN_SQL.format(how="LEFT", key="o.o_custkey"))(_join_query("left", None))
-query("join_right", _JOIN_SQL.format(how="RIGHT", key="c.c_custkey"))(_join_query("right", None))
-query("join_full", _JOIN_SQL.format(how="FULL", key="coalesce(o.o_custkey, c.c_custkey)"))(_join_query("outer", None))
+query("join_inner", _JOIN_SQL.format(how="INNER", key="o.o_custkey", okey="o.o_orderkey"))(_join_query("inner", False))
+query("join_left", _JOIN_SQL.format(how="LEFT", key="o.o_custkey", okey="o.o_orderkey"))(_join_query("left", False))
+query("join_right", _JOIN_SQL.format(how="RIGHT", key="c.c_custkey", okey=_NULLABLE_KEY))(_join_query("right", True))
+query("join_full", _JOIN_SQL.format(how="FULL", key="coalesce(o.o_custkey, c.c_custkey)",
+                                    okey=_NULLABLE_KEY))(_join_query("outer", True))
 
 
 @query("join_subset_suffix", """
