@@ -71,9 +71,10 @@ def chunk_summary(spark: SparkSession, output_dir: str) -> DataFrame:
 
 def folder_sync(spark: SparkSession, docs_dir: str, snapshot_dir: str, checkpoint_dir: str,
                 id_col: str = "doc_id", text_col: str = "text", schema: str | None = None,
-                fmt: str = "json", available_now: bool = True) -> StreamingQuery:
+                fmt: str = "json", available_now: bool = True, snapshot_buckets: int = 256) -> StreamingQuery:
     """STR-02: stream new document files, keep the newest version per id within a
-    batch, compute the content hash and merge into the snapshot (hash upsert)."""
+    batch (debounce), compute the content hash and merge into the snapshot
+    (hash upsert).  ``action`` records the last change applied to each row."""
     from quarry.operators.text import hash_upsert
 
     rd = spark.readStream.format(fmt)
@@ -87,18 +88,28 @@ def folder_sync(spark: SparkSession, docs_dir: str, snapshot_dir: str, checkpoin
                                                       "__mtime").alias("r"))
                   .select(id_col, "r.*").drop("__mtime")
                   .withColumn("content_hash", F.substring(F.sha2(F.col(text_col), 256), 1, 16))
-                  .withColumn("archived_at", F.lit(None).cast("timestamp")))
+                  .withColumn("archived_at", F.lit(None).cast("timestamp"))
+                  .withColumn("bucket", F.pmod(F.xxhash64(F.col(id_col)), F.lit(snapshot_buckets)).cast("int")))
+        # the snapshot is partitioned by a hash bucket of the id: only the buckets
+        # this batch touches are read (partition pruning) and rewritten
+        touched = [r[0] for r in newest.select("bucket").distinct().collect()]  # at most snapshot_buckets
         try:
-            old = s.read.parquet(snapshot_dir)
-        except Exception:  # noqa: BLE001 - first batch: empty snapshot
-            old = newest.limit(0)
-        merged = hash_upsert(old, newest, id_col)
-        kept_old = old.join(newest.select(id_col), id_col, "left_anti")
-        result = newest.join(merged.select(id_col, "action"), id_col).unionByName(
-            kept_old.withColumn("action", F.lit("kept")), allowMissingColumns=True)
-        # write the new snapshot next to the old one, then swap by batch id
-        result.write.mode("overwrite").parquet(f"{snapshot_dir}_v{batch_id}")
-        s.read.parquet(f"{snapshot_dir}_v{batch_id}").write.mode("overwrite").parquet(snapshot_dir)
+            old = s.read.parquet(snapshot_dir).filter(F.col("bucket").isin(touched)).drop("action")
+        except Exception:  # noqa: BLE001 - first batch: no snapshot yet
+            old = None
+        if old is None:
+            result = newest.withColumn("action", F.lit("inserted"))
+        else:
+            acts = hash_upsert(old.select(id_col, "content_hash", "archived_at"),
+                               newest.select(id_col, "content_hash"), id_col).select(id_col, "action")
+            kept_old = s.read.parquet(snapshot_dir).filter(F.col("bucket").isin(touched)) \
+                .join(newest.select(id_col), id_col, "left_anti")
+            result = newest.join(acts, id_col).unionByName(kept_old, allowMissingColumns=True)
+        # stage the rewritten buckets, then replace exactly those partitions
+        staging = f"{snapshot_dir}_staging/batch={batch_id}"
+        result.write.mode("overwrite").partitionBy("bucket").parquet(staging)
+        s.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+            .partitionBy("bucket").parquet(snapshot_dir)
 
     w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="500 milliseconds")

@@ -60,4 +60,5 @@ def test_folder_sync_stream(spark, tmpdir_path):
         f.write(json.dumps({"doc_id": 2, "text": "two v2"}) + "\n" + json.dumps({"doc_id": 3, "text": "three"}) + "\n")
     folder_sync(spark, src, snap, ck, schema=schema).awaitTermination(120)
     second = {r["doc_id"]: (r["action"], r["text"]) for r in spark.read.parquet(snap).collect()}
-    assert second == {1: ("kept", "one"), 2: ("updated", "two v2"), 3: ("inserted", "three")}
+    assert second == {1: ("inserted", "one"), 2: ("updated", "two v2"), 3: ("inserted", "three")}
+    assert spark.read.parquet(snap).count() == 3
