@@ -81,3 +81,74 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[
         # same interpolation expression as Spark's percentile (bit-identical results)
         out.append(cache[k0] if k0 == k1 else (k1 - h) * cache[k0] + (h - k0) * cache[k1])
     return out
+
+
+def group_quantiles(df: DataFrame, group_cols: Sequence[str], column: str, probs: Sequence[float],
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles per group with bounded memory.
+
+    The refinement state is a small table with one row per (group, needed
+    rank): value range [lo, hi] and the count of values below it.  Each pass
+    joins the data with the open targets, builds a histogram per target (map-side
+    combined), and a window over one target's <= BUCKETS histogram rows picks the
+    bucket holding the rank.  Targets whose range holds <= FINAL_ROWS values are
+    finished by a window over just those values; a single-valued range needs no
+    sort at all.  Output: group columns + one column per probability."""
+    from pyspark.sql import Window
+
+    from quarry.operators.joins import size_checked_broadcast
+    from quarry.session import ensure_checkpoint_dir
+
+    names = list(names) if names else [f"q{i}" for i in range(len(probs))]
+    g = list(group_cols) or ["__g"]
+    base = df.select(*[F.col(c) for c in group_cols], F.col(column).cast("double").alias("__x")) \
+        .filter(F.col("__x").isNotNull())
+    if not group_cols:
+        base = base.withColumn("__g", F.lit(1))
+    ensure_checkpoint_dir(df.sparkSession)
+    stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("__n"), F.min("__x").alias("__lo"),
+                                 F.max("__x").alias("__hi"))
+    ranks = []
+    for p in probs:
+        h = F.lit(float(p)) * (F.col("__n") - 1)
+        ranks += [F.floor(h).cast("long"), F.ceil(h).cast("long")]
+    state = (stats.select(*g, "__n", "__lo", "__hi", F.explode(F.array_distinct(F.array(*ranks))).alias("__r"))
+             .select(*g, "__r", "__lo", "__hi", F.lit(0).cast("long").alias("__below"),
+                     F.col("__n").alias("__cnt"))).checkpoint(eager=True)
+    keys = g + ["__r"]
+    for _ in range(MAX_PASSES):
+        is_open = (F.col("__cnt") > FINAL_ROWS) & (F.col("__lo") < F.col("__hi"))
+        open_t = state.filter(is_open)
+        if open_t.limit(1).count() == 0:
+            break
+        j = base.join(size_checked_broadcast(open_t.select(*keys, "__lo", "__hi", "__below")), g) \
+            .filter(F.col("__x").between(F.col("__lo"), F.col("__hi")))
+        w = (F.col("__hi") - F.col("__lo")) / F.lit(BUCKETS)
+        b = F.least(F.floor((F.col("__x") - F.col("__lo")) / w), F.lit(BUCKETS - 1)).cast("int")
+        hist = j.groupBy(*keys, "__below", b.alias("__b")).agg(
+            F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__mn"), F.max("__x").alias("__mx"))
+        cw = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        acc = F.col("__below") + F.sum("__c").over(cw) - F.col("__c")
+        picked = (hist.withColumn("__acc", acc)
+                  .filter((F.col("__acc") <= F.col("__r")) & (F.col("__r") < F.col("__acc") + F.col("__c")))
+                  .select(*keys, F.col("__mn").alias("__lo"), F.col("__mx").alias("__hi"),
+                          F.col("__acc").alias("__below"), F.col("__c").alias("__cnt")))
+        state = state.filter(~is_open).unionByName(picked).checkpoint(eager=True)
+    single = state.filter(F.col("__lo") == F.col("__hi")).select(*keys, F.col("__lo").alias("__v"))
+    rest = state.filter(F.col("__lo") < F.col("__hi"))
+    j = base.join(size_checked_broadcast(rest.select(*keys, "__lo", "__hi", "__below")), g) \
+        .filter(F.col("__x").between(F.col("__lo"), F.col("__hi")))
+    ow = Window.partitionBy(*keys).orderBy("__x")  # one target's final range only
+    found = (j.withColumn("__k", F.row_number().over(ow) - 1 + F.col("__below"))
+             .filter(F.col("__k") == F.col("__r")).select(*keys, F.col("__x").alias("__v")))
+    vals = single.unionByName(found).groupBy(*g).agg(
+        F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("__m"))  # <= 2 entries per probability
+    out = stats.select(*g, "__n").join(vals, g)
+    cols = []
+    for p, name in zip(probs, names):
+        h = F.lit(float(p)) * (F.col("__n") - 1)
+        k0, k1 = F.floor(h).cast("long"), F.ceil(h).cast("long")
+        v0, v1 = F.element_at("__m", k0), F.element_at("__m", k1)
+        cols.append(F.when(k0 == k1, v0).otherwise((k1 - h) * v0 + (h - k0) * v1).alias(name))
+    res = out.select(*g, *cols)
+    return res if group_cols else res.drop("__g")

@@ -241,10 +241,19 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), whisker: float
     base = df.select(*[F.col(c) for c in by], x.alias("__x")).filter(F.col("__x").isNotNull())
     if not by:
         base = base.withColumn("__g", F.lit(1))
-    q = base.groupBy(*g).agg(quantile_expr("__x", [0.25, 0.5, 0.75], method).alias("__q"),
-                             F.min("__x").alias("min"), F.max("__x").alias("max"), F.count(F.lit(1)).alias("n"))
-    q = q.select(*g, "min", "max", "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                 F.col("__q")[2].alias("q3"))
+    if method == "exact":
+        # bounded-memory exact quantiles per group (histogram refinement)
+        from quarry.functions.exact_quantile import group_quantiles
+
+        qs = group_quantiles(base, g, "__x", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+        q = base.groupBy(*g).agg(F.min("__x").alias("min"), F.max("__x").alias("max"),
+                                 F.count(F.lit(1)).alias("n")).join(qs, g)
+    else:
+        q = base.groupBy(*g).agg(quantile_expr("__x", [0.25, 0.5, 0.75], method).alias("__q"),
+                                 F.min("__x").alias("min"), F.max("__x").alias("max"),
+                                 F.count(F.lit(1)).alias("n"))
+        q = q.select(*g, "min", "max", "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
+                     F.col("__q")[2].alias("q3"))
     q = q.withColumn("__lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
          .withColumn("__hi", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
     inside = F.col("__x").between(F.col("__lo"), F.col("__hi"))
@@ -324,12 +333,16 @@ def coverage(required: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
 # OPT-05 ---------------------------------------------------------------------------
 def metric_aggregations(df: DataFrame, by: Sequence[str], metrics: Mapping[str, Sequence[str]],
                         method: str = "exact") -> DataFrame:
-    """``{column: [mean, median, std, 3sigma, min, max, count]}`` per group."""
-    exprs = []
+    """``{column: [mean, median, std, 3sigma, min, max, count]}`` per group.
+    Medians with ``method='exact'`` use the bounded per-group refinement and are
+    joined back on the group key."""
+    exprs, medians = [], []
     for c, fns in metrics.items():
         x = F.col(c).cast("double")
         for fn in fns:
-            if fn == "median":
+            if fn == "median" and method == "exact":
+                medians.append(c)
+            elif fn == "median":
                 exprs.append(quantile_expr(x, [0.5], method)[0].alias(f"{c}_median"))
             elif fn == "3sigma":
                 exprs.append((F.lit(3.0) * F.stddev_samp(x)).alias(f"{c}_3sigma"))
@@ -339,4 +352,12 @@ def metric_aggregations(df: DataFrame, by: Sequence[str], metrics: Mapping[str,
                 exprs.append(F.stddev_samp(x).alias(f"{c}_std"))
             elif fn in ("min", "max", "count"):
                 exprs.append(getattr(F, fn)(x).alias(f"{c}_{fn}"))
-    return df.groupBy(*by).agg(*exprs)
+    out = df.groupBy(*by).agg(*exprs) if exprs else df.select(*by).distinct()
+    if medians:
+        from quarry.functions.exact_quantile import group_quantiles
+
+        for c in medians:
+            out = out.join(group_quantiles(df, list(by), c, [0.5], [f"{c}_median"]), list(by), "left") if by \
+                else out.withColumn("__k", F.lit(1)).join(
+                    group_quantiles(df, [], c, [0.5], [f"{c}_median"]).withColumn("__k", F.lit(1)), "__k").drop("__k")
+    return out

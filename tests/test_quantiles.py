@@ -30,3 +30,23 @@ def test_refinement_matches_sorted_reference(spark, monkeypatch):
 def test_empty_and_constant(spark):
     assert quantiles(spark.createDataFrame([], "x double"), "x", [0.5]) == [None]
     assert quantiles(spark.createDataFrame([(2.0,)] * 10, "x double"), "x", [0.1, 0.9]) == [2.0, 2.0]
+
+
+def test_group_quantiles_match_percentile(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(EQ, "FINAL_ROWS", 40)
+    monkeypatch.setattr(EQ, "BUCKETS", 8)
+    rnd = random.Random(3)
+    rows = [("hot", rnd.gauss(0, 1)) for _ in range(2000)] + [("hot", 1.5)] * 500 + \
+        [("small", float(i)) for i in range(7)] + [("const", 2.0)] * 100
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.25, 0.5, 0.75]
+    got = {r["g"]: (r["q0"], r["q1"], r["q2"]) for r in EQ.group_quantiles(df, ["g"], "x", probs).collect()}
+    want = {r["g"]: tuple(r["q"]) for r in df.groupBy("g").agg(
+        F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-12, abs=1e-12)
+    whole = EQ.group_quantiles(df, [], "x", [0.5]).first()[0]
+    assert whole == pytest.approx(df.select(F.percentile("x", 0.5)).first()[0])
