@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
-FINAL_ROWS = 200_000
+FINAL_ROWS = 1_000_000
 MAX_PASSES = 12
 
 
@@ -64,8 +64,10 @@ def _value_at_rank(x: DataFrame, rank: int) -> float:
     return float(vals[0][0])
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
-    """Linear-interpolation quantiles (same definition as ``percentile``)."""
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
+                    interpolation: str = "linear") -> list[float | None]:
+    """Linear-interpolation quantiles (same definition as ``percentile``), or
+    ``nearest``: the value at rank ``round(p*(n-1))`` (half away from zero)."""
     x = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
     n = x.count()
     if n == 0:
@@ -74,6 +76,12 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[
     cache: dict[int, float] = {}
     for p in probs:
         h = p * (n - 1)
+        if interpolation == "nearest":
+            k = int(math.floor(h + 0.5))
+            if k not in cache:
+                cache[k] = _value_at_rank(x, k)
+            out.append(cache[k])
+            continue
         k0, k1 = math.floor(h), math.ceil(h)
         for k in (k0, k1):
             if k not in cache:
@@ -84,7 +92,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[
 
 
 def group_quantiles(df: DataFrame, group_cols: Sequence[str], column: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, with_stats: bool = False) -> DataFrame:
     """Exact linear-interpolation quantiles per group with bounded memory.
 
     The refinement state is a small table with one row per (group, needed
@@ -114,7 +122,11 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], column: str, probs
         ranks += [F.floor(h).cast("long"), F.ceil(h).cast("long")]
     state = (stats.select(*g, "__n", "__lo", "__hi", F.explode(F.array_distinct(F.array(*ranks))).alias("__r"))
              .select(*g, "__r", "__lo", "__hi", F.lit(0).cast("long").alias("__below"),
-                     F.col("__n").alias("__cnt"))).checkpoint(eager=True)
+                     F.col("__n").alias("__cnt"), "__n", F.col("__lo").alias("__min"), F.col("__hi").alias("__max"))
+             ).checkpoint(eager=True)
+    # group size / min / max travel with the (checkpointed) state: no second scan
+    gstats = state.groupBy(*g).agg(F.first("__n").alias("__n"), F.first("__min").alias("min"),
+                                   F.first("__max").alias("max"))
     keys = g + ["__r"]
     for _ in range(MAX_PASSES):
         is_open = (F.col("__cnt") > FINAL_ROWS) & (F.col("__lo") < F.col("__hi"))
@@ -133,7 +145,8 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], column: str, probs
                   .filter((F.col("__acc") <= F.col("__r")) & (F.col("__r") < F.col("__acc") + F.col("__c")))
                   .select(*keys, F.col("__mn").alias("__lo"), F.col("__mx").alias("__hi"),
                           F.col("__acc").alias("__below"), F.col("__c").alias("__cnt")))
-        state = state.filter(~is_open).unionByName(picked).checkpoint(eager=True)
+        state = state.filter(~is_open).select(*keys, "__lo", "__hi", "__below", "__cnt") \
+            .unionByName(picked).checkpoint(eager=True)
     single = state.filter(F.col("__lo") == F.col("__hi")).select(*keys, F.col("__lo").alias("__v"))
     rest = state.filter(F.col("__lo") < F.col("__hi"))
     j = base.join(size_checked_broadcast(rest.select(*keys, "__lo", "__hi", "__below")), g) \
@@ -143,12 +156,13 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], column: str, probs
              .filter(F.col("__k") == F.col("__r")).select(*keys, F.col("__x").alias("__v")))
     vals = single.unionByName(found).groupBy(*g).agg(
         F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("__m"))  # <= 2 entries per probability
-    out = stats.select(*g, "__n").join(vals, g)
+    out = gstats.join(vals, g)
     cols = []
     for p, name in zip(probs, names):
         h = F.lit(float(p)) * (F.col("__n") - 1)
         k0, k1 = F.floor(h).cast("long"), F.ceil(h).cast("long")
         v0, v1 = F.element_at("__m", k0), F.element_at("__m", k1)
         cols.append(F.when(k0 == k1, v0).otherwise((k1 - h) * v0 + (h - k0) * v1).alias(name))
-    res = out.select(*g, *cols)
+    extra = [F.col("__n").alias("n"), "min", "max"] if with_stats else []
+    res = out.select(*g, *extra, *cols)
     return res if group_cols else res.drop("__g")

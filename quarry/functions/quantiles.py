@@ -6,8 +6,9 @@ value -> count map, so memory grows with the number of *distinct* values of a
 group; that is fine for measured/rounded data but not for a continuous column
 of billions of distinct doubles.  ``method='approx'`` uses
 ``approx_percentile`` (a bounded sketch, rank error <= 1/accuracy) and is the
-choice for such columns at cluster scale.  ``method='nearest'`` picks an
-existing value (``percentile_disc``-style, Polars' default).
+choice for such columns at cluster scale.  For global quantiles
+``quantiles(method='nearest')`` picks the existing value at rank
+``round(p*(n-1))`` (Polars' default interpolation).
 """
 
 from __future__ import annotations
@@ -28,9 +29,7 @@ def quantile_expr(c: Column | str, probs: Sequence[float], method: str = "exact"
         return F.percentile(x, arr)
     if method == "approx":
         return F.percentile_approx(x, arr, APPROX_ACCURACY)
-    if method == "nearest":
-        return F.expr(f"array({', '.join(f'percentile_disc({float(p)}) WITHIN GROUP (ORDER BY CAST(`__qx` AS DOUBLE))' for p in probs)})")
-    raise ValueError(f"unknown quantile method {method}")
+    raise ValueError(f"unknown quantile method {method} for an aggregate expression")
 
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float], method: str = "exact") -> list[float | None]:
@@ -40,10 +39,10 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float], method: str =
     bounded memory (see ``exact_quantile``); ``percentile`` is Spark's single
     aggregate (same values, memory grows with distinct values); ``approx`` and
     ``nearest`` as in ``quantile_expr``."""
-    if method == "exact":
+    if method in ("exact", "nearest"):
         from quarry.functions.exact_quantile import exact_quantiles
 
-        return exact_quantiles(df, column, probs)
+        return exact_quantiles(df, column, probs, "linear" if method == "exact" else "nearest")
     if method == "percentile":
         method = "exact"
     src = df.select(F.col(column).alias("__qx")).filter(F.col("__qx").isNotNull())

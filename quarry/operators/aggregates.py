@@ -245,9 +245,7 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), whisker: float
         # bounded-memory exact quantiles per group (histogram refinement)
         from quarry.functions.exact_quantile import group_quantiles
 
-        qs = group_quantiles(base, g, "__x", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-        q = base.groupBy(*g).agg(F.min("__x").alias("min"), F.max("__x").alias("max"),
-                                 F.count(F.lit(1)).alias("n")).join(qs, g)
+        q = group_quantiles(base, g, "__x", [0.25, 0.5, 0.75], ["q1", "median", "q3"], with_stats=True)
     else:
         q = base.groupBy(*g).agg(quantile_expr("__x", [0.25, 0.5, 0.75], method).alias("__q"),
                                  F.min("__x").alias("min"), F.max("__x").alias("max"),

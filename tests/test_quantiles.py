@@ -50,3 +50,10 @@ def test_group_quantiles_match_percentile(spark, monkeypatch):
         assert got[k] == pytest.approx(want[k], rel=1e-12, abs=1e-12)
     whole = EQ.group_quantiles(df, [], "x", [0.5]).first()[0]
     assert whole == pytest.approx(df.select(F.percentile("x", 0.5)).first()[0])
+
+
+def test_nearest_interpolation(spark):
+    vals = [float(v) for v in (1, 2, 3, 4, 5, 6, 7, 8, 9, 100)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    # n = 10: rank round(0.25 * 9) = round(2.25) = 2 -> 3.0; round(0.75 * 9) = round(6.75) = 7 -> 8.0
+    assert quantiles(df, "x", [0.25, 0.75], method="nearest") == [3.0, 8.0]
