@@ -27,10 +27,11 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("l_quantity"), F.lit("l_extendedprice"), F.lit("l_discount")).alias("columns"),
         F.array(F.array("l_quantity", "l_extendedprice", "l_discount")).alias("values")).alias("measure"))
     lines = li.groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    # the struct becomes a VARIANT document directly (no JSON text round trip)
     docs = o.join(lines, o.o_orderkey == lines.l_orderkey, "inner").select(
         F.col("o_orderkey").cast("string").alias("file_path"),
-        F.try_parse_json(F.to_json(F.struct(
-            F.struct("o_orderkey", "o_orderstatus", "o_orderpriority").alias("meta"), "lines"))).alias("doc"))
+        F.to_variant_object(F.struct(
+            F.struct("o_orderkey", "o_orderstatus", "o_orderpriority").alias("meta"), "lines")).alias("doc"))
     return docs
 
 
