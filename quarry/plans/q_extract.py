@@ -57,9 +57,9 @@ def q_json_repeat_over(spark, sf):
     line = F.struct("l_linenumber", F.struct(
         F.array(F.lit("l_quantity"), F.lit("l_extendedprice")).alias("columns"),
         F.array(F.array("l_quantity", "l_extendedprice")).alias("values")).alias("measure"))
+    # one VARIANT document per order, built straight from the struct
     docs = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.to_json(F.struct(F.collect_list(line).alias("lines"))).alias("t")) \
-        .select("o_orderkey", F.try_parse_json("t").alias("doc")).persist(_KEEP)
+        F.to_variant_object(F.struct(F.collect_list(line).alias("lines"))).alias("doc")).persist(_KEEP)
     return E.extract_with(docs, {"strategy": "headers_data", "path": "{line}.measure",
                                  "repeat_over": {"path": "$.lines", "as": "line",
                                                  "inject_fields": {"l_linenumber": "{line}.l_linenumber"}}},
@@ -87,8 +87,8 @@ def q_json_doc_join(spark, sf):
                                          .alias("lines"))
     docs = (o.join(lines, o.o_orderkey == lines.l_orderkey, "left")
             .select(F.col("o_orderkey").alias("file_path"),
-                    F.try_parse_json(F.to_json(F.struct(F.array(F.struct("o_orderkey", "o_totalprice")).alias("order"),
-                                                        F.coalesce("lines", F.array()).alias("lines")))).alias("doc")))
+                    F.to_variant_object(F.struct(F.array(F.struct("o_orderkey", "o_totalprice")).alias("order"),
+                                                 F.coalesce("lines", F.array()).alias("lines"))).alias("doc")))
     docs = docs.persist(_KEEP)
     out = E.doc_join(docs, {"path": "$.order[*]", "key": "o_orderkey"}, {"path": "$.lines[*]", "key": "l_orderkey"},
                      "left")
