@@ -79,7 +79,9 @@ def anova(df: DataFrame, factors: Sequence[str], response: str | Sequence[str],
     tot = (cells.filter(F.size("parts") == 0)
            .select("response_column", F.col("n").alias("grand_n"), F.col("mean").alias("grand_mean"),
                    (F.col("n") * F.col("var_pop")).alias("ss_total")))
-    eff = (cells.filter(F.size("parts") > 0).join(tot, "response_column")
+    # tot / mains / resid have one row per response (x factor): sizes fixed by the
+    # configuration, not the data, so they are broadcast
+    eff = (cells.filter(F.size("parts") > 0).join(F.broadcast(tot), "response_column")
            .groupBy("response_column", "parts")
            .agg(F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand_mean"), 2)).alias("raw_ss"),
                 F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("var_pop")).alias("within")))
@@ -97,7 +99,7 @@ def anova(df: DataFrame, factors: Sequence[str], response: str | Sequence[str],
         mb = mains.select("response_column", F.col("fa").alias("__b"), F.col("ss").alias("ss_b"), F.col("k").alias("k_b"))
         inter = (eff.filter(F.size("parts") == 2)
                  .select("response_column", F.col("parts")[0].alias("__a"), F.col("parts")[1].alias("__b"), "raw_ss")
-                 .join(ma, ["response_column", "__a"]).join(mb, ["response_column", "__b"])
+                 .join(F.broadcast(ma), ["response_column", "__a"]).join(F.broadcast(mb), ["response_column", "__b"])
                  .select("response_column", F.concat_ws(":", "__a", "__b").alias("source"),
                          F.greatest(F.lit(0.0), F.col("raw_ss") - F.col("ss_a") - F.col("ss_b")).alias("ss"),
                          ((F.col("k_a") - 1) * (F.col("k_b") - 1)).cast("bigint").alias("df"),
@@ -106,7 +108,7 @@ def anova(df: DataFrame, factors: Sequence[str], response: str | Sequence[str],
     one_way = len(factors) == 1
     expl = rows.groupBy("response_column").agg(F.sum("ss").alias("ss_expl"), F.sum("df").alias("df_expl"),
                                                F.max("within").alias("within1"), F.max("k").alias("k1"))
-    resid = expl.join(tot, "response_column").select(
+    resid = expl.join(F.broadcast(tot), "response_column").select(
         "response_column", "grand_n", "ss_total",
         (F.col("within1") if one_way else F.greatest(F.lit(0.0), F.col("ss_total") - F.col("ss_expl"))).alias("ss_res"),
         ((F.col("grand_n") - F.col("k1")) if one_way else (F.col("grand_n") - F.col("df_expl") - 1)).cast("bigint").alias("df_res"))
@@ -114,7 +116,7 @@ def anova(df: DataFrame, factors: Sequence[str], response: str | Sequence[str],
     pct = lambda ss: F.when(F.col("ss_total") > 0, ss / F.col("ss_total") * 100).otherwise(F.lit(0.0))
     ms = F.when(F.col("df") > 0, F.col("ss") / F.col("df")).otherwise(F.lit(0.0))
     # p-values: F upper tail as a JVM expression (Lanczos + continued fraction), no Python worker
-    eff_out = (rows.join(resid, "response_column")
+    eff_out = (rows.join(F.broadcast(resid), "response_column")
                .withColumn("ms", ms)
                .withColumn("f", F.when(F.col("ms_res") > 0, F.col("ms") / F.col("ms_res")))
                .withColumn("p_value", f_sf_expr(F.col("f"), F.col("df"), F.col("df_res")))
