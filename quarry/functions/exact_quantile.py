@@ -148,12 +148,16 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], column: str, probs
         state = state.filter(~is_open).select(*keys, "__lo", "__hi", "__below", "__cnt") \
             .unionByName(picked).checkpoint(eager=True)
     single = state.filter(F.col("__lo") == F.col("__hi")).select(*keys, F.col("__lo").alias("__v"))
-    rest = state.filter(F.col("__lo") < F.col("__hi"))
-    j = base.join(size_checked_broadcast(rest.select(*keys, "__lo", "__hi", "__below")), g) \
-        .filter(F.col("__x").between(F.col("__lo"), F.col("__hi")))
-    ow = Window.partitionBy(*keys).orderBy("__x")  # one target's final range only
+    # targets sharing a final range (e.g. all ranks of an unrefined group) are
+    # resolved by ONE sort of that range, picking every requested rank from it
+    ranges = (state.filter(F.col("__lo") < F.col("__hi"))
+              .groupBy(*g, "__lo", "__hi", "__below").agg(F.collect_set("__r").alias("__rs")))
+    rkeys = g + ["__lo", "__hi", "__below"]
+    j = base.join(size_checked_broadcast(ranges), g).filter(F.col("__x").between(F.col("__lo"), F.col("__hi")))
+    ow = Window.partitionBy(*rkeys).orderBy("__x")  # one final range only
     found = (j.withColumn("__k", F.row_number().over(ow) - 1 + F.col("__below"))
-             .filter(F.col("__k") == F.col("__r")).select(*keys, F.col("__x").alias("__v")))
+             .filter(F.array_contains("__rs", F.col("__k")))
+             .select(*g, F.col("__k").alias("__r"), F.col("__x").alias("__v")))
     vals = single.unionByName(found).groupBy(*g).agg(
         F.map_from_entries(F.collect_list(F.struct("__r", "__v"))).alias("__m"))  # <= 2 entries per probability
     out = gstats.join(vals, g)
