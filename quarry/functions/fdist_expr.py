@@ -71,3 +71,35 @@ def f_sf_expr(f: Column, d1: Column, d2: Column) -> Column:
     return (F.when(f.isNull() | d1.isNull() | d2.isNull() | (d1 <= 0) | (d2 <= 0) | F.isnan(f), F.lit(None))
             .when(f <= 0, F.lit(1.0))
             .otherwise(betainc_reg(d2 / 2.0, d1 / 2.0, x)).cast("double"))
+
+
+# Coefficients of Acklam's rational approximation of the normal quantile.
+_A = [-3.969683028665376e+01, 2.209460984245205e+02, -2.759285104469687e+02,
+      1.383577518672690e+02, -3.066479806614716e+01, 2.506628277459239e+00]
+_B = [-5.447609879822406e+01, 1.615858368580409e+02, -1.556989798598866e+02,
+      6.680131188771972e+01, -1.328068155288572e+01]
+_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e+00,
+      -2.549732539343734e+00, 4.374664141464968e+00, 2.938163982698783e+00]
+_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e+00, 3.754408661907416e+00]
+
+
+def _poly(coeffs, x: Column) -> Column:
+    acc = F.lit(coeffs[0])
+    for c in coeffs[1:]:
+        acc = acc * x + F.lit(c)
+    return acc
+
+
+def norm_ppf_expr(p: Column) -> Column:
+    """Standard normal quantile as a JVM expression (|error| < 1.2e-9); null outside (0, 1)."""
+    p = p.cast("double")
+    lo, hi = 0.02425, 1 - 0.02425
+    q_lo = F.sqrt(-2.0 * F.log(p))
+    q_hi = F.sqrt(-2.0 * F.log(1.0 - p))
+    q = p - 0.5
+    r = q * q
+    central = _poly(_A, r) * q / (_poly(_B, r) * r + 1.0)
+    tail_lo = _poly(_C, q_lo) / (_poly(_D, q_lo) * q_lo + 1.0)
+    tail_hi = -_poly(_C, q_hi) / (_poly(_D, q_hi) * q_hi + 1.0)
+    return (F.when(p.isNull() | (p <= 0) | (p >= 1), F.lit(None).cast("double"))
+            .when(p < lo, tail_lo).when(p > hi, tail_hi).otherwise(central))

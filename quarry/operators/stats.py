@@ -215,14 +215,14 @@ def qq_points(df: DataFrame, factors: Sequence[str], response: str) -> DataFrame
     """Normal QQ points of the residuals: theoretical = Phi^-1((rank - 0.5) / n).
 
     Ranks come from the distributed row-position helper (no single-task window)."""
-    from quarry.functions.fdist import norm_ppf_udf
+    from quarry.functions.fdist_expr import norm_ppf_expr
     from quarry.operators.joins import row_position
 
     r = residuals(df, factors, response).select("residual")
     n = r.count()
     ranked = row_position(r.withColumn("__tie", F.monotonically_increasing_id()), ["residual", "__tie"], "rank")
     return ranked.select("rank", F.col("residual").alias("sample"),
-                         norm_ppf_udf((F.col("rank") - 0.5) / F.lit(n)).alias("theoretical"))
+                         norm_ppf_expr((F.col("rank") - 0.5) / F.lit(n)).alias("theoretical"))
 
 
 _ = Window
