@@ -42,6 +42,7 @@ def load_all() -> None:
         q_quality,
         q_sources,
         q_stats,
+        q_streaming,
         q_text,
         q_transforms,
     )
