@@ -18,12 +18,35 @@ from pyspark.sql import types as T
 log = logging.getLogger(__name__)
 
 BROADCAST_MAX_ROWS = 2_000_000
-
-
-def size_checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast-hint ``df`` only when it provably has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+
+
+def _row_width(dt: T.DataType) -> int:
+    """Rough bytes per value for the broadcast budget (variable-size types get a margin)."""
+    if isinstance(dt, T.StructType):
+        return sum(_row_width(f.dataType) for f in dt.fields) + 8
+    if isinstance(dt, (T.ArrayType, T.MapType)):
+        return 256
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        return 64
+    if isinstance(dt, (T.ByteType, T.BooleanType)):
+        return 1
+    if isinstance(dt, (T.ShortType,)):
+        return 2
+    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    return 8
+
+
+def size_checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                           max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast-hint ``df`` only when it provably has at most ``max_rows`` rows and
+    rows x estimated row width stays under ``max_bytes``; otherwise leave the join
+    to a shuffle (AQE may still broadcast from measured sizes)."""
+    width = max(1, _row_width(df.schema))
+    bound = min(max_rows, max_bytes // width)
+    n = df.limit(bound + 1).count()  # bounded probe: stops after bound + 1 rows
+    return F.broadcast(df) if n <= bound else df
 
 
 # JON-01 ---------------------------------------------------------------------
