@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Window
-from pyspark.sql import functions as F
-
 from quarry.operators import filters as FL
 from quarry.operators import sorting as S
 from quarry.plans.registry import query, rounded, table
@@ -180,5 +177,3 @@ def q_running_budget(spark, sf):
     return rounded(S.running_budget(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice", 500000.0)
                    .drop("o_orderdate"))
 
-
-_ = (Window, F)

@@ -303,8 +303,6 @@ def q_lineage_closure(spark, sf):
     return G.lineage(n.unionByName(c), "r1", "down")
 
 
-_ = rounded
-
 
 # JON-07 / TXT-11 ---------------------------------------------------------------------
 _KW_CTE = rf"""kw AS (SELECT DISTINCT doc_id, lang, kw AS token FROM (

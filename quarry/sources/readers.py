@@ -309,5 +309,3 @@ def list_datasets(spark: SparkSession, base: str, tool: str | None = None, limit
     cat = cat.orderBy(F.col("created_at").desc(), F.col("dataset_id"))
     return cat.limit(limit) if limit else cat
 
-
-_ = Any

@@ -1,7 +1,6 @@
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.operators import aggregates as A
 from quarry.operators import filters as FL
@@ -115,4 +114,3 @@ def test_aggregates(spark):
     assert sum(r["count"] for r in h) == 3
     cov = A.coverage(spark.createDataFrame([], "k string"), spark.createDataFrame([], "k string"), "k").first()
     assert cov["coverage_pct"] == 100.0 and cov["status"] == "green"
-    _ = F

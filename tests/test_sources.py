@@ -2,7 +2,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.sources import readers as R
 from quarry.sources import sinks as K
@@ -113,4 +112,3 @@ def test_sinks(spark, tmpdir_path):
     assert len({r["r"] for r in rid}) == 2
     K.write_tables({"t/1": df, "t2": df.select("id")}, os.path.join(tmpdir_path, "out"))
     assert spark.read.parquet(os.path.join(tmpdir_path, "out", "_combined")).count() == 4
-    _ = F

@@ -1,6 +1,5 @@
 import os
 
-from pyspark.sql import functions as F
 
 from quarry.streaming import streams as ST
 
@@ -50,4 +49,3 @@ def test_stream_extract_matches_batch(spark, tmpdir_path):
         b = batch[name].drop("file_path")
         assert sorted(map(tuple, s.select(sorted(s.columns)).collect())) == \
             sorted(map(tuple, b.select(sorted(b.columns)).collect()))
-    _ = F

@@ -1,7 +1,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.operators import search as S
 from quarry.operators import text as TX
@@ -154,4 +153,3 @@ def test_upsert_and_soft_delete(spark):
     got = {r["id"]: r["archived_at"] for r in sd.collect()}
     assert got[1] == dt.datetime(2025, 1, 1) and got[3] == dt.datetime(2024, 1, 1) and got[2] is None
     assert TX.visible(sd).count() == 1
-    _ = F
