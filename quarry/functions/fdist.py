@@ -17,6 +17,12 @@ from pyspark.sql import types as T
 _EPS = 1e-15
 _TINY = 1e-300
 
+# ship this module's UDF code with the task (executors need not have the package installed)
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+import sys as _sys  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 
 def _beta_cf(a: float, b: float, x: float) -> float:
     qab, qap, qam = a + b, a + 1.0, a - 1.0

@@ -25,6 +25,12 @@ from pyspark.sql import types as T
 EXACT, ALIAS, SUBSTRING = 1.0, 0.9, 0.85
 FUZZY_MIN = 0.5
 
+# ship this module's UDF code with the task (executors need not have the package installed)
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+import sys as _sys  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 
 def _ratios_udf(targets: Sequence[str]):
     tl = [t.lower() for t in targets]

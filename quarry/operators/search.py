@@ -21,6 +21,12 @@ from quarry.operators.text import DEFAULT_ALLOWLIST, DEFAULT_PATTERNS, redact_df
 
 MAX_QUERIES = 10_000
 RRF_K = 60
+
+# ship this module's mapInPandas code with the task (executors need not have the package)
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+import sys as _sys  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 CONTEXT_HEADER = "## Relevant Context\n\n"
 SNIPPET_CHARS = 200
 
