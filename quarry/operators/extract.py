@@ -223,10 +223,18 @@ def array_of_objects(docs: DataFrame, path: str, fields: Sequence[str] | None =
                      keep: Sequence[str] = ("file_path",)) -> DataFrame:
     """One row per array element; columns = union of keys (or ``fields``), missing -> null."""
     keep = [k for k in keep if k in docs.columns]
+    el = _object_elements(docs, path, doc_col, keep)
+    return _select_objects(el, discover_fields(el, "__o"), fields, keep)
+
+
+def _object_elements(docs: DataFrame, path: str, doc_col: str, keep: Sequence[str]) -> DataFrame:
     p = _norm_path(path)
     p = p if p.endswith("[*]") else p + "[*]"
-    el = explode_path(docs.select(*keep, F.col(doc_col)), doc_col, p, "__o", pos="__pos")
-    found = discover_fields(el, "__o")
+    return explode_path(docs.select(*keep, F.col(doc_col)), doc_col, p, "__o", pos="__pos")
+
+
+def _select_objects(el: DataFrame, found: Sequence[tuple[str, str]], fields: Sequence[str] | None,
+                    keep: Sequence[str]) -> DataFrame:
     if fields:
         tmap = dict(found)
         found = [(f, tmap.get(f)) for f in fields]
@@ -287,8 +295,17 @@ def doc_join(docs: DataFrame, left: Mapping[str, str], right: Mapping[str, str],
              doc_col: str = "doc", id_col: str = "file_path") -> DataFrame:
     """Join two object arrays of the same document on a key; the right key is
     renamed to the left key; the join never crosses documents."""
-    lt = array_of_objects(docs, strip_wildcard(left["path"]), doc_col=doc_col, keep=(id_col,))
-    rt = array_of_objects(docs, strip_wildcard(right["path"]), doc_col=doc_col, keep=(id_col,))
+    le = _object_elements(docs, strip_wildcard(left["path"]), doc_col, [id_col])
+    re_ = _object_elements(docs, strip_wildcard(right["path"]), doc_col, [id_col])
+    # both sides' keys and types in ONE discovery aggregate (side-tagged)
+    both = (le.select(F.lit("l").alias("__side"), "__o").unionByName(re_.select(F.lit("r").alias("__side"), "__o"))
+            .select("__side", F.explode(F.try_variant_get(F.col("__o"), "$", "map<string,variant>")).alias("k", "val"))
+            .groupBy("__side", "k").agg(F.schema_of_variant_agg("val").alias("t")).collect())
+    if len(both) > 2 * MAX_DISCOVERED_COLUMNS:
+        raise ValueError("too many keys; give explicit fields")
+    found = {s: sorted((r["k"], r["t"]) for r in both if r["__side"] == s) for s in ("l", "r")}
+    lt = _select_objects(le, found["l"], None, [id_col])
+    rt = _select_objects(re_, found["r"], None, [id_col])
     lk, rk = left["key"], right["key"]
     if rk != lk:
         rt = rt.withColumnRenamed(rk, lk)
