@@ -26,6 +26,14 @@ def test_query_expansion_and_threshold(spark):
     assert S.threshold(hits, 0.5).count() == 1
 
 
+def test_rrf_fusion(spark):
+    kw = spark.createDataFrame([("q", 1, 1), ("q", 2, 2)], "query_id string, doc_id int, rank int")
+    vs = spark.createDataFrame([("q", 2, 1), ("q", 3, 2)], "query_id string, doc_id int, rank int")
+    got = {r["doc_id"]: (r["rank"], r["score"]) for r in S.hybrid_search(kw, vs, top_k=3).collect()}
+    assert got[2][0] == 1 and got[2][1] == pytest.approx(0.5 / 62 + 0.5 / 61)
+    assert got[1][1] == pytest.approx(0.5 / 61) and got[1][0] == 2 and got[3][0] == 3
+
+
 def test_bm25_prefers_rare_terms(spark):
     docs = spark.createDataFrame([(1, "apple apple banana"), (2, "banana cherry"), (3, "banana")], "id int, text string")
     res = S.bm25_search(docs, "id", "text", [("q", "apple banana")], top_k=3).orderBy("rank").collect()
