@@ -40,10 +40,13 @@ def keyword_search(docs: DataFrame, queries: Sequence[tuple[str, str]], id_col:
         raise ValueError("query batch too large; split it")
     qarr = F.array(*[F.struct(F.lit(q).alias("query_id"), F.lit(t.lower()).alias("q")) for q, t in queries])
     content = F.col(content_col)
-    hay_c = F.lower(content)
-    hay_t = F.lower(F.col(title_col)) if title_col else None
     base = docs.filter(F.col(archived_col).isNull()) if archived_col else docs
-    hit = lambda x: F.contains(hay_c, x["q"]) | (F.contains(hay_t, x["q"]) if hay_t is not None else F.lit(False))
+    # lower-case each text once (a column), not once per query inside the lambda
+    base = base.withColumn("__lc", F.lower(content))
+    if title_col:
+        base = base.withColumn("__lt", F.lower(F.col(title_col)))
+    hit = lambda x: F.contains(F.col("__lc"), x["q"]) | (
+        F.contains(F.col("__lt"), x["q"]) if title_col else F.lit(False))
     title = F.col(title_col) if title_col else F.lit(None).cast("string")
     flagged = base.withColumn("__m", F.filter(qarr, hit))
     matched = flagged.select(F.col(id_col).alias("doc_id"), title.alias("title"),
