@@ -22,3 +22,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.secrets import scan_secrets
 
     return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
