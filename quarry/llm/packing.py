@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import bisect
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,19 +34,28 @@ from quarry.llm.common import worker_state, write_table
 
 CAPACITY, END_ID = 4096, 1
 RANK_BUCKETS = 256
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # the tokenizer's own split, for visible ASCII
+#: Text whose lower case, normal form and split are plain: visible ASCII, blanks and Latin-1 letters.
+_PLAIN = re.compile(r"[ \t\n\r!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+#: The tokenizer's own split of such text.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t\n\ra-z0-9\xdf-\xf6\xf8-\xff]+")
 _BLANK = str.maketrans("\t\n\r", "   ")
-_CACHE_WORDS, _CACHE_LEN = 300_000, 40
+_CACHE_PARTS, _CACHE_WORDS, _CACHE_LEN = 600_000, 100_000, 40
 
 
 # ---------------------------------------------------------------- token ids
+def _byte_characters() -> dict[int, str]:
+    """Byte-level vocabularies write a byte as its Latin-1 character where that is visible, others as the characters from 256 on."""
+    visible = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
+    return {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(visible)))}
+
+
 class WordTokenizer:
     """Ids of a tokenizer that drops white space, with a bounded cache by word.
 
-    Such a tokenizer treats blank-separated words on their own, so a text's ids
-    are its words' ids in a row.  Words of visible ASCII are split as the
-    tokenizer does and only unseen parts go to its model; others, and those
-    that could hold a special token, go through the whole tokenizer.
+    Plain texts are split here as the tokenizer splits them, and only unseen
+    parts go to its model.  Such a tokenizer treats blank-separated words on
+    their own, so other texts go word by word; words that are not plain, or
+    could hold a special token, take the whole tokenizer.  The caches keep what came first.
     """
 
     def __init__(self, path: str):
@@ -54,27 +64,31 @@ class WordTokenizer:
         self.tok = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.byte = _byte_characters()
+
+    def part(self, p: str) -> bytes:
+        chars = p if p.isascii() else "".join([self.byte[b] for b in p.encode()])
+        ids = array("I", [t.id for t in self.tok.model.tokenize(chars)]).tobytes()
+        if len(p) <= _CACHE_LEN and len(self.parts) < _CACHE_PARTS:
+            self.parts[p] = ids
+        return ids
+
+    def plain(self, text: str) -> bytes:
+        get, part = self.parts.get, self.part
+        return b"".join([ids if (ids := get(p)) is not None else part(p) for p in _PARTS.findall(text.lower())])
 
     def word(self, w: str) -> bytes:
-        if w.isascii() and w.isprintable() and "<|" not in w and len(w) <= _CACHE_LEN:
-            out = []
-            for p in _PARTS.findall(w.lower()):
-                ids = self.parts.get(p)
-                if ids is None:
-                    ids = self.parts[p] = np.array([t.id for t in self.tok.model.tokenize(p)], "<u4").tobytes()
-                out.append(ids)
-            ids = b"".join(out)
-        else:
-            ids = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(w) <= _CACHE_LEN:
-            if len(self.words) >= _CACHE_WORDS:
-                self.words.clear()
-                self.parts.clear()
+        if "<|" not in w and _PLAIN.fullmatch(w):
+            return self.plain(w)
+        ids = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(w) <= _CACHE_LEN and len(self.words) < _CACHE_WORDS:
             self.words[w] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            return self.plain(text)
         get, word = self.words.get, self.word
         return b"".join([ids if (ids := get(w)) is not None else word(w) for w in text.translate(_BLANK).split(" ") if w])
 
@@ -146,7 +160,7 @@ def _configurations(sizes: np.ndarray, need: np.ndarray, capacity: int, unit: in
     return [(int(np.floor(x[j] + 1e-6)), basis[:, j].astype(int)) for j in range(k)]
 
 
-def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 64, large: float = 0.125):
+def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 64, large: float = 0.3):
     """Rows (length, rank, bins, each, sequence, offset), by length and rank, and the number of sequences.
 
     A row places pieces ``rank .. rank + bins * each - 1`` of ``length``: the

@@ -14,7 +14,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def test_word_tokenizer_equals_the_whole_tokenizer():
     tok, rnd = P.WordTokenizer(PATH), random.Random(3)
     parts = ["the", "The", "don't", "it's", "'S", "''s", "x1y22", "%%%", "a,", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "\x00", "é", "É", "é",
-             "İ", "ß", "Σ", "ς", " ", " ", "　", "漢字", "😀", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "ﬁ", "½", "́", "\x7f", "zzzqqq", "Ω"]
+             "İ", "ß", "Σ", "ς", " ", " ", "　", "漢字", "😀", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "ﬁ", "½", "́", "\x7f", "zzzqqq", "Ω", "Été", "×", "÷", "naïve", "ÿ", "µ", "ª", "¿que", "ÀÖ"]
     for _ in range(1500):
         t = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 20)))
         want = np.array(tok.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
