@@ -35,3 +35,33 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def line_dedup_sql(docs: str) -> str:
+    """Statement that returns doc_id, n_lines, n_dropped and kept (text) for a documents relation."""
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+           coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '') AS kept
+    FROM (SELECT l.*, coalesce(l.doc_id <> o.owner, false) AS dropped
+          FROM (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {space}) AS k
+                FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+                      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM {docs}))) l
+          LEFT JOIN (SELECT k, max(doc_id) AS owner
+                     FROM (SELECT doc_id, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {space}) AS k
+                           FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM {docs}))
+                     WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5) o ON l.k = o.k)
+    GROUP BY doc_id"""
+
+
+ORACLES["op4_line_dedup"] = f"SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM ({line_dedup_sql('documents')})"
