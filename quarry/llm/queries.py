@@ -65,3 +65,41 @@ def line_dedup_sql(docs: str) -> str:
 
 
 ORACLES["op4_line_dedup"] = f"SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM ({line_dedup_sql('documents')})"
+
+
+@query
+def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+#: Target parts of the named sources, and of all others together.
+MIX_WEIGHTS, MIX_REST = {"src0": 8, "src1": 5, "src2": 4, "src3": 3}, 20
+
+
+@query
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS, MIX_REST)
+
+
+ORACLES["op6_pfair_mixing"] = """
+WITH RECURSIVE cfg AS (SELECT [8, 5, 4, 3, 20] AS c, 40 AS p, 16 AS bd),
+edf(t, k, pick) AS (
+  SELECT -1, [0, 0, 0, 0, 0], 0
+  UNION ALL
+  SELECT t + 1, [k[1] + (pick = 1)::INT, k[2] + (pick = 2)::INT, k[3] + (pick = 3)::INT, k[4] + (pick = 4)::INT, k[5] + (pick = 5)::INT], pick
+  FROM (SELECT t, k, (SELECT i FROM (SELECT unnest([1, 2, 3, 4, 5]) AS i)
+                      WHERE k[i] < c[i] AND k[i] * p < (t + 2) * c[i]
+                      ORDER BY ceil((k[i] + 1) * p / c[i]), i LIMIT 1)::INT AS pick
+        FROM edf, cfg WHERE t < p - 1)),
+slots AS (SELECT t AS slot, pick, k[pick] - 1 AS j FROM edf WHERE t >= 0),
+docs AS (SELECT doc_id, source, CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 2 WHEN 'src2' THEN 3 WHEN 'src3' THEN 4 ELSE 5 END AS s FROM documents),
+num AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS n FROM docs),
+blk AS (SELECT num.*, n // bd AS block, c[s] AS cs, p FROM num, cfg)
+SELECT doc_id, source, (s - 1)::INT AS stream, block, (block * p) // cs AS release, ((block + 1) * p + cs - 1) // cs AS deadline,
+       (block // cs) * p + slot AS slot,
+       row_number() OVER (ORDER BY (block // cs) * p + slot, n) - 1 AS position
+FROM blk JOIN slots ON pick = s AND j = block % cs"""
