@@ -103,3 +103,15 @@ SELECT doc_id, source, (s - 1)::INT AS stream, block, (block * p) // cs AS relea
        (block // cs) * p + slot AS slot,
        row_number() OVER (ORDER BY (block // cs) * p + slot, n) - 1 AS position
 FROM blk JOIN slots ON pick = s AND j = block % cs"""
+
+
+@query
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm import lm
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lm.remainder(F.col("doc_id"), 7) == 2
+    model = lm.train(docs.where(~held_out), order=2)
+    return lm.score(docs, model).withColumn("held_out", held_out)
