@@ -115,3 +115,27 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = lm.remainder(F.col("doc_id"), 7) == 2
     model = lm.train(docs.where(~held_out), order=2)
     return lm.score(docs, model).withColumn("held_out", held_out)
+
+
+@query
+def op5_byte_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm import langid
+    from quarry.llm.lm import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    return langid.identify(docs, langid.train(docs.where(~held_out))).withColumn("held_out", held_out)
+
+
+@query
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm import quality
+    from quarry.llm.lm import remainder
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    return quality.score(docs, quality.train(docs, labels.where(~held_out))).withColumn("held_out", held_out)
