@@ -146,3 +146,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.vector_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
