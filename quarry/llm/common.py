@@ -43,6 +43,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(uri)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded_broadcast(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` (a few numbers each), written, and broadcast if they are few; beyond that the join shuffles."""
+    rows = write_table(rows, "ids")
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def worker_state(name: str, make):
     """An object that lives as long as the Python worker, over all its tasks."""
     store = sys.modules.setdefault("_quarry_llm_state", types.ModuleType("_quarry_llm_state")).__dict__
@@ -63,10 +72,7 @@ def ascii_lower(col):
 
 def text_ascii_lower(s: str) -> str:
     """Python twin of :func:`ascii_lower`."""
-    return s.lower() if s.isascii() else s.translate(_FOLD)
-
-
-_FOLD = str.maketrans(UPPER, LOWER)
+    return s.lower() if s.isascii() else s.encode().lower().decode()  # bytes fold A-Z alone
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -82,8 +88,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         return df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
     cur = write_table(directed(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))), "cc")
-    state = None
     for _ in range(max_rounds):
+        # done when no edge ends where another begins: all are stars around their smallest node
+        if cur.join(cur.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and cur.groupBy("u").count().where("count > 1").isEmpty():
+            break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: every larger neighbour of u points to the smallest of u's neighbourhood
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -94,10 +102,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
                                                                   F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         cur = write_table(directed(small), "cc")
-        row = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == (row.n, row.h):
-            break
-        state = (row.n, row.h)
     else:
         raise RuntimeError("components did not converge")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

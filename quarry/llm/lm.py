@@ -21,9 +21,11 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -79,21 +81,25 @@ def token_hashes(texts: list[str | None], order: int, hashes: WordHashes) -> tup
         out += [hashes[w] for w in words]
         out.append(END)
         sizes.append(len(words) + 1)
-    return np.array(out, U), np.array(sizes, np.int64)
+    return np.frombuffer(array("Q", out), U), np.array(sizes, np.int64)
 
 
-def grams(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each predicted token: columns a_{order-1}, ..., a_1 (hashes of the grams that end just before it) and its own hash."""
+def endings(tokens: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The predicted tokens' places, and for k = 1 ... order the hash of the k-gram that ends at each place of ``tokens``."""
     predicted = np.ones(len(tokens), bool)
     starts = np.concatenate([[0], np.cumsum(sizes + order - 1)[:-1]]).astype(np.int64)
     for j in range(order - 1):
         predicted[starts + j] = False
-    at = np.flatnonzero(predicted)
-    ending, out = tokens, []
-    for k in range(1, order):  # ``ending[i]``: the k-gram that ends at i
-        out.append(ending[at - 1])
-        ending = np.concatenate([ending[:1], mix(ending[:-1], tokens[1:])]) if k < order - 1 else ending
-    return [*out[::-1], tokens[at]]
+    out = [tokens]
+    for _ in range(order - 1):
+        out.append(np.concatenate([out[-1][:1], mix(out[-1][:-1], tokens[1:])]))
+    return np.flatnonzero(predicted), out
+
+
+def grams(tokens: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each predicted token: columns a_{order-1}, ..., a_1 (hashes of the grams that end just before it) and its own hash."""
+    at, ending = endings(tokens, sizes, order)
+    return [*(e[at - 1] for e in ending[:order - 1][::-1]), tokens[at]]
 
 
 def gram_of(cols: list[np.ndarray]) -> np.ndarray:
@@ -125,38 +131,37 @@ _PACKED_DDL = "bucket int, context boolean, n long, blob binary"
 
 def _summed(key: np.ndarray, keep: list[np.ndarray], add: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """One entry a key, sorted by it: ``keep`` as it is, ``add`` summed."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     return key[first], [c[order][first] for c in keep], [np.add.reduceat(c[order], first) if len(first) else c for c in add]
 
 
 def _send(key: np.ndarray, cols: list[np.ndarray], widths: list[int], context: bool, buckets: int) -> Iterator[pa.RecordBatch]:
-    to = bucket_of(key, buckets).astype(np.int64)
-    order = np.argsort(to, kind="stable")
-    ends = np.searchsorted(to[order], np.arange(buckets + 1))
+    """Rows by bucket; ``key`` (sorted) is the lower level's store key."""
+    ends = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1, dtype=U))
     for b in np.flatnonzero(np.diff(ends)):
-        i = order[ends[b]:ends[b + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([context]), pa.array([len(i)], pa.int64()), pa.array([_pack([c[i] for c in cols], widths)], pa.binary())], schema=_PACKED)
+        i = slice(ends[b], ends[b + 1])
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([context]), pa.array([ends[b + 1] - ends[b]], pa.int64()), pa.array([_pack([c[i] for c in cols], widths)], pa.binary())], schema=_PACKED)
 
 
 # ---------------------------------------------------------------- the store
 def _write_store(path: str, key: np.ndarray, fields: list[np.ndarray], header: list[int], buckets: int) -> None:
     n = len(key)
-    bits = max(0, int(n).bit_length() - 5)
+    bits = max(0, int(n).bit_length() - 3)
     prefix = (((key >> U(32)) * U(buckets)) & U(0xFFFFFFFF)) >> U(32 - bits) if bits else np.zeros(n, U)
-    order = np.argsort((prefix << U(32)) | (key & U(0xFFFFFFFF)), kind="stable")
-    starts = np.searchsorted(prefix[order], np.arange((1 << bits) + 1, dtype=U)).astype("<u8")
+    order = np.argsort((prefix << U(32)) | (key & U(0xFFFFFFFF)))
+    starts = np.searchsorted(prefix[order], np.arange((1 << bits) + 1, dtype=U)).astype("<u4")
     low = (key[order] & U(0xFFFFFFFF)).astype("<u4")
     fields = [f[order] for f in fields]
     over = [np.flatnonzero(f > 254) for f in fields]
     head = np.array([n, bits, len(fields), *map(len, over), *header], "<u8")
     draft = f"{path}.{uuid.uuid4().hex}"
     with open(draft, "wb") as out:
-        out.write(np.array([len(head)], "<u8").tobytes() + head.tobytes() + starts.tobytes())
+        out.write(np.array([len(head)], "<u8").tobytes() + head.tobytes())
         for i, f in zip(over, fields):
             out.write(i.astype("<u8").tobytes() + f[i].astype("<u8").tobytes())
-        out.write(low.tobytes())
+        out.write(starts.tobytes() + low.tobytes())
         for f in fields:
             out.write(np.minimum(f, U(255)).astype("u1").tobytes())
     os.replace(draft, path)
@@ -183,8 +188,8 @@ class Store:
             at += a.nbytes
             return a
 
-        self.starts = take("<u8", (1 << self.bits) + 1)
         self.over = [(take("<u8", m), take("<u8", m)) for m in over]
+        self.starts = take("<u4", (1 << self.bits) + 1)
         self.low = take("<u4", self.n)
         self.small = [take("u1", self.n) for _ in range(k)]
 
@@ -231,10 +236,10 @@ class Model:
                 self.types, self.tokens = distinct, raw
                 self.empty = (total, n1, n2, tail)
 
-    def lookup(self, level: int, gram: np.ndarray, fields: list[str]) -> list[np.ndarray]:
+    def lookup(self, level: int, gram: np.ndarray, fields: tuple[str, ...]) -> list[np.ndarray]:
         key = store_key(level, gram)
         out = [np.zeros(len(key)) for _ in fields]
-        to = bucket_of(key, self.buckets).astype(np.int64)
+        to = bucket_of(key, self.buckets).astype(np.uint16 if self.buckets < 1 << 16 else np.int64)
         order = np.argsort(to, kind="stable")
         ends = np.searchsorted(to[order], np.arange(self.buckets + 1))
         for b in np.flatnonzero(np.diff(ends)):
@@ -256,18 +261,24 @@ class Model:
     def score(self, texts: list[str | None], hashes: WordHashes):
         """(tokens, known tokens, base log10, model log10) of each text."""
         tokens, sizes = token_hashes(texts, self.order, hashes)
-        cols = grams(tokens, sizes, self.order)
-        c, raw = self.lookup(1, cols[-1], ["c", "raw"])
-        total, n1, n2, n3 = map(float, self.empty)
-        p = self.interpolate(1, c, np.full(len(c), total), n1, n2, n3, 1.0 / (self.types + 1))
-        for level in range(2, self.order + 1):
-            part = cols[self.order - level:]
-            (c,) = self.lookup(level, gram_of(part), ["c"])
-            p = self.interpolate(level, c, *self.lookup(level - 1, part[0], ["total", "n1", "n2", "n3"]), p)
+        at, ending = endings(tokens, sizes, self.order)
+        p, context = np.full(len(at), 1.0 / (self.types + 1)), [np.full(len(at), float(v)) for v in self.empty]
+        for level, gram in enumerate(ending, 1):
+            if level == self.order > 1:
+                (c,) = self.lookup(level, gram[at], ("c",))
+                p = self.interpolate(level, c, *context, p)
+                break
+            # the grams of a stretch of text recur; each is looked up once, for its count and as the next level's context
+            code, distinct = pd.factorize(gram)
+            c, raw, *stats = (f[code] for f in self.lookup(level, distinct, FIELDS if level < self.order else FIELDS[:2]))
+            if level == 1:
+                known = raw[at]
+            p = self.interpolate(level, c[at], *context, p)
+            context = [f[at - 1] for f in stats]
         first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         add = lambda x: np.add.reduceat(x, first) if len(first) else x
-        base = np.log10((raw + 1) / (self.tokens + (self.types + 1)))
-        return sizes, add((raw > 0).astype(np.int64)), add(base), add(np.log10(p))
+        base = np.log10((known + 1) / (self.tokens + (self.types + 1)))
+        return sizes, add((known > 0).astype(np.int64)), add(base), add(np.log10(p))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float, float]:
@@ -299,8 +310,8 @@ def train(docs: DataFrame, order: int = 2, text_col: str = "text", buckets: int
 
         def flush():
             cols = grams(np.concatenate(tokens), np.concatenate(sizes), order)
-            key, cols, (n,) = _summed(gram_of(cols), cols, [np.ones(len(cols[0]), U)])
-            yield from _send(store_key(order, key), [*cols, n, n], widths, False, buckets)
+            key, cols, (n,) = _summed(store_key(order, gram_of(cols)), cols, [np.ones(len(cols[0]), U)])
+            yield from _send(key, [*cols, n, n], widths, False, buckets)
 
         for b in batches:
             texts = b.column(0)
@@ -321,23 +332,22 @@ def train(docs: DataFrame, order: int = 2, text_col: str = "text", buckets: int
         def one(bucket: int, gram_rows: list, context_rows: list):
             parts = [_unpack(blob, n, gram_widths) for n, blob in gram_rows]
             cols = [np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, U) for j in range(level + 2)]
-            gram, cols, (cont, raw) = _summed(gram_of(cols[:level]), cols[:level], cols[level:])
+            key, cols, (cont, raw) = _summed(store_key(level, gram_of(cols[:level])), cols[:level], cols[level:])
             c = raw if level == order else cont
-            header = [int(c.sum()), *(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c >= 3).sum()), len(gram), int(raw.sum())]
-            key = store_key(level, gram)
+            header = [int(c.sum()), *(int((c == k).sum()) for k in (1, 2, 3, 4)), int((c >= 3).sum()), len(key), int(raw.sum())]
             fields = [c, raw] if level == 1 else [c]
             if level < order:
                 parts = [_unpack(blob, n, [8 if level > 1 else 6, 8, 8, 8, 8]) for n, blob in context_rows]
                 ctx = [np.concatenate([p[j] for p in parts]) if parts else np.zeros(0, U) for j in range(5)]
-                none, more = np.zeros(len(ctx[0]), U), np.zeros(len(gram), U)
+                none, more = np.zeros(len(ctx[0]), U), np.zeros(len(key), U)
                 key, _, fields = _summed(np.concatenate([key, store_key(level, ctx[0])]), [], [
                     np.concatenate(x) for x in ((c, none), (raw, none), *((more, ctx[j]) for j in range(1, 5)))])
             _write_store(_store_path(folder, level, bucket), key, fields, header, buckets)
             if lower:
-                context, _, stats = _summed(cols[0], [], [c, *((c == k).astype(U) for k in (1, 2)), (c >= 3).astype(U)])
-                yield from _send(store_key(lower, context), [context, *stats], [8 if lower > 1 else 6, 8, 8, 8, 8], True, buckets)
-                key, kept, (cont, raw) = _summed(gram_of(cols[1:]), cols[1:], [np.ones(len(gram), U), raw])
-                yield from _send(store_key(lower, key), [*kept, cont, raw], [*_widths(lower), 8, 8], False, buckets)
+                to, (context,), stats = _summed(store_key(lower, cols[0]), [cols[0]], [c, *((c == k).astype(U) for k in (1, 2)), (c >= 3).astype(U)])
+                yield from _send(to, [context, *stats], [8 if lower > 1 else 6, 8, 8, 8, 8], True, buckets)
+                to, kept, (cont, raw) = _summed(store_key(lower, gram_of(cols[1:])), cols[1:], [np.ones(len(raw), U), raw])
+                yield from _send(to, [*kept, cont, raw], [*_widths(lower), 8, 8], False, buckets)
 
         def run(batches: Iterator[pa.RecordBatch]):
             now, rows = None, ([], [])
@@ -372,8 +382,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         hashes = worker_state("lm words", WordHashes)
         m = worker_state(f"lm {model['folder']}", lambda: Model(model["folder"], model["order"], model["buckets"]))
         for b in batches:
-            for lo in range(0, b.num_rows, 100):
-                part = b.slice(lo, 100)
+            for lo in range(0, b.num_rows, 300):
+                part = b.slice(lo, 300)
                 n, known, base, own = m.score(part.column(1).to_pylist(), hashes)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(known), pa.array(np.full(len(n), m.tokens, np.int64)), pa.array(base), pa.array(own)], schema=schema)
 
