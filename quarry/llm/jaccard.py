@@ -17,9 +17,10 @@ reaches a threshold; the result is every document's connected component.
 4. In a block: documents that are near a member of a large group join it at once; for
    the others, inverted lists are searched for documents with the required
    overlap T.  The L longest lists are set aside, the short ones are merged by a
-   heap, and what occurs often enough there is probed in the long ones by binary
-   search.  Exact overlaps decide.  Pairs known to be connected are skipped, and a
-   block returns a spanning forest.
+   heap (by counting, where they are long themselves), and what occurs often enough
+   there is probed in the long ones by binary search, all candidates at a time.
+   Exact overlaps decide.  Pairs known to be connected are skipped, and a block
+   returns a spanning forest.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -35,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import components, text_ascii_lower, worker_state, write_table
+from quarry.llm.common import bounded_broadcast, components, text_ascii_lower, worker_state, write_table
 from quarry.llm.lm import WordHashes, bucket_of, mix
 
 WORDS, NUM, DEN = 3, 90, 100
 BLOCK_SHINGLES = 4_000_000
 CHUNK_KEYS = 3_000_000
-BROADCAST_ROWS = 1_000_000
+HEAP_ENTRIES = 500
 U = np.uint64
 _WORDS = re.compile("[^ \t-\r]+")
 _NODE = U((1 << 48) - 1)
@@ -53,7 +55,7 @@ def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
     found = _WORDS.findall(text_ascii_lower(text)) if text else []
     if not found:
         return np.zeros(0, U)
-    w = np.array([hashes[x] for x in found], U)
+    w = np.frombuffer(array("Q", [hashes[x] for x in found]), U)
     k = min(words, len(w))
     h = np.full(len(w) - k + 1, k, U)
     for j in range(k):
@@ -128,18 +130,17 @@ def _ties(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[new], node[new], pairs[:, 0], pairs[:, 1]
 
 
-def candidate_ties(docs: DataFrame, words: int, num: int, den: int, text_col: str, buckets: int) -> DataFrame:
-    """Ties (a, b) between 48-bit class hashes that share a key; every pair at the threshold is connected by ties."""
-    schema = pa.schema([("bucket", pa.int32()), ("tie", pa.bool_()), ("n", pa.int64()), ("blob", pa.binary())])
+_PACKED = "bucket int, tie boolean, n long, blob binary"
+
+
+def shingled_and_keyed(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """One pass over (doc_id, text), written: (doc_id, n_shingles, class) of each row, and the packed keys for :func:`candidate_ties`."""
+    schema = pa.schema([("bucket", pa.int32()), ("tie", pa.bool_()), ("n", pa.int64()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
 
     def pack(bucket, tie, a, b):
         blob = a.tobytes() + np.ascontiguousarray(b).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([tie]), pa.array([len(a)], pa.int64()), pa.array([blob], pa.binary())], schema=schema)
-
-    def unpack(n, blob):
-        b = np.zeros((n, 8), np.uint8)
-        b[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 8 * n).reshape(n, 6)
-        return np.frombuffer(blob, U, n), b.reshape(-1).view(U)
+        none = pa.nulls(1, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([tie]), pa.array([len(a)], pa.int64()), pa.array([blob], pa.binary()), none, none, none], schema=schema)
 
     def spread(batches: Iterator[pa.RecordBatch]):
         hashes, bands = worker_state("lm words", WordHashes), Bands(num, den)
@@ -158,19 +159,37 @@ def candidate_ties(docs: DataFrame, words: int, num: int, den: int, text_col: st
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                for text in batch.column(0).slice(lo, 500).to_pylist():
-                    if len(s := shingle_set(text, words, hashes)):
-                        node = U(class_of(s) & int(_NODE))
+                part, classes, sizes = batch.slice(lo, 500), [], []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    s = shingle_set(text, words, hashes)
+                    sizes.append(len(s))
+                    classes.append(class_of(s) if len(s) else None)
+                    if len(s) and doc_id is not None:
+                        node = U(classes[-1] & int(_NODE))
                         for k in bands.keys(s):
                             keys.append(k)
                             nodes.append(np.full(len(k), node, U))
                             held += len(k)
+                n, none = len(sizes), [pa.nulls(len(sizes), f.type) for f in schema][:4]
+                if n:
+                    yield pa.RecordBatch.from_arrays([*none, part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], schema=schema)
                 if held > CHUNK_KEYS:
                     yield from flush()
                     keys, nodes, held = [], [], 0
         if held:
             yield from flush()
 
+    both = write_table(docs.mapInArrow(spread, f"{_PACKED}, doc_id long, n_shingles long, class long"), "shingled")
+    return both.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "class"), both.where("bucket IS NOT NULL").select("bucket", "tie", "n", "blob")
+
+
+def candidate_ties(packed: DataFrame, buckets: int) -> DataFrame:
+    """Ties (a, b) between 48-bit class hashes that share a key; every pair at the threshold is connected by ties."""
+    def unpack(n, blob):
+        b = np.zeros((n, 8), np.uint8)
+        b[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 8 * n).reshape(n, 6)
+        return np.frombuffer(blob, U, n), b.reshape(-1).view(U)
+
     def gather(batches: Iterator[pa.RecordBatch]):
         def one(rows):
             keyed = [unpack(n, blob) for tie, n, blob in rows if not tie]
@@ -193,8 +212,7 @@ def candidate_ties(docs: DataFrame, words: int, num: int, den: int, text_col: st
         if rows:
             yield from one(rows)
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(spread, "bucket int, tie boolean, n long, blob binary").repartition(
-        buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "a long, b long")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "a long, b long")
 
 
 # ---------------------------------------------------------------- search in a block
@@ -211,6 +229,7 @@ class InvertedLists:
     MU = 0.01  # weight of a binary probe against a heap step in the choice of L
 
     def __init__(self, sets: list[np.ndarray]):
+        self.docs = len(sets)
         shingle = np.concatenate(sets)
         doc = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         order = np.argsort(shingle, kind="stable")  # lists stay sorted by document
@@ -218,32 +237,33 @@ class InvertedLists:
         first = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
         self.shingle, self.start = shingle[first], np.append(first, len(shingle))
 
-    def query(self, s: np.ndarray, t: int) -> list[int]:
-        """Documents that occur in at least ``t`` of the lists of ``s``."""
+    def query(self, s: np.ndarray, t: int, other: np.ndarray | None = None) -> np.ndarray:
+        """Documents (of those marked in ``other``) that occur in at least ``t`` of the lists of ``s``."""
         at = np.searchsorted(self.shingle, s)
         size = self.start[at + 1] - self.start[at]
-        at = at[np.argsort(size, kind="stable")]
-        size = np.sort(size, kind="stable")
-        alone = int(np.searchsorted(size, 1, side="right"))  # lists that hold only the query itself
-        at, t_max = at[alone:], len(at) - alone
-        if t_max < t:
-            return []
-        long = min(t - 1, int(t / (self.MU * math.log2(int(size[-1]) + 1) + 1)))
-        lists = [self.doc[self.start[k]:self.start[k + 1]] for k in at]
-        short, rest = lists[:t_max - long], lists[t_max - long:][::-1]
-        found = []
-        for doc, run in groupby(heapq.merge(*(x.tolist() for x in short))):
-            count = sum(1 for _ in run)
-            if count < t - long:
-                continue
-            for k, x in enumerate(rest):
-                if count >= t or count + len(rest) - k < t:
-                    break
-                i = int(np.searchsorted(x, doc))
-                count += i < len(x) and int(x[i]) == doc
-            if count >= t:
-                found.append(doc)
-        return found
+        order = np.argsort(size, kind="stable")
+        order = order[np.searchsorted(size[order], 1, side="right"):]  # without lists that hold only the query itself
+        if len(order) < t:
+            return np.zeros(0, np.int64)
+        long = min(t - 1, int(t / (self.MU * math.log2(int(size[order[-1]]) + 1) + 1)))
+        lists = [self.doc[self.start[k]:self.start[k + 1]] for k in at[order]]
+        short, rest = lists[:len(lists) - long], lists[len(lists) - long:]
+        if sum(map(len, short)) <= HEAP_ENTRIES:
+            runs = [(doc, sum(1 for _ in run)) for doc, run in groupby(heapq.merge(*(x.tolist() for x in short)))]
+            doc, count = np.array(runs, np.int64).reshape(-1, 2).T
+        else:
+            count = np.bincount(np.concatenate(short), minlength=self.docs)
+            doc = np.flatnonzero(count)
+            count = count[doc]
+        if other is not None:
+            doc, count = doc[other[doc]], count[other[doc]]
+        for probed, x in enumerate(rest):
+            alive = count + (len(rest) - probed) >= t
+            doc, count = doc[alive], count[alive]
+            if not len(doc):
+                break
+            count = count + (x[np.minimum(np.searchsorted(x, doc), len(x) - 1)] == doc)
+        return doc[count >= t]
 
 
 def linked(sets: list[np.ndarray], num: int, den: int, groups: int = 4, members: int = 6) -> list[tuple[int, int]]:
@@ -280,23 +300,25 @@ def linked(sets: list[np.ndarray], num: int, den: int, groups: int = 4, members:
         return forest
     main = max(group, key=lambda j: len(group[j]))
     lists = InvertedLists(sets)
+    label = np.array([find(i) for i in range(len(sets))])
     for i in order:
         if find(i) == find(main):
             continue  # its pairs outside the largest group are searched from the other side
         n = len(sets[i])
         least = -(-n * num // den)
         t = -(-num * (n + least) // (num + den))
-        for j in lists.query(sets[i], t):
+        for j in lists.query(sets[i], t, label != label[i]).tolist():
             if find(j) != find(i) and similar(sets[i], sets[j], num, den):
                 join(i, j)
+                label[group[find(i)]] = find(i)
     return forest
 
 
 # ---------------------------------------------------------------- the operator
-def _shingled(rows: DataFrame, words: int, keep: bool) -> DataFrame:
-    """``rows`` with n_shingles and class (null for an empty set), and the set itself if ``keep``, in place of text."""
+def _with_sets(rows: DataFrame, words: int) -> DataFrame:
+    """``rows`` with class (null for an empty set) and shingles, in place of text."""
     names = [c for c in rows.columns if c != "text"]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text") + ", n_shingles long, class long" + ", shingles binary" * keep
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text") + ", class long, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]):
         hashes = worker_state("lm words", WordHashes)
@@ -305,10 +327,8 @@ def _shingled(rows: DataFrame, words: int, keep: bool) -> DataFrame:
                 b = batch.slice(lo, 500)
                 sets = [shingle_set(t, words, hashes) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
                 cols = [b.column(b.schema.get_field_index(c)) for c in names]
-                cols += [pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())]
-                if keep:
-                    cols.append(pa.array([s.tobytes() for s in sets], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_shingles", "class", *["shingles"] * keep])
+                cols += [pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "class", "shingles"])
 
     return rows.mapInArrow(run, ddl)
 
@@ -325,18 +345,15 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    meta = write_table(_shingled(docs, words, False), "shingled")
+    meta, packed = shingled_and_keyed(docs, words, num, den, buckets)
     own = meta.where("doc_id IS NOT NULL AND class IS NOT NULL")
     classes = own.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"))
 
-    ties = candidate_ties(docs.where("doc_id IS NOT NULL"), words, num, den, "text", buckets)
-    clusters = components(ties)
+    clusters = components(candidate_ties(packed, buckets))
     members = write_table(classes.join(clusters, F.col("class").bitwiseAND(F.lit(int(_NODE))) == F.col("node")).select("class", "rep", "size", F.col("component").alias("cluster")), "members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("blocks"), F.count("*").alias("of")).where("of > 1").drop("of")
     members = members.join(blocks, "cluster").select(F.col("class").alias("want"), F.col("rep").alias("doc_id"), "cluster", "blocks")
-    if members.count() <= BROADCAST_ROWS:  # rows of four numbers; beyond, the texts are shuffled to them
-        members = F.broadcast(members)
-    sets = _shingled(docs.join(members, "doc_id"), words, True).where(F.col("class") == F.col("want"))
+    sets = _with_sets(docs.join(bounded_broadcast(members), "doc_id"), words).where(F.col("class") == F.col("want"))
     part = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     # one block of a cluster, or each pair of its blocks
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, part).alias("i"), F.greatest(j, part).alias("j")))

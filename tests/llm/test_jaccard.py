@@ -65,14 +65,16 @@ def test_empty_and_repeated(spark):
     assert sorted(map(tuple, J.jaccard_components(df).collect())) == [(3, 2, 3), (5, 2, 3), (5, 2, 3), (8, 1, 8)]
 
 
-def test_divide_skip_finds_all_with_t_occurrences():
+@pytest.mark.parametrize("heap", [0, 500])
+def test_divide_skip_finds_all_with_t_occurrences(monkeypatch, heap):
+    monkeypatch.setattr(J, "HEAP_ENTRIES", heap)
     rnd = np.random.default_rng(3)
     sets = [np.unique(rnd.integers(0, 60, rnd.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
     lists = J.InvertedLists(sets)
     for s in sets[:40]:
         for t in (2, len(s) // 2 + 1, len(s)):
             if t >= 2:
-                assert set(lists.query(s, t)) == {j for j, x in enumerate(sets) if len(np.intersect1d(s, x)) >= t}
+                assert set(lists.query(s, t).tolist()) == {j for j, x in enumerate(sets) if len(np.intersect1d(s, x)) >= t}
 
 
 @pytest.mark.parametrize("num", [90, 80])
