@@ -26,42 +26,38 @@ from pyspark.sql import functions as F
 
 BUCKETS = 4096
 FINAL_ROWS = 1_000_000
-MAX_PASSES = 12
 
 
-def _bucket(x: Column, lo: float, hi: float) -> Column:
-    if hi <= lo:
-        return F.lit(0)
-    w = (hi - lo) / BUCKETS
-    return F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(BUCKETS - 1)).cast("int")
+def _place(x: Column, lo: Column, hi: Column) -> Column:
+    """Bucket of x in [lo, hi], lo < hi.  The quotient is formed so that neither a
+    huge range overflows nor a tiny one loses its width."""
+    wide = F.abs(hi) + F.abs(lo) > 1e300
+    share = F.when(wide, (x / 4 - lo / 4) / (hi / 4 - lo / 4)).otherwise((x - lo) / (hi - lo))
+    return F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
 
 
 def _value_at_rank(x: DataFrame, rank: int) -> float:
-    """Value with 0-based rank ``rank`` in ascending order of column ``x``."""
-    cond = F.lit(True)
-    below = 0
+    """Value with 0-based rank ``rank`` in ascending order of column ``x``.
+
+    Passes go on until the range is single-valued or small enough to sort: the
+    end values of a range fall into different buckets, so each pass narrows it."""
+    cond, below = F.lit(True), 0
     row = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
     lo, hi, cnt = row["lo"], row["hi"], row["n"]
-    for _ in range(MAX_PASSES):
-        if lo == hi:
-            return float(lo)
-        if cnt <= FINAL_ROWS:
-            vals = x.filter(cond).select("x").orderBy("x").offset(rank - below).limit(1).collect()
-            return float(vals[0][0])
-        b = _bucket(F.col("x"), lo, hi)
+    while lo < hi and cnt > FINAL_ROWS:
+        b = _place(F.col("x"), F.lit(lo), F.lit(hi))
         hist = (x.filter(cond).groupBy(b.alias("b"))
                 .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"), F.max("x").alias("mx"))
                 .orderBy("b").collect())
-        acc = below
         for h in hist:
-            if acc + h["c"] > rank:
+            if below + h["c"] > rank:
                 cond = cond & (b == F.lit(h["b"]))
-                below, lo, hi, cnt = acc, h["mn"], h["mx"], h["c"]
+                lo, hi, cnt = h["mn"], h["mx"], h["c"]
                 break
-            acc += h["c"]
-    # still large after MAX_PASSES (extremely clustered doubles): the remaining range is tiny
-    vals = x.filter(cond).select("x").orderBy("x").offset(rank - below).limit(1).collect()
-    return float(vals[0][0])
+            below += h["c"]
+    if lo == hi:
+        return float(lo)
+    return float(x.filter(cond).select("x").orderBy("x").offset(rank - below).limit(1).first()[0])
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
@@ -104,7 +100,7 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], column: str, probs
     sort at all.  Output: group columns + one column per probability."""
     from pyspark.sql import Window
 
-    from quarry.operators.joins import size_checked_broadcast
+    from quarry.operators.joins import measured_broadcast
     from quarry.session import ensure_checkpoint_dir
 
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
@@ -128,15 +124,14 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], column: str, probs
     gstats = state.groupBy(*g).agg(F.first("__n").alias("__n"), F.first("__min").alias("min"),
                                    F.first("__max").alias("max"))
     keys = g + ["__r"]
-    for _ in range(MAX_PASSES):
+    while True:  # each pass narrows every open range
         is_open = (F.col("__cnt") > FINAL_ROWS) & (F.col("__lo") < F.col("__hi"))
         open_t = state.filter(is_open)
         if open_t.limit(1).count() == 0:
             break
-        j = base.join(size_checked_broadcast(open_t.select(*keys, "__lo", "__hi", "__below")), g) \
+        j = base.join(measured_broadcast(open_t.select(*keys, "__lo", "__hi", "__below")), g) \
             .filter(F.col("__x").between(F.col("__lo"), F.col("__hi")))
-        w = (F.col("__hi") - F.col("__lo")) / F.lit(BUCKETS)
-        b = F.least(F.floor((F.col("__x") - F.col("__lo")) / w), F.lit(BUCKETS - 1)).cast("int")
+        b = _place(F.col("__x"), F.col("__lo"), F.col("__hi"))
         hist = j.groupBy(*keys, "__below", b.alias("__b")).agg(
             F.count(F.lit(1)).alias("__c"), F.min("__x").alias("__mn"), F.max("__x").alias("__mx"))
         cw = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -151,9 +146,9 @@ def group_quantiles(df: DataFrame, group_cols: Sequence[str], column: str, probs
     # targets sharing a final range (e.g. all ranks of an unrefined group) are
     # resolved by ONE sort of that range, picking every requested rank from it
     ranges = (state.filter(F.col("__lo") < F.col("__hi"))
-              .groupBy(*g, "__lo", "__hi", "__below").agg(F.collect_set("__r").alias("__rs")))
+              .groupBy(*g, "__lo", "__hi", "__below").agg(F.collect_set("__r").alias("__rs"))).checkpoint(eager=True)
     rkeys = g + ["__lo", "__hi", "__below"]
-    j = base.join(size_checked_broadcast(ranges), g).filter(F.col("__x").between(F.col("__lo"), F.col("__hi")))
+    j = base.join(measured_broadcast(ranges), g).filter(F.col("__x").between(F.col("__lo"), F.col("__hi")))
     ow = Window.partitionBy(*rkeys).orderBy("__x")  # one final range only
     found = (j.withColumn("__k", F.row_number().over(ow) - 1 + F.col("__below"))
              .filter(F.array_contains("__rs", F.col("__k")))

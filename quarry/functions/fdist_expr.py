@@ -1,10 +1,11 @@
 """F-distribution upper tail as a Spark Column expression (no Python worker).
 
-Same mathematics as ``fdist.f_sf``: ``P(F > f) = I_x(d2/2, d1/2)`` with
-``x = d2 / (d2 + d1 f)``.  ``ln Gamma`` uses the Lanczos approximation
-(g = 7, 9 terms); the continued fraction runs a fixed number of Lentz steps
-inside ``aggregate(sequence(1, N), ...)`` -- once converged the factors are 1,
-so extra steps do not change the value.
+``P(F > f) = I_x(d2/2, d1/2)`` with ``x = d2 / (d2 + d1 f)``, by the continued fraction
+of the incomplete beta function.  Its factor in front is built without differences
+of large numbers, so p-values keep their accuracy at 1e12 degrees of freedom: the
+ratio of gamma functions from Stirling's series with ``log1p``, and ``1 - x`` and
+``log x`` from ``d1 f / d2`` directly.  The fraction runs as many steps as the
+smaller parameter can need; if it has not converged then, the job fails.
 """
 
 from __future__ import annotations
@@ -14,63 +15,90 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Lanczos coefficients for g = 7, n = 9.
-LANCZOS_G = 7.0
-LANCZOS_C = [0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313,
-             -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6,
-             1.5056327351493116e-7]
-STEPS = 300
-_TINY = 1e-300
+# Stirling's series of ln Gamma, coefficients of 1/z, 1/z^3, ...
+STIRLING = [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360]
+#: From here on the series is exact to double precision; smaller arguments are raised to it.
+LARGE = 16
+_STEPS, _TOLERANCE = 200, 1e-10
+
+
+def _series(z: Column) -> Column:
+    inv = 1.0 / z
+    out = F.lit(0.0)
+    for c in reversed(STIRLING):
+        out = out * inv * inv + F.lit(c)
+    return out * inv
+
+
+def _raised(z: Column) -> Column:
+    """ln of z (z + 1) ... (z + LARGE - 1)."""
+    out = z
+    for k in range(1, LARGE):
+        out = out * (z + float(k))
+    return F.log(out)
 
 
 def lgamma(z: Column) -> Column:
-    """ln Gamma(z) for z >= 0.5."""
-    zz = z - 1.0
-    x = F.lit(LANCZOS_C[0])
-    for i, c in enumerate(LANCZOS_C[1:], start=1):
-        x = x + F.lit(c) / (zz + float(i))
-    t = zz + LANCZOS_G + 0.5
-    return F.lit(0.5 * math.log(2 * math.pi)) + (zz + 0.5) * F.log(t) - t + F.log(x)
+    """ln Gamma(z) for z > 0."""
+    def large(w: Column) -> Column:
+        return (w - 0.5) * F.log(w) - w + 0.5 * math.log(2 * math.pi) + _series(w)
+
+    return F.when(z >= LARGE, large(z)).otherwise(large(z + float(LARGE)) - _raised(z))
 
 
-def _guard(v: Column) -> Column:
-    return F.when(F.abs(v) < _TINY, F.lit(_TINY)).otherwise(v)
+def _lgamma_step(a: Column, b: Column) -> Column:
+    """ln Gamma(a + b) - ln Gamma(a)."""
+    large = (a - 0.5) * F.log1p(b / a) + b * F.log(a + b) - b + _series(a + b) - _series(a)
+    return F.when(a >= LARGE, large).otherwise(lgamma(a + b) - lgamma(a))
 
 
-def _beta_cf(a: Column, b: Column, x: Column) -> Column:
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    d0 = 1.0 / _guard(1.0 - qab * x / qap)
-    init = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+def _beta_fraction(a: Column, b: Column, x: Column, y: Column, excess: Column) -> Column:
+    """I_x(a, b) B(a, b) / (x^a y^b) for a, b > 1 and excess = a - (a + b) x >= 0.
 
-    def step(acc, m):
-        m = m.cast("double")
-        m2 = m * 2.0
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 / _guard(1.0 + aa * acc["d"])
-        c = _guard(1.0 + aa / acc["c"])
-        h = acc["h"] * d * c
-        aa2 = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d2 = 1.0 / _guard(1.0 + aa2 * d)
-        c2 = _guard(1.0 + aa2 / c)
-        return F.struct(c2.alias("c"), d2.alias("d"), (h * d2 * c2).alias("h"))
+    The continued fraction in terms of y = 1 - x and the excess, both known without
+    cancellation, so it stays accurate where x is next to 1 (Didonato and Morris)."""
+    c, ratio, one = 1.0 + excess, b / a, 1.0 + 1.0 / a
+    names = ("p", "s", "an", "bn", "an1", "bn1", "r", "last")
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), init, step)["h"]
+    def state(*values):
+        return F.struct(*[v.alias(n) for n, v in zip(names, values)])
 
+    def step(st, k):
+        n = k.cast("double")
+        t, w, e = n / a, n * (b - n) * x, a / st["s"]
+        alpha = st["p"] * (st["p"] + ratio) * e * e * w * x
+        beta = n + w / st["s"] + (1.0 + t) / (one + 2.0 * t) * (c + n * (1.0 + y))
+        an1, bn1 = alpha * st["an"] + beta * st["an1"], alpha * st["bn"] + beta * st["bn1"]
+        new = state(1.0 + t, st["s"] + 2.0, st["an1"] / bn1, st["bn1"] / bn1, an1 / bn1, F.lit(1.0), an1 / bn1, st["r"])
+        return F.when(F.abs(st["r"] - st["last"]) <= 1e-16 * st["r"], st).otherwise(new)  # settled: nothing changes any more
 
-def betainc_reg(a: Column, b: Column, x: Column) -> Column:
-    front = F.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * F.log(x) + b * F.log1p(-x))
-    return (F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0))
-            .when(x < (a + 1.0) / (a + b + 2.0), front * _beta_cf(a, b, x) / a)
-            .otherwise(1.0 - front * _beta_cf(b, a, 1.0 - x) / b))
+    start = state(F.lit(1.0), a + 1.0, F.lit(0.0), F.lit(1.0), F.lit(1.0), c / one, one / c, F.lit(-1.0))
+    steps = F.sequence(F.lit(1), (F.lit(_STEPS) + 10 * F.sqrt(F.least(a, b))).cast("int"))
+    return F.aggregate(steps, start, step, lambda st: F.when(F.abs(st["r"] - st["last"]) <= _TOLERANCE * st["r"], st["r"]).otherwise(
+        F.raise_error(F.lit("the F tail did not converge")).cast("double")))
 
 
 def f_sf_expr(f: Column, d1: Column, d2: Column) -> Column:
     """P(F > f) for F(d1, d2); null when f, d1 or d2 is null or a df is not positive."""
     f, d1, d2 = f.cast("double"), d1.cast("double"), d2.cast("double")
-    x = d2 / (d2 + d1 * f)
+    ratio = d1 * f / d2
+    a, b = d2 / 2.0, d1 / 2.0
+    x, y = 1.0 / (1.0 + ratio), ratio / (1.0 + ratio)
+    # x^a y^b / B(a, b); the larger parameter goes through the step
+    gammas = F.when(a >= b, _lgamma_step(a, b) - lgamma(b)).otherwise(_lgamma_step(b, a) - lgamma(a))
+    front = F.exp(gammas - a * F.log1p(ratio) + b * (F.log(ratio) - F.log1p(ratio)))
+    # the fraction needs parameters above 1: smaller ones are raised by 1, with the recurrences' terms
+    low_a, low_b = a <= 1, b <= 1
+    a1, b1 = a + low_a.cast("double"), b + low_b.cast("double")
+    excess = F.when(y < 0.5, (a1 + b1) * y - b1).otherwise(a1 - (a1 + b1) * x)
+    up_a = F.when(low_a, x * (a + b) / a).otherwise(F.lit(1.0))  # front of (a1, b) by front
+    up_b = F.when(low_b, y * (a1 + b) / b).otherwise(F.lit(1.0))  # front of (a1, b1) by that
+    terms = F.when(low_a, front / a).otherwise(F.lit(0.0)) - F.when(low_b, front * up_a / b).otherwise(F.lit(0.0))
+    raised = front * up_a * up_b
+    tail = F.when(excess >= 0, raised * _beta_fraction(a1, b1, x, y, excess) + terms).otherwise(
+        1.0 - raised * _beta_fraction(b1, a1, y, x, -excess) + terms)
     return (F.when(f.isNull() | d1.isNull() | d2.isNull() | (d1 <= 0) | (d2 <= 0) | F.isnan(f), F.lit(None))
-            .when(f <= 0, F.lit(1.0))
-            .otherwise(betainc_reg(d2 / 2.0, d1 / 2.0, x)).cast("double"))
+            .when(f <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))).cast("double"))
 
 
 # Coefficients of Acklam's rational approximation of the normal quantile.

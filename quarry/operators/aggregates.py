@@ -27,42 +27,29 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 
 # AGG-01 ---------------------------------------------------------------------
-def agg_function(col: str, func: str, order_col: str | None = None) -> Column | None:
-    f = func.lower()
-    c = F.col(col)
-    if f == "mean":
-        return F.avg(c).alias(f"{col}_mean")
-    if f == "sum":
-        return F.sum(c).alias(f"{col}_sum")
-    if f == "min":
-        return F.min(c).alias(f"{col}_min")
-    if f == "max":
-        return F.max(c).alias(f"{col}_max")
-    if f == "count":
-        return F.count(c).alias(f"{col}_count")
-    if f == "std":
-        return F.stddev_samp(c).alias(f"{col}_std")
-    if f in ("first", "last"):
-        if order_col is None:
-            raise ValueError("first/last need an order column (row order is not defined in Spark)")
-        pick = F.min_by if f == "first" else F.max_by
-        return pick(c, F.col(order_col)).alias(col)
-    log.warning("unknown aggregation %s", func)
-    return None
+#: Aggregations of a profile: function and suffix of the output's name.
+GROUP_FUNCTIONS = {"mean": (F.avg, "_mean"), "sum": (F.sum, "_sum"), "min": (F.min, "_min"), "max": (F.max, "_max"),
+                   "count": (F.count, "_count"), "std": (F.stddev_samp, "_std")}
+#: These keep the column's name and pick by the order column.
+ORDERED_FUNCTIONS = {"first": F.min_by, "last": F.max_by}
 
 
 def config_groupby(df: DataFrame, group_by: Sequence[str], aggregations: Mapping[str, str],
                    order_col: str | None = None) -> DataFrame:
-    """Group by the existing keys; ``{column: fn}`` -> ``<column>_<fn>``."""
-    keys = [c for c in group_by if c in df.columns]
-    if not keys:
-        log.warning("no valid group_by columns")
-        return df
-    exprs = [e for e in (agg_function(c, fn, order_col) for c, fn in aggregations.items() if c in df.columns)
-             if e is not None]
-    if not exprs:
-        return df
-    return df.groupBy(*keys).agg(*exprs)
+    """``{column: function}`` by the keys that the table has, as ``<column>_<function>``.
+
+    Without a known key, or without a known column and function, the table comes
+    back as it is.  ``first``/``last`` need ``order_col``: rows have no order of their own."""
+    wanted = {c: fn.lower() for c, fn in aggregations.items() if c in df.columns}
+    if order_col is None and set(wanted.values()) & set(ORDERED_FUNCTIONS):
+        raise ValueError("first/last need an order column")
+    for c, fn in wanted.items():
+        if fn not in GROUP_FUNCTIONS and fn not in ORDERED_FUNCTIONS:
+            log.warning("aggregation %s of %s is unknown: left out", fn, c)
+    picked = [ORDERED_FUNCTIONS[fn](c, order_col).alias(c) for c, fn in wanted.items() if fn in ORDERED_FUNCTIONS]
+    computed = [GROUP_FUNCTIONS[fn][0](c).alias(c + GROUP_FUNCTIONS[fn][1]) for c, fn in wanted.items() if fn in GROUP_FUNCTIONS]
+    keys = [k for k in group_by if k in df.columns]
+    return df.groupBy(*keys).agg(*computed, *picked) if keys and (computed or picked) else df
 
 
 # AGG-02 ---------------------------------------------------------------------
@@ -144,31 +131,28 @@ def column_health(stats: DataFrame, ranges: Mapping[str, tuple[float, float]] |
 
 
 # AGG-06 / 07 / 08 -------------------------------------------------------------
-def parse_grouping(grouping: str | Sequence[str]) -> list[str]:
-    if not isinstance(grouping, str):
-        return list(grouping)
-    fixed = {"by_side": ["side"], "by_wafer": ["wafer"], "by_side_wafer": ["side", "wafer"],
-             "contexts": ["side", "wafer", "imcol"], "none": []}
-    if grouping in fixed:
-        return fixed[grouping]
-    return [grouping[3:]] if grouping.startswith("by_") else []
+#: Named groupings.
+GROUPINGS = {"none": (), "by_side": ("side",), "by_wafer": ("wafer",), "by_side_wafer": ("side", "wafer"), "contexts": ("side", "wafer", "imcol")}
+METRIC_FUNCTIONS = {"avg": F.avg, "median": F.median, **{name: fn for name, (fn, _) in GROUP_FUNCTIONS.items()}}
 
 
-_AGG_FN = {"mean": F.avg, "avg": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max,
-           "std": F.stddev_samp, "median": F.median}
+def parse_grouping(grouping: str | Sequence[str]) -> list[str]:
+    """Columns of a grouping: a list as it is, a named one, or the rest of ``by_<column>``."""
+    if isinstance(grouping, str):
+        by_column = (grouping.removeprefix("by_"),) if grouping.startswith("by_") else ()
+        return list(GROUPINGS.get(grouping, by_column))
+    return [*grouping]
 
 
 def group_pattern(df: DataFrame, grouping: str | Sequence[str], metrics: Sequence[str], agg: str = "mean") -> DataFrame:
-    """Group by a pattern; null keys are dropped (pandas groupby default)."""
-    keys = [c for c in parse_grouping(grouping) if c in df.columns]
-    mets = [m for m in metrics if m in df.columns]
-    if not keys or not mets:
+    """Metrics by a grouping under their own names; rows with a null key are left out.
+    The table comes back as it is when it has none of the keys or of the metrics."""
+    present = set(df.columns)
+    keys = [k for k in parse_grouping(grouping) if k in present]
+    values = {m: METRIC_FUNCTIONS.get(agg, F.avg)(m) for m in metrics if m in present}
+    if not (keys and values):
         return df
-    fn = _AGG_FN.get(agg, F.avg)
-    nn = F.lit(True)
-    for k in keys:
-        nn = nn & F.col(k).isNotNull()
-    return df.filter(nn).groupBy(*keys).agg(*[fn(m).alias(m) for m in mets])
+    return df.dropna(subset=keys).groupBy(*keys).agg(*(v.alias(m) for m, v in values.items()))
 
 
 def report_table(df: DataFrame, filters: Mapping[str, object], grouping: str | Sequence[str],
@@ -188,8 +172,7 @@ def kpi(df: DataFrame, metric: str, agg: str = "mean", decimals: int = 2) -> Dat
     if metric.lower() not in lower:
         raise ValueError(f"metric {metric} not found")
     col = lower[metric.lower()]
-    fn = {"mean": F.avg, "sum": F.sum, "count": F.count, "min": F.min, "max": F.max}.get(agg, F.avg)
-    val = fn(F.col(col)).cast("double")
+    val = METRIC_FUNCTIONS.get(agg, F.avg)(F.col(col)).cast("double")
     return df.agg(val.alias("value")).select(
         "value", F.regexp_replace(F.format_number(F.col("value"), decimals), ",", "").alias("text"))
 
@@ -202,9 +185,8 @@ def pivot_mean(df: DataFrame, row: str, col: str, value: str, col_values: Sequen
     if long:
         return df.groupBy(row, col).agg(F.avg(value).alias("mean"))
     if col_values is None:
-        col_values = [r[0] for r in df.select(col).distinct().orderBy(col).limit(10_001).collect()]
-        if len(col_values) > 10_000:
-            raise ValueError("pivot over more than 10,000 columns; use long=True")
+        # the values are the output's columns; for a large domain ask for the long form
+        col_values = [r[0] for r in df.select(col).distinct().orderBy(col).collect()]
     return df.groupBy(row).pivot(col, list(col_values)).agg(F.avg(value))
 
 
@@ -212,23 +194,27 @@ def pivot_mean(df: DataFrame, row: str, col: str, value: str, col_values: Sequen
 def histogram(df: DataFrame, column: str, bins: int = 20, group_cols: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins over [min, max]; the last bin is closed; nulls dropped.
     Output: bin, lower, upper, count (per group when ``group_cols``)."""
-    g = list(group_cols) or ["__g"]
+    g = list(group_cols)
     x = F.col(column).cast("double")
     base = df.select(*[F.col(c) for c in group_cols], x.alias("__x")).filter(F.col("__x").isNotNull())
-    if not group_cols:
-        base = base.withColumn("__g", F.lit(1))
-    rng = base.groupBy(*g).agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    ends = F.min("__x").alias("__lo"), F.max("__x").alias("__hi")
+    if group_cols:
+        rng = base.groupBy(*g).agg(*ends)
+        ranged = base.join(rng, g, "inner")
+    else:  # one row of statistics: literals, no join
+        row = base.agg(*ends).first()
+        ranged = base.withColumns({"__lo": F.lit(row["__lo"]).cast("double"), "__hi": F.lit(row["__hi"]).cast("double")})
     w = (F.col("__hi") - F.col("__lo")) / F.lit(bins)
     b = F.when(w == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col("__x") - F.col("__lo")) / w), F.lit(bins - 1))).cast("int")
     # pre-aggregate to (group, bin) before the join: the range table has one row per group
-    counted = (base.join(rng, g, "inner").withColumn("bin", b)
+    counted = (ranged.withColumn("bin", b)
                .groupBy(*g, "bin", "__lo", "__hi").agg(F.count(F.lit(1)).alias("count")))
     out = counted.select(*g, "bin",
                          (F.col("__lo") + F.col("bin") * (F.col("__hi") - F.col("__lo")) / bins).alias("lower"),
                          (F.col("__lo") + (F.col("bin") + 1) * (F.col("__hi") - F.col("__lo")) / bins).alias("upper"),
                          "count")
-    return out if group_cols else out.drop("__g")
+    return out
 
 
 # AGG-11 ---------------------------------------------------------------------
@@ -254,6 +240,11 @@ def box_stats(df: DataFrame, value: str, by: Sequence[str] = (), whisker: float
                      F.col("__q")[2].alias("q3"))
     q = q.withColumn("__lo", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
          .withColumn("__hi", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
+    from quarry.operators.joins import measured_broadcast
+    from quarry.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    q = measured_broadcast(q.checkpoint(eager=True))  # a row a group
     inside = F.col("__x").between(F.col("__lo"), F.col("__hi"))
     w = (base.join(q.select(*g, "__lo", "__hi"), g, "inner").groupBy(*g)
          .agg(F.min(F.when(inside, F.col("__x"))).alias("whisker_low"),
@@ -281,10 +272,9 @@ def grouping_stats(df: DataFrame, dims: Sequence[str], size_col: str | None = No
 # AGG-13 ---------------------------------------------------------------------
 def usage_cost(calls: DataFrame, prices: DataFrame, model_col: str = "model", in_col: str = "input_tokens",
                out_col: str = "output_tokens") -> DataFrame:
-    """Per call cost ``in/1e6*price_in + out/1e6*price_out``; price table is a
-    small literal table (broadcast-safe: one row per model)."""
-    p = F.broadcast(prices)
-    return (calls.join(p, model_col, "left")
+    """Per call cost ``in/1e6*price_in + out/1e6*price_out`` from a price table with a row per model.
+    The join is left to Spark, which broadcasts the price table where its measured size allows."""
+    return (calls.join(prices, model_col, "left")
             .withColumn("cost", F.coalesce(F.col(in_col), F.lit(0)) / 1e6 * F.coalesce(F.col("price_in"), F.lit(0.0))
                         + F.coalesce(F.col(out_col), F.lit(0)) / 1e6 * F.coalesce(F.col("price_out"), F.lit(0.0))))
 
@@ -315,17 +305,21 @@ def pattern_ratio(df: DataFrame, columns: Sequence[str], patterns: Mapping[str,
 
 
 # AGG-15 ---------------------------------------------------------------------
+def missing_keys(required: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
+    """The required keys that are not mapped, one a row."""
+    return required.select(key).distinct().join(mapped.select(key), key, "left_anti")
+
+
 def coverage(required: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
-    """mapped/required x100, missing list, green >= 100 / yellow >= 80 / red; empty = green 100."""
-    r = required.select(F.col(key)).distinct()
-    m = mapped.select(F.col(key).alias("__m")).distinct()
-    j = r.join(m, r[key] == m["__m"], "left")
-    agg = j.agg(F.count(F.lit(1)).alias("required"), F.count("__m").alias("mapped"),
-                F.array_join(F.sort_array(F.collect_list(F.when(F.col("__m").isNull(), F.col(key).cast("string")))), ",")
-                .alias("missing"))
+    """Required and mapped distinct keys, mapped / required x 100, and its colour
+    (green >= 100, yellow >= 80, else red; nothing required is green).
+    :func:`missing_keys` has the keys behind the difference."""
+    found = mapped.select(key).distinct().withColumn("__mapped", F.lit(True))
+    counts = required.select(key).distinct().join(found, key, "left").agg(
+        F.count(F.lit(1)).alias("required"), F.count("__mapped").alias("mapped"))
     pct = F.when(F.col("required") == 0, F.lit(100.0)).otherwise(F.col("mapped") * 100.0 / F.col("required"))
-    return agg.withColumn("coverage_pct", F.round(pct, 6)).withColumn(
-        "status", F.when(F.col("coverage_pct") >= 100, "green").when(F.col("coverage_pct") >= 80, "yellow").otherwise("red"))
+    colour = F.when(F.col("coverage_pct") >= 100, "green").when(F.col("coverage_pct") >= 80, "yellow").otherwise("red")
+    return counts.withColumn("coverage_pct", F.round(pct, 6)).withColumn("status", colour)
 
 
 # OPT-05 ---------------------------------------------------------------------------

@@ -5,7 +5,7 @@ Every context field is ONE column expression:
 -- no UDF, no per-file loop.  Python named groups are rewritten to numbered
 groups because Java rejects ``_`` in group names.  Context is attached with a
 join on ``file_path`` (per-file values, never one merged dictionary); the
-context table has one row per file and is broadcast only after a size check.
+context table has one row per file; Spark broadcasts it where its measured size allows.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.joins import size_checked_broadcast
 from quarry.operators.transforms import sanitize_regex_group_names
 
 
@@ -138,7 +137,7 @@ def attach_context(df: DataFrame, ctx: DataFrame, on: Sequence[str] | str = "fil
     if not wanted:
         return df
     small = ctx.select(*on, *wanted).dropDuplicates(on)
-    return df.join(size_checked_broadcast(small), on, "left")
+    return df.join(small, on, "left")
 
 
 def python_pattern_to_java(pattern: str) -> str:

@@ -3,9 +3,12 @@
 Documents are parsed once into a ``VARIANT`` column (``try_parse_json``, so a
 malformed file yields null instead of failing the job).  A JSONPath is split
 at each ``[*]`` into ``posexplode`` steps over ``array<variant>``; typed values
-come from ``try_variant_get``.  Column discovery (object keys, header arrays)
-is a small aggregate -- ``schema_of_variant_agg`` per key, distinct header
-arrays -- whose size is bounded and checked, then one ``select`` plan per table.
+come from ``try_variant_get``.  A table's columns are found by one aggregate
+over the documents (``schema_of_variant_agg``; a row a column at most) unless the
+configuration gives their types; then one ``select`` over the same scan extracts
+all columns, however many header sets or nesting levels there are.  Values of
+different types under one name become text.  There is no limit on columns unless
+the user sets one, and exceeding that stops the run (:class:`LimitExceeded`).
 """
 
 from __future__ import annotations
@@ -17,16 +20,20 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
-MAX_DISCOVERED_COLUMNS = 1_000
-MAX_HEADER_SETS = 1_000
 DATA_KEYS = ("data", "values", "rows", "bins", "items")
 HEADER_KEYS = ("headers", "columns")
+HOWS = ("left", "right", "inner", "outer")
 STRATEGIES = ("flat_object", "headers_data", "array_of_objects", "repeat_over", "unpivot", "join")
 
 
+class LimitExceeded(ValueError):
+    """A limit that the user set is exceeded: the run stops."""
+
+
 # paths ----------------------------------------------------------------------------
 def _norm_path(path: str | None) -> str:
     if not path or path == "$":
@@ -106,125 +113,132 @@ def typed(v: Column, t: str) -> Column:
     return F.try_variant_get(v, "$", t)
 
 
-def discover_fields(df: DataFrame, vcol: str) -> list[tuple[str, str]]:
-    """Union of object keys with their merged variant type (small aggregate, bounded)."""
-    kv = df.select(F.explode(F.try_variant_get(F.col(vcol), "$", "map<string,variant>")).alias("k", "val"))
-    rows = (kv.groupBy("k").agg(F.schema_of_variant_agg("val").alias("t"))
-            .orderBy("k").limit(MAX_DISCOVERED_COLUMNS + 1).collect())
-    if len(rows) > MAX_DISCOVERED_COLUMNS:
-        raise ValueError(f"more than {MAX_DISCOVERED_COLUMNS} keys; give an explicit field list")
-    return [(r["k"], r["t"]) for r in rows]
+def _as_ddl(variant_type: str) -> str:
+    """A variant's type name as Spark DDL (quoted field names stay as they are)."""
+    return re.sub(r"`(?:[^`]|``)*`|OBJECT<", lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], variant_type)
+
+
+def _kind(t: T.DataType) -> str:
+    if isinstance(t, T.StructType):
+        return "object"
+    return spark_type_for(t.simpleString())
+
+
+def is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
+def discover_object(df: DataFrame, vcol: str, max_columns: int | None = None) -> T.StructType:
+    """All keys of the objects in a variant column with their merged types, nested ones too: one aggregate, one row."""
+    found = df.agg(F.schema_of_variant_agg(F.when(is_object(F.col(vcol)), F.col(vcol))).alias("t")).first()["t"]
+    struct = T.DataType.fromDDL(_as_ddl(found)) if (found or "").startswith("OBJECT<") else T.StructType([])
+    if max_columns is not None and len(struct.fields) > max_columns:
+        raise LimitExceeded(f"{len(struct.fields)} keys exceed the limit of {max_columns}")
+    return struct
 
 
-def _key_path(key: str) -> str:
-    return "$['" + key.replace("'", "\\'") + "']"
+def discover_fields(df: DataFrame, vcol: str, max_columns: int | None = None) -> list[tuple[str, str]]:
+    """Keys of the objects in a variant column and the kind of their values, by key."""
+    return sorted((f.name, _kind(f.dataType)) for f in discover_object(df, vcol, max_columns).fields)
+
+
+def child(v: Column, key: str) -> Column:
+    """The value under a key, whatever quotes the key has."""
+    if '"' not in key and "\\" not in key:
+        return F.try_variant_get(v, f'$["{key}"]', "variant")
+    return F.try_element_at(F.try_variant_get(v, "$", "map<string,variant>"), F.lit(key))
 
 
 # EXT-01 ---------------------------------------------------------------------------------
 def flat_object(docs: DataFrame, path: str = "$", flatten_nested: bool = True, flatten_separator: str = "_",
-                doc_col: str = "doc", keep: Sequence[str] = ("file_path",)) -> DataFrame:
+                doc_col: str = "doc", keep: Sequence[str] = ("file_path",), max_columns: int | None = None) -> DataFrame:
     """One row per document from the object at ``path``.  Nested objects become
     prefixed columns (or JSON text when ``flatten_nested`` is false); lists
     become JSON text.  Keys come out in sorted order (VARIANT sorts them)."""
     keep = [k for k in keep if k in docs.columns]
     base = docs.select(*keep, at(F.col(doc_col), path).alias("__o"))
-    cols: list[Column] = []
-
-    def flatten(vexpr: Column, prefix: str):
-        # one small discovery aggregate per nesting level
-        for key, vt in discover_fields(base.select(vexpr.alias("__d")), "__d"):
-            t = spark_type_for(vt)
-            child = F.try_variant_get(vexpr, _key_path(key), "variant")
-            name = f"{prefix}{flatten_separator}{key}" if prefix else key
-            if t == "object" and flatten_nested:
-                flatten(child, name)
+
+    def columns(struct: T.StructType, v: Column, prefix: str):
+        for f in struct.fields:
+            name = f"{prefix}{flatten_separator}{f.name}" if prefix else f.name
+            if isinstance(f.dataType, T.StructType) and flatten_nested:
+                yield from columns(f.dataType, child(v, f.name), name)
             else:
-                cols.append(typed(child, t).alias(name))
+                yield typed(child(v, f.name), _kind(f.dataType)).alias(name)
 
-    flatten(F.col("__o"), "")
-    return base.select(*keep, *cols)
+    return base.select(*keep, *columns(discover_object(base, "__o", max_columns), F.col("__o"), ""))
 
 
 # EXT-02 ---------------------------------------------------------------------------------
 def _first_present(v: Column, keys: Sequence[str], typ: str) -> Column:
-    return F.coalesce(*[F.try_variant_get(v, _key_path(k), typ) for k in keys])
+    return F.coalesce(*[F.try_variant_get(child(v, k), "$", typ) for k in keys])
+
+
+def _header_rows(docs: DataFrame, path: str, headers_key: str | None, data_key: str | None, infer_headers: bool,
+                 default_headers: Sequence[str] | None, doc_col: str, keep: Sequence[str]) -> DataFrame:
+    """``keep`` columns, __h (a block's headers), __row (null for a block without rows) and __c (the row's cells by header)."""
+    blk = explode_path(docs.select(*keep, F.col(doc_col)), doc_col, path, "__blk").select(
+        *keep, _first_present(F.col("__blk"), [headers_key] if headers_key else HEADER_KEYS, "array<string>").alias("__h"),
+        _first_present(F.col("__blk"), [data_key] if data_key else DATA_KEYS, "array<variant>").alias("__rows"))
+    headers = [F.col("__h")]
+    if infer_headers:  # from a block whose first row is a list
+        width = F.array_max(F.transform("__rows", lambda r: F.size(F.try_variant_get(r, "$", "array<variant>"))))
+        first = F.try_variant_get(F.get("__rows", F.lit(0)), "$", "array<variant>")
+        headers.append(F.when(first.isNotNull(), F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.concat(F.lit("col_"), i.cast("string")))))
+    if default_headers:
+        headers.append(F.array(*map(F.lit, default_headers)))
+    rows = blk.withColumn("__h", F.coalesce(*headers)).where("__h IS NOT NULL").select(*keep, "__h", F.explode_outer("__rows").alias("__row"))
+    r = F.col("__row")
+    members = F.try_variant_get(r, "$", "map<string,variant>")
+    cells = F.coalesce(F.try_variant_get(r, "$", "array<variant>"),  # a list: by position
+                       F.when(members.isNotNull(), F.transform("__h", lambda h: F.try_element_at(members, h))),  # an object: by name
+                       F.when(r.isNotNull(), F.array(r)))  # a scalar: the first cell
+    return rows.withColumn("__c", cells)
 
 
 def headers_data(docs: DataFrame, path: str = "$", headers_key: str | None = None, data_key: str | None = None,
                  infer_headers: bool = False, default_headers: Sequence[str] | None = None,
-                 doc_col: str = "doc", keep: Sequence[str] = ("file_path",)) -> DataFrame:
-    """A header array plus row arrays -> table.  Short rows are padded with null,
-    long rows are cut to the headers.  Without headers: ``default_headers`` or
-    ``col_0..`` (``infer_headers``).  Object rows are matched by header name.
-    Blocks with different headers are extracted per header set and unioned by name."""
+                 doc_col: str = "doc", keep: Sequence[str] = ("file_path",), types: Mapping[str, str] | None = None,
+                 max_columns: int | None = None) -> DataFrame:
+    """A header array plus rows -> table.  Short rows are padded with null, long
+    rows cut to the headers; object rows go by name, a scalar row is one cell.
+    Headers: the block's own, else ``col_0..`` (``infer_headers``), else
+    ``default_headers``.  Blocks may differ in their headers: the table has all of
+    them, in the order of their places.  Of a name that a block repeats the last
+    place counts.  ``types`` (name -> Spark type) replaces the discovery.
+
+    ``keep`` columns of type VARIANT get their type in the same discovery."""
     keep = [k for k in keep if k in docs.columns]
-    blk = explode_path(docs.select(*keep, F.col(doc_col)), doc_col, path, "__blk")
-    hkeys = [headers_key] if headers_key else list(HEADER_KEYS)
-    dkeys = [data_key] if data_key else list(DATA_KEYS)
-    blk = blk.select(*keep, _first_present(F.col("__blk"), hkeys, "array<string>").alias("__h"),
-                     _first_present(F.col("__blk"), dkeys, "array<variant>").alias("__rows"))
-    rows = blk.select(*keep, "__h", F.posexplode("__rows").alias("__rn", "__r"))
-    if default_headers:
-        rows = rows.withColumn("__h", F.coalesce(F.col("__h"), F.array(*[F.lit(h) for h in default_headers])))
-    elif infer_headers:
-        n = rows.filter(F.col("__h").isNull()).agg(F.max(F.size(
-            F.try_variant_get(F.col("__r"), "$", "array<variant>")))).first()[0] or 0
-        rows = rows.withColumn("__h", F.coalesce(F.col("__h"), F.array(*[F.lit(f"col_{i}") for i in range(n)])))
-    # ONE discovery job: header sets and the merged type of every header position.
-    # Array rows give (position -> value); object rows give (header name -> value).
-    # One scan: every row contributes (position, value) entries, (k:name, value)
-    # entries for object rows, and one marker entry so each header set appears.
-    entry_t = "array<struct<k:string,v:variant>>"
-    arr = F.try_variant_get(F.col("__r"), "$", "array<variant>")
-    obj = F.try_variant_get(F.col("__r"), "$", "map<string,variant>")
-    pos_e = F.coalesce(F.transform(arr, lambda v, i: F.struct(i.cast("string").alias("k"), v.alias("v"))),
-                       F.array().cast(entry_t))
-    key_e = F.coalesce(F.transform(F.map_entries(obj), lambda e: F.struct(F.concat(F.lit("k:"), e["key"]).alias("k"),
-                                                                          e["value"].alias("v"))),
-                       F.array().cast(entry_t))
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("k"), F.lit(None).cast("variant").alias("v")))
-    found = (rows.filter(F.col("__h").isNotNull())
-             .select("__h", F.explode(F.concat(pos_e, key_e, marker)).alias("__e"))
-             .groupBy("__h", F.col("__e.k").alias("__k")).agg(F.schema_of_variant_agg("__e.v").alias("__t"))
-             .collect())  # one row per (header set, column): checked against the limits below
-    info: dict[tuple, dict[str, str]] = {}
-    for r in found:
-        info.setdefault(tuple(r["__h"]), {})
-        if r["__k"] is not None:
-            info[tuple(r["__h"])][r["__k"]] = r["__t"]
-    if len(info) > MAX_HEADER_SETS:
-        raise ValueError("too many distinct header sets")
-    parts = []
-    for hdr, tmap in sorted(info.items()):
-        hdr = list(hdr)
-        sub = rows.filter(F.col("__h") == F.array(*[F.lit(h) for h in hdr]))
-        cell = lambda i, h: F.coalesce(F.try_variant_get(F.col("__r"), f"$[{i}]", "variant"),
-                                       F.try_variant_get(F.col("__r"), _key_path(h), "variant"))
-
-        def col_type(i, h):
-            ts = [t for t in (tmap.get(str(i)), tmap.get("k:" + h)) if t]
-            kinds = {spark_type_for(t) for t in ts}
-            if len(kinds) == 1:
-                return kinds.pop()
-            return "double" if kinds and kinds <= {"bigint", "double"} else "string"
-
-        sel = [typed(cell(i, h), col_type(i, h)).alias(h) for i, h in enumerate(hdr)]
-        parts.append(sub.select(*keep, "__rn", *sel))
-    if not parts:
-        return docs.select(*keep).limit(0)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return out.drop("__rn")
+    rows = _header_rows(docs, path, headers_key, data_key, infer_headers, default_headers, doc_col, keep)
+    variants = [k for k in keep if isinstance(docs.schema[k].dataType, T.VariantType)]
+    if types is None or variants:
+        cells = F.transform("__h", lambda h, i: F.struct(h.alias("name"), i.alias("place"), F.get("__c", i).alias("v")))
+        kept = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(-1 - n).alias("place"), F.col(k).alias("v")) for n, k in enumerate(variants)])
+        found = rows.select(F.explode(F.concat(cells, kept) if variants else cells).alias("e")).groupBy(
+            "e.name", (F.col("e.place") < 0).alias("kept")).agg(F.min("e.place").alias("place"), F.schema_of_variant_agg("e.v").alias("t"))
+        found = sorted(found.collect(), key=lambda f: (f["place"], f["name"]))  # a row a column of the table
+    else:
+        found = []
+    kept_kinds = {f["name"]: spark_type_for(f["t"]) for f in found if f["kept"]}
+    kinds = dict(types) if types is not None else {f["name"]: spark_type_for(f["t"]) for f in found if not f["kept"]}
+    if max_columns is not None and len(kinds) > max_columns:
+        raise LimitExceeded(f"{len(kinds)} columns exceed the limit of {max_columns}")
+
+    def cell(name: str) -> Column:
+        back = F.array_position(F.reverse("__h"), F.lit(name))  # the last place of the name
+        return F.get("__c", F.when(back > 0, F.size("__h") - back).cast("int"))
+
+    own = [typed(F.col(k), kept_kinds.get(k, "string")).alias(k) if k in variants else F.col(k) for k in keep]
+    return rows.where("__row IS NOT NULL").select(*own, *(typed(cell(n), t).alias(n) for n, t in kinds.items() if n not in keep))
 
 
 # EXT-03 ---------------------------------------------------------------------------------
 def array_of_objects(docs: DataFrame, path: str, fields: Sequence[str] | None = None, doc_col: str = "doc",
-                     keep: Sequence[str] = ("file_path",)) -> DataFrame:
+                     keep: Sequence[str] = ("file_path",), max_columns: int | None = None) -> DataFrame:
     """One row per array element; columns = union of keys (or ``fields``), missing -> null."""
     keep = [k for k in keep if k in docs.columns]
     el = _object_elements(docs, path, doc_col, keep)
-    return _select_objects(el, discover_fields(el, "__o"), fields, keep)
+    return _select_objects(el, discover_fields(el, "__o", max_columns), fields, keep)
 
 
 def _object_elements(docs: DataFrame, path: str, doc_col: str, keep: Sequence[str]) -> DataFrame:
@@ -238,9 +252,7 @@ def _select_objects(el: DataFrame, found: Sequence[tuple[str, str]], fields: Seq
     if fields:
         tmap = dict(found)
         found = [(f, tmap.get(f)) for f in fields]
-    cols = [typed(F.try_variant_get(F.col("__o"), _key_path(k), "variant"), spark_type_for(t)).alias(k)
-            for k, t in found]
-    return el.select(*keep, *cols)
+    return el.select(*keep, *(typed(child(F.col("__o"), k), t or "string").alias(k) for k, t in found))
 
 
 # EXT-04 ---------------------------------------------------------------------------------
@@ -259,19 +271,16 @@ def repeat_over(docs: DataFrame, path: str, as_name: str, base: Mapping[str, Any
         ip = ipath.replace("{" + as_name + "}", "$")
         inj_cols.append(F.try_variant_get(F.col("__item"), _norm_path(ip), "variant").alias(f"__inj_{name}"))
     el = el.select(*keep, "__item_pos", F.col("__item").alias("__doc"), *inj_cols)
-    types = None
-    if inject:
-        # type discovery on the exploded elements only (not on the extracted table)
-        types = el.agg(*[F.schema_of_variant_agg(f"__inj_{n}").alias(n) for n in inject]).first()
     cfg = dict(base)
-    bpath = cfg.get("path", "$").replace("{" + as_name + "}", "$")
-    cfg["path"] = bpath
-    inner_keep = list(keep) + ["__item_pos"] + [f"__inj_{n}" for n in inject]
-    out = extract_with(el, cfg, doc_col="__doc", keep=inner_keep)
-    if inject:
-        out = out.select(*[c for c in out.columns if not c.startswith("__inj_")],
-                         *[typed(F.col(f"__inj_{n}"), spark_type_for(types[n])).alias(n) for n in inject])
-    return out.drop("__item_pos")
+    cfg["path"] = cfg.get("path", "$").replace("{" + as_name + "}", "$")
+    names = {f"__inj_{n}": n for n in inject}
+    out = extract_with(el, cfg, doc_col="__doc", keep=[*keep, "__item_pos", *names])
+    still = [c for c in names if c in out.columns and isinstance(out.schema[c].dataType, T.VariantType)]
+    if still:  # strategies that do not type what they keep
+        found = el.agg(*[F.schema_of_variant_agg(c).alias(c) for c in still]).first()
+        out = out.withColumns({c: typed(F.col(c), spark_type_for(found[c])) for c in still})
+    rest = [c for c in out.columns if c not in names and c not in inject]
+    return out.select(*rest, *(F.col(c).alias(n) for c, n in names.items())).drop("__item_pos")
 
 
 # EXT-05 ---------------------------------------------------------------------------------
@@ -291,27 +300,66 @@ def unpivot_table(df: DataFrame, id_vars: Sequence[str], value_vars: Sequence[st
 
 
 # EXT-06 ---------------------------------------------------------------------------------
+def _key_text(v: Column) -> Column:
+    """A key as text that is equal for equal values: numbers by value, the rest by their JSON."""
+    number = F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return F.when(number, F.concat(F.lit("n"), F.try_variant_get(v, "$", "decimal(38,9)").cast("string"))).otherwise(F.to_json(v))
+
+
 def doc_join(docs: DataFrame, left: Mapping[str, str], right: Mapping[str, str], how: str = "left",
              doc_col: str = "doc", id_col: str = "file_path") -> DataFrame:
-    """Join two object arrays of the same document on a key; the right key is
-    renamed to the left key; the join never crosses documents."""
-    le = _object_elements(docs, strip_wildcard(left["path"]), doc_col, [id_col])
-    re_ = _object_elements(docs, strip_wildcard(right["path"]), doc_col, [id_col])
-    # both sides' keys and types in ONE discovery aggregate (side-tagged)
-    both = (le.select(F.lit("l").alias("__side"), "__o").unionByName(re_.select(F.lit("r").alias("__side"), "__o"))
-            .select("__side", F.explode(F.try_variant_get(F.col("__o"), "$", "map<string,variant>")).alias("k", "val"))
-            .groupBy("__side", "k").agg(F.schema_of_variant_agg("val").alias("t")).collect())
-    if len(both) > 2 * MAX_DISCOVERED_COLUMNS:
-        raise ValueError("too many keys; give explicit fields")
-    found = {s: sorted((r["k"], r["t"]) for r in both if r["__side"] == s) for s in ("l", "r")}
-    lt = _select_objects(le, found["l"], None, [id_col])
-    rt = _select_objects(re_, found["r"], None, [id_col])
+    """Join two object arrays of the same document on a key, inside the document: no shuffle.
+
+    Numbers are equal by value; null keys match nothing.  The key has the left
+    name; other names of the right that the left has too get ``_right``.  A
+    document without the left or the right array, or with an empty left one, gives
+    no rows; one whose right array is empty or never has the key gives its left
+    rows, whatever the join."""
+    if how not in HOWS:
+        raise ValueError(f"how must be one of {', '.join(HOWS)}")
     lk, rk = left["key"], right["key"]
-    if rk != lk:
-        rt = rt.withColumnRenamed(rk, lk)
-    clash = {c: f"{c}_right" for c in rt.columns if c in lt.columns and c not in (lk, id_col)}
-    rt = rt.withColumnsRenamed(clash) if clash else rt
-    return lt.join(rt, [id_col, lk], {"outer": "full"}.get(how, how))
+
+    def elements(path: str) -> Column:
+        *steps, last = split_path(strip_wildcard(path))
+        v = F.col(doc_col)
+        if not steps:
+            return F.try_variant_get(at(v, last), "$", "array<variant>")
+        arrays = F.array(v)
+        for seg in steps:
+            arrays = F.flatten(F.transform(arrays, lambda x, seg=seg: F.coalesce(F.try_variant_get(at(x, seg), "$", "array<variant>"), F.array().cast("array<variant>"))))
+        return F.flatten(F.transform(arrays, lambda x: F.coalesce(F.try_variant_get(at(x, last), "$", "array<variant>"), F.array().cast("array<variant>"))))
+
+    def keyed(values: Column, key: str) -> Column:
+        return F.transform(F.filter(values, is_object), lambda v: F.struct(_key_text(child(v, key)).alias("k"), v.alias("v")))
+
+    sides = docs.select(id_col, keyed(elements(left["path"]), lk).alias("__l"), keyed(elements(right["path"]), rk).alias("__r")).where(
+        "__l IS NOT NULL AND __r IS NOT NULL")
+    entry = "struct<l:variant,r:variant>"
+    none = F.lit(None).cast("variant")
+
+    def pairs(l):
+        match = F.filter("__r", lambda r: r["k"] == l["k"])
+        alone = F.array(F.struct(l["v"].alias("l"), none.alias("r"))) if how in ("left", "outer") else F.array().cast(f"array<{entry}>")
+        return F.when(F.size(match) > 0, F.transform(match, lambda r: F.struct(l["v"].alias("l"), r["v"].alias("r")))).otherwise(alone)
+
+    joined = F.flatten(F.transform("__l", pairs))
+    if how in ("right", "outer"):
+        unmatched = F.filter("__r", lambda r: ~F.coalesce(F.exists("__l", lambda l: l["k"] == r["k"]), F.lit(False)))
+        joined = F.concat(joined, F.transform(unmatched, lambda r: F.struct(none.alias("l"), r["v"].alias("r"))))
+    only_left = F.transform("__l", lambda l: F.struct(l["v"].alias("l"), none.alias("r")))
+    has_key = F.coalesce(F.exists("__r", lambda r: r["k"].isNotNull()), F.lit(False))
+    rows = sides.where(F.size("__l") > 0).select(id_col, F.explode(F.when(has_key, joined).otherwise(only_left)).alias("__p")).select(
+        id_col, F.col("__p.l").alias("__l"), F.col("__p.r").alias("__r"))
+
+    # both sides' keys and types by one aggregate over the documents
+    side = sides.select(*(F.transform(c, lambda x: x["v"]).alias(c) for c in ("__l", "__r"))).select(F.explode(F.concat(
+        F.transform("__l", lambda v: F.struct(v.alias("l"), none.alias("r"))), F.transform("__r", lambda v: F.struct(none.alias("l"), v.alias("r"))))).alias("e"))
+    found = side.agg(*(F.schema_of_variant_agg(f"e.{c}").alias(c) for c in "lr")).first()
+    lt, rt = ({f.name: _kind(f.dataType) for f in T.DataType.fromDDL(_as_ddl(found[c])).fields} if (found[c] or "").startswith("OBJECT<") else {} for c in "lr")
+    key_kind = lt.get(lk, "string") if lt.get(lk) == rt.get(rk, lt.get(lk)) else "double" if {lt.get(lk), rt.get(rk)} <= {"bigint", "double"} else "string"
+    key = F.coalesce(child(F.col("__l"), lk), child(F.col("__r"), rk))
+    return rows.select(id_col, typed(key, key_kind).alias(lk), *(typed(child(F.col("__l"), n), t).alias(n) for n, t in lt.items() if n != lk),
+                       *(typed(child(F.col("__r"), n), t).alias(f"{n}_right" if n in lt else n) for n, t in rt.items() if n != rk))
 
 
 # EXT-07 / 08 -------------------------------------------------------------------------------
@@ -321,8 +369,13 @@ def validate_config(cfg: Mapping[str, Any]) -> list[str]:
     s = cfg.get("strategy")
     if s not in STRATEGIES:
         errs.append(f"unknown strategy {s}")
-    if s in ("array_of_objects",) and not cfg.get("path"):
+    if s == "array_of_objects" and not cfg.get("path"):
         errs.append("array_of_objects needs a path")
+    if s == "headers_data" and cfg.get("strict"):
+        if not (cfg.get("headers_key") or cfg.get("infer_headers") or cfg.get("default_headers")):
+            errs.append("headers_data needs headers_key, infer_headers or default_headers")
+        if not cfg.get("data_key"):
+            errs.append("headers_data needs data_key")
     if s == "repeat_over" or cfg.get("repeat_over"):
         ro = cfg.get("repeat_over") or {}
         if not ro.get("path") or not ro.get("as"):
@@ -333,6 +386,8 @@ def validate_config(cfg: Mapping[str, Any]) -> list[str]:
         for side in ("left", "right"):
             if not (cfg.get(side) or {}).get("path") or not (cfg.get(side) or {}).get("key"):
                 errs.append(f"join needs {side}.path and {side}.key")
+        if cfg.get("how", "left") not in HOWS:
+            errs.append(f"join how must be one of {', '.join(HOWS)}")
     return errs
 
 
@@ -349,12 +404,12 @@ def extract_with(docs: DataFrame, cfg: Mapping[str, Any], doc_col: str = "doc",
     s = cfg["strategy"]
     if s == "flat_object":
         return flat_object(docs, cfg.get("path", "$"), cfg.get("flatten_nested", True),
-                           cfg.get("flatten_separator", "_"), doc_col, keep)
+                           cfg.get("flatten_separator", "_"), doc_col, keep, cfg.get("max_columns"))
     if s == "headers_data":
         return headers_data(docs, cfg.get("path", "$"), cfg.get("headers_key"), cfg.get("data_key"),
-                            cfg.get("infer_headers", False), cfg.get("default_headers"), doc_col, keep)
+                            cfg.get("infer_headers", False), cfg.get("default_headers"), doc_col, keep, cfg.get("types"), cfg.get("max_columns"))
     if s == "array_of_objects":
-        return array_of_objects(docs, cfg["path"], cfg.get("fields"), doc_col, keep)
+        return array_of_objects(docs, cfg["path"], cfg.get("fields"), doc_col, keep, cfg.get("max_columns"))
     if s == "repeat_over":
         return repeat_over(docs, cfg["path"], cfg["as"], cfg["base"], cfg.get("inject_fields"), doc_col, keep)
     if s == "unpivot":
@@ -368,17 +423,21 @@ def extract_with(docs: DataFrame, cfg: Mapping[str, Any], doc_col: str = "doc",
 
 def extract_tables(docs: DataFrame, tables: Sequence[Mapping[str, Any]], doc_col: str = "doc",
                    keep: Sequence[str] = ("file_path",)) -> tuple[dict[str, DataFrame], list[dict]]:
-    """EXT-07: every table of a profile from all documents; per-table failures
-    become warnings instead of failing the run."""
-    out: dict[str, DataFrame] = {}
+    """EXT-07: every table of a profile from all documents.  Entries with one id
+    are united, a type conflict as text.  A table whose configuration is wrong
+    becomes a warning; a limit that the user set, or a failing job, stops the run."""
+    from quarry.operators.joins import union_diagonal
+
+    parts: dict[str, list[DataFrame]] = {}
     warnings: list[dict] = []
     for t in tables:
         try:
-            df = extract_with(docs, t["select"], doc_col, keep)
-            out[t["id"]] = df if t["id"] not in out else out[t["id"]].unionByName(df, allowMissingColumns=True)
-        except Exception as e:  # noqa: BLE001 - a bad table must not stop the others
+            parts.setdefault(t["id"], []).append(extract_with(docs, t["select"], doc_col, keep))
+        except LimitExceeded:
+            raise
+        except (ValueError, KeyError) as e:  # a bad configuration must not stop the other tables
             warnings.append({"table_id": t.get("id"), "message": str(e)[:500]})
-    return out, warnings
+    return {name: union_diagonal(dfs) for name, dfs in parts.items() if dfs}, warnings
 
 
 def read_documents(spark, paths: str | Sequence[str], path_col: str = "file_path") -> tuple[DataFrame, DataFrame]:

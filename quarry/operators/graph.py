@@ -2,22 +2,22 @@
 
 Traversals are iterative DataFrame joins: each hop joins the frontier with the
 edge table, removes already-seen nodes (``left_anti``) and stops when the
-frontier is empty or the depth limit is reached.  The driver only loops over
-hops (one small ``count`` per hop); lineage is cut with ``checkpoint()`` every
-few hops so the plan does not grow with the depth.
+frontier is empty or a depth that the caller gave is reached.  The driver only
+loops over hops; each hop's nodes are checkpointed, so a hop is computed once and
+the plan does not grow with the depth.  A hub's edges are split by AQE's skew join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir
 
-CHECKPOINT_EVERY = 4
-
 
 def neighbors(edges: DataFrame, node, src: str = "src", dst: str = "dst") -> DataFrame:
     """GRF-01: edges touching ``node`` in either direction, with the other end."""
@@ -32,59 +32,44 @@ def _undirected(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def _cut(df: DataFrame, hop: int) -> DataFrame:
-    if hop % CHECKPOINT_EVERY == 0:
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
-    return df
+def _walk(start: DataFrame, step: DataFrame, max_depth: int | None) -> DataFrame:
+    """(node, depth): what ``step`` (__from, __to) reaches from the ``start`` nodes, with the least depth."""
+    ensure_checkpoint_dir(start.sparkSession)
+    step = step.checkpoint(eager=True)
+    frontier = start.distinct().withColumn("depth", F.lit(0)).checkpoint(eager=True)
+    seen = frontier
+    for hop in count(1):
+        if max_depth is not None and hop > max_depth:
+            break
+        reached = frontier.join(step, frontier["node"] == step["__from"]).select(F.col("__to").alias("node")).distinct()
+        frontier = reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(hop)).checkpoint(eager=True)
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier).checkpoint(eager=True)
+    return seen
 
 
 def k_hop(edges: DataFrame, seeds: DataFrame | Sequence, k: int, src: str = "src", dst: str = "dst",
           node_col: str = "node") -> DataFrame:
     """GRF-02: nodes within k undirected hops of the seed set, with their hop distance."""
-    spark = edges.sparkSession
     if not isinstance(seeds, DataFrame):
-        seeds = spark.createDataFrame([(s,) for s in seeds], [node_col])
-    und = _undirected(edges, src, dst)
-    seen = seeds.select(F.col(node_col).alias("node")).distinct().withColumn("depth", F.lit(0))
-    frontier = seen.select("node")
-    for hop in range(1, k + 1):
-        nxt = (frontier.join(und, frontier["node"] == und["__from"]).select(F.col("__to").alias("node"))
-               .distinct().join(seen.select("node"), "node", "left_anti"))
-        nxt = _cut(nxt, hop)
-        if nxt.limit(1).count() == 0:
-            break
-        seen = seen.unionByName(nxt.withColumn("depth", F.lit(hop)))
-        frontier = nxt
-    return seen.withColumnRenamed("node", node_col)
+        seeds = edges.sparkSession.createDataFrame([(s,) for s in seeds], [node_col])
+    start = seeds.select(F.col(node_col).alias("node"))
+    return _walk(start, _undirected(edges, src, dst), k).withColumnRenamed("node", node_col)
 
 
-def lineage(edges: DataFrame, start, direction: str = "down", max_depth: int = 50,
+def lineage(edges: DataFrame, start, direction: str = "down", max_depth: int | None = None,
             parent: str = "parent", child: str = "child") -> DataFrame:
     """GRF-03: ancestors (``up``), descendants (``down``) or both of a node, each
-    with its minimum depth.  Cycles stop because seen nodes are never revisited."""
-    spark = edges.sparkSession
-    steps = []
-    if direction in ("down", "both"):
-        steps.append(("down", edges.select(F.col(parent).alias("__from"), F.col(child).alias("__to"))))
-    if direction in ("up", "both"):
-        steps.append(("up", edges.select(F.col(child).alias("__from"), F.col(parent).alias("__to"))))
-    out = None
-    for name, step in steps:
-        seen = spark.createDataFrame([(start,)], "node " + edges.schema[parent].dataType.simpleString()) \
-            .withColumn("depth", F.lit(0))
-        frontier = seen.select("node")
-        for hop in range(1, max_depth + 1):
-            nxt = (frontier.join(step, frontier["node"] == step["__from"]).select(F.col("__to").alias("node"))
-                   .distinct().join(seen.select("node"), "node", "left_anti"))
-            nxt = _cut(nxt, hop)
-            if nxt.limit(1).count() == 0:
-                break
-            seen = seen.unionByName(nxt.withColumn("depth", F.lit(hop)))
-            frontier = nxt
-        part = seen.filter(F.col("depth") > 0).withColumn("direction", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    with its minimum depth, as far as they go unless ``max_depth`` says otherwise.
+    Cycles stop because seen nodes are never revisited."""
+    ways = {"down": (parent, child), "up": (child, parent)}
+    if direction not in (*ways, "both"):
+        raise ValueError(f"unknown direction {direction!r}")
+    first = edges.sparkSession.createDataFrame([(start,)], "node " + edges.schema[parent].dataType.simpleString())
+    parts = [_walk(first, edges.select(F.col(a).alias("__from"), F.col(b).alias("__to")), max_depth).where("depth > 0").withColumn("direction", F.lit(name))
+             for name, (a, b) in ways.items() if direction in (name, "both")]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def edges_from_parents(datasets: DataFrame, id_col: str = "id", parents_col: str = "parent_ids") -> DataFrame:

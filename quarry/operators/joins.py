@@ -1,9 +1,8 @@
 """Joins and set operations (JON-01..07, SET-01..07).
 
-The physical join is left to Catalyst/AQE.  ``broadcast`` is only requested
-for a side whose row count has been checked against a bound (a bounded
-``limit(n+1).count()`` probe); beyond the bound the plan stays a shuffle join,
-which AQE may still turn into a broadcast from measured runtime sizes.
+The physical join is left to Catalyst and AQE: no side is hinted here, so a
+broadcast only ever follows from sizes that Spark has measured
+(``autoBroadcastJoinThreshold``), and skewed partitions are split at run time.
 """
 
 from __future__ import annotations
@@ -17,36 +16,18 @@ from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
-BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_BYTES = 256 * 1024 * 1024
-
-
-def _row_width(dt: T.DataType) -> int:
-    """Rough bytes per value for the broadcast budget (variable-size types get a margin)."""
-    if isinstance(dt, T.StructType):
-        return sum(_row_width(f.dataType) for f in dt.fields) + 8
-    if isinstance(dt, (T.ArrayType, T.MapType)):
-        return 256
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        return 64
-    if isinstance(dt, (T.ByteType, T.BooleanType)):
-        return 1
-    if isinstance(dt, (T.ShortType,)):
-        return 2
-    if isinstance(dt, (T.IntegerType, T.FloatType, T.DateType)):
-        return 4
-    return 8
-
-
-def size_checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                           max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """Broadcast-hint ``df`` only when it provably has at most ``max_rows`` rows and
-    rows x estimated row width stays under ``max_bytes``; otherwise leave the join
-    to a shuffle (AQE may still broadcast from measured sizes)."""
-    width = max(1, _row_width(df.schema))
-    bound = min(max_rows, max_bytes // width)
-    n = df.limit(bound + 1).count()  # bounded probe: stops after bound + 1 rows
-    return F.broadcast(df) if n <= bound else df
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+
+def measured_broadcast(table: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast hint for a small table that is already written or checkpointed,
+    if the bytes of its rows, summed over the rows themselves, are within
+    ``max_bytes``; otherwise the table as it is (the join shuffles).
+
+    Only for tables whose scan is cheap: the sum reads the table once."""
+    width = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) + 16 for f in table.schema.fields]
+    size = table.agg(F.sum(sum(width, F.lit(16)))).first()[0] or 0
+    return F.broadcast(table) if size <= max_bytes else table
 
 
 # JON-01 ---------------------------------------------------------------------
@@ -157,19 +138,18 @@ def row_position(df: DataFrame, order: Sequence[str], name: str = "__pos") -> Da
 
 # SET-06 ---------------------------------------------------------------------
 def dedup_keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Keep the first row per key by ``order``; returns (kept, dropped_count_df).
+    """Keep the first row per key by ``order``; returns (kept, one row of total / kept / dropped).
 
-    ``min_by(struct, order)`` is a hash aggregate with map-side combine, so a
-    hot key is reduced partially on every mapper instead of being sorted in
-    one task (what a ``row_number`` window would do)."""
+    ``min_by`` over the whole row has a map-side partial aggregate, so a hot key
+    is one row a mapper, where a ``row_number`` window would sort it in one task.
+    Spark plans it as a sort aggregate (the row is no fixed-width buffer)."""
     others = [c for c in df.columns if c not in key]
-    ordk = F.struct(*[F.col(c) for c in order])
-    kept = (df.groupBy(*key)
-            .agg(F.min_by(F.struct(*[F.col(c) for c in others]), ordk).alias("__r"))
-            .select(*key, *[F.col(f"__r.{c}").alias(c) for c in others]))
-    stats = df.agg(F.count(F.lit(1)).alias("total"), F.count_distinct(*[F.col(k) for k in key]).alias("kept")) \
-        .withColumn("dropped", F.col("total") - F.col("kept"))
-    return kept, stats
+    first = F.min_by(F.struct(*others), F.struct(*order)) if others else F.first(F.lit(True))
+    grouped = df.groupBy(*key).agg(first.alias("__r"))
+    kept = grouped.select(*key, *[F.col(f"__r.{c}").alias(c) for c in others])
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("kept"))
+    return kept, counts.withColumn("dropped", F.col("total") - F.col("kept"))
 
 
 # SET-07 ---------------------------------------------------------------------

@@ -106,16 +106,17 @@ def hybrid_search(keyword_hits: DataFrame, vector_hits: DataFrame, top_k: int =
 # SRCH-04 -------------------------------------------------------------------------
 # Query expansion terms per artifact type.
 EXPANSIONS = {
-    "adr": ["architecture decision", "rationale", "consequences"],
-    "spec": ["specification", "requirements", "acceptance criteria"],
-    "discussion": ["discussion", "options", "tradeoffs"],
-    "plan": ["plan", "milestones", "tasks"],
+    "discussion": "requirements design options tradeoffs stakeholders considerations",
+    "adr": "architecture decision alternatives consequences rationale patterns",
+    "spec": "API endpoints data model schema requirements validation",
+    "plan": "milestones tasks dependencies verification implementation timeline",
 }
 
 
-def expand_query(query: Column, artifact_type: Column) -> Column:
-    m = F.create_map(*[x for k, v in EXPANSIONS.items() for x in (F.lit(k), F.lit(" ".join(v)))])
-    return F.concat_ws(" ", query, F.try_element_at(m, F.lower(artifact_type)))
+def expand_query(query: Column, artifact_type: Column, general_terms: str = "") -> Column:
+    """The query, its artifact type's terms and the caller's general terms, blank-separated."""
+    m = F.create_map(*[F.lit(x) for kv in EXPANSIONS.items() for x in kv])
+    return F.concat_ws(" ", query, F.try_element_at(m, F.lower(artifact_type)), F.nullif(F.lit(general_terms), F.lit("")))
 
 
 # SRCH-05 -------------------------------------------------------------------------

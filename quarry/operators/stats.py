@@ -1,9 +1,10 @@
 """Source-of-variation statistics (STA-01..08).
 
-The data is read once: a single ``GROUPING SETS`` aggregate gives count,
-mean and population variance for every factor level, every pair of factors
-and the grand total (per response column, after an ``unpivot``).  Everything
-after that is arithmetic on a table with one row per level/cell, still
+The data is read once: one aggregate by all factors together gives count, mean
+and variance of every response for each finest cell, without copying a row.  The
+levels of each factor, each pair of factors and the total are combined from the
+cells (deviations from the grand mean, so nothing large cancels).  Everything
+after that is arithmetic on tables with one row per level/cell, still
 expressed as Spark DataFrame operations; p-values come from a JVM expression
 for the F tail (``functions.fdist_expr``).  Group values are never
 materialised as arrays.
@@ -16,6 +17,7 @@ These equal Type III sums only for balanced designs (documented limit).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,28 +38,34 @@ def _effect_sets(factors: Sequence[str], interactions: bool) -> list[list[str]]:
 
 def anova_cells(df: DataFrame, factors: Sequence[str], responses: Sequence[str],
                 interactions: bool = True) -> DataFrame:
-    """One pass: (response_column, effect parts, level keys) -> n, mean, var_pop.
+    """(response_column, effect parts, level keys) -> n, mean, var_pop, from one pass over the data.
 
-    ``parts`` is the array of factor names of the grouping set ([] = total)."""
+    ``parts`` is the array of factor names of the effect ([] = total)."""
     factors = list(factors)
     vals = [r for r in responses if r in df.columns]
     if not vals:
         raise ValueError("no response column present")
-    base = df.select(*[F.col(f) for f in factors], *[F.col(r).cast("double").alias(r) for r in vals])
-    long = base.unpivot(factors, vals, "response_column", "__y").filter(F.col("__y").isNotNull())
-    sets = _effect_sets(factors, interactions) + [[]]
-    cols = ["response_column"] + factors
-    gid_to_parts = {}
-    for s in sets:
-        grouped = {"response_column", *s}
-        gid = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in grouped)
-        gid_to_parts[gid] = s
-    parts_map = F.create_map(*[x for gid, s in gid_to_parts.items()
-                               for x in (F.lit(gid), F.array(*[F.lit(p) for p in s]).cast("array<string>"))])
-    cells = (long.groupingSets([["response_column", *s] for s in sets], *cols)
-             .agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("mean"), F.var_pop("__y").alias("var_pop"),
-                  F.grouping_id().alias("__gid")))
-    return cells.withColumn("parts", F.element_at(parts_map, F.col("__gid"))).drop("__gid")
+    y = [F.col(r).cast("double") for r in vals]
+    finest = df.groupBy(*factors).agg(*[e for i, c in enumerate(y) for e in (
+        F.count(c).alias(f"__n{i}"), F.avg(c).alias(f"__m{i}"), F.var_pop(c).alias(f"__v{i}"))])
+    ensure_checkpoint_dir(df.sparkSession)
+    finest = finest.checkpoint(eager=True)  # one row a cell
+    grand = finest.agg(*[(F.sum(F.col(f"__n{i}") * F.col(f"__m{i}")) / F.sum(f"__n{i}")).alias(r) for i, r in enumerate(vals)]).first()
+    cell = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.col(f"__n{i}").alias("n"), (F.col(f"__n{i}") * F.col(f"__v{i}")).alias("m2"),
+                                        (F.col(f"__m{i}") - F.lit(grand[r])).alias("d")) for i, r in enumerate(vals)]))
+    cells = finest.select(*factors, cell.alias("__c")).select(*factors, F.col("__c.r").alias("response_column"), "__c.n", "__c.m2", "__c.d").where("n > 0")
+    centre = F.create_map(*[x for r in vals for x in (F.lit(r), F.lit(grand[r]).cast("double"))])
+
+    def effect(parts: list[str]) -> DataFrame:
+        g = cells.groupBy("response_column", *parts).agg(
+            F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias("d"),
+            F.sum(F.col("m2") + F.col("n") * F.col("d") * F.col("d")).alias("q"))
+        absent = [F.lit(None).cast(df.schema[f].dataType).alias(f) if f not in parts else F.col(f) for f in factors]
+        variance = F.greatest(F.col("q") / F.col("n") - F.col("d") * F.col("d"), F.lit(0.0))
+        return g.select("response_column", *absent, "n", (F.element_at(centre, F.col("response_column")) + F.col("d")).alias("mean"),
+                        variance.alias("var_pop"), F.array(*map(F.lit, parts)).cast("array<string>").alias("parts"))
+
+    return reduce(DataFrame.unionByName, [effect(s) for s in _effect_sets(factors, interactions) + [[]]])
 
 
 def anova(df: DataFrame, factors: Sequence[str], response: str | Sequence[str], alpha: float = 0.05,
@@ -198,10 +206,16 @@ def interaction_means(df: DataFrame, a: str, b: str, response: str) -> DataFrame
 
 
 def residuals(df: DataFrame, factors: Sequence[str], response: str) -> DataFrame:
-    """Residual = value - mean of its factor cell (cell means joined back on the factors)."""
+    """Residual = value - mean of its factor cell.
+
+    The cell means are a small table as a rule; measured so, they are broadcast, and
+    a cell that holds a third of the rows is then never gathered in one task."""
+    from quarry.operators.joins import measured_broadcast
+
     y = F.col(response).cast("double")
     base = df.select(*factors, y.alias("__y")).filter(F.col("__y").isNotNull())
-    cell = base.groupBy(*factors).agg(F.avg("__y").alias("__m"))
+    ensure_checkpoint_dir(df.sparkSession)
+    cell = measured_broadcast(base.groupBy(*factors).agg(F.avg("__y").alias("__m")).checkpoint(eager=True))
     return base.join(cell, list(factors), "inner").select(*factors, (F.col("__y") - F.col("__m")).alias("residual"))
 
 

@@ -2,15 +2,15 @@
 
 Everything is a column expression over whole texts (``split``,
 ``regexp_extract_all``, higher-order ``transform``/``zip_with``/``filter``),
-so the work is distributed by document and stays in the JVM.  Per-chunk
-offsets use a window partitioned by document only (one document = one group).
+so the work is distributed by document and stays in the JVM.  Chunks and their
+offsets are made within the document's row: no shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Redaction patterns, in the order they are applied, with their replacement text.
@@ -157,14 +157,15 @@ def redaction_log(df: DataFrame, id_col: str, text_col: str,
         t = F.col(f"__s{i}")
         pieces = F.split(t, pat, -1)
         ms = F.regexp_extract_all(t, F.lit(pat), 0)
-        # start of match j = sum over k < j of len(piece_k) + len(match_k), plus len(piece_j)
+        # one pass over the matches, carrying the place in the text
         lens = F.zip_with(F.slice(pieces, 1, F.size(ms)), ms,
                           lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m"), m.alias("v")))
-        starts = F.transform(lens, lambda x, j: F.aggregate(
-            F.slice(lens, 1, j), F.lit(0), lambda acc, y: acc + y["p"] + y["m"]) + x["p"])
-        entries = F.zip_with(lens, starts, lambda x, s: F.struct(
-            F.lit(name).alias("type"), s.alias("start"), (s + x["m"]).alias("end"),
-            x["m"].alias("original_length"), x["v"].alias("__v")))
+        entry = "array<struct<type:string,start:int,end:int,original_length:int,__v:string>>"
+        entries = F.aggregate(
+            lens, F.struct(F.lit(0).alias("at"), F.array().cast(entry).alias("out")),
+            lambda acc, x: F.struct((acc["at"] + x["p"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(
+                F.lit(name).alias("type"), (acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["m"]).alias("end"),
+                x["m"].alias("original_length"), x["v"].alias("__v")))).alias("out")), lambda acc: acc["out"])
         if allow:
             entries = F.filter(entries, lambda e: ~e["__v"].rlike(allow))
         logs.append(F.transform(F.reverse(entries), lambda e, k: F.struct(
@@ -181,77 +182,91 @@ def chunk_strategy_for(ext: Column) -> Column:
             .when(e == ".json", "json_whole").otherwise("paragraphs"))
 
 
+#: A document without chunks is one chunk, named so.
+WHOLE_STRATEGY = {"markdown_headers": "markdown_whole", "python_functions": "python_whole", "json_whole": "json_whole"}
+
+
 def chunk_text(df: DataFrame, id_col: str, text_col: str, strategy: str | None = None,
                ext_col: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Split each document into chunks with true character offsets.
+    """Split each document into chunks with true character offsets, within its row.
 
     ``strategy`` (or per-row ``ext_col``) selects the split pattern; ``pattern``
     overrides it (e.g. ``\\n`` for line chunks).  Index counts empty pieces;
-    blank pieces are dropped; content is stripped; tokens = len(piece) // 4;
-    a document without chunks yields one whole chunk."""
-    text = F.col(text_col)
+    blank pieces are dropped; content is stripped; tokens = len(piece) // 4.  A
+    document whose pieces are all blank, one without text and a JSON document are
+    one chunk, unstripped."""
     if pattern is not None:
-        pats = {"custom": pattern}
-        strat = F.lit("custom")
+        pats, strat = {"custom": pattern}, F.lit("custom")
     elif ext_col is not None:
-        pats = CHUNK_PATTERNS
-        strat = chunk_strategy_for(F.col(ext_col))
+        pats, strat = CHUNK_PATTERNS, chunk_strategy_for(F.col(ext_col))
     else:
-        strategy = strategy or "paragraphs"
-        pats = {strategy: CHUNK_PATTERNS.get(strategy)} if strategy != "json_whole" else {}
-        strat = F.lit(strategy)
-    base = df.select(F.col(id_col).alias("doc_id"), text.alias("__t"), strat.alias("strategy"))
-    pieces = F.lit(None).cast("array<string>")
-    delims = F.lit(None).cast("array<string>")
+        pats, strat = {k: v for k, v in CHUNK_PATTERNS.items() if k == (strategy or "paragraphs")}, F.lit(strategy or "paragraphs")
+    base = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"), strat.alias("strategy"))
+
+    def split_by(pat: str) -> Column:  # (piece, length of the delimiter after it)
+        pieces, between = F.split("__t", pat, -1), F.regexp_extract_all(F.col("__t"), F.lit(pat), 0)
+        return F.transform(pieces, lambda p, i: F.struct(p.alias("p"), F.coalesce(F.length(F.get(between, i)), F.lit(0)).alias("d")))
+
+    pieces = F.lit(None).cast("array<struct<p:string,d:int>>")
     for name, pat in pats.items():
-        if pat is None:
-            continue
-        # a look-ahead split consumes only the newline before the look-ahead
-        consumed = pat.split("(?=")[0] if "(?=" in pat else pat
-        pieces = F.when(F.col("strategy") == name, F.split(F.col("__t"), pat, -1)).otherwise(pieces)
-        delims = F.when(F.col("strategy") == name, F.regexp_extract_all(F.col("__t"), F.lit(consumed), 0)) \
-            .otherwise(delims)
-    pieces = F.coalesce(pieces, F.array(F.col("__t")))
-    delims = F.coalesce(delims, F.array().cast("array<string>"))
-    exploded = base.select("doc_id", "strategy", F.length("__t").alias("__len"),
-                           F.posexplode(F.arrays_zip(pieces.alias("p"), delims.alias("d"))).alias("idx", "z"))
-    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    piece = F.col("z.p")
-    step = F.length(piece) + F.coalesce(F.length(F.col("z.d")), F.lit(0))
-    ranged = exploded.withColumn("start_char", F.coalesce(F.sum(step).over(w), F.lit(0)))
-    chunks = ranged.filter(F.length(py_strip(piece)) > 0).select(
-        "doc_id", F.col("idx").alias("chunk_index"), py_strip(piece).alias("content"), "start_char",
-        (F.col("start_char") + F.length(piece)).alias("end_char"),
-        F.floor(F.length(piece) / CHARS_PER_TOKEN).cast("bigint").alias("token_count"), "strategy")
-    # documents whose pieces are all blank (or that have no text) become one whole chunk
-    whole = (base.join(chunks.select("doc_id").distinct(), "doc_id", "left_anti")
-             .select("doc_id", F.lit(0).alias("chunk_index"), F.coalesce(F.col("__t"), F.lit("")).alias("content"),
-                     F.lit(0).alias("start_char"), F.coalesce(F.length("__t"), F.lit(0)).alias("end_char"),
-                     F.floor(F.coalesce(F.length("__t"), F.lit(0)) / CHARS_PER_TOKEN).cast("bigint").alias("token_count"),
-                     F.when(F.col("strategy") == "paragraphs", "single").otherwise(
-                         F.regexp_replace("strategy", "_headers|_functions", "_whole")).alias("strategy")))
-    return chunks.unionByName(whole)
+        pieces = F.when(F.col("strategy") == name, split_by(pat)).otherwise(pieces)
+    chunk = "array<struct<chunk_index:int,content:string,start_char:bigint,end_char:bigint,token_count:bigint,strategy:string>>"
+
+    def made(index: Column, content: Column, start: Column, n: Column, strategy: Column) -> Column:
+        return F.struct(index.cast("int").alias("chunk_index"), content.alias("content"), start.cast("bigint").alias("start_char"),
+                        (start + n).cast("bigint").alias("end_char"), F.floor(n / CHARS_PER_TOKEN).cast("bigint").alias("token_count"), strategy.alias("strategy"))
+
+    def step(acc: Column, x: Column) -> Column:
+        n, content = F.length(x["p"]), py_strip(x["p"])
+        own = F.when(F.length(content) > 0, F.array(made(acc["i"], content, acc["at"], n, F.col("strategy")))).otherwise(F.array().cast(chunk))
+        return F.struct((acc["i"] + 1).alias("i"), (acc["at"] + n + x["d"]).cast("bigint").alias("at"), F.concat(acc["out"], own).alias("out"))
+
+    found = F.aggregate(F.col("__p"), F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("at"), F.array().cast(chunk).alias("out")), step, lambda acc: acc["out"])
+    names = F.create_map(*[F.lit(x) for kv in WHOLE_STRATEGY.items() for x in kv])
+    whole = F.array(made(F.lit(0), F.col("__t"), F.lit(0), F.length("__t"), F.coalesce(F.try_element_at(names, F.col("strategy")), F.lit("single"))))
+    chunks = F.when(F.size("__c") > 0, F.col("__c")).otherwise(whole)
+    return base.withColumn("__p", pieces).withColumn("__c", F.coalesce(found, F.array().cast(chunk))).select("doc_id", F.explode(chunks).alias("c")).select("doc_id", "c.*")
 
 
 # TXT-04 -------------------------------------------------------------------------
+# Folders that name a document's type, the first that the path has.
+TYPE_FOLDERS = {".sessions": "session", ".plans": "plan", ".discussions": "discussion", ".adrs": "adr", "specs": "spec", "contracts": "contract"}
+DEFAULT_TYPE = "session"
+# Ids at the start of a file's name.
+FILE_ID = r"(?i)^(ADR-\d{4}|SPEC-\d{4}|DISC-\d{3}|PLAN-\d{3}|SESSION[-_]\d{3})"
+_HEADING = r"(?m)(?d)^#\s+(.+)$"
+
+
+def short_hash(c: Column) -> Column:
+    return F.substring(F.sha2(c, 256), 1, 16)
+
+
 def document_meta(df: DataFrame, id_col: str, text_col: str, path_col: str | None = None) -> DataFrame:
-    """Title (first ``# `` heading, else file stem title-cased), type from path,
-    content hash (first 16 hex of SHA-256)."""
+    """content_hash (first 16 hex of SHA-256), n_chars and title; with a path also artifact_id and type.
+
+    Type: by the folders in the path.  Id: a JSON document's ``id``, else the id at
+    the start of the file's name, else type and hash of the path.  Title: a JSON
+    document's ``title`` or ``name``, else the first ``# `` heading, else (with a path) the
+    file's stem, in title case unless the document is JSON."""
     text = F.col(text_col)
-    heading = F.regexp_extract(text, r"(?m)(?d)^#\s+(.+)$", 1)
-    cols = [F.col(id_col), F.substring(F.sha2(text, 256), 1, 16).alias("content_hash"),
-            F.length(text).cast("bigint").alias("n_chars")]
-    if path_col:
-        p = F.col(path_col)
-        stem = F.regexp_extract(p, r"([^/\\]+?)(\.[^./\\]*)?$", 1)
-        fallback = F.initcap(F.regexp_replace(stem, "[-_]", " "))
-        dtype = (F.when(p.contains("/adrs/") | p.rlike("ADR-"), "adr").when(p.contains("/specs/"), "spec")
-                 .when(p.contains("/discussions/"), "discussion").when(p.contains("/plans/"), "plan")
-                 .otherwise("doc"))
-        cols += [F.coalesce(F.nullif(heading, F.lit("")), fallback).alias("title"), dtype.alias("type")]
-    else:
-        cols += [F.nullif(F.trim(heading), F.lit("")).alias("title")]
-    return df.select(*cols)
+    heading = F.nullif(F.trim(F.regexp_extract(text, _HEADING, 1)), F.lit(""))
+    cols = [F.col(id_col), short_hash(text).alias("content_hash"), F.length(text).cast("bigint").alias("n_chars")]
+    if path_col is None:
+        return df.select(*cols, heading.alias("title"))
+    path = F.col(path_col)
+    lower = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    kind = F.coalesce(*(F.when(F.contains(lower, F.lit(f"{folder}/")), F.lit(name)) for folder, name in TYPE_FOLDERS.items()), F.lit(DEFAULT_TYPE))
+    stem = F.regexp_extract(path, r"([^/\\]+?)(\.[^./\\]*)?$", 1)
+    json = F.when(F.lower(path).endswith(".json"), F.try_parse_json(text))
+    named = F.nullif(F.regexp_extract(stem, FILE_ID, 1), F.lit(""))
+
+    def member(key: str) -> Column:
+        return F.try_variant_get(json, f"$.{key}", "string")
+
+    artifact = F.coalesce(member("id"), F.replace(F.upper(named), F.lit("_"), F.lit("-")), F.concat(kind, F.lit("_"), short_hash(path)))
+    fallback = F.when(json.isNotNull(), stem).otherwise(F.initcap(F.regexp_replace(stem, "[-_]", " ")))
+    title = F.coalesce(member("title"), member("name"), F.when(json.isNull(), heading), fallback)
+    return df.select(*cols, artifact.alias("artifact_id"), title.alias("title"), kind.alias("type"))
 
 
 # TXT-05 / 06 / 07 -----------------------------------------------------------------

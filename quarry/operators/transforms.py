@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -138,44 +139,52 @@ def strptime_to_java(fmt: str) -> str:
     return "".join(out)
 
 
-def coerce_types(df: DataFrame, coercions: Sequence[Mapping[str, Any]], on_error: str = "null") -> DataFrame:
-    """Explicit coercion list ``{column, to_type, format?, strip?, uppercase?, lowercase?}``.
+def _parsed_time(default_format: str) -> Callable[[Column, Mapping[str, Any]], Column]:
+    def parse(c: Column, options: Mapping[str, Any]) -> Column:
+        return F.try_to_timestamp(c.cast("string"), F.lit(strptime_to_java(options.get("format", default_format)))).cast("timestamp_ntz")
 
-    Unparsable values become null per value.  ``on_error='raise'`` fails the
-    job instead (via ``raise_error``) when a non-null value does not parse.
-    """
-    for c in coercions or []:
-        name, to = c.get("column"), c.get("to_type")
-        if not name or name not in df.columns:
-            continue
-        src = F.col(name)
-        s = src.cast("string")
-        if to == "datetime":
-            new = F.try_to_timestamp(s, F.lit(strptime_to_java(c.get("format", "%Y-%m-%d %H:%M:%S")))).cast("timestamp_ntz")
-        elif to == "date":
-            new = F.to_date(F.try_to_timestamp(s, F.lit(strptime_to_java(c.get("format", "%Y-%m-%d")))))
-        elif to == "string":
-            new = s
-            if c.get("strip"):
-                new = F.trim(new)
-            if c.get("uppercase"):
-                new = F.upper(new)
-            if c.get("lowercase"):
-                new = F.lower(new)
-        elif to == "float":
-            new = src.try_cast("double")
-        elif to == "int":
-            new = src.try_cast("bigint")
-        elif to == "bool":
-            new = src.try_cast("boolean")
-        else:
-            log.warning("unknown coercion target %s", to)
+    return parse
+
+
+#: Options of a text target, applied in this order.
+_TEXT_STEPS = (("strip", F.trim), ("uppercase", F.upper), ("lowercase", F.lower))
+
+
+def _as_text(c: Column, options: Mapping[str, Any]) -> Column:
+    return reduce(lambda text, step: step[1](text) if options.get(step[0]) else text, _TEXT_STEPS, c.cast("string"))
+
+
+#: Target type -> handler (column, options) -> column; null where a value does not parse.
+COERCIONS: dict[str, Callable[[Column, Mapping[str, Any]], Column]] = {
+    "datetime": _parsed_time("%Y-%m-%d %H:%M:%S"),
+    "date": lambda c, options: _parsed_time("%Y-%m-%d")(c, options).cast("date"),
+    "string": _as_text,
+    "float": lambda c, _: c.try_cast("double"),
+    "int": lambda c, _: c.try_cast("bigint"),
+    "bool": lambda c, _: c.try_cast("boolean"),
+}
+
+
+def coerce_types(df: DataFrame, coercions: Sequence[Mapping[str, Any]] | None, on_error: str = "null") -> DataFrame:
+    """``{column, to_type, ...options}`` for the columns that the table has, in one projection.
+
+    A value that does not parse becomes null; with ``on_error="raise"`` the job
+    fails on it.  Later entries for a column work on the result of earlier ones;
+    an unknown target type raises."""
+    out: dict[str, Column] = {}
+    for rule in coercions or []:
+        name, target = rule.get("column"), rule.get("to_type")
+        if target not in COERCIONS:
+            raise ValueError(f"unknown type {target!r}; known: {', '.join(COERCIONS)}")
+        if name not in df.columns:
             continue
+        before = out.get(name, F.col(name))
+        after = COERCIONS[target](before, rule)
         if on_error == "raise":
-            new = F.when(src.isNotNull() & new.isNull(),
-                         F.raise_error(F.lit(f"cannot convert {name} to {to}"))).otherwise(new)
-        df = df.withColumn(name, new)
-    return df
+            failed = F.raise_error(F.lit(f"a value of {name} is no {target}"))
+            after = F.when(before.isNotNull() & after.isNull(), failed).otherwise(after)
+        out[name] = after
+    return df.withColumns(out) if out else df
 
 
 # PRJ-06 / PRJ-07 / PRJ-08 ---------------------------------------------------
@@ -201,17 +210,19 @@ def unit_convert(df: DataFrame, column: str, from_unit: str | None = None, to_un
     if column not in df.columns:
         return df
     target = target or column
+    # a cell of a text column that is no number becomes null
+    number = F.col(column).try_cast("double") if isinstance(df.schema[column].dataType, T.StringType) else F.col(column)
     table = {**DEFAULT_UNIT_FACTORS, **(units or {})}
     to_f = table.get(to_unit or "nm")
     if to_f is None:
         return df
     if unit_column:
         m = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(float(v)))])
-        return df.withColumn(target, F.col(column) * F.try_element_at(m, F.col(unit_column)) / F.lit(float(to_f)))
+        return df.withColumn(target, number * F.try_element_at(m, F.col(unit_column)) / F.lit(float(to_f)))
     fac = unit_factor(from_unit, to_unit, units)
     if fac is None:
         return df
-    return df.withColumn(target, F.col(column) * F.lit(fac))
+    return df.withColumn(target, number * F.lit(fac))
 
 
 def apply_units_policy(df: DataFrame, policy: str, column_units: Mapping[str, str],
@@ -315,8 +326,7 @@ def derive_lookup(df: DataFrame, source: str, mapping: Mapping[Any, Any] | DataF
     """Lookup table; missing -> null.
 
     A Python dict of bounded size becomes a literal map (no join at all).  A
-    lookup DataFrame is joined; it is broadcast only when its row count is
-    checked to be small, otherwise Spark/AQE picks a shuffle join.
+    lookup DataFrame is joined; Spark broadcasts it where its measured size allows.
     """
     if isinstance(mapping, Mapping):
         if len(mapping) > MAP_LITERAL_LIMIT:
@@ -325,11 +335,9 @@ def derive_lookup(df: DataFrame, source: str, mapping: Mapping[Any, Any] | DataF
         else:
             m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
             return df.withColumn(target, F.try_element_at(m, F.col(source)))
-    from quarry.operators.joins import size_checked_broadcast
-
     lk = mapping.select(F.col(key).alias("__lk"), F.col(value).alias(target))
     lk = lk.dropDuplicates(["__lk"])
-    return df.join(size_checked_broadcast(lk), F.col(source) == F.col("__lk"), "left").drop("__lk")
+    return df.join(lk, F.col(source) == F.col("__lk"), "left").drop("__lk")
 
 
 # PRJ-13 -------------------------------------------------------------------
@@ -371,8 +379,9 @@ def format_value(c: Column, kind: str | None, currency: str = "USD", decimals: i
         return F.upper(s)
     if kind == "lowercase":
         return F.lower(s)
-    if kind == "title":
-        return F.initcap(s)
+    if kind == "title":  # a capital after anything that is no letter
+        runs = F.regexp_extract_all(s, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+        return F.array_join(F.transform(runs, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lower(F.substr(x, F.lit(2))))), "")
     return c
 
 

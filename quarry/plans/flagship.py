@@ -49,8 +49,8 @@ def extracted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = extracted_lines(spark, sf_dir)
-    kept = FL.apply_row_filters(lines, [{"column": "l_quantity", "operator": "gte", "value": 1},
-                                        {"column": "l_discount", "operator": "between", "value": [0.0, 0.1]}])
+    kept = FL.apply_row_filters(lines, [{"column": "l_quantity", "op": "gte", "value": 1},
+                                        {"column": "l_discount", "op": "between", "min": 0.0, "max": 0.1}])
     good, _bad = Q.quarantine_split(kept, {"price_positive": "l_extendedprice > 0"})
     # the extracted rows feed two aggregates (group-by and ANOVA cells): extract once
     good = good.persist(StorageLevel.MEMORY_AND_DISK)

@@ -19,12 +19,12 @@ def q_row_filters(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount",
                                              "l_returnflag", "l_shipdate")
     return FL.apply_row_filters(li, [
-        {"column": "l_quantity", "operator": "gte", "value": 10},
-        {"column": "l_discount", "operator": "between", "value": [0.02, 0.06]},
-        {"column": "l_returnflag", "operator": "in", "value": ["A", "R"]},
-        {"column": "l_shipdate", "operator": "lt", "value": dt.datetime(1996, 1, 1)},
-        {"column": "l_linenumber", "operator": "not_equals", "value": 3},
-        {"column": "no_such_column", "operator": "equals", "value": 1},
+        {"column": "l_quantity", "op": "gte", "value": 10},
+        {"column": "l_discount", "op": "between", "min": 0.02, "max": 0.06},
+        {"column": "l_returnflag", "op": "in", "values": ["A", "R"]},
+        {"column": "l_shipdate", "op": "lt", "value": dt.datetime(1996, 1, 1)},
+        {"column": "l_linenumber", "op": "not_equals", "value": 3},
+        {"column": "no_such_column", "op": "equals", "value": 1},
     ])
 
 
@@ -36,13 +36,13 @@ WHERE regexp_matches(p_name, 'ring|widget') AND starts_with(p_brand, 'Brand#1')
 """)
 def q_row_filters_string(spark, sf):
     return FL.apply_row_filters(table(spark, sf, "part"), [
-        {"column": "p_name", "operator": "contains", "value": "ring|widget"},
-        {"column": "p_brand", "operator": "startswith", "value": "Brand#1"},
-        {"column": "p_type", "operator": "endswith", "value": "Y"},
-        {"column": "p_size", "operator": "gt", "value": 5},
-        {"column": "p_size", "operator": "lte", "value": 40},
-        {"column": "p_name", "operator": "is_not_null"},
-        {"column": "p_retailprice", "operator": "not_in", "value": [900.0, 901.0]},
+        {"column": "p_name", "op": "contains", "value": "ring|widget"},
+        {"column": "p_brand", "op": "startswith", "value": "Brand#1"},
+        {"column": "p_type", "op": "endswith", "value": "Y"},
+        {"column": "p_size", "op": "gt", "value": 5},
+        {"column": "p_size", "op": "lte", "value": 40},
+        {"column": "p_name", "op": "is_not_null"},
+        {"column": "p_retailprice", "op": "not_in", "values": [900.0, 901.0]},
     ])
 
 
@@ -59,11 +59,46 @@ SELECT * FROM orders WHERE NOT (o_orderstatus = 'P') AND NOT contains(o_orderpri
 """)
 def q_valid_only(spark, sf):
     return FL.valid_only(table(spark, sf, "orders"), [
-        {"column": "o_orderstatus", "operator": "equals", "value": "P"},
-        {"column": "o_orderpriority", "operator": "contains", "value": "LOW"},
+        {"column": "o_orderstatus", "condition": "equals", "value": "P"},
+        {"column": "o_orderpriority", "condition": "contains", "value": "LOW"},
     ])
 
 
+@query("valid_only_regex", """
+SELECT * FROM part WHERE NOT regexp_matches(p_name, 'ring|widget') AND p_size <> 7 AND p_brand IS NOT NULL
+""")
+def q_valid_only_regex(spark, sf):
+    return FL.valid_only(table(spark, sf, "part"), [
+        {"column": "p_name", "condition": "contains", "value": "ring|widget"},
+        {"column": "p_size", "condition": "equals", "value": 7},
+        {"column": "p_brand", "condition": "is_null"},
+        {"column": "absent", "value": 1},
+    ])
+
+
+@query("population_apply_to", """
+WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem),
+     s AS (SELECT l.* FROM lineitem l, q WHERE l.l_extendedprice BETWEEN a - 0.25 * (b - a) AND b + 0.25 * (b - a)),
+     r AS (SELECT quantile_cont(l_quantity, 0.25) AS a, quantile_cont(l_quantity, 0.75) AS b FROM s)
+SELECT s.l_orderkey, s.l_linenumber, s.l_extendedprice, s.l_quantity FROM s, r
+WHERE s.l_quantity BETWEEN r.a - 0.25 * (r.b - r.a) AND r.b + 0.25 * (r.b - r.a)
+""")
+def q_population_apply_to(spark, sf):
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    return FL.population(li, "outliers_excluded", {"method": "iqr", "threshold": 0.25, "apply_to": ["l_extendedprice", "l_quantity"]})
+
+
+@query("population_all_numeric", """
+WITH s AS (SELECT p_size, p_retailprice FROM part),
+     a AS (SELECT avg(p_size) AS m, stddev_samp(p_size) AS d FROM s),
+     t AS (SELECT s.* FROM s, a WHERE abs((p_size - m) / d) <= 1.5),
+     b AS (SELECT avg(p_retailprice) AS m, stddev_samp(p_retailprice) AS d FROM t)
+SELECT t.* FROM t, b WHERE abs((p_retailprice - m) / d) <= 1.5
+""")
+def q_population_all_numeric(spark, sf):
+    return FL.population(table(spark, sf, "part").select("p_size", "p_retailprice"), "outliers_excluded", {"method": "zscore"})
+
+
 @query("outliers_iqr", """
 WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
 SELECT e.event_id, e.value FROM events e, q

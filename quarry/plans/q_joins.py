@@ -9,19 +9,15 @@ from quarry.plans.registry import nullable_ints_as_double, query, table
 
 
 def _orders_customers(spark, sf):
-    # large orders only: some customers have none of them (right / full joins differ)
-    o = table(spark, sf, "orders").filter(F.col("o_totalprice") > 300000).select("o_orderkey", "o_custkey",
-                                                                                 "o_totalprice")
-    # customers in credit only (a data attribute), so that every join type differs
-    c = (table(spark, sf, "customer").filter(F.col("c_acctbal") >= 0)
-         .select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_acctbal"))
+    # whole tables on keys without a partner on both sides: customers by twice their key
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    c = table(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("o_custkey"), "c_name", "c_acctbal")
     return o, c
 
 
 _JOIN_SQL = """
 SELECT {okey} AS o_orderkey, {key} AS o_custkey, o.o_totalprice, c.c_name, c.c_acctbal
-FROM (SELECT * FROM orders WHERE o_totalprice > 300000) o
-{how} JOIN (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal >= 0) c
+FROM orders o {how} JOIN (SELECT c_custkey * 2 AS c_custkey, c_name, c_acctbal FROM customer) c
   ON o.o_custkey = c.c_custkey
 """
 _NULLABLE_KEY = "CAST(o.o_orderkey AS DOUBLE)"
@@ -46,12 +42,12 @@ query("join_full", _JOIN_SQL.format(how="FULL", key="coalesce(o.o_custkey, c.c_c
 SELECT s.s_suppkey, s.s_name, s.s_nationkey, s.n_name, CAST(n.n_nationkey AS DOUBLE) AS n_nationkey,
        n.n_name AS n_name_joined, CAST(n.n_regionkey AS DOUBLE) AS n_regionkey
 FROM (SELECT s_suppkey, s_name, s_nationkey, 'S-' || s_name AS n_name FROM supplier) s
-LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) n ON s.s_nationkey = n.n_nationkey
+LEFT JOIN (SELECT n_nationkey + 5 AS n_nationkey, n_name, n_regionkey FROM nation) n ON s.s_nationkey = n.n_nationkey
 """)
 def q_join_subset_suffix(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey",
                                             F.concat(F.lit("S-"), F.col("s_name")).alias("n_name"))
-    n = table(spark, sf, "nation").filter(F.col("n_nationkey") < 20)
+    n = table(spark, sf, "nation").withColumn("n_nationkey", F.col("n_nationkey") + 5)
     out = J.join_with_subset(s, n, "s_nationkey", "n_nationkey", "left", columns=["n_name", "n_regionkey"])
     return nullable_ints_as_double(out, "n_nationkey", "n_regionkey")
 
@@ -87,14 +83,14 @@ def q_join_three_way(spark, sf):
 
 @query("double_lookup", """
 WITH e AS (SELECT DISTINCT o.o_custkey AS src, l.l_suppkey AS dst
-           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_linenumber = 1)
+           FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
 SELECT e.src, e.dst, n1.n_name AS src_nation, n2.n_name AS dst_nation
 FROM e
 LEFT JOIN customer c ON e.src = c.c_custkey LEFT JOIN nation n1 ON c.c_nationkey = n1.n_nationkey
 LEFT JOIN supplier s ON e.dst = s.s_suppkey LEFT JOIN nation n2 ON s.s_nationkey = n2.n_nationkey
 """)
 def q_double_lookup(spark, sf):
-    li = table(spark, sf, "lineitem").filter(F.col("l_linenumber") == 1)
+    li = table(spark, sf, "lineitem")
     o = table(spark, sf, "orders")
     edges = (li.join(o, li.l_orderkey == o.o_orderkey)
              .select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct())

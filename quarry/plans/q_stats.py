@@ -71,6 +71,17 @@ def q_anova_one_way(spark, sf):
     return _round_table(t)
 
 
+# with two numerator degrees of freedom the F tail has a closed form
+@query("anova_p_value", f"""
+SELECT source, round(f, 6) AS f, round(p, 9) AS p_value, coalesce(p < 0.05, false) AS significant FROM (
+  SELECT source, f, CASE WHEN source = 'l_returnflag' THEN exp(-d2 / 2.0 * ln(1 + 2 * f / d2)) END AS p
+  FROM ({_ONE}) t, (SELECT df AS d2 FROM ({_ONE}) WHERE source = 'Residual') r)
+""")
+def q_anova_p_value(spark, sf):
+    t = ST.anova(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity")
+    return t.select("source", F.round("f", 6).alias("f"), F.round("p_value", 9).alias("p_value"), "significant")
+
+
 @query("anova_two_way", _anova_rounded_sql(_TWO))
 def q_anova_two_way(spark, sf):
     t = ST.anova(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")

@@ -89,8 +89,105 @@ def q_chunk_paragraphs(spark, sf):
 
 @query("chunk_lines", _chunk_sql(r"\n", "custom", "single"))
 def q_chunk_lines(spark, sf):
-    out = TX.chunk_text(table(spark, sf, "documents"), "doc_id", "text", pattern="\n")
-    return out.withColumn("strategy", F.when(F.col("strategy") == "custom_whole", "single").otherwise(F.col("strategy")))
+    return TX.chunk_text(table(spark, sf, "documents"), "doc_id", "text", pattern="\n")
+
+
+def _marked(prefixes: list[str]) -> str:
+    """SQL for texts whose n-th line begins with one of ``prefixes``, in turn."""
+    cases = " ".join(f"WHEN i % {len(prefixes) + 1} = {k + 1} THEN '{p}'" for k, p in enumerate(prefixes))
+    return f"""SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)),
+               lambda x, i: CASE {cases} ELSE '' END || x), chr(10)) AS text FROM documents"""
+
+
+def _marked_docs(spark, sf, prefixes):
+    lines = F.split("text", "\n", -1)
+
+    def mark(x, i):
+        head = F.lit("")
+        for k, p in enumerate(prefixes):
+            head = F.when((i + 1) % (len(prefixes) + 1) == k + 1, F.lit(p)).otherwise(head)
+        return F.concat(head, x)
+
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(lines, mark), "\n").alias("text"))
+
+
+def _chunk_before_sql(prefixes: list[str], strategy: str) -> str:
+    """Chunks that begin at the lines with a prefix, by line numbers."""
+    starts = " OR ".join(f"starts_with(line, '{p}')" for p in prefixes)
+    strip = r"regexp_replace(piece, '^\s+|\s+$', '', 'g')"
+    return f"""
+WITH d AS ({_marked(prefixes)}),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
+g AS (SELECT *, sum(CASE WHEN n > 1 AND ({starts}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS idx FROM l),
+c AS (SELECT doc_id, CAST(idx AS INTEGER) AS chunk_index, string_agg(line, chr(10) ORDER BY n) AS piece FROM g GROUP BY doc_id, idx),
+f AS (SELECT *, CAST(coalesce(sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char FROM c)
+SELECT doc_id, chunk_index, {strip} AS content, start_char, start_char + length(piece) AS end_char, CAST(length(piece) // 4 AS BIGINT) AS token_count,
+       '{strategy}' AS strategy FROM f WHERE length({strip}) > 0"""
+
+
+_MD, _PY = ["## "], ["def ", "class ", "async def "]
+
+
+@query("chunk_markdown", _chunk_before_sql(_MD, "markdown_headers"))
+def q_chunk_markdown(spark, sf):
+    return TX.chunk_text(_marked_docs(spark, sf, _MD), "doc_id", "text", strategy="markdown_headers")
+
+
+@query("chunk_python", _chunk_before_sql(_PY, "python_functions"))
+def q_chunk_python(spark, sf):
+    return TX.chunk_text(_marked_docs(spark, sf, _PY), "doc_id", "text", strategy="python_functions")
+
+
+@query("chunk_json", """
+WITH d AS (SELECT doc_id, ' {"n": ' || n_chars || '}' || chr(10) AS t FROM documents)
+SELECT doc_id, 0 AS chunk_index, t AS content, CAST(0 AS BIGINT) AS start_char, length(t) AS end_char,
+       CAST(length(t) // 4 AS BIGINT) AS token_count, 'json_whole' AS strategy FROM d
+""")
+def q_chunk_json(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.lit(".json").alias("ext"),
+                                             F.concat(F.lit(' {"n": '), F.col("n_chars").cast("string"), F.lit("}\n")).alias("text"))
+    return TX.chunk_text(d, "doc_id", "text", ext_col="ext")
+
+
+_IDENTITY_PATHS = """
+WITH d AS (SELECT doc_id, text, n_chars, CASE doc_id % 5
+       WHEN 0 THEN 'r/.plans/PLAN-' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || '_x.md'
+       WHEN 1 THEN 'r/.Sessions/session_' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || '.md'
+       WHEN 2 THEN 'r/.adrs/some-thing_' || doc_id || '.json'
+       WHEN 3 THEN 'r/docs/specs/SPEC-00' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '.md'
+       ELSE 'r/notes/my-note_' || doc_id || '.md' END AS path FROM documents),
+t AS (SELECT *, CASE WHEN doc_id % 5 = 2 AND doc_id % 2 = 0 THEN '{"id": "ADR-' || doc_id || '", "title": "T ' || doc_id || '"}'
+                     WHEN doc_id % 5 = 2 THEN '{"name": "N"}' ELSE text END AS t FROM d)
+"""
+
+
+@query("document_identity", _IDENTITY_PATHS + r"""
+SELECT doc_id, substr(sha256(t), 1, 16) AS content_hash, length(t) AS n_chars,
+       CASE doc_id % 5 WHEN 0 THEN 'PLAN-' || lpad((doc_id % 1000)::VARCHAR, 3, '0')
+            WHEN 1 THEN 'SESSION-' || lpad((doc_id % 1000)::VARCHAR, 3, '0')
+            WHEN 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'ADR-' || doc_id ELSE 'adr_' || substr(sha256(path), 1, 16) END
+            WHEN 3 THEN 'SPEC-00' || lpad((doc_id % 100)::VARCHAR, 2, '0')
+            ELSE 'session_' || substr(sha256(path), 1, 16) END AS artifact_id,
+       CASE WHEN doc_id % 5 = 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'T ' || doc_id ELSE 'N' END
+            ELSE coalesce(nullif(trim(regexp_extract(t, '(?m)^#\s+(.+)$', 1)), ''),
+                 CASE doc_id % 5 WHEN 0 THEN 'Plan ' || lpad((doc_id % 1000)::VARCHAR, 3, '0') || ' X'
+                      WHEN 1 THEN 'Session ' || lpad((doc_id % 1000)::VARCHAR, 3, '0')
+                      WHEN 3 THEN 'Spec 00' || lpad((doc_id % 100)::VARCHAR, 2, '0')
+                      ELSE 'My Note ' || doc_id END) END AS title,
+       CASE doc_id % 5 WHEN 0 THEN 'plan' WHEN 1 THEN 'session' WHEN 2 THEN 'adr' WHEN 3 THEN 'spec' ELSE 'session' END AS type
+FROM t
+""")
+def q_document_identity(spark, sf):
+    i, text = F.col("doc_id"), F.col("text")
+    three = F.lpad((i % 1000).cast("string"), 3, "0")
+    path = (F.when(i % 5 == 0, F.concat(F.lit("r/.plans/PLAN-"), three, F.lit("_x.md")))
+            .when(i % 5 == 1, F.concat(F.lit("r/.Sessions/session_"), three, F.lit(".md")))
+            .when(i % 5 == 2, F.concat(F.lit("r/.adrs/some-thing_"), i.cast("string"), F.lit(".json")))
+            .when(i % 5 == 3, F.concat(F.lit("r/docs/specs/SPEC-00"), F.lpad((i % 100).cast("string"), 2, "0"), F.lit(".md")))
+            .otherwise(F.concat(F.lit("r/notes/my-note_"), i.cast("string"), F.lit(".md"))))
+    body = (F.when((i % 5 == 2) & (i % 2 == 0), F.format_string('{"id": "ADR-%s", "title": "T %s"}', i.cast("string"), i.cast("string")))
+            .when(i % 5 == 2, F.lit('{"name": "N"}')).otherwise(text))
+    return TX.document_meta(table(spark, sf, "documents").select("doc_id", path.alias("path"), body.alias("text")), "doc_id", "text", "path")
 
 
 @query("document_meta", r"""

@@ -190,18 +190,20 @@ SELECT c_custkey,
        '€' || format('{:,.2f}', c_acctbal) AS eur,
        format('{:.1f}', c_acctbal) || '%' AS pct,
        upper(c_mktsegment) AS seg_upper,
-       lower(c_name) AS name_lower
-FROM customer WHERE c_acctbal > 0
+       lower(c_name) AS name_lower,
+       array_to_string(list_transform(regexp_extract_all(c_name, '[A-Za-z]+|[^A-Za-z]+'), lambda x: upper(x[1]) || lower(x[2:])), '') AS name_title
+FROM customer
 """)
 def q_format_values(spark, sf):
-    c = table(spark, sf, "customer").filter(F.col("c_acctbal") > 0)
+    c = table(spark, sf, "customer")
     return c.select(
         "c_custkey",
         X.format_value(F.col("c_acctbal"), "currency", "USD").alias("usd"),
         X.format_value(F.col("c_acctbal"), "currency", "EUR").alias("eur"),
         X.format_value(F.col("c_acctbal"), "percentage").alias("pct"),
         X.format_value(F.col("c_mktsegment"), "uppercase").alias("seg_upper"),
-        X.format_value(F.col("c_name"), "lowercase").alias("name_lower"))
+        X.format_value(F.col("c_name"), "lowercase").alias("name_lower"),
+        X.format_value(F.col("c_name"), "title").alias("name_title"))
 
 
 @query("iso_utc", """

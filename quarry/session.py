@@ -2,13 +2,13 @@
 
 On a cluster the caller owns the session; nothing here overrides settings that
 are already present.  The scratch folder is derived from
-``spark.checkpoint.dir`` (a shared filesystem on a cluster) and is only created
-locally when that setting is unset, as in tests.
+``spark.checkpoint.dir`` (a shared filesystem on a cluster); only a local session
+without that setting, as in tests, gets a folder of its own.
 """
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -41,11 +41,14 @@ def local_session(cores: str | int = "*", app: str = "quarry", extra: dict | Non
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    """The shared folder that ``spark.checkpoint.dir`` (or the context) names.
+
+    Where it is unset, a local session (tests, bench) gets a folder of its own; on
+    a cluster that would be a folder other machines cannot read, so it raises."""
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         current = tempfile.mkdtemp(prefix="quarry-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     # DataFrame.checkpoint() needs the context-level directory too.
@@ -55,8 +58,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh sub-folder (URI) of the shared folder for written tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

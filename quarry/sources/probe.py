@@ -6,8 +6,8 @@ counts) unpivoted to one row per column; samples come from a bounded top-n.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +49,12 @@ def probe_schema(df: DataFrame, samples: int = 10, order_by: Sequence[str] | Non
     long = wide.selectExpr("__n AS row_count",
                            f"stack({len(cols)}, {parts}) AS (column_name, position, inferred_type, null_count, distinct_count)")
     order = list(order_by) if order_by else cols[:1]
-    head = df.orderBy(*order).limit(samples * 4)  # bounded: top rows only
-    samp = head.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.struct(*[F.col(o) for o in order]).alias("o"),
-                 F.col(c).cast("string").alias("v")) for c in cols])).alias("s")).select("s.*") \
-        .filter(F.col("v").isNotNull()) \
-        .groupBy("column_name").agg(F.array_join(F.slice(F.transform(
-            F.sort_array(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]), 1, samples), "|").alias("samples"))
+    keys = F.struct(*[F.col(o) for o in order]).alias("o")
+    # the first values that are there, by column: one bounded top-n each over two narrow columns
+    first = [df.select(keys, F.col(c).cast("string").alias("v")).where("v IS NOT NULL").orderBy("o", "v").limit(samples)
+             .select(F.lit(c).alias("column_name"), "o", "v") for c in cols]
+    samp = reduce(DataFrame.unionByName, first).groupBy("column_name").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]), "|").alias("samples"))
     return (long.join(samp, "column_name", "left")
             .select("column_name", F.col("position").cast("int").alias("position"), "inferred_type",
                     (F.col("null_count") > 0).alias("nullable"), "null_count", "distinct_count", "row_count",
@@ -98,32 +97,29 @@ def precheck_files(spark: SparkSession, paths: str | Sequence[str], kind: str =
     out = (b.select("file_path", F.explode(F.filter(F.array(*issues), lambda x: x.isNotNull())).alias("i"))
            .select("file_path", "i.*"))
     if not isinstance(paths, str):
-        # zero-length files produce no input split: compare the listing with the request
-        # (one row of metadata per requested file, never file contents)
-        seen = {r[0].split(":", 1)[-1] for r in b.select("file_path").collect()}
-        gone = [p for p in paths if os.path.abspath(p.split(":", 1)[-1]) not in
-                {os.path.abspath(s) for s in seen}]
-        if gone:
-            extra = spark.createDataFrame(
-                [(p, "error", "EMPTY_FILE", "file is empty or missing") for p in gone],
-                "file_path string, severity string, code string, suggestion string")
-            out = out.unionByName(extra)
+        # zero-length files give no row: hold the caller's list against what was read
+        bare = F.regexp_replace("file_path", "^[a-z]+:/*", "/")
+        asked = spark.createDataFrame([(p,) for p in paths], "file_path string")
+        gone = asked.withColumn("__p", bare).join(b.select(bare.alias("__p")), "__p", "left_anti").select(
+            "file_path", F.lit("error").alias("severity"), F.lit("EMPTY_FILE").alias("code"), F.lit("file is empty or missing").alias("suggestion"))
+        out = out.unionByName(gone)
     return out
 
 
 # SRC-15 / 16 ----------------------------------------------------------------------------------
 def table_availability(tables: DataFrame, expected: Mapping[str, Sequence[str]], file_col: str = "file_path",
                        table_col: str = "table_id") -> DataFrame:
-    """Per (file, table): AVAILABLE, PARTIAL (expected columns missing) or FAILED
-    (no rows).  ``tables`` is the long form (file, table, column) of what was read."""
-    exp_rows = [(t, list(cols)) for t, cols in expected.items()]
-    spark = tables.sparkSession
-    exp = spark.createDataFrame(exp_rows, f"{table_col} string, expected array<string>")
-    got = tables.groupBy(file_col, table_col).agg(F.collect_set("column_name").alias("actual"),
-                                                  F.count(F.lit(1)).alias("n"))
-    j = got.join(exp, table_col, "left")
-    missing = F.array_except(F.coalesce(F.col("expected"), F.array().cast("array<string>")), F.col("actual"))
-    status = F.when(F.col("n") == 0, "FAILED").when(F.size(missing) > 0, "PARTIAL").otherwise("AVAILABLE")
+    """Per (file, table) that was tried: AVAILABLE, PARTIAL (expected columns missing) or
+    FAILED (no rows, or unreadable).  ``tables`` is the long form (file, table, column_name)
+    of what was read; a table without rows, or that could not be read, has one row with a
+    null column, and a file of unknown format one with a null table (``<unknown>``)."""
+    exp = tables.sparkSession.createDataFrame([(t, list(cols)) for t, cols in expected.items()], f"{table_col} string, expected array<string>")
+    named = tables.withColumn(table_col, F.coalesce(table_col, F.lit("<unknown>")))
+    j = named.groupBy(file_col, table_col).agg(F.collect_set("column_name").alias("actual")).join(exp, table_col, "left")
+    none = F.array().cast("array<string>")
+    failed = F.size("actual") == 0
+    missing = F.when(failed, none).otherwise(F.array_except(F.coalesce("expected", none), "actual"))
+    status = F.when(failed, "FAILED").when(F.size(missing) > 0, "PARTIAL").otherwise("AVAILABLE")
     return j.select(file_col, table_col, status.alias("status"), missing.alias("missing_columns"))
 
 

@@ -26,26 +26,29 @@ DELIMITERS = [",", "\t", ";", "|"]
 
 
 # SRC-02 -------------------------------------------------------------------------------
-def detect_delimiters(spark: SparkSession, paths: str | Sequence[str], lines: int = 10) -> DataFrame:
-    """Per file: the most frequent candidate delimiter over its first ``lines``
-    lines (ties -> earlier candidate, none -> comma)."""
+def first_lines(spark: SparkSession, paths: str | Sequence[str], lines: int) -> DataFrame:
+    """(file_path, n, value): each file's first ``lines`` lines, cut to their first 64 KiB.
+
+    Spark's text source has no limit by file, so all lines pass the scan, but only
+    these reach the exchange (a group limit before and after it)."""
     # ids increase with the split offset inside a file, so they order its lines
-    txt = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), "value",
-                                       F.monotonically_increasing_id().alias("__ln"))
+    txt = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), F.left("value", F.lit(65536)).alias("value"),
+                                        F.monotonically_increasing_id().alias("__ln"))
     w = Window.partitionBy("file_path").orderBy("__ln")
-    # a filtered row_number is planned with a per-partition group limit: only
-    # ``lines`` rows per file reach the shuffle
-    head = txt.withColumn("__rk", F.row_number().over(w)).filter(F.col("__rk") <= lines)
-    counts = head.groupBy("file_path").agg(*[
-        F.sum(F.length("value") - F.length(F.replace("value", F.lit(d), F.lit("")))).alias(f"d{i}")
-        for i, d in enumerate(DELIMITERS)])
-    best = F.lit(",")
-    best_n = F.lit(0)
-    for i, d in enumerate(DELIMITERS):
-        better = F.col(f"d{i}") > best_n
-        best = F.when(better, F.lit(d)).otherwise(best)
-        best_n = F.greatest(best_n, F.col(f"d{i}"))
-    return counts.select("file_path", best.alias("delimiter"))
+    return txt.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= lines).drop("__ln")
+
+
+def _delimiter_of(head: DataFrame, *keep: Column) -> DataFrame:
+    """Per file the most frequent candidate delimiter of its lines (ties -> the earlier candidate, none -> comma)."""
+    counts = head.groupBy("file_path").agg(*keep, *[
+        F.sum(F.length("value") - F.length(F.replace("value", F.lit(d), F.lit("")))).alias(f"d{i}") for i, d in enumerate(DELIMITERS)])
+    best = F.array_max(F.array(*[F.struct(F.col(f"d{i}").alias("n"), F.lit(-i).alias("i")) for i in range(len(DELIMITERS))]))
+    return counts.withColumn("delimiter", F.get(F.array(*map(F.lit, DELIMITERS)), -best["i"])).drop(*[f"d{i}" for i in range(len(DELIMITERS))])
+
+
+def detect_delimiters(spark: SparkSession, paths: str | Sequence[str], lines: int = 10) -> DataFrame:
+    """Per file: the most frequent candidate delimiter over its first ``lines`` lines."""
+    return _delimiter_of(first_lines(spark, paths, lines)).select("file_path", "delimiter")
 
 
 # SRC-03 -------------------------------------------------------------------------------
@@ -99,44 +102,39 @@ def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
 
 def read_delimited(spark: SparkSession, paths: str | Sequence[str], delimiter: str | None = None,
                    header: bool = True, markers: Sequence[str] = tuple(NULL_MARKERS),
-                   encoding: str | None = None, infer: bool = True) -> DataFrame:
+                   encoding: str | None = None, infer: bool = True, lines: int = 10) -> DataFrame:
     """CSV/TSV: PERMISSIVE read as strings, marker set -> null, then type inference
     by ``try_cast`` (a bad cell becomes null instead of failing the read).
-    Without ``delimiter`` files are grouped by detected delimiter and each group
-    is read once."""
+
+    Files that share a delimiter (detected where none is given) and a header line are
+    read together; the groups are united by column name, so files may order their
+    columns differently or lack some.  The driver holds the groups' path lists, as it
+    holds the listing of any read."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if delimiter is None:
-        groups = detect_delimiters(spark, paths).groupBy("delimiter").agg(F.collect_list("file_path").alias("p"))
-        parts = []
-        for r in groups.collect():  # one row per distinct delimiter (at most 4)
-            parts.append(read_delimited(spark, r["p"], r["delimiter"], header, markers, encoding, infer=False))
-        if not parts:
-            return spark.createDataFrame([], "value string")
-        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    else:
-        rd = spark.read.option("header", header).option("sep", delimiter).option("mode", "PERMISSIVE") \
-            .option("inferSchema", False)
-        if encoding:
-            rd = rd.option("encoding", encoding)
-        df = rd.csv(paths)
-    df = apply_null_markers(df, markers)
+    top = F.min_by("value", "n").alias("top") if header else F.lit(None).cast("string").alias("top")
+    heads = _delimiter_of(first_lines(spark, paths, lines), top)
+    groups = heads.withColumn("delimiter", F.lit(delimiter) if delimiter else F.col("delimiter")).groupBy("delimiter", "top").agg(
+        F.sort_array(F.collect_list("file_path")).alias("p")).orderBy(F.col("p")[0])
+    parts = []
+    for g in groups.collect():  # a row for each header and delimiter
+        rd = spark.read.option("header", header).option("sep", g["delimiter"]).option("mode", "PERMISSIVE").option("inferSchema", False)
+        parts.append((rd.option("encoding", encoding) if encoding else rd).csv(g["p"]))
+    if not parts:
+        return spark.createDataFrame([], "value string")
+    df = apply_null_markers(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), markers)
     return infer_types(df) if infer else df
 
 
 # SRC-04 / 05 / 06 ----------------------------------------------------------------------
 def detect_json_kind(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Per file: ``jsonl`` by extension (.jsonl/.ndjson), else by content: first
-    non-space char ``{`` and at least 2 of the first 5 lines start with ``{``."""
-    t = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"),
-                                                     F.substring("value", 1, 65536).alias("__h"))
+    """Per file: ``jsonl`` by extension (.jsonl/.ndjson), else by its first 5 lines: not
+    opening with ``[``, and at least 2 of them starting with ``{``."""
+    heads = first_lines(spark, paths, 5).groupBy("file_path").agg(
+        F.count_if(F.ltrim("value").startswith("{")).alias("objects"), F.min_by(F.ltrim("value"), F.struct(F.ltrim("value") == "", "n")).alias("first"))
     ext = F.lower(F.regexp_extract("file_path", r"(\.[^./]+)$", 1))
-    first5 = F.slice(F.split(F.ltrim(F.col("__h")), "\n"), 1, 5)
-    n_obj = F.size(F.filter(first5, lambda x: F.ltrim(x).startswith("{")))
-    kind = (F.when(ext.isin(".jsonl", ".ndjson"), "jsonl")
-            .when(ext == ".json", F.when(F.regexp_extract(F.col("__h"), r"^\s*(\S)", 1) == "[", "json")
-                  .when(n_obj >= 2, "jsonl").otherwise("json"))
-            .when(n_obj >= 2, "jsonl").otherwise("json"))
-    return t.select("file_path", kind.alias("kind"))
+    kind = (F.when(ext.isin(".jsonl", ".ndjson"), "jsonl").when((ext == ".json") & F.col("first").startswith("["), "json")
+            .when(F.col("objects") >= 2, "jsonl").otherwise("json"))
+    return heads.select("file_path", kind.alias("kind"))
 
 
 def read_json(spark: SparkSession, paths: str | Sequence[str], lines: bool | None = None) -> DataFrame:
@@ -186,16 +184,6 @@ def apply_read_options(df: DataFrame, columns: Sequence[str] | None = None, excl
     return df
 
 
-# SRC-08 ---------------------------------------------------------------------------------------
-def read_excel(spark: SparkSession, paths: str | Sequence[str], sheet: str | int = 0) -> DataFrame:
-    """Excel needs ``openpyxl``, which is not installed here: fail clearly."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise NotImplementedError("Excel reading needs openpyxl (not installed)") from e
-    raise NotImplementedError("Excel reader: install openpyxl and register a Python data source")
-
-
 # SRC-12 ---------------------------------------------------------------------------------------
 READERS: dict[str, Callable[..., DataFrame]] = {
     ".csv": lambda s, p, **kw: read_delimited(s, p, **kw),
@@ -205,21 +193,26 @@ READERS: dict[str, Callable[..., DataFrame]] = {
     ".jsonl": lambda s, p, **kw: read_json(s, p, lines=True),
     ".ndjson": lambda s, p, **kw: read_json(s, p, lines=True),
     ".parquet": lambda s, p, **kw: read_parquet(s, p, **kw),
-    ".xlsx": lambda s, p, **kw: read_excel(s, p, **kw),
-    ".xls": lambda s, p, **kw: read_excel(s, p, **kw),
 }
 
 
-def reader_for(path: str, readers: Mapping[str, Callable] | None = None) -> Callable[..., DataFrame]:
+#: Media types of the formats.
+MEDIA_TYPES = {"text/csv": ".csv", "application/csv": ".csv", "text/tab-separated-values": ".tsv", "text/plain": ".txt", "application/json": ".json",
+               "application/x-ndjson": ".jsonl", "application/jsonl": ".jsonl", "application/vnd.apache.parquet": ".parquet", "application/x-parquet": ".parquet"}
+
+
+def reader_for(path: str, readers: Mapping[str, Callable] | None = None, media_type: str | None = None) -> Callable[..., DataFrame]:
+    """The reader of a media type, if a known one is given, else of the path's extension."""
     table = {**READERS, **(readers or {})}
-    ext = os.path.splitext(path)[1].lower()
+    known = MEDIA_TYPES.get((media_type or "").split(";")[0].strip().lower())
+    ext = known or os.path.splitext(path)[1].lower()
     if ext not in table:
         raise ValueError(f"unsupported file type {ext}")
     return table[ext]
 
 
-def read_any(spark: SparkSession, path: str, readers: Mapping[str, Callable] | None = None, **kw) -> DataFrame:
-    return reader_for(path, readers)(spark, path, **kw)
+def read_any(spark: SparkSession, path: str, readers: Mapping[str, Callable] | None = None, media_type: str | None = None, **kw) -> DataFrame:
+    return reader_for(path, readers, media_type)(spark, path, **kw)
 
 
 # SRC-13 / 14 -----------------------------------------------------------------------------------

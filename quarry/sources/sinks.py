@@ -36,7 +36,7 @@ def row_id(columns: Sequence[str], seed: int = ID_SEED, length: int = 8) -> Colu
     """Per-row id: sha2 of sorted-key compact JSON (``_seed`` included), first ``length`` hex."""
     fields = sorted(list(columns) + ["_seed"])
     st = F.struct(*[(F.lit(seed) if c == "_seed" else F.col(c)).alias(c) for c in fields])
-    return F.substring(F.sha2(F.to_json(st), 256), 1, length)
+    return F.substring(F.sha2(F.to_json(st, {"ignoreNullFields": "false"}), 256), 1, length)
 
 
 # SNK-04 -----------------------------------------------------------------------------------
@@ -68,15 +68,19 @@ def write_dataset(df: DataFrame, base: str, dataset: str, lineage: Sequence[str]
         w = w.partitionBy(*partition_by)
     w.parquet(f"{base}/{dataset}/data")
     m = obs.get
+    spark = df.sparkSession
+    # the files' sizes, from their listing
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(
+        f"{base}/{dataset}/data").agg(F.sum("length")).first()[0]
     manifest = {
         "dataset_id": dataset, "tool": tool,
         "created_at": dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"),
         "row_count": int(m["rows"]),
+        "size_bytes": int(size or 0),
         "columns": [{"name": f.name, "dtype": f.dataType.simpleString(), "nullable": int(m[f"null_{i}"]) > 0}
                     for i, f in enumerate(df.schema.fields)],
         "parent_ids": list(lineage),
     }
-    spark = df.sparkSession
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1) \
         .write.mode("overwrite").text(f"{base}/{dataset}/manifest")
     return manifest

@@ -69,49 +69,80 @@ def chunk_summary(spark: SparkSession, output_dir: str) -> DataFrame:
             .drop("__last", "__k"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there; any other trouble with it is an error, not an absence."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def merge_documents(spark: SparkSession, docs: DataFrame, snapshot_dir: str, staging: str, id_col: str = "doc_id",
+                    text_col: str = "text", buckets: int = 256) -> None:
+    """Upsert ``docs`` (with source_file, source_time) into the snapshot by content hash.
+
+    Of several versions of an id the one with the latest source time counts, the
+    snapshot's own included: an older file that arrives later changes nothing.  The
+    snapshot is partitioned by a hash bucket of the id; only the buckets touched are
+    read and rewritten, through ``staging``, so a failed run leaves it as it was."""
+    from quarry.operators.text import hash_upsert
+
+    others = [c for c in docs.columns if c != id_col]
+    newest = (docs.groupBy(id_col).agg(F.max_by(F.struct(*others), F.struct("source_time", "source_file")).alias("r")).select(id_col, "r.*")
+              .withColumn("content_hash", F.substring(F.sha2(F.col(text_col), 256), 1, 16))
+              .withColumn("archived_at", F.lit(None).cast("timestamp"))
+              .withColumn("bucket", F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int")))
+    if not _exists(spark, snapshot_dir):
+        result = newest.withColumn("action", F.lit("inserted"))
+    else:
+        touched = [r[0] for r in newest.select("bucket").distinct().collect()]  # at most ``buckets``
+        old = spark.read.parquet(snapshot_dir).filter(F.col("bucket").isin(touched))
+        known = old.select(id_col, F.col("source_time").alias("__known"))
+        newest = newest.join(known, id_col, "left").where("__known IS NULL OR source_time >= __known").drop("__known")
+        acts = hash_upsert(old.select(id_col, "content_hash", "archived_at"), newest.select(id_col, "content_hash"), id_col).select(id_col, "action")
+        result = newest.join(acts, id_col).unionByName(old.join(newest.select(id_col), id_col, "left_anti"), allowMissingColumns=True)
+    result.write.mode("overwrite").partitionBy("bucket").parquet(staging)
+    written = spark.read.schema(result.schema).parquet(staging)
+    written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(snapshot_dir)
+
+
+def _with_source(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"source_file": F.col("_metadata.file_path"), "source_time": F.col("_metadata.file_modification_time")})
+
+
+def sync_edited(spark: SparkSession, docs_dir: str, snapshot_dir: str, staging: str, schema: str | None = None, fmt: str = "json", **kw) -> int:
+    """Merge again the files that were changed after the snapshot read them; returns how many.
+
+    The listing (paths and times, no contents) is compared with the snapshot's latest time by file."""
+    if not _exists(spark, snapshot_dir):
+        return 0
+    listed = spark.read.format("binaryFile").load(docs_dir).select(F.col("path").alias("source_file"), F.col("modificationTime").alias("now"))
+    read = spark.read.parquet(snapshot_dir).groupBy("source_file").agg(F.max("source_time").alias("then"))
+    edited = [r[0] for r in listed.join(read, "source_file").where("now > then").select("source_file").collect()]  # edited files only
+    if edited:
+        reader = spark.read.schema(schema) if schema else spark.read
+        merge_documents(spark, _with_source(reader.format(fmt).load(edited)), snapshot_dir, staging, **kw)
+    return len(edited)
+
+
 def folder_sync(spark: SparkSession, docs_dir: str, snapshot_dir: str, checkpoint_dir: str,
                 id_col: str = "doc_id", text_col: str = "text", schema: str | None = None,
                 fmt: str = "json", available_now: bool = True, snapshot_buckets: int = 256) -> StreamingQuery:
-    """STR-02: stream new document files, keep the newest version per id within a
-    batch (debounce), compute the content hash and merge into the snapshot
-    (hash upsert).  ``action`` records the last change applied to each row."""
-    from quarry.operators.text import hash_upsert
+    """STR-02: keep a snapshot of a folder of documents, the newest version per id.
 
+    New files arrive as a stream.  The file source never reads a known path again,
+    so files edited in place are found by :func:`sync_edited`, at the start and
+    with every batch.  ``action`` records the last change applied to each row."""
+    kw = {"id_col": id_col, "text_col": text_col, "buckets": snapshot_buckets}
+    sync_edited(spark, docs_dir, snapshot_dir, f"{snapshot_dir}_staging/edited", schema, fmt, **kw)
     rd = spark.readStream.format(fmt)
     if schema:
         rd = rd.schema(schema)
-    stream = rd.load(docs_dir).withColumn("__mtime", F.col("_metadata.file_modification_time"))
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        newest = (batch.groupBy(id_col).agg(F.max_by(F.struct(*[c for c in batch.columns if c != id_col]),
-                                                      "__mtime").alias("r"))
-                  .select(id_col, "r.*").drop("__mtime")
-                  .withColumn("content_hash", F.substring(F.sha2(F.col(text_col), 256), 1, 16))
-                  .withColumn("archived_at", F.lit(None).cast("timestamp"))
-                  .withColumn("bucket", F.pmod(F.xxhash64(F.col(id_col)), F.lit(snapshot_buckets)).cast("int")))
-        # the snapshot is partitioned by a hash bucket of the id: only the buckets
-        # this batch touches are read (partition pruning) and rewritten
-        touched = [r[0] for r in newest.select("bucket").distinct().collect()]  # at most snapshot_buckets
-        try:
-            old = s.read.parquet(snapshot_dir).filter(F.col("bucket").isin(touched)).drop("action")
-        except Exception:  # noqa: BLE001 - first batch: no snapshot yet
-            old = None
-        if old is None:
-            result = newest.withColumn("action", F.lit("inserted"))
-        else:
-            acts = hash_upsert(old.select(id_col, "content_hash", "archived_at"),
-                               newest.select(id_col, "content_hash"), id_col).select(id_col, "action")
-            kept_old = s.read.parquet(snapshot_dir).filter(F.col("bucket").isin(touched)) \
-                .join(newest.select(id_col), id_col, "left_anti")
-            result = newest.join(acts, id_col).unionByName(kept_old, allowMissingColumns=True)
-        # stage the rewritten buckets, then replace exactly those partitions
-        staging = f"{snapshot_dir}_staging/batch={batch_id}"
-        result.write.mode("overwrite").partitionBy("bucket").parquet(staging)
-        s.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-            .partitionBy("bucket").parquet(snapshot_dir)
-
-    w = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
+        merge_documents(s, batch, snapshot_dir, f"{snapshot_dir}_staging/batch={batch_id}", **kw)
+        sync_edited(s, docs_dir, snapshot_dir, f"{snapshot_dir}_staging/edited", schema, fmt, **kw)
+
+    w = _with_source(rd.load(docs_dir)).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="500 milliseconds")
     return w.start()
 
@@ -119,7 +150,10 @@ def folder_sync(spark: SparkSession, docs_dir: str, snapshot_dir: str, checkpoin
 def stream_extract(spark: SparkSession, source_dir: str, tables: Sequence[Mapping[str, Any]], output_dir: str,
                    checkpoint_dir: str, files_per_trigger: int = 10) -> StreamingQuery:
     """STR-04: whole JSON files as a stream -> VARIANT -> every profile table per
-    micro-batch (discovery runs on the batch, which is bounded by the trigger)."""
+    micro-batch (discovery runs on the batch, which is bounded by the trigger).
+
+    Files that do not parse are kept in ``_bad_files`` and tables whose configuration
+    failed in ``_warnings``, both by batch, as the batch form returns them."""
     from quarry.operators.extract import extract_tables
 
     stream = (spark.readStream.format("text").option("wholetext", True)
@@ -127,11 +161,14 @@ def stream_extract(spark: SparkSession, source_dir: str, tables: Sequence[Mappin
               .select(F.col("_metadata.file_path").alias("file_path"), F.try_parse_json("value").alias("doc")))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        good = batch.filter(F.col("doc").isNotNull())
-        out, _warnings = extract_tables(good, tables)
-        for name, df in out.items():
+        batch = batch.persist()  # read by the discovery and by each table
+        out, warnings = extract_tables(batch.filter(F.col("doc").isNotNull()), tables)
+        bad = batch.filter(F.col("doc").isNull()).select("file_path", F.lit("invalid JSON").alias("reason"))
+        told = batch.sparkSession.createDataFrame([(w["table_id"], w["message"]) for w in warnings], "table_id string, message string")
+        for name, df in {**out, "_bad_files": bad, "_warnings": told}.items():
             df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
                 .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{output_dir}/{name}")
+        batch.unpersist()
 
     return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_dir)
             .trigger(availableNow=True).start())

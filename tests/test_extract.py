@@ -92,6 +92,47 @@ def test_array_of_objects_and_join(docs, spark):
     assert [(r["k"], r["y"]) for r in j] == [(1, 10), (2, None)]
 
 
+def _parsed(spark, *texts):
+    return spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file_path string, t string").select("file_path", F.try_parse_json("t").alias("doc"))
+
+
+def test_headers_of_many_kinds_in_one_pass(spark):
+    d = _parsed(spark, '{"columns": ["a", "b"], "values": [[1, "x"], {"b": "y", "z": 1}]}', '{"columns": ["a"], "values": [7, "t"]}',
+                '{"columns": ["it\'s", "c", "c"], "values": [[1, 2, 3]]}', '{"columns": ["e"], "values": []}')
+    t = E.headers_data(d, "$")
+    assert t.columns == ["file_path", "a", "e", "it's", "b", "c"]
+    got = sorted(((r["a"], r["b"], r["it's"], r["c"]) for r in t.collect()), key=repr)
+    assert got == sorted([("1", "x", None, None), (None, "y", None, None), ("7", None, None, None), ("t", None, None, None), (None, None, 1, 3)], key=repr)
+    many = _parsed(spark, *['{"columns": ["c%d"], "values": [[%d]]}' % (i, i) for i in range(20)])
+    plan = E.headers_data(many, "$")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 0
+    with pytest.raises(E.LimitExceeded):
+        E.headers_data(many, "$", max_columns=19)
+
+
+def test_more_than_a_thousand_keys_and_quoted_ones(spark):
+    wide = _parsed(spark, json.dumps({f"k{i}": i for i in range(1001)} | {"it's": 1, 'q"x': 2, "both'\"": 3}))
+    tables, warnings = E.extract_tables(wide, [{"id": "t", "select": {"strategy": "flat_object"}}])
+    assert not warnings and len(tables["t"].columns) == 1005
+    r = tables["t"].first()
+    assert (r["it's"], r['q"x'], r["both'\""], r["k1000"]) == (1, 2, 3, 1000)
+    with pytest.raises(E.LimitExceeded):
+        E.extract_tables(wide, [{"id": "t", "select": {"strategy": "flat_object", "max_columns": 1000}}])
+
+
+def test_doc_join_edges(spark):
+    d = _parsed(spark, '{"l": [{"k": 1, "x": "p"}, {"k": null, "x": "n"}], "r": []}', '{"l": [{"k": 1, "x": "q"}], "r": [{"k": 1.0, "x": "R"}, {"k": 3, "x": "S"}]}',
+                '{"l": [{"k": 1, "x": "lost"}]}')
+    join = lambda how: sorted(((r["file_path"], r["x"], r["x_right"]) for r in E.doc_join(d, {"path": "$.l[*]", "key": "k"}, {"path": "$.r", "key": "k"}, how).collect()), key=repr)
+    empty = [("0", "n", None), ("0", "p", None)]  # an empty right side gives the left rows
+    assert join("inner") == [*empty, ("1", "q", "R")] == join("left")
+    assert join("outer") == sorted([*empty, ("1", "q", "R"), ("1", None, "S")], key=repr) == join("right")
+    same, _ = E.extract_tables(d, [{"id": "t", "select": {"strategy": "array_of_objects", "path": "$.l"}},
+                                   {"id": "t", "select": {"strategy": "array_of_objects", "path": "$.r", "fields": ["x", "k"]}}])
+    assert same["t"].count() == 6
+    assert "Exchange" not in E.doc_join(d, {"path": "$.l", "key": "k"}, {"path": "$.r", "key": "k"})._jdf.queryExecution().executedPlan().toString()
+
+
 def test_unpivot_and_config_errors(spark):
     df = spark.createDataFrame([(1, 2.0, 3.0)], "id int, a double, b double")
     assert E.unpivot_table(df, ["id"], ["a", "b", "zz"]).count() == 2

@@ -86,8 +86,29 @@ def test_discovery_predicates_and_registry(spark, tmpdir_path):
     assert R.reader_for("x.parquet") is not None
     with pytest.raises(ValueError):
         R.reader_for("x.doc")
-    with pytest.raises(NotImplementedError):
-        R.read_excel(spark, "x.xlsx")
+    with pytest.raises(ValueError):
+        R.reader_for("x.xlsx")
+    assert R.reader_for("x.bin", media_type="text/csv; charset=utf-8") is R.READERS[".csv"]
+
+
+def test_csv_files_with_other_headers(spark, tmpdir_path):
+    _write(tmpdir_path, "a.csv", "a,b\n1,2\n")
+    _write(tmpdir_path, "b.csv", "b,a\n3,4\n")
+    _write(tmpdir_path, "c.csv", "b;c\n5;x\n")
+    df = R.read_delimited(spark, tmpdir_path)
+    assert sorted(((r["a"], r["b"], r["c"]) for r in df.collect()), key=repr) == [(1, 2, None), (4, 3, None), (None, 5, "x")]
+
+
+def test_probe_samples_are_the_first_values_there(spark):
+    df = spark.createDataFrame([(i, None if i < 100 else i) for i in range(200)], "id int, late int")
+    got = {r["column_name"]: r["samples"] for r in probe_schema(df, samples=3, order_by=["id"]).collect()}
+    assert got == {"id": "0|1|2", "late": "100|101|102"}
+
+
+def test_unreadable_tables_are_failed(spark):
+    read = spark.createDataFrame([("f", "t", "a"), ("f", "t", "b"), ("f", "u", None), ("g", None, None)], "file_path string, table_id string, column_name string")
+    got = {(r["file_path"], r["table_id"]): r["status"] for r in table_availability(read, {"t": ["a", "b"], "u": ["x"]}).collect()}
+    assert got == {("f", "t"): "AVAILABLE", ("f", "u"): "FAILED", ("g", "<unknown>"): "FAILED"}
 
 
 def test_table_availability(spark):

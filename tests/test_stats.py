@@ -2,7 +2,9 @@ import math
 
 import pytest
 
-from quarry.functions.fdist import f_sf, norm_ppf
+from pyspark.sql import functions as F
+
+from quarry.functions.fdist_expr import f_sf_expr, norm_ppf_expr
 from quarry.operators import stats as ST
 
 
@@ -12,16 +14,35 @@ def _one_way(spark):
     return spark.createDataFrame(rows, "factor_a string, response double")
 
 
-def test_f_tail_known_value():
-    assert f_sf(75.0, 2, 6) == pytest.approx(5.6896e-05, rel=1e-4)
-    assert f_sf(1.0, 5, 5) == pytest.approx(0.5, abs=1e-12)
-    assert f_sf(0.0, 3, 7) == 1.0
-    assert f_sf(None, 3, 7) is None
+def _tails(spark, cases):
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, f double, d1 double, d2 double")
+    return [r[0] for r in df.orderBy("i").select(f_sf_expr(F.col("f"), F.col("d1"), F.col("d2"))).collect()]
+
+
+def test_f_tail_known_value(spark):
+    got = _tails(spark, [(75.0, 2.0, 6.0), (1.0, 5.0, 5.0), (0.0, 3.0, 7.0), (None, 3.0, 7.0)])
+    assert got[0] == pytest.approx(5.6896e-05, rel=1e-4)
+    assert got[1] == pytest.approx(0.5, abs=1e-12)
+    assert got[2] == 1.0
+    assert got[3] is None
+
+
+def test_f_tail_closed_forms_at_any_size(spark):
+    # d1 = 2: (1 + 2 f / d2) ** (-d2 / 2); d2 = 2: 1 - (d1 f / (2 + d1 f)) ** (d1 / 2)
+    cases = [(f, 2.0, d2) for f in (0.01, 0.5, 3.0, 40.0) for d2 in (1.0, 7.0, 1e3, 1e6, 1e8, 1e10, 1e12)]
+    for (f, _, d2), p in zip(cases, _tails(spark, cases)):
+        assert p == pytest.approx(math.exp(-d2 / 2 * math.log1p(2 * f / d2)), rel=1e-9), (f, d2)
+    cases = [(f, d1, 2.0) for f in (0.5, 3.0, 40.0) for d1 in (1.0, 9.0, 500.0)]
+    for (f, d1, _), p in zip(cases, _tails(spark, cases)):
+        assert p == pytest.approx(-math.expm1(d1 / 2 * math.log(d1 * f / (2 + d1 * f))), rel=1e-9), (f, d1)
+    # F(d, d) has median 1, however large d is
+    assert _tails(spark, [(1.0, d, d) for d in (3.0, 1e3, 1e5)]) == pytest.approx([0.5] * 3, rel=1e-8)
 
 
-def test_norm_ppf():
-    assert norm_ppf(0.975) == pytest.approx(1.959963985, abs=1e-8)
-    assert norm_ppf(0.5) == pytest.approx(0.0, abs=1e-12)
+def test_norm_ppf(spark):
+    got = spark.createDataFrame([(0, 0.975), (1, 0.5)], "i int, p double").orderBy("i").select(norm_ppf_expr(F.col("p"))).collect()
+    assert got[0][0] == pytest.approx(1.959963985, abs=1e-8)
+    assert got[1][0] == pytest.approx(0.0, abs=1e-12)
 
 
 def test_one_way_known_answers(spark):

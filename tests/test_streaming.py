@@ -49,3 +49,39 @@ def test_stream_extract_matches_batch(spark, tmpdir_path):
         b = batch[name].drop("file_path")
         assert sorted(map(tuple, s.select(sorted(s.columns)).collect())) == \
             sorted(map(tuple, b.select(sorted(b.columns)).collect()))
+
+
+def test_stream_extract_keeps_bad_files(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "bad")
+    os.makedirs(src)
+    for name, text in (("good.json", '{"s": {"a": 1}}'), ("bad.json", "{no")):
+        with open(os.path.join(src, name), "w") as f:
+            f.write(text)
+    out = os.path.join(tmpdir_path, "bad-out")
+    tables = [{"id": "s", "select": {"strategy": "flat_object", "path": "$.s"}}, {"id": "w", "select": {"strategy": "none"}}]
+    ST.stream_extract(spark, src, tables, out, os.path.join(tmpdir_path, "bad-ck")).awaitTermination(120)
+    assert [r["file_path"].endswith("bad.json") for r in spark.read.parquet(f"{out}/_bad_files").collect()] == [True]
+    assert spark.read.parquet(f"{out}/_warnings").first()["table_id"] == "w"
+    assert spark.read.parquet(f"{out}/s").count() == 1
+
+
+def test_folder_sync_sees_edits_and_ignores_older_files(spark, tmpdir_path):
+    src, snap, ck = (os.path.join(tmpdir_path, n) for n in ("sync", "sync-snap", "sync-ck"))
+    os.makedirs(src)
+
+    def write(name, text, when):
+        p = os.path.join(src, name)
+        with open(p, "w") as f:
+            f.write('{"doc_id": 1, "text": "%s"}\n' % text)
+        os.utime(p, (when, when))
+
+    def sync():
+        ST.folder_sync(spark, src, snap, ck, schema="doc_id long, text string").awaitTermination(120)
+        return [(r["text"], r["action"]) for r in spark.read.parquet(snap).collect()]
+
+    write("a.json", "one", 1_000_000)
+    assert sync() == [("one", "inserted")]
+    write("a.json", "two", 2_000_000)  # edited in place
+    assert sync() == [("two", "updated")]
+    write("b.json", "old", 1_500_000)  # arrives later, is older
+    assert sync()[0][0] == "two"
