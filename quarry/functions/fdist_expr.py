@@ -52,12 +52,18 @@ def _lgamma_step(a: Column, b: Column) -> Column:
     return F.when(a >= LARGE, large).otherwise(lgamma(a + b) - lgamma(a))
 
 
-def _beta_fraction(a: Column, b: Column, x: Column, y: Column, excess: Column) -> Column:
-    """I_x(a, b) B(a, b) / (x^a y^b) for a, b > 1 and excess = a - (a + b) x >= 0.
+def _let(values: dict[str, Column], body) -> Column:
+    """``body`` on names for ``values``, each computed once."""
+    return F.transform(F.array(F.struct(*[v.alias(n) for n, v in values.items()])), body)[0]
 
-    The continued fraction in terms of y = 1 - x and the excess, both known without
+
+def _beta_fraction(q: Column) -> Column:
+    """I_x(a, b) B(a, b) / (x^a y^b) for q's a, b > 1, x, y = 1 - x and excess = a - (a + b) x >= 0.
+
+    The continued fraction in terms of y and the excess, both known without
     cancellation, so it stays accurate where x is next to 1 (Didonato and Morris)."""
-    c, ratio, one = 1.0 + excess, b / a, 1.0 + 1.0 / a
+    a, b, x, y = (q[n] for n in "abxy")
+    c, ratio, one = 1.0 + q["excess"], b / a, 1.0 + 1.0 / a
     names = ("p", "s", "an", "bn", "an1", "bn1", "r", "last")
 
     def state(*values):
@@ -65,11 +71,16 @@ def _beta_fraction(a: Column, b: Column, x: Column, y: Column, excess: Column) -
 
     def step(st, k):
         n = k.cast("double")
-        t, w, e = n / a, n * (b - n) * x, a / st["s"]
-        alpha = st["p"] * (st["p"] + ratio) * e * e * w * x
-        beta = n + w / st["s"] + (1.0 + t) / (one + 2.0 * t) * (c + n * (1.0 + y))
-        an1, bn1 = alpha * st["an"] + beta * st["an1"], alpha * st["bn"] + beta * st["bn1"]
-        new = state(1.0 + t, st["s"] + 2.0, st["an1"] / bn1, st["bn1"] / bn1, an1 / bn1, F.lit(1.0), an1 / bn1, st["r"])
+
+        def coefficients(v):
+            alpha = st["p"] * (st["p"] + ratio) * v["e"] * v["e"] * v["w"] * x
+            beta = n + v["w"] / st["s"] + (1.0 + v["t"]) / (one + 2.0 * v["t"]) * (c + n * (1.0 + y))
+            return F.struct((alpha * st["an"] + beta * st["an1"]).alias("an"), (alpha * st["bn"] + beta * st["bn1"]).alias("bn"), (1.0 + v["t"]).alias("p"))
+
+        def advance(v):
+            return state(v["p"], st["s"] + 2.0, st["an1"] / v["bn"], st["bn1"] / v["bn"], v["an"] / v["bn"], F.lit(1.0), v["an"] / v["bn"], st["r"])
+
+        new = _let({"v": _let({"t": n / a, "w": n * (b - n) * x, "e": a / st["s"]}, coefficients)}, lambda z: advance(z["v"]))
         return F.when(F.abs(st["r"] - st["last"]) <= 1e-16 * st["r"], st).otherwise(new)  # settled: nothing changes any more
 
     start = state(F.lit(1.0), a + 1.0, F.lit(0.0), F.lit(1.0), F.lit(1.0), c / one, one / c, F.lit(-1.0))
@@ -78,25 +89,35 @@ def _beta_fraction(a: Column, b: Column, x: Column, y: Column, excess: Column) -
         F.raise_error(F.lit("the F tail did not converge")).cast("double")))
 
 
-def f_sf_expr(f: Column, d1: Column, d2: Column) -> Column:
-    """P(F > f) for F(d1, d2); null when f, d1 or d2 is null or a df is not positive."""
-    f, d1, d2 = f.cast("double"), d1.cast("double"), d2.cast("double")
-    ratio = d1 * f / d2
-    a, b = d2 / 2.0, d1 / 2.0
+def _tail(v: Column) -> Column:
+    """I_x(a, b) from a, b and ratio = y / x."""
+    a, b, ratio = v["a"], v["b"], v["ratio"]
     x, y = 1.0 / (1.0 + ratio), ratio / (1.0 + ratio)
     # x^a y^b / B(a, b); the larger parameter goes through the step
     gammas = F.when(a >= b, _lgamma_step(a, b) - lgamma(b)).otherwise(_lgamma_step(b, a) - lgamma(a))
     front = F.exp(gammas - a * F.log1p(ratio) + b * (F.log(ratio) - F.log1p(ratio)))
     # the fraction needs parameters above 1: smaller ones are raised by 1, with the recurrences' terms
-    low_a, low_b = a <= 1, b <= 1
-    a1, b1 = a + low_a.cast("double"), b + low_b.cast("double")
-    excess = F.when(y < 0.5, (a1 + b1) * y - b1).otherwise(a1 - (a1 + b1) * x)
-    up_a = F.when(low_a, x * (a + b) / a).otherwise(F.lit(1.0))  # front of (a1, b) by front
-    up_b = F.when(low_b, y * (a1 + b) / b).otherwise(F.lit(1.0))  # front of (a1, b1) by that
-    terms = F.when(low_a, front / a).otherwise(F.lit(0.0)) - F.when(low_b, front * up_a / b).otherwise(F.lit(0.0))
-    raised = front * up_a * up_b
-    tail = F.when(excess >= 0, raised * _beta_fraction(a1, b1, x, y, excess) + terms).otherwise(
-        1.0 - raised * _beta_fraction(b1, a1, y, x, -excess) + terms)
+    raised = {"a": a + (a <= 1).cast("double"), "b": b + (b <= 1).cast("double"), "x": x, "y": y, "front": front}
+
+    def sided(w):
+        up_a = F.when(a <= 1, w["x"] * (a + b) / a).otherwise(F.lit(1.0))  # front of (w.a, b) by front
+        up_b = F.when(b <= 1, w["y"] * (w["a"] + b) / b).otherwise(F.lit(1.0))  # front of (w.a, w.b) by that
+        terms = F.when(a <= 1, w["front"] / a).otherwise(F.lit(0.0)) - F.when(b <= 1, w["front"] * up_a / b).otherwise(F.lit(0.0))
+        excess = F.when(w["y"] < 0.5, (w["a"] + w["b"]) * w["y"] - w["b"]).otherwise(w["a"] - (w["a"] + w["b"]) * w["x"])
+        return _let({"excess": excess, "front": w["front"] * up_a * up_b, "terms": terms}, lambda e: _let({
+            # the side on which the fraction converges; the other one is its complement
+            "upper": e["excess"] >= 0, "a": F.when(e["excess"] >= 0, w["a"]).otherwise(w["b"]), "b": F.when(e["excess"] >= 0, w["b"]).otherwise(w["a"]),
+            "x": F.when(e["excess"] >= 0, w["x"]).otherwise(w["y"]), "y": F.when(e["excess"] >= 0, w["y"]).otherwise(w["x"]), "excess": F.abs(e["excess"]),
+            "front": e["front"], "terms": e["terms"]}, lambda q: _let({"part": q["front"] * _beta_fraction(q)}, lambda r: F.when(
+                q["upper"], r["part"]).otherwise(1.0 - r["part"]) + q["terms"])))
+
+    return _let(raised, sided)
+
+
+def f_sf_expr(f: Column, d1: Column, d2: Column) -> Column:
+    """P(F > f) for F(d1, d2); null when f, d1 or d2 is null or a df is not positive."""
+    f, d1, d2 = f.cast("double"), d1.cast("double"), d2.cast("double")
+    tail = _let({"a": d2 / 2.0, "b": d1 / 2.0, "ratio": d1 * f / d2}, _tail)
     return (F.when(f.isNull() | d1.isNull() | d2.isNull() | (d1 <= 0) | (d2 <= 0) | F.isnan(f), F.lit(None))
             .when(f <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail))).cast("double"))
 

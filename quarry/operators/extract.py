@@ -265,14 +265,21 @@ def repeat_over(docs: DataFrame, path: str, as_name: str, base: Mapping[str, Any
     p = _norm_path(path)
     p = p if p.endswith("[*]") else p + "[*]"
     el = explode_path(docs.select(*keep, F.col(doc_col)), doc_col, p, "__item", pos="__item_pos")
+    def of_element(q: str) -> str:
+        """A path from the element: it is ``{as}``, or the array's path with ``{as}`` as the index."""
+        for head in (f"{strip_wildcard(p)}[{{{as_name}}}]", f"{{{as_name}}}"):
+            if q.startswith(head):
+                return "$" + q[len(head):]
+        return q
+
     inject = dict(inject_fields or {})
     inj_cols = []
     for name, ipath in inject.items():
-        ip = ipath.replace("{" + as_name + "}", "$")
+        ip = of_element(ipath)
         inj_cols.append(F.try_variant_get(F.col("__item"), _norm_path(ip), "variant").alias(f"__inj_{name}"))
     el = el.select(*keep, "__item_pos", F.col("__item").alias("__doc"), *inj_cols)
     cfg = dict(base)
-    cfg["path"] = cfg.get("path", "$").replace("{" + as_name + "}", "$")
+    cfg["path"] = of_element(cfg.get("path", "$"))
     names = {f"__inj_{n}": n for n in inject}
     out = extract_with(el, cfg, doc_col="__doc", keep=[*keep, "__item_pos", *names])
     still = [c for c in names if c in out.columns and isinstance(out.schema[c].dataType, T.VariantType)]

@@ -136,3 +136,79 @@ UNION ALL SELECT 'levels_l_linestatus', count(DISTINCT l_linestatus) >= 2, CAST(
 """)
 def q_factor_levels_check(spark, sf):
     return Q.factor_levels_check(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
+
+
+# Profiles in the contract's layout, over one JSON document a nation built from customer and orders.
+_PROFILE = {
+    "schema_version": "1.0.0", "version": 1,
+    "meta": {"profile_id": "orders-by-nation", "title": "Orders"},
+    "datasource": {"id": "json", "format": "json", "filters": {"type": "group", "op": "AND", "children": [
+        {"type": "predicate", "field": "filename", "op": "endswith", "value": ".JSON", "case": "insensitive"}]}},
+    "population": {"default_strategy": "dear", "strategies": {"dear": {"type": "valid_only", "exclude_rules": [
+        {"column": "o_orderpriority", "condition": "contains", "value": "^5"}]}}},
+    "context_defaults": {"defaults": {"site": "here"}, "content_patterns": [{"field": "nation", "path": "$.meta.nation", "required": True, "on_fail": "error"}]},
+    "levels": [{"name": "run", "tables": [{
+        "id": "orders", "label": "Orders", "select": {"strategy": "array_of_objects", "path": "$.orders[*]"},
+        "stable_columns": ["o_orderkey", "o_totalprice"], "stable_columns_subset": True,
+        "validation_constraints": [{"column": "o_totalprice", "type": "range", "min": 2000, "max": 400000}, {"column": "o_orderkey", "type": "not_null"}],
+        "column_transforms": [{"source": "o_totalprice", "target": "kilo", "transform": "unit_convert", "args": {"factor": 0.001}}]}]}],
+    "normalization": {"numeric_coercion": True, "nan_values": ["3-MEDIUM"]},
+    "row_filters": [{"column": "o_orderstatus", "op": "in", "values": ["O", "F"]}],
+    "type_coercion": [{"column": "o_orderkey", "to_type": "string"}],
+    "calculated_columns": [{"name": "half", "left": "o_totalprice", "op": "/", "right": 2}],
+    "column_renames": {"o_totalprice": "price"},
+    "row_rules": [{"name": "status_known", "expression": "o_orderstatus IN ('O', 'F', 'P')", "on_fail": "error"}],
+    "on_validation_fail": "quarantine", "quarantine_table": "failed",
+    "outputs": {
+        "defaults": [{"id": "export", "from_level": "run", "from_tables": ["orders"], "include_context": True}],
+        "optional_outputs": [{"id": "extra", "from_level": "run", "from_tables": ["by_status"], "include_context": False}],
+        "aggregations": [{"id": "a", "from_table": "orders", "group_by": ["nation", "o_orderstatus"], "aggregations": {"price": "count"}, "output_table": "by_status"}]},
+}
+
+
+def _run_profile(spark, sf, **kw):
+    from quarry.plans.profile import run_profile
+    from quarry.session import scratch_path
+
+    folder = scratch_path(spark, "profile-docs")
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    docs = o.groupBy("c_nationkey").agg(F.struct(F.col("c_nationkey").cast("string").alias("nation")).alias("meta"),
+                                        F.collect_list(F.struct("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")).alias("orders"))
+    docs.withColumn("k", F.col("c_nationkey")).drop("c_nationkey").write.partitionBy("k").json(folder)
+    return run_profile(spark, _PROFILE, folder, **kw)["tables"]
+
+
+_PROFILE_ROWS = """
+WITH o AS (SELECT o.*, c_nationkey::VARCHAR AS nation FROM orders o JOIN customer ON o_custkey = c_custkey WHERE NOT regexp_matches(o_orderpriority, '^5')),
+good AS (SELECT * FROM o WHERE o_totalprice BETWEEN 2000 AND 400000 AND o_orderstatus IN ('O', 'F', 'P')),
+kept AS (SELECT *, o_orderkey::VARCHAR AS k FROM good WHERE o_orderstatus IN ('O', 'F'))
+"""
+
+
+@query("run_profile_tables", _PROFILE_ROWS + """
+SELECT k AS o_orderkey, o_totalprice AS price, o_orderstatus, nullif(o_orderpriority, '3-MEDIUM') AS o_orderpriority, CAST(nation AS DOUBLE) AS nation, 'here' AS site,
+       round(o_totalprice * 0.001, 6) AS kilo, round(o_totalprice / 2, 6) AS half FROM kept
+""")
+def q_run_profile_tables(spark, sf):
+    return rounded(_run_profile(spark, sf)["orders"].drop("file_path"))
+
+
+@query("run_profile_quarantine", _PROFILE_ROWS + """
+SELECT o_orderkey, o_totalprice, nation, 'orders' AS __table_id__, concat_ws(',', CASE WHEN o_totalprice < 2000 THEN 'o_totalprice:min' END,
+       CASE WHEN o_totalprice > 400000 THEN 'o_totalprice:max' END, CASE WHEN o_orderstatus NOT IN ('O', 'F', 'P') THEN 'status_known' END) AS failed
+FROM o WHERE o_totalprice NOT BETWEEN 2000 AND 400000 OR o_orderstatus NOT IN ('O', 'F', 'P')
+""")
+def q_run_profile_quarantine(spark, sf):
+    failed = _run_profile(spark, sf)["failed"]
+    return failed.select("o_orderkey", "o_totalprice", "nation", "__table_id__", F.array_join("failed_rules", ",").alias("failed"))
+
+
+@query("run_profile_outputs", _PROFILE_ROWS + """
+SELECT 'extra' AS output, CAST(nation AS DOUBLE) AS nation, o_orderstatus, count(*) AS n FROM kept GROUP BY ALL
+UNION ALL SELECT 'export', CAST(nation AS DOUBLE), NULL, count(*) FROM kept GROUP BY ALL
+""")
+def q_run_profile_outputs(spark, sf):
+    tables = _run_profile(spark, sf, selected_outputs=["extra"])
+    extra = tables["extra"].select(F.lit("extra").alias("output"), "nation", "o_orderstatus", F.col("price_count").alias("n"))
+    return extra.unionByName(tables["export"].groupBy("nation").agg(F.count("*").alias("n")).select(
+        F.lit("export").alias("output"), "nation", F.lit(None).cast("string").alias("o_orderstatus"), "n"))

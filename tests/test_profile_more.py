@@ -43,3 +43,51 @@ def test_regex_transforms(spark):
     assert out[0]["lot"] is None  # case-sensitive pattern: no match
     assert out[1]["stem"] == "other"
     assert CT.python_pattern_to_java(r"(?P<a>x)(?P=a)") == r"(x)\1"
+
+
+CONTRACT = {
+    "schema_version": "1.0.0", "version": 1, "meta": {"profile_id": "cd", "title": "CD"},
+    "context_defaults": {"defaults": {"job": "none"}, "regex_patterns": [{"field": "lot", "pattern": "(?P<lot>LOT[0-9]+)", "required": True}]},
+    "contexts": [{"name": "run", "level": "run", "paths": ["$.meta"], "key_map": {"wafer": "$.meta.wafer"}},
+                 {"name": "image", "level": "image", "paths": ["$.images[*].metadata"], "key_map": {"taken": "$.time"}}],
+    "levels": [{"name": "run", "tables": [
+        {"id": "sites", "label": "Sites", "select": {"strategy": "headers_data", "path": "$.sites[{i}].cd", "headers_key": "h", "data_key": "rows",
+                                                     "repeat_over": {"path": "$.sites", "as": "i", "inject_fields": {"site": "$.sites[{i}].id"}}},
+         "validation_constraints": [{"column": "y", "type": "range", "max": 5}], "stable_columns": ["x", "gone"]}]},
+        {"name": "image", "tables": [{"id": "pictures", "label": "P", "select": {"strategy": "array_of_objects", "path": "$.images[*]"}}]}],
+    "outputs": {"defaults": [{"id": "all", "from_level": "run", "from_tables": ["sites", "pictures"], "include_context": False}]},
+}
+
+
+def _contract_docs(folder):
+    doc = {"meta": {"wafer": "W1"}, "images": [{"image_id": "i1", "metadata": {"time": "t1"}}],
+           "sites": [{"id": "s1", "cd": {"h": ["x", "y"], "rows": [[1, 2], [3, 9]]}}, {"id": "s2", "cd": {"h": ["y"], "rows": [[4]]}}]}
+    with open(os.path.join(folder, "LOT7_a.json"), "w") as f:
+        json.dump(doc, f)
+
+
+def test_contract_layout(spark, tmpdir_path):
+    _contract_docs(tmpdir_path)
+    res = run_profile(spark, CONTRACT, tmpdir_path)
+    rows = sorted((r["site"], r["x"], r["y"], r["lot"], r["wafer"], r["job"]) for r in res["tables"]["sites"].fillna(0).collect())
+    assert rows == [("s1", 1, 2, "LOT7", "W1", "none"), ("s1", 3, 9, "LOT7", "W1", "none"), ("s2", 0, 4, "LOT7", "W1", "none")]
+    assert res["tables"]["pictures"].first()["taken"] == "t1"
+    assert res["tables"]["all"].count() == 4
+    assert [w["message"] for w in res["warnings"]] == ["missing_columns: gone"]
+    assert {r["table_name"]: r["valid"] for r in res["validation"].collect()}["sites"] is False
+
+
+def test_validation_policies(spark, tmpdir_path):
+    _contract_docs(tmpdir_path)
+    with pytest.raises(ValueError, match="sites has 1 errors"):
+        run_profile(spark, {**CONTRACT, "on_validation_fail": "stop"}, tmpdir_path)
+    out = run_profile(spark, {**CONTRACT, "on_validation_fail": "quarantine"}, tmpdir_path)["tables"]
+    assert [(r["y"], r["failed_rules"], r["__table_id__"]) for r in out["validation_failures"].collect()] == [(9, ["y:max"], "sites")]
+    assert out["sites"].count() == 2
+
+
+def test_profiles_with_mistakes_raise():
+    for wrong in ({"surprise": 1}, {"population": {"stategy": "all"}}, {"on_validation_fail": "maybe"},
+                  {"outputs": {"defaults": [{"id": "o", "from_tables": ["nowhere"]}]}}):
+        with pytest.raises(ValueError):
+            load_profile({**CONTRACT, **wrong})
