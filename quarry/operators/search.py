@@ -1,25 +1,29 @@
 """Keyword / vector / hybrid search and token-budget context (SRCH-01..06).
 
-Searches run for a *batch* of queries in one pass over the corpus: the query
-batch is configuration-sized (checked against ``MAX_QUERIES``) and becomes a
-literal array, so every document row is scored against every query inside one
-projection -- no join, no shuffle of the corpus.  Per-query top-k uses a
-filtered ``row_number`` which Spark plans with a per-partition group limit,
-so only k rows per query and partition reach the shuffle.
+Searches run for a *batch* of queries of any size, a list or a DataFrame.  Queries
+go to the tasks in blocks of bounded size, one pass over the corpus a block: a
+keyword block is one Aho-Corasick automaton, a vector block one matrix that is
+multiplied with each Arrow batch.  Tasks keep the best k of each query, so at most
+k rows per query and task leave the scan; no pair of document and query is ever
+a row.  Only the merge of those is shuffled.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.operators.sorting import top_k_per_group
 from quarry.operators.text import DEFAULT_ALLOWLIST, DEFAULT_PATTERNS, redact_df
 
-MAX_QUERIES = 10_000
+QUERY_BLOCK = 4_096
 RRF_K = 60
 
 # ship this module's mapInPandas code with the task (executors need not have the package)
@@ -31,64 +35,122 @@ CONTEXT_HEADER = "## Relevant Context\n\n"
 SNIPPET_CHARS = 200
 
 
+def _blocks(queries: DataFrame | Iterable, size: int = QUERY_BLOCK) -> Iterator[list[tuple]]:
+    """Queries (id, text or vector) in blocks; of a DataFrame only one block is on the driver at a time."""
+    rows = (tuple(r) for r in queries.toLocalIterator()) if isinstance(queries, DataFrame) else iter(queries)
+    while block := list(islice(rows, size)):
+        yield block
+
+
+def _best_of(found: list[DataFrame], top_k: int) -> DataFrame:
+    return top_k_per_group(reduce(DataFrame.unionByName, found), ["query_id"], "score", top_k, ["doc_id"], rank_col="rank")
+
+
 # SRCH-01 -------------------------------------------------------------------------
-def keyword_search(docs: DataFrame, queries: Sequence[tuple[str, str]], id_col: str, content_col: str,
+def keyword_search(docs: DataFrame, queries: DataFrame | Sequence[tuple[str, str]], id_col: str, content_col: str,
                    title_col: str | None = None, archived_col: str | None = None, top_k: int = 10) -> DataFrame:
     """Case-insensitive substring match in title or content; not archived;
     top_k per query ordered by document id; 200-char snippet; score 1.0."""
-    if len(queries) > MAX_QUERIES:
-        raise ValueError("query batch too large; split it")
-    qarr = F.array(*[F.struct(F.lit(q).alias("query_id"), F.lit(t.lower()).alias("q")) for q, t in queries])
-    content = F.col(content_col)
+    import ahocorasick
+
     base = docs.filter(F.col(archived_col).isNull()) if archived_col else docs
-    # lower-case each text once (a column), not once per query inside the lambda
-    base = base.withColumn("__lc", F.lower(content))
-    if title_col:
-        base = base.withColumn("__lt", F.lower(F.col(title_col)))
-    hit = lambda x: F.contains(F.col("__lc"), x["q"]) | (
-        F.contains(F.col("__lt"), x["q"]) if title_col else F.lit(False))
     title = F.col(title_col) if title_col else F.lit(None).cast("string")
-    flagged = base.withColumn("__m", F.filter(qarr, hit))
-    matched = flagged.select(F.col(id_col).alias("doc_id"), title.alias("title"),
-                             F.substring(content, 1, SNIPPET_CHARS).alias("snippet"), F.explode("__m").alias("m"))
-    out = matched.select(F.col("m.query_id").alias("query_id"), "doc_id", "title", "snippet",
-                         F.lit(1.0).alias("score"))
-    return top_k_per_group(out, ["query_id"], "score", top_k, ["doc_id"], rank_col="rank")
+    base = base.select(F.col(id_col).alias("doc_id"), title.alias("title"), F.substring(content_col, 1, SNIPPET_CHARS).alias("snippet"),
+                       F.lower(F.col(content_col)).alias("__c"), F.lower(title).alias("__t")).where("doc_id IS NOT NULL")
+    out = T.StructType([T.StructField("query_id", T.StringType()), *base.select("doc_id", "title", "snippet").schema.fields])
+
+    def search(block: list[tuple]):
+        by_word: dict[str, list] = {}
+        for q, text in block:
+            by_word.setdefault((text or "").lower(), []).append(q)
+        everywhere = by_word.pop("", [])
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            words = ahocorasick.Automaton()
+            for w, ids in by_word.items():
+                words.add_word(w, ids)
+            if by_word:
+                words.make_automaton()
+            best: dict[str, list] = {}
+            for b in batches:
+                for doc_id, title, snippet, content, low in zip(*(c.to_pylist() for c in b.columns)):
+                    hits = set(everywhere) if content is not None else set()
+                    for text in (content, low):
+                        if text and by_word:
+                            for _, ids in words.iter(text):
+                                hits.update(ids)
+                    for q in hits:
+                        kept = best.setdefault(q, [])
+                        kept.append((doc_id, title, snippet))
+                        if len(kept) >= 4 * top_k:  # now and then back to the k smallest ids
+                            kept.sort(key=lambda r: r[0])
+                            del kept[top_k:]
+            rows = [(q, *r) for q, kept in best.items() for r in sorted(kept, key=lambda r: r[0])[:top_k]]
+            if rows:
+                names = ["query_id", "doc_id", "title", "snippet"]
+                types = [pa.string(), b.schema.field(0).type, pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        return run
+
+    found = [base.mapInArrow(search(block), out) for block in _blocks(queries)]
+    if not found:
+        found = [base.select(F.lit("").alias("query_id"), "doc_id", "title", "snippet").limit(0)]
+    return _best_of([f.withColumn("score", F.lit(1.0)) for f in found], top_k)
 
 
 # SRCH-02 -------------------------------------------------------------------------
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
-                       lambda acc, v: acc + v)
+def collect_query_vectors(queries: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """A batch of query vectors for :func:`vector_search`: query_id, vector."""
+    return queries.select(F.col(id_col).alias("query_id"), F.col(vec_col).cast("array<double>").alias("vector"))
 
 
-def collect_query_vectors(queries: DataFrame, id_col: str, vec_col: str) -> list[tuple]:
-    """Bring a *query batch* (bounded by MAX_QUERIES, checked) to the driver."""
-    rows = queries.select(id_col, vec_col).limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError("query batch too large; split it")
-    return [(r[0], [float(x) for x in r[1]]) for r in rows]
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length; a zero row stays zero, so its cosines are 0."""
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def vector_search(corpus: DataFrame, id_col: str, vec_col: str, queries: Sequence[tuple],
+def vector_search(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFrame | Sequence[tuple],
                   top_k: int = 10) -> DataFrame:
-    """Cosine similarity (zero norm -> 0) of every corpus vector against every
-    query vector in one projection; top_k per query (score desc, id asc)."""
-    qs = []
-    for qid, vec in queries:
-        norm = math.sqrt(sum(v * v for v in vec))
-        qs.append(F.struct(F.lit(qid).alias("query_id"), F.array(*[F.lit(float(v)) for v in vec]).alias("v"),
-                           F.lit(norm).alias("n")))
-    qarr = F.array(*qs)
-    vec = F.col(vec_col)
-    scored = corpus.select(F.col(id_col).alias("doc_id"), vec.alias("__v"),
-                           F.sqrt(_dot(vec, vec)).alias("__n"))
-    pairs = scored.select("doc_id", F.explode(F.transform(qarr, lambda q: F.struct(
-        q["query_id"].alias("query_id"),
-        F.when((q["n"] == 0) | (F.col("__n") == 0), F.lit(0.0))
-        .otherwise(_dot(F.col("__v"), q["v"]) / (q["n"] * F.col("__n"))).alias("score")))).alias("s"))
-    out = pairs.select("s.query_id", "doc_id", "s.score")
-    return top_k_per_group(out, ["query_id"], "score", top_k, ["doc_id"], rank_col="rank")
+    """Cosine similarity (zero norm -> 0) of every corpus vector with every query
+    vector of the same dimension; top_k per query (score desc, id asc)."""
+    base = corpus.select(F.col(id_col).alias("doc_id"), F.col(vec_col).cast("array<double>").alias("v")).where("doc_id IS NOT NULL AND v IS NOT NULL")
+    out = T.StructType([T.StructField("query_id", T.StringType()), base.schema["doc_id"], T.StructField("score", T.DoubleType())])
+
+    def search(block: list[tuple]):
+        by_dim: dict[int, list] = {}
+        for q, v in block:
+            by_dim.setdefault(len(v), []).append((q, v))
+        matrices = {d: ([q for q, _ in qs], _unit_rows(np.array([v for _, v in qs], np.float64))) for d, qs in by_dim.items()}
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            kind = None
+            for b in batches:
+                kind = b.schema.field(0).type
+                ids, size = np.array(b.column(0).to_pylist()), np.array([len(v) for v in b.column(1)])
+                vectors = b.column(1).to_pylist()
+                for d in set(size.tolist()) & matrices.keys():
+                    at = np.flatnonzero(size == d)
+                    names, m = matrices[d]
+                    scores = m @ _unit_rows(np.array([vectors[i] for i in at], np.float64)).T
+                    for q, s in zip(names, scores):
+                        old_s, old_i = best.get(q, (np.zeros(0), ids[:0]))
+                        s, i = np.concatenate([old_s, s]), np.concatenate([old_i, ids[at]])
+                        if len(s) > top_k:  # all ties of the k-th stay until ids decide
+                            keep = s >= np.partition(s, -top_k)[-top_k]
+                            s, i = s[keep], i[keep]
+                        order = np.lexsort((i, -s))[:top_k]
+                        best[q] = s[order], i[order]
+            rows = [(q, x, float(y)) for q, (s, i) in best.items() for x, y in zip(i.tolist(), s)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), kind, pa.float64()))], names=["query_id", "doc_id", "score"])
+
+        return run
+
+    found = [base.mapInArrow(search([(str(q), [float(x) for x in v]) for q, v in block if v is not None]), out) for block in _blocks(queries)]
+    return _best_of(found or [base.select(F.lit("").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).limit(0)], top_k)
 
 
 # SRCH-03 -------------------------------------------------------------------------

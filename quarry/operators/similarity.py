@@ -9,6 +9,7 @@ without pairing every document that shares a frequent token:
   on prefix tokens only; the prefixes hold the rarest tokens, so the join
   groups are small even when a token occurs in a third of all documents;
 * size filter -- ``t*|a| <= |b| <= |a|/t``;
+* positional filter -- a pair's first shared token leaves room for the overlap;
 * verification -- exact overlap by joining the candidate pairs with the token
   table, compared in integers (``overlap*den >= num*union``).
 """
@@ -17,11 +18,11 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.text import keyword_array
+from quarry.session import ensure_checkpoint_dir
 
 
 def keyword_sets(df: DataFrame, id_col: str, text_col: str, group_col: str | None = None) -> DataFrame:
@@ -51,8 +52,10 @@ def jaccard_pairs(tokens: DataFrame, threshold: float = 0.15) -> DataFrame:
     t = Fraction(str(threshold)).limit_denominator(10_000)
     if t <= 0:
         raise ValueError("threshold must be > 0 (t = 0 would pair everything)")
-    # the token table feeds sizes, frequencies, prefixes and verification
-    tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)
+    # the token table feeds sizes, frequencies, prefixes and verification: computed once,
+    # in the shared folder (nothing stays cached)
+    ensure_checkpoint_dir(tokens.sparkSession)
+    tokens = tokens.checkpoint(eager=True)
     sizes = tokens.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
     freq = tokens.groupBy("grp", "token").agg(F.count(F.lit(1)).alias("df"))
     ranked = tokens.join(freq, ["grp", "token"]).join(sizes, "doc")
@@ -60,14 +63,17 @@ def jaccard_pairs(tokens: DataFrame, threshold: float = 0.15) -> DataFrame:
     # one document per window partition (bounded by its vocabulary)
     w = Window.partitionBy("doc").orderBy("df", "token")
     prefix = ranked.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= plen) \
-        .select("doc", "grp", "token", "n")
-    pa = prefix.select(F.col("doc").alias("a"), "grp", "token", F.col("n").alias("na"))
-    pb = prefix.select(F.col("doc").alias("b"), "grp", "token", F.col("n").alias("nb"))
+        .select("doc", "grp", "token", "n", "__r")
+    pa = prefix.select(F.col("doc").alias("a"), "grp", "token", F.col("n").alias("na"), F.col("__r").alias("ra"))
+    pb = prefix.select(F.col("doc").alias("b"), "grp", "token", F.col("n").alias("nb"), F.col("__r").alias("rb"))
     num, den = t.numerator, t.denominator
-    cand = (pa.join(pb, ["grp", "token"])
-            .filter((F.col("a") < F.col("b"))
-                    & (F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num))
-            .select("a", "b", "na", "nb").distinct())
+    # what can follow the shared token must allow the overlap; a pair's first shared token
+    # passes this if any does, as the most that can follow only shrinks
+    most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
+    shared = pa.join(pb, ["grp", "token"]).filter(
+        (F.col("a") < F.col("b")) & (F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num))
+    first = shared.groupBy("a", "b", "na", "nb").agg(F.max(most).alias("most"))  # map-side: a row a pair and task
+    cand = first.filter(F.col("most") * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b", "na", "nb")
     ov = overlaps(tokens, cand)
     union = F.col("na") + F.col("nb") - F.col("overlap")
     return (ov.filter(F.col("overlap") * den >= union * num)

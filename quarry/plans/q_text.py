@@ -327,8 +327,8 @@ SELECT 'q1' AS query_id, doc_id, round(score, 9) AS score,
 """)
 def q_search_hybrid(spark, sf):
     kw = S.keyword_search(table(spark, sf, "documents"), [("q1", "then")], "doc_id", "text", top_k=10)
-    qv = [(q, v) for q, v in _query_vectors(spark, sf) if q == "label_0"]
-    vs = S.vector_search(table(spark, sf, "embeddings"), "vec_id", "embedding", [("q1", qv[0][1])], top_k=10)
+    qv = _query_vectors(spark, sf).where("query_id = 'label_0'").select(F.lit("q1").alias("query_id"), "vector")
+    vs = S.vector_search(table(spark, sf, "embeddings"), "vec_id", "embedding", qv, top_k=10)
     out = S.hybrid_search(kw, vs, top_k=5)
     return out.withColumn("score", F.round("score", 9))
 
@@ -401,6 +401,40 @@ def q_lineage_closure(spark, sf):
 
 
 
+_REF_SQL = """
+WITH t AS (SELECT doc_id, 'see ADR-' || lpad((doc_id % 90)::VARCHAR, 4, '0') || ', SPEC-' || lpad((doc_id % 70)::VARCHAR, 4, '0') || ' and DISC-' ||
+       lpad((doc_id % 50)::VARCHAR, 3, '0') || ' or PLAN-' || lpad((doc_id % 30)::VARCHAR, 3, '0') || '.' AS x FROM documents)
+SELECT DISTINCT doc_id AS source, unnest(regexp_extract_all(x, '(ADR|SPEC)-[0-9]{4}|(DISC|PLAN)-[0-9]{3}')) AS target, 'references' AS relation FROM t
+UNION SELECT doc_id, 'ADR-' || lpad((doc_id % 9)::VARCHAR, 4, '0'), 'implements' FROM documents WHERE doc_id % 2 = 0
+"""
+
+
+@query("reference_ids", _REF_SQL)
+def q_reference_ids(spark, sf):
+    i = F.col("doc_id")
+
+    def padded(n, width):
+        return F.lpad((i % n).cast("string"), width, "0")
+
+    plain = F.concat(F.lit("see ADR-"), padded(90, 4), F.lit(", SPEC-"), padded(70, 4), F.lit(" and DISC-"), padded(50, 3), F.lit(" or PLAN-"), padded(30, 3), F.lit("."))
+    d = table(spark, sf, "documents").select("doc_id", plain.alias("text"))
+    found = TX.extract_refs(d, "doc_id", "text")
+    json = table(spark, sf, "documents").where(i % 2 == 0).select("doc_id", F.concat(F.lit('{"implements_adr": ["ADR-'), padded(9, 4), F.lit('"]}')).alias("text"))
+    return found.unionByName(TX.extract_refs(json, "doc_id", "text", patterns=["never-[0-9]"]))
+
+
+def _counts_allow_sql() -> str:
+    ctes, _ = _duck_redact_chain("documents", "doc_id", "text", allow=True)
+    sel = [f"SELECT doc_id, '{name}' AS type, CAST(len(list_filter(regexp_extract_all(t, '{p}'), lambda m: NOT regexp_matches(m, '{_ALLOW}'))) AS BIGINT) AS count FROM r{i}"
+           for i, (name, p, _) in enumerate(TX.DEFAULT_PATTERNS)]
+    return "WITH " + ctes + " SELECT * FROM (" + " UNION ALL ".join(sel) + ") WHERE count > 0"
+
+
+@query("redaction_counts_allowlist", _counts_allow_sql())
+def q_redaction_counts_allowlist(spark, sf):
+    return TX.redaction_counts(table(spark, sf, "documents"), "doc_id", "text")
+
+
 # JON-07 / TXT-11 ---------------------------------------------------------------------
 _KW_CTE = rf"""kw AS (SELECT DISTINCT doc_id, lang, kw AS token FROM (
   SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+')) AS kw FROM documents)

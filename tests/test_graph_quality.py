@@ -81,3 +81,10 @@ def test_name_matching(spark):
     assert res["wafer"] == ("Wafer_ID", "exact", 1.0)
     assert res["tol"][0] == "tool" and res["tol"][1] == "fuzzy"
     assert res["nothing_like_it"][0] is None
+
+
+def test_lineage_goes_as_deep_as_the_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(53)], "parent long, child long")
+    got = {r["node"]: r["depth"] for r in G.lineage(edges, 0, "down").collect()}
+    assert got == {i: i for i in range(1, 54)}
+    assert G.lineage(edges, 0, "down", max_depth=3).count() == 3
