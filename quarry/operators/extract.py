@@ -142,6 +142,17 @@ def discover_fields(df: DataFrame, vcol: str, max_columns: int | None = None) ->
     return sorted((f.name, _kind(f.dataType)) for f in discover_object(df, vcol, max_columns).fields)
 
 
+def _type_name(v: Column) -> Column:
+    """A variant's type name without its parts: BIGINT, DECIMAL, OBJECT, ..."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z_]+", 0)
+
+
+def _merged_kind(names: set[str | None]) -> str:
+    """One kind for all the types under a name; what does not go together is text."""
+    kinds = {spark_type_for(n) for n in names if n not in (None, "", "VOID")}
+    return kinds.pop() if len(kinds) == 1 else "double" if kinds == {"bigint", "double"} else "string"
+
+
 def child(v: Column, key: str) -> Column:
     """The value under a key, whatever quotes the key has."""
     if '"' not in key and "\\" not in key:
@@ -211,16 +222,21 @@ def headers_data(docs: DataFrame, path: str = "$", headers_key: str | None = Non
     keep = [k for k in keep if k in docs.columns]
     rows = _header_rows(docs, path, headers_key, data_key, infer_headers, default_headers, doc_col, keep)
     variants = [k for k in keep if isinstance(docs.schema[k].dataType, T.VariantType)]
+    found: dict[tuple[bool, str], tuple[int, set[str]]] = {}
     if types is None or variants:
-        cells = F.transform("__h", lambda h, i: F.struct(h.alias("name"), i.alias("place"), F.get("__c", i).alias("v")))
-        kept = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(-1 - n).alias("place"), F.col(k).alias("v")) for n, k in enumerate(variants)])
-        found = rows.select(F.explode(F.concat(cells, kept) if variants else cells).alias("e")).groupBy(
-            "e.name", (F.col("e.place") < 0).alias("kept")).agg(F.min("e.place").alias("place"), F.schema_of_variant_agg("e.v").alias("t"))
-        found = sorted(found.collect(), key=lambda f: (f["place"], f["name"]))  # a row a column of the table
-    else:
-        found = []
-    kept_kinds = {f["name"]: spark_type_for(f["t"]) for f in found if f["kept"]}
-    kinds = dict(types) if types is not None else {f["name"]: spark_type_for(f["t"]) for f in found if not f["kept"]}
+        # rows by their headers and their cells' type names: a hash aggregate, few groups as a rule
+        heads = F.transform("__h", lambda h, i: _type_name(F.get("__c", i)))
+        kept = F.array(*[_type_name(F.col(k)) for k in variants]).cast("array<string>")
+        shapes = rows.groupBy("__h", heads.alias("__t"), kept.alias("__k")).agg(F.count(F.lit(1)).alias("n"))
+        entry = F.concat(F.transform("__h", lambda h, i: F.struct(F.lit(False).alias("kept"), h.alias("name"), i.alias("place"), F.get("__t", i).alias("t"))),
+                         F.transform(F.array(*map(F.lit, variants)).cast("array<string>"), lambda k, i: F.struct(F.lit(True).alias("kept"), k.alias("name"), i.alias("place"), F.get("__k", i).alias("t"))))
+        for r in shapes.select(F.explode(entry).alias("e")).groupBy("e.kept", "e.name", "e.t").agg(F.min("e.place").alias("place")).collect():  # a few rows a column
+            place, names = found.setdefault((r["kept"], r["name"]), (r["place"], set()))
+            names.add(r["t"])
+            found[r["kept"], r["name"]] = (min(place, r["place"]), names)
+    order = sorted(found.items(), key=lambda f: (f[1][0], f[0][1]))
+    kept_kinds = {name: _merged_kind(names) for (kept, name), (_, names) in order if kept}
+    kinds = dict(types) if types is not None else {name: _merged_kind(names) for (kept, name), (_, names) in order if not kept}
     if max_columns is not None and len(kinds) > max_columns:
         raise LimitExceeded(f"{len(kinds)} columns exceed the limit of {max_columns}")
 
@@ -341,13 +357,14 @@ def doc_join(docs: DataFrame, left: Mapping[str, str], right: Mapping[str, str],
 
     sides = docs.select(id_col, keyed(elements(left["path"]), lk).alias("__l"), keyed(elements(right["path"]), rk).alias("__r")).where(
         "__l IS NOT NULL AND __r IS NOT NULL")
-    entry = "struct<l:variant,r:variant>"
     none = F.lit(None).cast("variant")
 
     def pairs(l):
-        match = F.filter("__r", lambda r: r["k"] == l["k"])
-        alone = F.array(F.struct(l["v"].alias("l"), none.alias("r"))) if how in ("left", "outer") else F.array().cast(f"array<{entry}>")
-        return F.when(F.size(match) > 0, F.transform(match, lambda r: F.struct(l["v"].alias("l"), r["v"].alias("r")))).otherwise(alone)
+        found = F.transform(F.filter("__r", lambda r: r["k"] == l["k"]), lambda r: F.struct(l["v"].alias("l"), r["v"].alias("r")))
+        if how not in ("left", "outer"):
+            return found
+        alone = F.array(F.struct(l["v"].alias("l"), none.alias("r")))
+        return F.transform(F.array(found), lambda m: F.when(F.size(m) > 0, m).otherwise(alone))[0]
 
     joined = F.flatten(F.transform("__l", pairs))
     if how in ("right", "outer"):
@@ -358,11 +375,14 @@ def doc_join(docs: DataFrame, left: Mapping[str, str], right: Mapping[str, str],
     rows = sides.where(F.size("__l") > 0).select(id_col, F.explode(F.when(has_key, joined).otherwise(only_left)).alias("__p")).select(
         id_col, F.col("__p.l").alias("__l"), F.col("__p.r").alias("__r"))
 
-    # both sides' keys and types by one aggregate over the documents
-    side = sides.select(*(F.transform(c, lambda x: x["v"]).alias(c) for c in ("__l", "__r"))).select(F.explode(F.concat(
-        F.transform("__l", lambda v: F.struct(v.alias("l"), none.alias("r"))), F.transform("__r", lambda v: F.struct(none.alias("l"), v.alias("r"))))).alias("e"))
-    found = side.agg(*(F.schema_of_variant_agg(f"e.{c}").alias(c) for c in "lr")).first()
-    lt, rt = ({f.name: _kind(f.dataType) for f in T.DataType.fromDDL(_as_ddl(found[c])).fields} if (found[c] or "").startswith("OBJECT<") else {} for c in "lr")
+    # both sides' keys and types by one aggregate over the documents, whole arrays at a time
+    def fields(found: str | None) -> dict[str, str]:
+        if not (found or "").startswith("ARRAY<OBJECT<"):
+            return {}
+        return {f.name: _kind(f.dataType) for f in T.DataType.fromDDL(_as_ddl(found)).elementType.fields}
+
+    whole = sides.agg(*(F.schema_of_variant_agg(F.to_variant_object(F.transform(c, lambda x: x["v"]))).alias(c) for c in ("__l", "__r"))).first()
+    lt, rt = fields(whole["__l"]), fields(whole["__r"])
     key_kind = lt.get(lk, "string") if lt.get(lk) == rt.get(rk, lt.get(lk)) else "double" if {lt.get(lk), rt.get(rk)} <= {"bigint", "double"} else "string"
     key = F.coalesce(child(F.col("__l"), lk), child(F.col("__r"), rk))
     return rows.select(id_col, typed(key, key_kind).alias(lk), *(typed(child(F.col("__l"), n), t).alias(n) for n, t in lt.items() if n != lk),
