@@ -145,3 +145,46 @@ def q_attach_keyed_context(spark, sf):
     ctx = e.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_event_type"),
                                    F.count(F.lit(1)).alias("n_events"))
     return C.attach_context(e.select("event_id", "user_id", "value"), ctx, "user_id")
+
+
+@query("json_headers_mixed", """
+SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN CAST(o_custkey AS VARCHAR) WHEN 1 THEN o_orderstatus END AS p,
+       CASE WHEN o_orderkey % 3 = 1 THEN CAST(o_custkey AS DOUBLE) END AS "it's" FROM orders
+""")
+def q_json_headers_mixed(spark, sf):
+    # three header sets; one name with numbers and texts, one with a quote, and rows that are bare scalars
+    o = table(spark, sf, "orders")
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    text = (F.when(F.col("o_orderkey") % 3 == 0, F.format_string('{"columns": ["k", "p"], "values": [[%s, %s]]}', k, c))
+            .when(F.col("o_orderkey") % 3 == 1, F.format_string("""{"columns": ["k", "p", "it's"], "values": [{"it's": %s, "k": %s, "p": "%s"}]}""", c, k, F.col("o_orderstatus")))
+            .otherwise(F.format_string('{"columns": ["k"], "values": [%s]}', k)))
+    out = E.headers_data(o.select(F.try_parse_json(text).alias("doc")), "$", keep=[])
+    return out.withColumn("it's", F.col("it's").cast("double"))
+
+
+@query("json_doc_join_empty", """
+SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS s FROM orders WHERE o_orderkey % 3 > 0
+""")
+def q_json_doc_join_empty(spark, sf):
+    # documents whose right array is empty (odd keys) or absent (every third): left rows, or none
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    right = F.when(k % 2 == 0, F.format_string(', "r": [{"id": %s, "s": "%s"}]', k.cast("string"), F.col("o_orderstatus"))).otherwise(F.lit(', "r": []'))
+    text = F.concat(F.format_string('{"l": [{"k": %s}]', k.cast("string")), F.when(k % 3 > 0, right).otherwise(F.lit("")), F.lit("}"))
+    docs = o.select(k.alias("file_path"), F.try_parse_json(text).alias("doc"))
+    return E.doc_join(docs, {"path": "$.l[*]", "key": "k"}, {"path": "$.r[*]", "key": "id"}, "left").select("k", "s")
+
+
+@query("flagship", """
+WITH g AS (SELECT * FROM lineitem WHERE l_quantity >= 1 AND l_discount BETWEEN 0.0 AND 0.1 AND l_extendedprice > 0),
+t AS (SELECT count(*) AS n, avg(l_quantity) AS m FROM g),
+c AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS m, var_pop(l_quantity) AS v FROM g GROUP BY 1),
+f AS (SELECT (sum(c.n * (c.m - t.m) * (c.m - t.m)) / (count(*) - 1)) / (sum(c.n * c.v) / (max(t.n) - count(*))) AS f, max(t.n) - count(*) AS d2 FROM c, t)
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS l_quantity_sum, round(avg(l_extendedprice), 6) AS l_extendedprice_mean, round(avg(l_discount), 6) AS l_discount_mean,
+       round(max(f.f), 6) AS f_returnflag, round(exp(-max(d2) / 2.0 * ln(1 + 2 * max(f.f) / max(d2))), 9) AS p_returnflag
+FROM g, f GROUP BY 1, 2
+""")
+def q_flagship(spark, sf):
+    from quarry.plans.flagship import flagship
+
+    out = flagship(spark, sf)
+    return out.withColumns({c: F.round(c, 9 if c == "p_returnflag" else 6) for c in ("l_extendedprice_mean", "l_discount_mean", "f_returnflag", "p_returnflag")})

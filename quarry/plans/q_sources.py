@@ -110,3 +110,30 @@ FROM customer
 def q_stable_row_id(spark, sf):
     c = table(spark, sf, "customer")
     return c.select("c_custkey", K.row_id(["c_custkey", "c_name", "c_nationkey"]).alias("row_id"))
+
+
+_SPARSE = [("o_orderkey", "integer", "o_orderkey"), ("late", "float", "CASE WHEN o_orderkey > 5000 THEN o_totalprice END"), ("never", "string", "NULL::VARCHAR")]
+
+
+@query("probe_sparse", " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, {i} AS position, '{t}' AS inferred_type, count(*) > count({e}) AS nullable, count(*) - count({e}) AS null_count,
+       count(DISTINCT {e}) AS distinct_count, count(*) AS row_count,
+       (SELECT string_agg(v, '|' ORDER BY o_orderkey) FROM (SELECT o_orderkey, CAST({e} AS VARCHAR) AS v FROM orders WHERE {e} IS NOT NULL ORDER BY o_orderkey LIMIT 5)) AS samples
+FROM orders""" for i, (c, t, e) in enumerate(_SPARSE)))
+def q_probe_sparse(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") > 5000, F.col("o_totalprice")).alias("late"), F.lit(None).cast("string").alias("never"))
+    return probe_schema(o, samples=5, order_by=["o_orderkey"])
+
+
+@query("multi_file_csv", """
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS DOUBLE) AS o_custkey, o_orderstatus,
+       CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS o_orderpriority FROM orders
+""")
+def q_multi_file_csv(spark, sf):
+    # files with the same columns in another order, and files that lack some
+    o, base = table(spark, sf, "orders"), scratch_path(spark, "orders-csv")
+    columns = {"F": ["o_orderkey", "o_custkey", "o_orderstatus"], "O": ["o_orderpriority", "o_custkey", "o_orderstatus", "o_orderkey"], "P": ["o_orderstatus", "o_orderkey"]}
+    for status, names in columns.items():
+        o.where(F.col("o_orderstatus") == status).select(*names).write.option("header", True).csv(f"{base}/{status}")
+    return R.read_many(spark, [f"{base}/{status}" for status in columns], "csv").select(
+        "o_orderkey", F.col("o_custkey").cast("double").alias("o_custkey"), "o_orderstatus", "o_orderpriority")

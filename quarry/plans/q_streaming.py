@@ -25,3 +25,25 @@ def q_stream_ingest(spark, sf):
     if run.exception() is not None:
         raise RuntimeError(str(run.exception()))
     return spark.read.parquet(out).drop("batch_id")
+
+
+@query("stream_extract", """
+SELECT CAST(c_nationkey AS DOUBLE) AS nation, CAST(c_custkey AS DOUBLE) AS c_custkey, c_name, c_acctbal, 'rows' AS kind FROM customer
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'bad'
+""")
+def q_stream_extract(spark, sf):
+    from pyspark.sql import functions as F
+
+    from quarry.streaming.streams import stream_extract
+
+    src, out, ck = (scratch_path(spark, n) for n in ("extract-src", "extract-out", "extract-ckpt"))
+    docs = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal", F.col("c_nationkey").alias("nation"))).alias("rows"))
+    docs.write.partitionBy("c_nationkey").json(src)
+    spark.createDataFrame([("{broken",)], "value string").coalesce(1).write.text(f"{src}/c_nationkey=-1")
+    run = stream_extract(spark, src, [{"id": "rows", "select": {"strategy": "array_of_objects", "path": "$.rows[*]"}}], out, ck, files_per_trigger=10)
+    run.awaitTermination()
+    if run.exception() is not None:
+        raise RuntimeError(str(run.exception()))
+    rows = spark.read.parquet(f"{out}/rows").select(F.col("nation").cast("double"), F.col("c_custkey").cast("double"), "c_name", "c_acctbal", F.lit("rows").alias("kind"))
+    none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[:-1]]
+    return rows.unionByName(spark.read.parquet(f"{out}/_bad_files").select(*none, F.lit("bad").alias("kind")))
