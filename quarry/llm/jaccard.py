@@ -4,14 +4,17 @@ Two documents link when the Jaccard similarity of their sets of word shingles
 reaches a threshold; the result is every document's connected component.
 
 1. Equal sets are one class, so copies are never compared.
-2. Candidates, without a pair of documents in sight: the hash range is cut into
-   segments, a class's shingles in one segment make one key.  A pair at the
-   threshold differs in at most d shingles, so with d + t segments it agrees in t
-   of them or more.  A class therefore sends keys of its non-empty segments, and
-   of the empty ones only if t or more are empty; then no pair is missed.
-   Segment numbers go by size bands; a class takes part in its own band and, as
-   the smaller one, in the next.  Classes of one key are tied to the smallest of
-   them, within tasks first, so a key that most documents share is a row a task.
+2. Candidates: the hash range is cut into segments, a class's shingles in one segment
+   make one key.  A pair at the threshold differs in at most d shingles, so with
+   d + t segments it agrees in t of them or more; e of a class's own are empty, so it
+   shares t - e keys or more with each partner.  (A class with t or more empty segments
+   sends keys of those too.)  That is a T-occurrence problem on lists of classes by
+   key: lists of at most ``SHORT`` classes are merged, which counts the keys that a
+   pair shares; a pair is tied if what it lacks could be in its long lists.  Classes
+   with so many long lists that all their shared keys could be long are tied along
+   those, to each list's smallest.  So no pair is missed, no long list is paired out,
+   and a passage that many documents share ties nothing.  Segment numbers go by size
+   bands; a class takes part in its own band and, as the smaller one, in the next.
 3. Components of these ties are clusters.  A cluster's sets meet once, in blocks of
    bounded total size (all pairs of blocks where one is not enough).
 4. In a block: documents that are near a member of a large group join it at once; for
@@ -42,7 +45,8 @@ from quarry.llm.lm import WordHashes, bucket_of, mix
 
 WORDS, NUM, DEN = 3, 90, 100
 BLOCK_SHINGLES = 4_000_000
-CHUNK_KEYS = 3_000_000
+CHUNK_KEYS = 1_000_000
+SHORT = 8
 HEAP_ENTRIES = 500
 U = np.uint64
 _WORDS = re.compile("[^ \t-\r]+")
@@ -101,118 +105,171 @@ class Bands:
             self.segments[band] = (m, m - d)
         return self.segments[band]
 
-    def keys(self, s: np.ndarray) -> list[np.ndarray]:
+    def keys(self, s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(band, keys shared with any partner there at least, keys) of each band in which a set takes part.  A key's low byte is its band's."""
         own = self.band(len(s))
         out = [self._keys(s, own)]
         if len(s) * self.den >= self.lower[own + 1] * self.num:  # large enough for a partner in the next band
             out.append(self._keys(s, own + 1))
         return out
 
-    def _keys(self, s: np.ndarray, band: int) -> np.ndarray:
+    def _keys(self, s: np.ndarray, band: int) -> tuple[int, int, np.ndarray]:
         m, t = self.of(band)
         at = ((s >> U(32)) * U(m)) >> U(32)  # ascending, as the set is
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         sums, where = np.add.reduceat(mix(s, np.ones(1, U)), first), at[first]
-        if m - len(first) >= t:
-            empty = np.setdiff1d(np.arange(m, dtype=U), where)
+        need = t - (m - len(first))
+        if need < 1:
+            need, empty = 1, np.setdiff1d(np.arange(m, dtype=U), where)
             sums, where = np.concatenate([sums, np.zeros(len(empty), U)]), np.concatenate([where, empty])
-        return mix(sums, where + U(band << 32))
+        return band, need, (mix(sums, where + U(band << 32)) & ~U(255)) | U(band & 255)
 
 
-def _ties(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, smallest node of each) and the ties (node, smallest node of one of its keys)."""
+def _runs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, node), sorted; for each its place in the key's run, and the run's length."""
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-    low = node[new][np.cumsum(new) - 1] if len(key) else node
-    far = node != low
-    pairs = np.unique(np.stack([node[far], low[far]], axis=1), axis=0) if far.any() else np.zeros((0, 2), U)
-    return key[new], node[new], pairs[:, 0], pairs[:, 1]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]) if len(key) else np.zeros(0, bool)
+    key, node = key[new], node[new]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(key)))
+    return key, node, np.arange(len(key)) - np.repeat(first, size), np.repeat(size, size)
 
 
-_PACKED = "bucket int, tie boolean, n long, blob binary"
+_PACKED = "bucket int, known_long boolean, n long, blob binary"
+_META = "doc_id long, n_shingles long, class long, band int, need int, need_next int"
 
 
-def shingled_and_keyed(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """One pass over (doc_id, text), written: (doc_id, n_shingles, class) of each row, and the packed keys for :func:`candidate_ties`."""
-    schema = pa.schema([("bucket", pa.int32()), ("tie", pa.bool_()), ("n", pa.int64()), ("blob", pa.binary()), ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64())])
+def shingled_and_listed(docs: DataFrame, words: int, num: int, den: int, buckets: int) -> DataFrame:
+    """One pass over (doc_id, text), then one exchange of the keys; written, in one table with three kinds of rows:
 
-    def pack(bucket, tie, a, b):
-        blob = a.tobytes() + np.ascontiguousarray(b).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        none = pa.nulls(1, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([tie]), pa.array([len(a)], pa.int64()), pa.array([blob], pa.binary()), none, none, none], schema=schema)
+    - doc_id, n_shingles, class, band, need, need_next: each row's set, and how many keys it shares with a partner (need_next is null where it takes no part);
+    - a, b, band, shared: pairs of 48-bit class hashes in short lists, with a count of shared keys (several rows a pair);
+    - key, node: the long lists.
+    """
+    meta = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("band", pa.int32()), ("need", pa.int32()), ("need_next", pa.int32())]
+    packed = pa.schema([("bucket", pa.int32()), ("known_long", pa.bool_()), ("n", pa.int64()), ("blob", pa.binary()), *meta])
+    out = pa.schema([*meta, ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("key", pa.int64()), ("node", pa.int64())])
+
+    def rows(schema, size, **cols):
+        return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    def pack(bucket, known_long, key, node):
+        blob = key.tobytes() + np.ascontiguousarray(node).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+        return rows(packed, 1, bucket=pa.array([bucket], pa.int32()), known_long=pa.array([known_long]), n=pa.array([len(key)], pa.int64()), blob=pa.array([blob], pa.binary()))
+
+    def unpack(n, blob):
+        node = np.zeros((n, 8), np.uint8)
+        node[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 8 * n).reshape(n, 6)
+        return np.frombuffer(blob, U, n), node.reshape(-1).view(U)
 
     def spread(batches: Iterator[pa.RecordBatch]):
         hashes, bands = worker_state("lm words", WordHashes), Bands(num, den)
         keys, nodes, held = [], [], 0
 
         def flush():
-            key, node, a, b = _ties(np.concatenate(keys), np.concatenate(nodes))
-            to = bucket_of(key, buckets).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            ends = np.searchsorted(to[order], np.arange(buckets + 1))
+            key, node, place, _ = _runs(np.concatenate(keys), np.concatenate(nodes))
+            # so many show already that the list is long; the rest need not meet there
+            rest = place > SHORT
+            if rest.any():
+                yield pack(int(node[rest][0] % U(buckets)), True, key[rest], node[rest])
+            key, node = key[~rest], node[~rest]
+            ends = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1, dtype=U))
             for k in np.flatnonzero(np.diff(ends)):
-                i = order[ends[k]:ends[k + 1]]
-                yield pack(int(k), False, key[i], node[i])
-            if len(a):
-                yield pack(int(a[0] % U(buckets)), True, a, b)
+                yield pack(int(k), False, key[ends[k]:ends[k + 1]], node[ends[k]:ends[k + 1]])
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                part, classes, sizes = batch.slice(lo, 500), [], []
+                part, found = batch.slice(lo, 500), []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     s = shingle_set(text, words, hashes)
-                    sizes.append(len(s))
-                    classes.append(class_of(s) if len(s) else None)
-                    if len(s) and doc_id is not None:
-                        node = U(classes[-1] & int(_NODE))
-                        for k in bands.keys(s):
+                    if not len(s):
+                        found.append((0, None, None, None, None))
+                        continue
+                    c, parts = class_of(s), bands.keys(s)
+                    found.append((len(s), c, parts[0][0], parts[0][1], parts[1][1] if len(parts) > 1 else None))
+                    if doc_id is not None:
+                        for _, _, k in parts:
                             keys.append(k)
-                            nodes.append(np.full(len(k), node, U))
+                            nodes.append(np.full(len(k), U(c & int(_NODE)), U))
                             held += len(k)
-                n, none = len(sizes), [pa.nulls(len(sizes), f.type) for f in schema][:4]
-                if n:
-                    yield pa.RecordBatch.from_arrays([*none, part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64())], schema=schema)
+                if part.num_rows:
+                    cols = [pa.array(c, f.type) for c, f in zip(zip(*found), list(packed)[5:])]
+                    yield rows(packed, part.num_rows, bucket=pa.array([(f[1] or 0) % buckets for f in found], pa.int32()), doc_id=part.column(0), **dict(zip(packed.names[5:], cols)))
                 if held > CHUNK_KEYS:
                     yield from flush()
                     keys, nodes, held = [], [], 0
         if held:
             yield from flush()
 
-    both = write_table(docs.mapInArrow(spread, f"{_PACKED}, doc_id long, n_shingles long, class long"), "shingled")
-    return both.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "class"), both.where("bucket IS NOT NULL").select("bucket", "tie", "n", "blob")
-
-
-def candidate_ties(packed: DataFrame, buckets: int) -> DataFrame:
-    """Ties (a, b) between 48-bit class hashes that share a key; every pair at the threshold is connected by ties."""
-    def unpack(n, blob):
-        b = np.zeros((n, 8), np.uint8)
-        b[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 8 * n).reshape(n, 6)
-        return np.frombuffer(blob, U, n), b.reshape(-1).view(U)
-
     def gather(batches: Iterator[pa.RecordBatch]):
-        def one(rows):
-            keyed = [unpack(n, blob) for tie, n, blob in rows if not tie]
-            out = [np.stack(unpack(n, blob), axis=1) for tie, n, blob in rows if tie]
-            if keyed:
-                *_, a, b = _ties(np.concatenate([k for k, _ in keyed]), np.concatenate([v for _, v in keyed]))
-                out.append(np.stack([a, b], axis=1))
-            pairs = np.unique(np.concatenate(out), axis=0).astype(np.int64)
+        def listed(key, node):
+            return rows(out, len(key), key=pa.array(key.astype(np.int64)), node=pa.array(node.astype(np.int64)))
+
+        def one(blobs):
+            parts = [unpack(n, blob) for n, blob in blobs]
+            key, node, place, size = _runs(np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts]))
+            long = size > SHORT
+            if long.any():
+                yield listed(key[long], node[long])
+            few = ~long & (size > 1)
+            key, node, place, size = key[few], node[few], place[few], size[few]
+            pairs = [np.zeros((0, 3), U)]
+            for k in range(1, SHORT):  # each with the one k places further in its run
+                i = np.flatnonzero(place + k < size)
+                pairs.append(np.stack([node[i], node[i + k], key[i] & U(255)], axis=1))
+            pairs = np.concatenate(pairs)
+            pairs = pairs[np.lexsort(pairs.T)]
+            first = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])) if len(pairs) else np.zeros(0, np.int64)
             if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                shared = np.diff(np.append(first, len(pairs)))
+                a, b, band = pairs[first].astype(np.int64).T
+                yield rows(out, len(first), a=pa.array(a), b=pa.array(b), band=pa.array(band.astype(np.int32)), shared=pa.array(shared.astype(np.int64)))
 
-        now, rows = None, []
+        now, blobs = None, []
         for batch in batches:  # by bucket
-            for bucket, *row in zip(*(batch.column(j).to_pylist() for j in range(4))):
-                if bucket != now and rows:
-                    yield from one(rows)
-                    rows = []
+            mine = batch.filter(batch.column(packed.get_field_index("blob")).is_valid())
+            plain = batch.filter(batch.column(packed.get_field_index("n_shingles")).is_valid())
+            if plain.num_rows:
+                yield rows(out, plain.num_rows, **{n: plain.column(packed.get_field_index(n)) for n, _ in meta})
+            for bucket, known_long, n, blob in zip(*(mine.column(j).to_pylist() for j in range(4))):
+                if known_long:
+                    yield listed(*unpack(n, blob))
+                    continue
+                if bucket != now and blobs:
+                    yield from one(blobs)
+                    blobs = []
                 now = bucket
-                rows.append(row)
-        if rows:
-            yield from one(rows)
-
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, "a long, b long")
+                blobs.append((n, blob))
+        if blobs:
+            yield from one(blobs)
+
+    return write_table(docs.mapInArrow(spread, f"{_PACKED}, {_META}").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        gather, f"{_META}, a long, b long, shared long, key long, node long"), "shingled")
+
+
+def candidate_ties(listed: DataFrame) -> DataFrame:
+    """Ties (a, b) between 48-bit class hashes; every pair at the threshold is connected by ties."""
+    low = F.lit(int(_NODE))
+    own = listed.where("class IS NOT NULL AND doc_id IS NOT NULL").select(F.col("class").bitwiseAND(low).alias("node"), F.explode(F.array(
+        F.struct(F.col("band").bitwiseAND(F.lit(255)).alias("band"), F.col("need").alias("need")),
+        F.struct((F.col("band") + 1).bitwiseAND(F.lit(255)).alias("band"), F.col("need_next").alias("need")))).alias("n")).where("n.need IS NOT NULL")
+    need = own.groupBy("node", "n.band").agg(F.min("n.need").alias("need"))
+    lists = listed.where("key IS NOT NULL").select("key", "node", F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("band")).distinct()
+    long = lists.groupBy("node", "band").agg(F.count("*").alias("long"))
+
+    # pairs of short lists: the shared keys that are missing would have to be in long lists of both
+    pairs = listed.where("a IS NOT NULL").groupBy("a", "b", "band").agg(F.sum("shared").alias("shared"))
+    for side in "ab":
+        both = need.join(long, ["node", "band"], "left").select(F.col("node").alias(side), "band", F.col("need").alias(f"need_{side}"), F.coalesce("long", F.lit(0)).alias(f"long_{side}"))
+        pairs = pairs.join(both, [side, "band"])
+    short = pairs.where(F.col("shared") >= F.greatest("need_a", "need_b") - F.least("long_a", "long_b")).select("a", "b")
+
+    # classes whose shared keys could all be long
+    only_long = lists.join(long.join(need, ["node", "band"]).where("long >= need").select("node", "band"), ["node", "band"]).select("key", "node")
+    first = only_long.groupBy("key").agg(F.min("node").alias("b"))
+    along = only_long.join(first, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    return short.unionByName(along)
 
 
 # ---------------------------------------------------------------- search in a block
@@ -345,11 +402,12 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    meta, packed = shingled_and_keyed(docs, words, num, den, buckets)
+    listed = shingled_and_listed(docs, words, num, den, buckets)
+    meta = listed.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "class")
     own = meta.where("doc_id IS NOT NULL AND class IS NOT NULL")
     classes = own.groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("size"))
 
-    clusters = components(candidate_ties(packed, buckets))
+    clusters = components(candidate_ties(listed))
     members = write_table(classes.join(clusters, F.col("class").bitwiseAND(F.lit(int(_NODE))) == F.col("node")).select("class", "rep", "size", F.col("component").alias("cluster")), "members")
     blocks = members.groupBy("cluster").agg(F.ceil(F.sum("size") / block_shingles).cast("int").alias("blocks"), F.count("*").alias("of")).where("of > 1").drop("of")
     members = members.join(blocks, "cluster").select(F.col("class").alias("want"), F.col("rep").alias("doc_id"), "cluster", "blocks")

@@ -49,6 +49,14 @@ def corpus(seed, n=160):
     return [(i, rnd.choice([" ", "\n", "  \t"]).join(t), 1) for i, t in zip(ids, texts)]
 
 
+@pytest.mark.parametrize("short", [1, 3])
+def test_long_lists_lose_nothing(spark, monkeypatch, short):
+    monkeypatch.setattr(J, "SHORT", short)
+    rows = corpus(11 + short)
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_shingles long").repartition(6)
+    assert sorted(map(tuple, J.jaccard_components(df, 3, 80, 100).collect()), key=repr) == brute(rows, 3, 80, 100)
+
+
 @pytest.mark.parametrize("seed,k,num,block", [(1, 3, 90, 10 ** 6), (2, 5, 80, 10 ** 6), (3, 3, 80, 400), (4, 2, 60, 3000)])
 def test_against_brute_force(spark, seed, k, num, block):
     rows = corpus(seed) + [(99991, None, 1), (99992, "", 1), (99993, " \n", 1), (None, "w1 w2 w3 w4", 1), (99994, "w1 w2 w3 w4", 1), (99995, "W1 w2\tw3 w4", 1),
@@ -88,8 +96,11 @@ def test_every_pair_at_the_threshold_shares_a_key(num):
         add = rnd.integers(0, max(1, int(n * (100 - num) / 100)) + 1)
         other = np.unique(np.concatenate([rnd.permutation(other)[cut:], rnd.integers(0, 2 ** 63, add).astype(np.uint64)]))
         if len(other) and J.similar(base, other, num, 100):
-            a, b = (set(np.concatenate(bands.keys(s)).tolist()) for s in (base, other))
-            assert a & b
+            a, b = bands.keys(base), bands.keys(other)
+            # in the larger one's band both take part, and share what each of them needs there
+            band = max(a[0][0], b[0][0])
+            (need_a, keys_a), (need_b, keys_b) = (next((n, set(k.tolist())) for at, n, k in x if at == band) for x in (a, b))
+            assert len(keys_a & keys_b) >= max(need_a, need_b) >= 1
 
 
 def test_words_fold_and_split_like_the_contract():
