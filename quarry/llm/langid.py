@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 WINDOW, HIDDEN, PER_LANGUAGE = 128, 8, 1500
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_SAMPLE_BUCKETS = 30
 _BATCH = 2048  # windows that go through the network together
 
 
@@ -124,8 +125,10 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     at = F.pmod(F.xxhash64(h), F.greatest(n - chars + 1, F.lit(1))).cast("int") + 1
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).alias("lang"), h.alias("h"), F.substr(F.col(text_col), at, F.lit(chars)).alias("window"))
-    w = Window.partitionBy("lang").orderBy("h", "window")  # a limit by group: tasks keep ``per_language`` rows before the exchange
-    return sorted(map(tuple, rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_language).select("lang", "window").collect()))
+    # a limit by language and hash bucket, which tasks apply before the exchange too; buckets spread a language over many tasks
+    w = Window.partitionBy("lang", F.pmod("h", F.lit(_SAMPLE_BUCKETS))).orderBy("h", "window")
+    each = max(1, per_language // _SAMPLE_BUCKETS)
+    return sorted(map(tuple, rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= each).select("lang", "window").collect()))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE,
