@@ -209,6 +209,34 @@ def token_budget_context(hits: DataFrame, max_tokens: int = 2000, sanitize: bool
         "token_count")
 
 
+RELATED_MAX, RELATED_CHARS = 3, 150
+RELATED_HEADER = "### Related Documents\n"
+
+
+def related_documents(hits: DataFrame, edges: DataFrame, docs: DataFrame, id_col: str = "doc_id", src: str = "src", dst: str = "dst",
+                      most: int = RELATED_MAX) -> DataFrame:
+    """Per query at most ``most`` documents one hop from its hits and not among them, by id, with the documents' columns."""
+    und = edges.select(F.col(src).alias("doc_id"), F.col(dst).alias("__to")).unionByName(edges.select(F.col(dst).alias("doc_id"), F.col(src).alias("__to")))
+    near = hits.select("query_id", "doc_id").join(und, "doc_id").select("query_id", F.col("__to").alias("doc_id")).distinct().join(
+        hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    found = near.join(docs.withColumnRenamed(id_col, "doc_id"), "doc_id")  # targets that exist
+    return top_k_per_group(found.withColumn("__s", F.lit(1.0)), ["query_id"], "__s", most, ["doc_id"], rank_col="rank").drop("__s")
+
+
+def add_related(contexts: DataFrame, related: DataFrame, max_tokens: int = 2000, title_col: str = "title", type_col: str = "type",
+                text_col: str = "text") -> DataFrame:
+    """Contexts of :func:`token_budget_context` with a list of related documents, as long as the budget is not passed."""
+    line = F.concat(F.lit("- **"), F.coalesce(F.col(title_col), F.lit("None")), F.lit("** ("), F.col(type_col), F.lit("): "),
+                    F.left(F.col(text_col), F.lit(RELATED_CHARS)), F.lit("...\n"))
+    lines = related.select("query_id", "rank", line.alias("line")).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("__l"))
+    start = F.struct(F.lit("").alias("text"), F.col("token_count").alias("n"))
+    grown = F.aggregate("__l", start, lambda a, x: F.when(a["n"] > max_tokens, a).otherwise(F.struct(
+        F.concat(a["text"], x["line"]).alias("text"), (a["n"] + F.floor(F.length(x["line"]) / 4)).cast("bigint").alias("n"))))
+    out = contexts.join(lines, "query_id", "left").withColumn("__g", F.when(F.size("__l") > 0, grown))
+    return out.select("query_id", F.when(F.col("__g").isNull(), F.col("context")).otherwise(F.concat("context", F.lit(RELATED_HEADER), F.col("__g.text"))).alias("context"),
+                      "sources", F.coalesce("__g.n", "token_count").alias("token_count"))
+
+
 # SRCH-06 -------------------------------------------------------------------------
 def embed_missing(chunks: DataFrame, embeddings: DataFrame, id_col: str, text_col: str,
                   embed_fn: Callable, dim: int) -> DataFrame:

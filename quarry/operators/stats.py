@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.fdist_expr import f_sf_expr
@@ -176,6 +176,15 @@ def effect_sizes(table: DataFrame) -> DataFrame:
                     .alias("r_squared")))
 
 
+# STA-08 variance bars ----------------------------------------------------------
+def variance_bars(table: DataFrame) -> DataFrame:
+    """Bars of an ANOVA table: per response each source but the total, its share and label, largest first."""
+    w = Window.partitionBy("response_column").orderBy(F.desc("variance_pct"), "effect_order")  # a row an effect
+    return table.where("source <> 'Total'").select(
+        "response_column", F.row_number().over(w).cast("bigint").alias("bar"), "source", "variance_pct",
+        F.concat(F.format_number("variance_pct", 1), F.lit("%")).alias("label"))
+
+
 # STA-08 chart data ------------------------------------------------------------
 def main_effects(df: DataFrame, factors: Sequence[str], response: str) -> DataFrame:
     """Per factor level: n, mean, std, se = std/sqrt(n); plus the grand mean.  One grouping-sets pass."""

@@ -82,6 +82,14 @@ def q_anova_p_value(spark, sf):
     return t.select("source", F.round("f", 6).alias("f"), F.round("p_value", 9).alias("p_value"), "significant")
 
 
+@query("variance_bars", f"""
+SELECT response_column, row_number() OVER (ORDER BY variance_pct DESC, effect_order) AS bar, source, round(variance_pct, 6) AS variance_pct,
+       format('{{:.1f}}%', variance_pct) AS label FROM ({_TWO}) WHERE source <> 'Total'
+""")
+def q_variance_bars(spark, sf):
+    return rounded(ST.variance_bars(ST.anova(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")))
+
+
 @query("anova_two_way", _anova_rounded_sql(_TWO))
 def q_anova_two_way(spark, sf):
     t = ST.anova(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")

@@ -351,6 +351,21 @@ def q_token_budget(spark, sf):
     return S.token_budget_context(hits, max_tokens=200)
 
 
+@query("related_documents", f"""
+WITH hits AS ({_kw_sql(10)}),
+e AS (SELECT doc_id AS a, doc_id * 7 % 1000 AS b FROM documents),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+n AS (SELECT DISTINCT query_id, b AS doc_id FROM hits JOIN u ON hits.doc_id = u.a)
+SELECT n.query_id, d.doc_id, d.source, row_number() OVER (PARTITION BY n.query_id ORDER BY d.doc_id) AS rank
+FROM n JOIN documents d USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = n.query_id AND h.doc_id = n.doc_id) QUALIFY rank <= 3
+""")
+def q_related_documents(spark, sf):
+    d = table(spark, sf, "documents")
+    hits = S.keyword_search(d, _QUERIES, "doc_id", "text", top_k=10)
+    edges = d.select(F.col("doc_id").alias("src"), (F.col("doc_id") * 7 % 1000).alias("dst"))
+    return S.related_documents(hits, edges, d.select("doc_id", "source")).select("query_id", "doc_id", "source", "rank")
+
+
 def _li_edges(spark, sf):
     li = table(spark, sf, "lineitem")
     return li.select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("src"),

@@ -213,3 +213,21 @@ def q_iso_utc(spark, sf):
     e = table(spark, sf, "events")
     return e.select("event_id", X.iso_utc(F.col("ts")).alias("ts_iso"))
 
+
+
+@query("unit_convert_by_row", """
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size / 1000.0 WHEN 1 THEN p_size * 1.0 WHEN 2 THEN p_size * 1000.0 END AS um FROM part
+""")
+def q_unit_convert_by_row(spark, sf):
+    # nm, um, mm and an unknown unit by row; every fifth size is text that is no number in the second column
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("um"),
+                                        F.element_at(F.array(*map(F.lit, ("nm", "um", "mm", "ell"))), (F.col("p_partkey") % 4 + 1).cast("int")).alias("unit"))
+    return X.unit_convert(p, "um", to_unit="um", unit_column="unit").drop("unit")
+
+
+@query("unit_convert_bad_cells", """
+SELECT p_partkey, CASE WHEN p_partkey % 5 > 0 THEN p_size * 1000.0 END AS size FROM part
+""")
+def q_unit_convert_bad_cells(spark, sf):
+    size = F.when(F.col("p_partkey") % 5 > 0, F.col("p_size").cast("string")).otherwise("n/a")
+    return X.unit_convert(table(spark, sf, "part").select("p_partkey", size.alias("size")), "size", "um", "nm")

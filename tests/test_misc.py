@@ -70,3 +70,11 @@ def test_folder_sync_stream(spark, tmpdir_path):
     second = {r["doc_id"]: (r["action"], r["text"]) for r in spark.read.parquet(snap).collect()}
     assert second == {1: ("inserted", "one"), 2: ("updated", "two v2"), 3: ("inserted", "three")}
     assert spark.read.parquet(snap).count() == 3
+
+
+def test_related_documents_fill_what_the_budget_leaves(spark):
+    contexts = spark.createDataFrame([("q", "c", "1", 10), ("r", "d", "2", 10)], "query_id string, context string, sources string, token_count long")
+    related = spark.createDataFrame([("q", i, f"T{i}", "adr", "x" * 400) for i in (1, 2, 3)], "query_id string, rank long, title string, type string, text string")
+    got = {r["query_id"]: r for r in S.add_related(contexts, related, max_tokens=60).collect()}
+    assert got["q"]["context"].startswith("c### Related Documents\n- **T1** (adr): " + "x" * 150 + "...\n- **T2**")
+    assert "T3" not in got["q"]["context"] and got["r"]["context"] == "d" and got["r"]["token_count"] == 10
