@@ -144,7 +144,7 @@ def discover_fields(df: DataFrame, vcol: str, max_columns: int | None = None) ->
 
 def _type_name(v: Column) -> Column:
     """A variant's type name without its parts: BIGINT, DECIMAL, OBJECT, ..."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z_]+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def _merged_kind(names: set[str | None]) -> str:
@@ -325,8 +325,8 @@ def unpivot_table(df: DataFrame, id_vars: Sequence[str], value_vars: Sequence[st
 # EXT-06 ---------------------------------------------------------------------------------
 def _key_text(v: Column) -> Column:
     """A key as text that is equal for equal values: numbers by value, the rest by their JSON."""
-    number = F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    return F.when(number, F.concat(F.lit("n"), F.try_variant_get(v, "$", "decimal(38,9)").cast("string"))).otherwise(F.to_json(v))
+    number = F.concat(F.lit("n"), F.try_variant_get(v, "$", "decimal(38,9)").cast("string"))
+    return F.when(F.schema_of_variant(v).isin("STRING", "BOOLEAN"), F.to_json(v)).otherwise(F.coalesce(number, F.to_json(v)))
 
 
 def doc_join(docs: DataFrame, left: Mapping[str, str], right: Mapping[str, str], how: str = "left",
