@@ -6,10 +6,8 @@ import os
 import sys
 import types
 import uuid
-from collections.abc import Iterator
 from urllib.parse import urlparse
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,19 +50,33 @@ def bounded_broadcast(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+BUCKET_BYTES = 256 * 1024 * 1024
+
+
+def buckets_for(df: DataFrame) -> int:
+    """Buckets that a task gathers one at a time: the session's shuffle partitions, and more where the
+    input, by the planner's size of its files, would give a bucket over ``BUCKET_BYTES``."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size if size < 1 << 60 else 0  # the planner's word for unknown is a huge number
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known // BUCKET_BYTES))
+
+
 def worker_state(name: str, make):
-    """An object that lives as long as the Python worker, over all its tasks."""
+    """An object that lives as long as the Python worker, over all its tasks.
+
+    Names share a group by their first word; an object of another group drops those
+    before it, so a worker that serves one operator after the other holds one's caches."""
     store = sys.modules.setdefault("_quarry_llm_state", types.ModuleType("_quarry_llm_state")).__dict__
+    group = name.split(" ")[0]
+    if store.get("group") != group:
+        store.clear()
+        store["group"] = group
     if name not in store:
         store[name] = make()
     return store[name]
 
 
-def whole(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> pa.Table:
-    """All batches of a bounded partition as one table."""
-    return pa.Table.from_batches(list(batches), schema=schema)
-
-
 def ascii_lower(col):
     """Lower-case A-Z only; the fast path serves all-ASCII values."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import mounted, shared_folder, text_ascii_lower, worker_state
+from quarry.llm.common import buckets_for, mounted, shared_folder, text_ascii_lower, worker_state
 
 CHUNK_TOKENS = 2_000_000
 WORD_BITS = 48
 U = np.uint64
 _WORDS = re.compile("[^ \t-\r]+")
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 250_000
 #: Fields of a store: the level's count, the plain count (words only), and as a context the total and how many successors have count 1, 2, 3 or more.
 FIELDS = ("c", "raw", "total", "n1", "n2", "n3")
 
@@ -299,7 +299,7 @@ def train(docs: DataFrame, order: int = 2, text_col: str = "text", buckets: int
     if order < 1:
         raise ValueError("order must be at least 1")
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or buckets_for(docs.select(text_col))
     folder = mounted(shared_folder(spark, "lm"))
     os.makedirs(folder)
 
