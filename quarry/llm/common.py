@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 import types
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +74,8 @@ def worker_state(name: str, make):
     if store.get("group") != group:
         store.clear()
         store["group"] = group
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     if name not in store:
         store[name] = make()
     return store[name]

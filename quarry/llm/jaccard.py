@@ -11,9 +11,9 @@ reaches a threshold; the result is every document's connected component.
    sends keys of those too.)  That is a T-occurrence problem on lists of classes by
    key: lists of at most ``SHORT`` classes are merged, which counts the keys that a
    pair shares; a pair is tied if what it lacks could be in its long lists.  Classes
-   with so many long lists that all their shared keys could be long are tied along
-   those, to each list's smallest.  So no pair is missed, no long list is paired out,
-   and a passage that many documents share ties nothing.  Segment numbers go by size
+   with so many long lists that all their shared keys could be long are tied to the
+   smallest of each of those.  So no pair is missed, no long list is paired out, and
+   a passage that many documents share ties next to nothing.  Segment numbers go by size
    bands; a class takes part in its own band and, as the smaller one, in the next.
 3. Components of these ties are clusters.  A cluster's sets meet once, in blocks of
    bounded total size (all pairs of blocks where one is not enough).
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import bounded_broadcast, components, text_ascii_lower, worker_state, write_table
+from quarry.llm.common import bounded_broadcast, buckets_for, components, text_ascii_lower, worker_state, write_table
 from quarry.llm.lm import WordHashes, bucket_of, mix
 
 WORDS, NUM, DEN = 3, 90, 100
@@ -136,7 +136,15 @@ def _runs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key, node, np.arange(len(key)) - np.repeat(first, size), np.repeat(size, size)
 
 
-_PACKED = "bucket int, known_long boolean, n long, blob binary"
+def _counted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of a (n, 3) array and how often each occurs."""
+    rows = rows[np.lexsort(rows.T)]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
+    return rows[first], np.diff(np.append(first, len(rows)))
+
+
+_KEYS, _LONG, _HUBS = range(3)  # kinds of packed rows
+_PACKED = "bucket int, kind int, n long, blob binary"
 _META = "doc_id long, n_shingles long, class long, band int, need int, need_next int"
 
 
@@ -145,20 +153,26 @@ def shingled_and_listed(docs: DataFrame, words: int, num: int, den: int, buckets
 
     - doc_id, n_shingles, class, band, need, need_next: each row's set, and how many keys it shares with a partner (need_next is null where it takes no part);
     - a, b, band, shared: pairs of 48-bit class hashes in short lists, with a count of shared keys (several rows a pair);
-    - key, node: the long lists.
+    - node, center, band, long: classes in long lists, by the list's smallest class as known where it was
+      counted, with a count of such lists (several rows each); where long is null, two such smallest ones of one list.
     """
     meta = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.int64()), ("band", pa.int32()), ("need", pa.int32()), ("need_next", pa.int32())]
-    packed = pa.schema([("bucket", pa.int32()), ("known_long", pa.bool_()), ("n", pa.int64()), ("blob", pa.binary()), *meta])
-    out = pa.schema([*meta, ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("key", pa.int64()), ("node", pa.int64())])
+    packed = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int64()), ("blob", pa.binary()), *meta])
+    out = pa.schema([*meta, ("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("node", pa.int64()), ("center", pa.int64()), ("long", pa.int64())])
 
     def rows(schema, size, **cols):
         return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(size, f.type) for f in schema], schema=schema)
 
-    def pack(bucket, known_long, key, node):
-        blob = key.tobytes() + np.ascontiguousarray(node).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        return rows(packed, 1, bucket=pa.array([bucket], pa.int32()), known_long=pa.array([known_long]), n=pa.array([len(key)], pa.int64()), blob=pa.array([blob], pa.binary()))
+    def pack(bucket, kind, *columns):
+        """Columns of 64 bits; the last one of _KEYS, a class, as 48."""
+        blob = b"".join(c.tobytes() for c in columns[:-1])
+        last = np.ascontiguousarray(columns[-1]).view(np.uint8).reshape(-1, 8)
+        blob += (last[:, :6] if kind == _KEYS else last).tobytes()
+        return rows(packed, 1, bucket=pa.array([bucket], pa.int32()), kind=pa.array([kind], pa.int32()), n=pa.array([len(columns[0])], pa.int64()), blob=pa.array([blob], pa.binary()))
 
-    def unpack(n, blob):
+    def unpack(kind, n, blob):
+        if kind != _KEYS:
+            return np.frombuffer(blob, U).reshape(-1, n)
         node = np.zeros((n, 8), np.uint8)
         node[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 8 * n).reshape(n, 6)
         return np.frombuffer(blob, U, n), node.reshape(-1).view(U)
@@ -169,14 +183,22 @@ def shingled_and_listed(docs: DataFrame, words: int, num: int, den: int, buckets
 
         def flush():
             key, node, place, _ = _runs(np.concatenate(keys), np.concatenate(nodes))
-            # so many show already that the list is long; the rest need not meet there
-            rest = place > SHORT
-            if rest.any():
-                yield pack(int(node[rest][0] % U(buckets)), True, key[rest], node[rest])
-            key, node = key[~rest], node[~rest]
+            # so many show already that the list is long; the rest need not meet there, but are
+            # counted here, and the smallest one (a hub) will be tied to the whole list's
+            rest = np.flatnonzero(place > SHORT)
+            if len(rest):
+                low = node[rest - place[rest]]
+                long, times = _counted(np.stack([node[rest], low, key[rest] & U(255)], axis=1))
+                yield pack(int(node[rest[0]] % U(buckets)), _LONG, *long.T, times.astype(U))
+                hub = rest[place[rest] == SHORT + 1]
+                hub_key, hub_node = key[hub], node[hub - place[hub]]
+                ends = np.searchsorted(bucket_of(hub_key, buckets), np.arange(buckets + 1, dtype=U))
+                for k in np.flatnonzero(np.diff(ends)):
+                    yield pack(int(k), _HUBS, hub_key[ends[k]:ends[k + 1]], hub_node[ends[k]:ends[k + 1]])
+                key, node = np.delete(key, rest), np.delete(node, rest)
             ends = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1, dtype=U))
             for k in np.flatnonzero(np.diff(ends)):
-                yield pack(int(k), False, key[ends[k]:ends[k + 1]], node[ends[k]:ends[k + 1]])
+                yield pack(int(k), _KEYS, key[ends[k]:ends[k + 1]], node[ends[k]:ends[k + 1]])
 
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
@@ -203,49 +225,60 @@ def shingled_and_listed(docs: DataFrame, words: int, num: int, den: int, buckets
             yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]):
-        def listed(key, node):
-            return rows(out, len(key), key=pa.array(key.astype(np.int64)), node=pa.array(node.astype(np.int64)))
+        def ints(a):
+            return pa.array(a.astype(np.int64))
+
+        def in_long(node, center, band, times):
+            return rows(out, len(node), node=ints(node), center=ints(center), band=pa.array(band.astype(np.int32)), long=ints(times))
 
         def one(blobs):
-            parts = [unpack(n, blob) for n, blob in blobs]
+            parts = [unpack(*b) for b in blobs if b[0] == _KEYS]
             key, node, place, size = _runs(np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts]))
-            long = size > SHORT
-            if long.any():
-                yield listed(key[long], node[long])
-            few = ~long & (size > 1)
+            long = np.flatnonzero(size > SHORT)
+            if len(long):
+                center = node[long - place[long]]
+                found, times = _counted(np.stack([node[long], center, key[long] & U(255)], axis=1))
+                yield in_long(*found.T, times)
+                hubs = [unpack(*b) for b in blobs if b[0] == _HUBS]
+                if hubs:
+                    hub_key, hub = np.concatenate([h[0] for h in hubs]), np.concatenate([h[1] for h in hubs])
+                    first = long[place[long] == 0]
+                    center = node[first][np.searchsorted(key[first], hub_key)]
+                    tied, _ = _counted(np.stack([hub, center, center], axis=1)[hub != center])
+                    if len(tied):
+                        yield rows(out, len(tied), node=ints(tied[:, 0]), center=ints(tied[:, 1]))
+            few = (size <= SHORT) & (size > 1)
             key, node, place, size = key[few], node[few], place[few], size[few]
             pairs = [np.zeros((0, 3), U)]
             for k in range(1, SHORT):  # each with the one k places further in its run
                 i = np.flatnonzero(place + k < size)
                 pairs.append(np.stack([node[i], node[i + k], key[i] & U(255)], axis=1))
-            pairs = np.concatenate(pairs)
-            pairs = pairs[np.lexsort(pairs.T)]
-            first = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])) if len(pairs) else np.zeros(0, np.int64)
+            pairs, shared = _counted(np.concatenate(pairs))
             if len(pairs):
-                shared = np.diff(np.append(first, len(pairs)))
-                a, b, band = pairs[first].astype(np.int64).T
-                yield rows(out, len(first), a=pa.array(a), b=pa.array(b), band=pa.array(band.astype(np.int32)), shared=pa.array(shared.astype(np.int64)))
+                yield rows(out, len(pairs), a=ints(pairs[:, 0]), b=ints(pairs[:, 1]), band=pa.array(pairs[:, 2].astype(np.int32)), shared=ints(shared))
 
+        worker_state("lm words", WordHashes)  # what another operator has left goes
         now, blobs = None, []
         for batch in batches:  # by bucket
             mine = batch.filter(batch.column(packed.get_field_index("blob")).is_valid())
             plain = batch.filter(batch.column(packed.get_field_index("n_shingles")).is_valid())
             if plain.num_rows:
                 yield rows(out, plain.num_rows, **{n: plain.column(packed.get_field_index(n)) for n, _ in meta})
-            for bucket, known_long, n, blob in zip(*(mine.column(j).to_pylist() for j in range(4))):
-                if known_long:
-                    yield listed(*unpack(n, blob))
+            for i, (bucket, kind, n) in enumerate(zip(*(mine.column(j).to_pylist() for j in range(3)))):
+                packed_row = (kind, n, mine.column(3)[i].as_buffer())  # no copy
+                if packed_row[0] == _LONG:
+                    yield in_long(*unpack(*packed_row))
                     continue
                 if bucket != now and blobs:
                     yield from one(blobs)
                     blobs = []
                 now = bucket
-                blobs.append((n, blob))
+                blobs.append(packed_row)
         if blobs:
             yield from one(blobs)
 
     return write_table(docs.mapInArrow(spread, f"{_PACKED}, {_META}").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
-        gather, f"{_META}, a long, b long, shared long, key long, node long"), "shingled")
+        gather, f"{_META}, a long, b long, shared long, node long, center long, long long"), "shingled")
 
 
 def candidate_ties(listed: DataFrame) -> DataFrame:
@@ -255,8 +288,8 @@ def candidate_ties(listed: DataFrame) -> DataFrame:
         F.struct(F.col("band").bitwiseAND(F.lit(255)).alias("band"), F.col("need").alias("need")),
         F.struct((F.col("band") + 1).bitwiseAND(F.lit(255)).alias("band"), F.col("need_next").alias("need")))).alias("n")).where("n.need IS NOT NULL")
     need = own.groupBy("node", "n.band").agg(F.min("n.need").alias("need"))
-    lists = listed.where("key IS NOT NULL").select("key", "node", F.col("key").bitwiseAND(F.lit(255)).cast("int").alias("band")).distinct()
-    long = lists.groupBy("node", "band").agg(F.count("*").alias("long"))
+    lists = listed.where("long IS NOT NULL").groupBy("node", "center", "band").agg(F.sum("long").alias("long"))
+    long = lists.groupBy("node", "band").agg(F.sum("long").alias("long"))
 
     # pairs of short lists: the shared keys that are missing would have to be in long lists of both
     pairs = listed.where("a IS NOT NULL").groupBy("a", "b", "band").agg(F.sum("shared").alias("shared"))
@@ -266,10 +299,10 @@ def candidate_ties(listed: DataFrame) -> DataFrame:
     short = pairs.where(F.col("shared") >= F.greatest("need_a", "need_b") - F.least("long_a", "long_b")).select("a", "b")
 
     # classes whose shared keys could all be long
-    only_long = lists.join(long.join(need, ["node", "band"]).where("long >= need").select("node", "band"), ["node", "band"]).select("key", "node")
-    first = only_long.groupBy("key").agg(F.min("node").alias("b"))
-    along = only_long.join(first, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    return short.unionByName(along)
+    only_long = long.join(need, ["node", "band"]).where("long >= need").select("node", "band")
+    along = lists.join(only_long, ["node", "band"]).where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b"))
+    hubs = listed.where("center IS NOT NULL AND long IS NULL").select(F.col("node").alias("a"), F.col("center").alias("b"))
+    return short.unionByName(along).unionByName(hubs).distinct()
 
 
 # ---------------------------------------------------------------- search in a block
@@ -399,9 +432,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     with a null id link with nothing and have a null component.  Rows that share
     an id share a component.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    buckets = buckets_for(docs)
     listed = shingled_and_listed(docs, words, num, den, buckets)
     meta = listed.where("n_shingles IS NOT NULL").select("doc_id", "n_shingles", "class")
     own = meta.where("doc_id IS NOT NULL AND class IS NOT NULL")

@@ -37,7 +37,7 @@ CHUNK_TOKENS = 2_000_000
 WORD_BITS = 48
 U = np.uint64
 _WORDS = re.compile("[^ \t-\r]+")
-_CACHE_WORDS = 250_000
+_CACHE_WORDS = 200_000
 #: Fields of a store: the level's count, the plain count (words only), and as a context the total and how many successors have count 1, 2, 3 or more.
 FIELDS = ("c", "raw", "total", "n1", "n2", "n3")
 
@@ -352,12 +352,12 @@ def train(docs: DataFrame, order: int = 2, text_col: str = "text", buckets: int
         def run(batches: Iterator[pa.RecordBatch]):
             now, rows = None, ([], [])
             for b in batches:  # by bucket
-                for bucket, context, n, blob in zip(*(b.column(j).to_pylist() for j in range(4))):
+                for i, (bucket, context, n) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)))):
                     if bucket != now and now is not None:
                         yield from one(now, *rows)
                         rows = ([], [])
                     now = bucket
-                    rows[context].append((n, blob))
+                    rows[context].append((n, b.column(3)[i].as_buffer()))  # no copy
             if now is not None:
                 yield from one(now, *rows)
 

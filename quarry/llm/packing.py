@@ -39,7 +39,7 @@ _PLAIN = re.compile(r"[ \t\n\r!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
 #: The tokenizer's own split of such text.
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^ \t\n\ra-z0-9\xdf-\xf6\xf8-\xff]+")
 _BLANK = str.maketrans("\t\n\r", "   ")
-_CACHE_PARTS, _CACHE_WORDS, _CACHE_LEN = 400_000, 50_000, 40
+_CACHE_PARTS, _CACHE_WORDS, _CACHE_LEN = 250_000, 50_000, 40
 
 
 # ---------------------------------------------------------------- token ids

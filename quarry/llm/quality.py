@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import worker_state
+
 MAX_TRAIN = 20_000
 BINS, COARSE, PAIRS, ROUNDS, RATE = 48, 8, 8, 150, 0.1
 FEATURES = ("log_chars", "log_words", "word_length", "distinct_words", "repeated_neighbours", "longest_repeat", "upper", "digits", "exclaims", "bars",
@@ -203,6 +205,7 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, model: AdditiveModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model predicts as label 1, unchanged."""
     def run(batches: Iterator[pa.RecordBatch]):
+        worker_state("quality", dict)  # what another operator has left in the worker goes
         for b in batches:
             p = model.score(_feature_rows(b.column(b.schema.get_field_index(text_col)).to_pylist()))
             yield b.filter(pa.array(p >= 0.5))
