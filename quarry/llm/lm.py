@@ -290,7 +290,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float,
 
 
 # ---------------------------------------------------------------- counting
-def train(docs: DataFrame, order: int = 2, text_col: str = "text", buckets: int | None = None) -> dict:
+def train(docs: DataFrame, order: int = 3, text_col: str = "text", buckets: int | None = None) -> dict:
     """Count all texts of ``docs`` and write the stores; returns what :func:`score` needs (folder, order, buckets).
 
     The folder must be on a mount that all machines share (``spark.checkpoint.dir``

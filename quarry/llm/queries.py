@@ -113,7 +113,7 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = lm.remainder(F.col("doc_id"), 7) == 2
-    model = lm.train(docs.where(~held_out), order=2)
+    model = lm.train(docs.where(~held_out), order=3)
     return lm.score(docs, model).withColumn("held_out", held_out)
 
 

@@ -86,3 +86,20 @@ def test_large_counts_and_empty(spark):
     assert lm.score(df, empty).first().score == 0 and lm.score(df.limit(0), empty).count() == 0
     with pytest.raises(ValueError):
         lm.mounted("hdfs://x/y")
+
+
+def test_registered_model_reads_contexts_of_two_words(spark, tmpdir_path):
+    from quarry.llm.queries import op1_kneser_ney
+
+    rnd = random.Random(5)
+    # the third word follows from the first; the second says nothing
+    rows = [(i, " ".join(rnd.choice(["a m x", "b m y"]) for _ in range(6))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(f"{tmpdir_path}/documents.parquet")
+    got = {r.doc_id: r for r in op1_kneser_ney(spark, tmpdir_path).collect()}
+    train = [t for i, t in rows if not got[i].held_out]
+    assert 0 < len(train) < len(rows)
+    three, two = Plain(train, 3), Plain(train, 2)
+    for i, t in rows:
+        assert got[i].score == pytest.approx(three.score(t), rel=1e-9)
+    assert sum(three.score(t) for _, t in rows) > sum(two.score(t) for _, t in rows) + 10
