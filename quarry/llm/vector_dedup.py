@@ -5,10 +5,9 @@ each node a first list of neighbours; then rounds join the neighbours of each
 node with each other and keep the nearest.  Links at the threshold form
 components as the rounds go on.  A list saturated with links would hide further
 ones, so a node keeps two lists: neighbours inside its component and outside it.
-What is linked makes room, and outside lists take neighbours until a round joins no
-components any more.  The recall of links is then audited by brute force for a
-sample of nodes against all; if it is too low, lists are enlarged and rounds go
-on.  In the end every component is compared with itself exactly, in blocks, so a
+What is linked makes room, and outside lists take neighbours until a round brings
+nothing new.  The recall is then audited by brute force for a sample of nodes
+against all; if it is too low, lists are enlarged and rounds go on.  In the end every component is compared with itself exactly, in blocks, so a
 node's links are complete within its component however many they are.
 """
 
@@ -125,7 +124,7 @@ def _refined(rows: DataFrame, comp: DataFrame | None, k: int) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("u", "v", "sim", "fresh", "inside")
 
 
-def _joined_neighbours(lists: DataFrame, nodes: DataFrame, comp: DataFrame | None, kind: str, k: int, parts: int) -> DataFrame:
+def _joined_neighbours(lists: DataFrame, nodes: DataFrame, comp: DataFrame | None, kind: str, k: int, parts: int, turn: int) -> DataFrame:
     """Pairs of neighbours of one node, at least one of them fresh, of different components, that would enter an outside list."""
     both = lists.select(F.col("u").alias("center"), F.col("v").alias("id"), "fresh").unionByName(lists.select(F.col("v").alias("center"), F.col("u").alias("id"), "fresh"))
     both = both.groupBy("center", "id").agg(F.max("fresh").alias("fresh"))
@@ -137,7 +136,7 @@ def _joined_neighbours(lists: DataFrame, nodes: DataFrame, comp: DataFrame | Non
 
     def pairs(batches: Iterator[pa.RecordBatch]):
         held, n = [], 0
-        # a node that very many lists hold is joined in stretches, in an order that changes with its members
+        # a node that very many lists hold is joined in stretches, which are dealt anew in each round
         for _, ids, fresh, vecs, bound, component in _grouped(batches, 1, 256):
             if len(ids) > 1 and any(fresh):
                 x, ids, fresh, bound, component = _unit(list(vecs), kind), np.array(ids), np.array(fresh), np.array(bound), np.array(component)
@@ -161,31 +160,50 @@ def _joined_neighbours(lists: DataFrame, nodes: DataFrame, comp: DataFrame | Non
         _, first = np.unique(np.stack([u, v], 1), axis=0, return_index=True)
         return _batch(u[first], v[first], s[first])
 
-    return rows.repartition(parts, "center").sortWithinPartitions("center").mapInArrow(pairs, _ROWS_DDL)
+    return rows.repartition(parts, "center").sortWithinPartitions("center", F.xxhash64(F.lit(turn), "id"), "id").mapInArrow(pairs, _ROWS_DDL)
 
 
-def audit(nodes: DataFrame, comp: DataFrame, kind: str, threshold: float, rows: int) -> float:
-    """Share of the true links of a sample (the ``rows`` nodes with the smallest hashes) that lie within components."""
-    sample = [tuple(r) for r in nodes.orderBy(F.xxhash64("id"), "id").limit(rows).select("id", "group", "vec").collect()]
-    by: dict[str, list] = {}
-    for i, g, v in sample:
-        by.setdefault(g, []).append((i, v))
+def audit(nodes: DataFrame, comp: DataFrame, kind: str, threshold: float, rows: int, block: int = BLOCK) -> float:
+    """Of the sampled nodes that have true links, the share whose every link lies within the component.
 
-    def links(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            ids, groups, vecs = (c.to_pylist() for c in b.columns)
-            for g in set(groups) & by.keys():
-                at = [j for j, x in enumerate(groups) if x == g]
-                q = np.array([i for i, _ in by[g]])
-                own = np.array([ids[j] for j in at])
-                s = _unit([vecs[j] for j in at], kind) @ _unit([v for _, v in by[g]], kind).T
-                j, i = np.nonzero((s >= threshold) & (own[:, None] != q[None, :]))
-                yield _batch(q[i], own[j], s[j, i])
+    Nodes are sampled by a hash of the id: first about ``rows`` of them, then twice
+    as many again and again, until ``rows`` linked ones were seen or every node was.
+    Each is compared with all nodes of its group, in blocks.  So few links mean a
+    larger sample, up to all nodes; only when all of them were compared and none has
+    a link is there nothing to find (1.0).
+    """
+    scale, parts = 1 << 30, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = nodes.select("id", "group", "vec").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
+    inside = write_table(inside.select("id", "group", "vec", F.coalesce("component", "id").alias("component"), F.pmod(F.xxhash64(F.lit(rows), "id"), F.lit(scale)).alias("at")), "audit")
+    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("outside", pa.int64())])
 
-    true = nodes.select("id", "group", "vec").mapInArrow(links, _ROWS_DDL)
-    hit = true.join(comp.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(
-        comp.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left").agg(F.count("*").alias("n"), F.count_if(F.col("cu") == F.col("cv")).alias("k")).first()
-    return hit.k / hit.n if hit.n else 1.0
+    def links(batches: Iterator[pa.RecordBatch]):
+        for _, _, _, sampled, ids, component, vecs in _grouped(batches, 3, 2 ** 62):  # two blocks at most
+            x, sampled, ids, component = _unit(list(vecs), kind), np.array(sampled), np.array(ids), np.array(component)
+            q, n = sampled, ~sampled
+            s = (x[q] @ x[n].T >= threshold) & (ids[q][:, None] != ids[n][None, :])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(s.sum(axis=1)), pa.array((s & (component[q][:, None] != component[n][None, :])).sum(axis=1))], schema=schema)
+
+    def blocks(of: DataFrame, name: str) -> DataFrame:
+        return of.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+
+    def deal(of: DataFrame, own: str, other: str, counts: DataFrame, sampled: bool) -> DataFrame:
+        """Each row with its block among its own kind and every block of the other kind."""
+        return of.join(counts, "group").withColumn(own, F.pmod(F.xxhash64(F.lit(1), "id"), F.col(f"n_{own}")).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).select("group", "i", "j", F.lit(sampled).alias("sampled"), "id", "component", "vec")
+
+    total, linked, good, low = inside.count(), 0, 0, 0
+    high = min(scale, -(-scale * rows // max(total, 1)))
+    while True:
+        sample = inside.where((F.col("at") >= low) & (F.col("at") < high))
+        counts = blocks(sample, "n_i").join(blocks(inside, "n_j"), "group")
+        pairs = deal(sample, "i", "j", counts, True).unionByName(deal(inside, "j", "i", counts, False))
+        found = pairs.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(links, "id long, links long, outside long").groupBy("id").agg(
+            F.sum("links").alias("links"), F.sum("outside").alias("outside")).agg(F.count_if(F.col("links") > 0).alias("linked"), F.count_if((F.col("links") > 0) & (F.col("outside") == 0)).alias("good")).first()
+        linked, good = linked + found.linked, good + found.good
+        if linked >= rows or high >= scale:
+            return good / linked if linked else 1.0
+        low, high = high, min(scale, 3 * high)
 
 
 def _counted(nodes: DataFrame, comp: DataFrame, kind: str, threshold: float, block: int, parts: int) -> DataFrame:
@@ -219,7 +237,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
     precision.  Rows whose id, label or vector is null, or whose vector is empty,
     zero or has null or non-finite components, link with nothing (component: the
     own id).  Rows that repeat an id are rows of their own in n_links.  Other columns
-    are not read.  Raises if the audited recall is not reached.
+    are not read.  Raises if lists do not settle or the audited recall is not reached.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -230,31 +248,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
     # an id that two different vectors share cannot name two nodes
     nodes = nodes if nodes.groupBy("id").count().where("count > 1").isEmpty() else write_table(
         nodes.withColumn("first", F.col("id")).withColumn("id", F.xxhash64("id", "group", "h1", "h2")), "nodes")
-    k, seed, quiet, comp = neighbours, 1, 0, None
+    k, seed, turn, comp = neighbours, 1, 0, None
     rows = _forest(nodes, kind, k, trees, leaf, seed, parts).withColumn("fresh", F.lit(True))
     lists = write_table(_refined(rows, None, k), "lists")
     links = lists.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
     comp = write_table(components(links), "components")
     lists = write_table(_refined(lists.drop("inside"), comp, k), "lists")
-    for _ in range(MAX_ROUNDS):
-        found = write_table(_joined_neighbours(lists, nodes, comp, kind, k, parts), "found")
+    total, settled = nodes.count(), 0
+    while True:
+        turn += 1
+        found = write_table(_joined_neighbours(lists, nodes, comp, kind, k, parts, turn), "found")
         new = found.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        joined = not new.isEmpty()
-        if joined:
+        if not new.isEmpty():
             comp = write_table(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)), "components")
         lists = write_table(_refined(lists.withColumn("fresh", F.lit(False)).drop("inside").unionByName(found.withColumn("fresh", F.lit(True))), comp, k), "lists")
-        quiet = 0 if joined else quiet + 1
-        if quiet >= 2 or lists.where("fresh").isEmpty():
-            if audit(nodes, comp, kind, threshold, audit_rows) >= recall:
+        if lists.where("fresh").isEmpty():
+            if audit(nodes, comp, kind, threshold, audit_rows, block) >= recall:
                 break
+            if k >= total:
+                raise RuntimeError("the audited recall of links was not reached")
             # enlarge: longer lists, started anew by other trees
-            k, seed, quiet = 2 * k, seed + 1, 0
+            k, seed, settled = 2 * k, seed + 1, turn
             more = _forest(nodes, kind, k, trees, 2 * leaf, seed, parts).withColumn("fresh", F.lit(True))
             links = more.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
             comp = write_table(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
             lists = write_table(_refined(lists.drop("inside").unionByName(more), comp, k), "lists")
-    else:
-        raise RuntimeError("the audited recall of links was not reached")
+        elif turn - settled >= MAX_ROUNDS:
+            raise RuntimeError("the lists of neighbours did not settle")
 
     counted = _counted(nodes, comp, kind, threshold, block, parts)
     first = F.col("first") if "first" in nodes.columns else F.col("id")

@@ -64,3 +64,51 @@ def test_empty_and_lone(spark):
     assert V.near_duplicates(none).count() == 0
     one = spark.createDataFrame([(4, [1.0], 1)], "vec_id long, embedding array<float>, label int")
     assert tuple(V.near_duplicates(one).first()) == (4, 0, 4, True)
+
+
+def _nodes(spark, vectors):
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    return V.nodes_of(df, "vec_id", "embedding", "label")
+
+
+def test_audit_of_rare_links_is_not_empty(spark):
+    # one node in 250 has a link, and none was found
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(2000, 48))
+    for i in range(4):
+        x[2 * i + 1] = x[2 * i] + 0.01 * rnd.normal(size=48)
+    nodes, kind = _nodes(spark, x)
+    none = spark.createDataFrame([], "node long, component long")
+    assert V.audit(nodes, none, kind, V.THRESHOLD, 200) == 0
+    found = spark.createDataFrame([(2 * i + j, 2 * i) for i in range(3) for j in range(2)], "node long, component long")
+    assert V.audit(nodes, found, kind, V.THRESHOLD, 200) == 0.75
+    assert V.audit(nodes.where("id >= 8"), none, kind, V.THRESHOLD, 200) == 1  # all were compared
+
+
+def test_audit_counts_nodes_not_links(spark):
+    # a large cluster was found whole, the pairs beside it were not
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(300, 48))
+    x[:100] = x[0] + 0.01 * rnd.normal(size=(100, 48))
+    x[200:] = x[100:200] + 0.01 * rnd.normal(size=(100, 48))
+    nodes, kind = _nodes(spark, x)
+    found = spark.createDataFrame([(i, 0) for i in range(100)], "node long, component long")
+    assert V.audit(nodes, found, kind, V.THRESHOLD, 300, block=64) == pytest.approx(1 / 3)
+
+
+def test_rounds_go_on_while_lists_are_fresh(spark, monkeypatch):
+    rounds = []
+    refined = V._refined
+
+    def kept(rows, comp, k):
+        out = refined(rows, comp, k)
+        rounds.append(out)
+        return out
+
+    seen = []
+    monkeypatch.setattr(V, "_refined", kept)
+    monkeypatch.setattr(V, "audit", lambda *a, **k: seen.append(rounds[-1].where("fresh").count()) or 1.0)
+    rnd = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rnd.normal(size=(400, 12)))], "vec_id long, embedding array<double>, label int")
+    V.near_duplicates(df, neighbours=6, leaf=10, trees=1)
+    assert seen == [0]
