@@ -26,13 +26,13 @@ DELIMITERS = [",", "\t", ";", "|"]
 
 
 # SRC-02 -------------------------------------------------------------------------------
-def first_lines(spark: SparkSession, paths: str | Sequence[str], lines: int) -> DataFrame:
-    """(file_path, n, value): each file's first ``lines`` lines, cut to their first 64 KiB.
+def first_lines(spark: SparkSession, paths: str | Sequence[str], lines: int, cut: int | None = 65536) -> DataFrame:
+    """(file_path, n, value): each file's first ``lines`` lines, cut to their first ``cut`` characters (None: whole).
 
     Spark's text source has no limit by file, so all lines pass the scan, but only
     these reach the exchange (a group limit before and after it)."""
     # ids increase with the split offset inside a file, so they order its lines
-    txt = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), F.left("value", F.lit(65536)).alias("value"),
+    txt = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file_path"), (F.left("value", F.lit(cut)) if cut else F.col("value")).alias("value"),
                                         F.monotonically_increasing_id().alias("__ln"))
     w = Window.partitionBy("file_path").orderBy("__ln")
     return txt.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= lines).drop("__ln")
@@ -48,7 +48,7 @@ def _delimiter_of(head: DataFrame, *keep: Column) -> DataFrame:
 
 def detect_delimiters(spark: SparkSession, paths: str | Sequence[str], lines: int = 10) -> DataFrame:
     """Per file: the most frequent candidate delimiter over its first ``lines`` lines."""
-    return _delimiter_of(first_lines(spark, paths, lines)).select("file_path", "delimiter")
+    return _delimiter_of(first_lines(spark, paths, lines, None)).select("file_path", "delimiter")
 
 
 # SRC-03 -------------------------------------------------------------------------------
@@ -106,13 +106,13 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], delimiter: s
     """CSV/TSV: PERMISSIVE read as strings, marker set -> null, then type inference
     by ``try_cast`` (a bad cell becomes null instead of failing the read).
 
-    Files that share a delimiter (detected where none is given) and a header line are
-    read together; the groups are united by column name, so files may order their
+    Files that share a delimiter (detected where none is given) and a whole header line
+    (by its SHA-256) are read together; the groups are united by column name, so files may order their
     columns differently or lack some.  The driver holds the groups' path lists, as it
     holds the listing of any read."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    top = F.min_by("value", "n").alias("top") if header else F.lit(None).cast("string").alias("top")
-    heads = _delimiter_of(first_lines(spark, paths, lines), top)
+    top = F.min_by(F.sha2("value", 256), "n").alias("top") if header else F.lit(None).cast("string").alias("top")
+    heads = _delimiter_of(first_lines(spark, paths, lines, None), top)
     groups = heads.withColumn("delimiter", F.lit(delimiter) if delimiter else F.col("delimiter")).groupBy("delimiter", "top").agg(
         F.sort_array(F.collect_list("file_path")).alias("p")).orderBy(F.col("p")[0])
     parts = []

@@ -133,3 +133,12 @@ def test_sinks(spark, tmpdir_path):
     assert len({r["r"] for r in rid}) == 2
     K.write_tables({"t/1": df, "t2": df.select("id")}, os.path.join(tmpdir_path, "out"))
     assert spark.read.parquet(os.path.join(tmpdir_path, "out", "_combined")).count() == 4
+
+
+def test_headers_that_differ_after_64_ki_characters(spark, tmpdir_path):
+    long = "h" * 70_000
+    for name, text in (("a.csv", f"{long},b,c\n0,1,2\n"), ("b.csv", f"{long},c,b\n0,2,1\n")):
+        _write(tmpdir_path, name, text)
+    assert [(r["b"], r["c"]) for r in R.read_delimited(spark, tmpdir_path).collect()] == [(1, 2), (1, 2)]
+    semi = _write(tmpdir_path, "late.txt", f"{long};b;c\n")
+    assert R.detect_delimiters(spark, semi).first()["delimiter"] == ";"
