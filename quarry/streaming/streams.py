@@ -21,9 +21,10 @@ executor or a restarted driver resumes from the last committed batch.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -85,6 +86,8 @@ def merge_documents(spark: SparkSession, docs: DataFrame, snapshot_dir: str, sta
     read and rewritten, through ``staging``, so a failed run leaves it as it was."""
     from quarry.operators.text import hash_upsert
 
+    if docs.isEmpty():  # files without a row
+        return
     others = [c for c in docs.columns if c != id_col]
     newest = (docs.groupBy(id_col).agg(F.max_by(F.struct(*others), F.struct("source_time", "source_file")).alias("r")).select(id_col, "r.*")
               .withColumn("content_hash", F.substring(F.sha2(F.col(text_col), 256), 1, 16))
@@ -108,18 +111,40 @@ def _with_source(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"source_file": F.col("_metadata.file_path"), "source_time": F.col("_metadata.file_modification_time")})
 
 
-def sync_edited(spark: SparkSession, docs_dir: str, snapshot_dir: str, staging: str, schema: str | None = None, fmt: str = "json", **kw) -> int:
-    """Merge again the files that were changed after the snapshot read them; returns how many.
+def _files_read(spark: SparkSession, snapshot_dir: str, checkpoint_dir: str | None) -> DataFrame:
+    """(source_file, then): every file read so far and the latest time it had when it was read.
 
-    The listing (paths and times, no contents) is compared with the snapshot's latest time by file."""
-    if not _exists(spark, snapshot_dir):
-        return 0
-    listed = spark.read.format("binaryFile").load(docs_dir).select(F.col("path").alias("source_file"), F.col("modificationTime").alias("now"))
-    read = spark.read.parquet(snapshot_dir).groupBy("source_file").agg(F.max("source_time").alias("then"))
-    edited = [r[0] for r in listed.join(read, "source_file").where("now > then").select("source_file").collect()]  # edited files only
+    The stream's own log of files in its checkpoint names all that it took, also those
+    without a row or whose rows all lost to newer ones; files merged again after an
+    edit are kept beside the snapshot; rows of the snapshot name their files too."""
+    parts = [spark.createDataFrame([], "source_file string, then timestamp")]
+    if checkpoint_dir and _exists(spark, f"{checkpoint_dir}/sources/0"):
+        log = spark.read.schema("path string, timestamp long").json(f"{checkpoint_dir}/sources/0").where("path IS NOT NULL")  # the first line is a version
+        parts.append(log.select(F.col("path").alias("source_file"), F.timestamp_millis("timestamp").alias("then")))
+    if _exists(spark, f"{snapshot_dir}_files"):
+        parts.append(spark.read.parquet(f"{snapshot_dir}_files"))
+    if _exists(spark, snapshot_dir):
+        parts.append(spark.read.parquet(snapshot_dir).select("source_file", F.col("source_time").alias("then")))
+    return reduce(lambda a, b: a.unionByName(b), parts).groupBy(_plain("source_file").alias("source_file")).agg(F.max("then").alias("then"))
+
+
+def _plain(path: str) -> Column:
+    """One spelling of local paths: file:/x, file:///x."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def sync_edited(spark: SparkSession, docs_dir: str, snapshot_dir: str, staging: str, schema: str | None = None, fmt: str = "json",
+                checkpoint_dir: str | None = None, **kw) -> int:
+    """Merge again the files that were changed after they were read; returns how many.
+
+    The listing (paths and times, no contents) is compared with :func:`_files_read`;
+    without the stream's ``checkpoint_dir`` files that left no row are not known there."""
+    listed = spark.read.format("binaryFile").load(docs_dir).select("path", _plain("_metadata.file_path").alias("source_file"), F.col("modificationTime").alias("now"))
+    edited = listed.join(_files_read(spark, snapshot_dir, checkpoint_dir), "source_file").where("now > then").select("path", "source_file", "now").collect()  # edited files only
     if edited:
         reader = spark.read.schema(schema) if schema else spark.read
-        merge_documents(spark, _with_source(reader.format(fmt).load(edited)), snapshot_dir, staging, **kw)
+        merge_documents(spark, _with_source(reader.format(fmt).load([r["path"] for r in edited])), snapshot_dir, staging, **kw)
+        spark.createDataFrame([(r["source_file"], r["now"]) for r in edited], "source_file string, then timestamp").coalesce(1).write.mode("append").parquet(f"{snapshot_dir}_files")
     return len(edited)
 
 
@@ -132,7 +157,7 @@ def folder_sync(spark: SparkSession, docs_dir: str, snapshot_dir: str, checkpoin
     so files edited in place are found by :func:`sync_edited`, at the start and
     with every batch.  ``action`` records the last change applied to each row."""
     kw = {"id_col": id_col, "text_col": text_col, "buckets": snapshot_buckets}
-    sync_edited(spark, docs_dir, snapshot_dir, f"{snapshot_dir}_staging/edited", schema, fmt, **kw)
+    sync_edited(spark, docs_dir, snapshot_dir, f"{snapshot_dir}_staging/edited", schema, fmt, checkpoint_dir, **kw)
     rd = spark.readStream.format(fmt)
     if schema:
         rd = rd.schema(schema)
@@ -140,7 +165,7 @@ def folder_sync(spark: SparkSession, docs_dir: str, snapshot_dir: str, checkpoin
     def merge(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         merge_documents(s, batch, snapshot_dir, f"{snapshot_dir}_staging/batch={batch_id}", **kw)
-        sync_edited(s, docs_dir, snapshot_dir, f"{snapshot_dir}_staging/edited", schema, fmt, **kw)
+        sync_edited(s, docs_dir, snapshot_dir, f"{snapshot_dir}_staging/edited", schema, fmt, checkpoint_dir, **kw)
 
     w = _with_source(rd.load(docs_dir)).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="500 milliseconds")

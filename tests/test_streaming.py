@@ -85,3 +85,28 @@ def test_folder_sync_sees_edits_and_ignores_older_files(spark, tmpdir_path):
     assert sync() == [("two", "updated")]
     write("b.json", "old", 1_500_000)  # arrives later, is older
     assert sync()[0][0] == "two"
+
+
+def test_folder_sync_sees_edits_of_files_without_a_row_in_the_snapshot(spark, tmpdir_path):
+    src, snap, ck = (os.path.join(tmpdir_path, n) for n in ("lost", "lost-snap", "lost-ck"))
+    os.makedirs(src)
+
+    def write(name, line, when):
+        p = os.path.join(src, name)
+        with open(p, "w") as f:
+            f.write(line)
+        os.utime(p, (when, when))
+
+    def sync():
+        ST.folder_sync(spark, src, snap, ck, schema="doc_id long, text string").awaitTermination(120)
+        return sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(snap).collect())
+
+    write("old name.json", '{"doc_id": 1, "text": "old"}\n', 1_000_000)
+    write("new.json", '{"doc_id": 1, "text": "new"}\n', 2_000_000)
+    write("empty.json", "", 1_000_000)
+    assert sync() == [(1, "new")]
+    write("old name.json", '{"doc_id": 1, "text": "edited"}\n', 3_000_000)  # all its rows were superseded
+    write("empty.json", '{"doc_id": 2, "text": "filled"}\n', 3_000_000)
+    assert sync() == [(1, "edited"), (2, "filled")]
+    write("old name.json", '{"doc_id": 3, "text": "again"}\n', 4_000_000)
+    assert sync() == [(1, "edited"), (2, "filled"), (3, "again")]
