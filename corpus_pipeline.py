@@ -50,12 +50,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: all documents, written in the order of the mixture (each file a stretch of it)."""
-    return in_order(mix(docs, MIX_WEIGHTS, MIX_REST)).select(*docs.columns)
+    return in_order(mix(docs, MIX_WEIGHTS, MIX_REST, ties=("text",))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: the pieces of all documents, each with its sequence and place there."""
-    return pack_documents(docs, word_tokenizer())
+    """Operator 3: the pieces of all documents, each with its sequence and place there.
+
+    The mixture's positions, computed again from ids and sources, say which of the
+    pieces of one length comes first, and in which order sequences are numbered."""
+    mixed = mix(docs.select("doc_id", "text", "source"), MIX_WEIGHTS, MIX_REST, ties=("text",))
+    return pack_documents(mixed, word_tokenizer(), position_col="position").drop("position")
 
 
 STAGES = [("quality_classifier", quality_classifier), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("mixing", mixing), ("packing", packing)]

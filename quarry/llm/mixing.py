@@ -40,12 +40,13 @@ def period(spark: SparkSession, parts: list[int]) -> DataFrame:
     return spark.range(1).select(F.posexplode(slots).alias("slot", "s")).select("slot", "s.stream", "s.k", "s.before")
 
 
-def mix(docs: DataFrame, weights: Mapping[str, int], rest: int, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, int], rest: int, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS,
+        ties: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with stream, block, release, deadline, slot and position (0, 1, ... over all rows).
 
     ``weights``: parts by source name; ``rest``: parts of all other sources
     together (and of a null source), mixed as they come.  Within a stream rows go
-    by the MD5 of their id; equal rows tie in any order; a null id counts as an
+    by the MD5 of their id, then by a hash of the columns ``ties``; what is equal ties in any order; a null id counts as an
     empty one.  Rows are numbered within hash buckets and offset by the buckets'
     counts, so a source with most rows is spread over many tasks.  Other columns
     are passed on; columns with the new names are replaced.
@@ -61,7 +62,7 @@ def mix(docs: DataFrame, weights: Mapping[str, int], rest: int, id_col: str = "d
     counts = rows.groupBy("stream", "__b").agg(F.count("*").alias("n"))
     offsets = counts.select("stream", "__b", (F.sum("n").over(Window.partitionBy("stream").orderBy("__b")) - F.col("n")).alias("__n"))
     totals = {r["stream"]: r["n"] for r in counts.groupBy("stream").agg(F.sum("n").alias("n")).collect()}  # a row per stream
-    n = F.col("__n") + F.row_number().over(Window.partitionBy("stream", "__b").orderBy("__h", id_col)) - 1
+    n = F.col("__n") + F.row_number().over(Window.partitionBy("stream", "__b").orderBy("__h", id_col, *([F.xxhash64(*ties)] if ties else []))) - 1
     rows = rows.join(offsets, ["stream", "__b"]).withColumn("__n", n)
 
     c = F.get(F.array(*map(F.lit, parts)), F.col("stream"))

@@ -93,15 +93,15 @@ class WordTokenizer:
         return b"".join([ids if (ids := get(w)) is not None else word(w) for w in text.translate(_BLANK).split(" ") if w])
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", position_col: str | None = None) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: doc_id, piece, start, length, ids (binary, little-endian uint32).
 
     Every whole text, its ids followed by one end id; a null text is empty (one
     piece, the end id alone).  Repeated rows give repeated pieces; a null id
-    stays null; other columns are not read.  The tokenizer file is read by each worker from ``tokenizer_path``.
+    stays null; ``position_col`` is passed on as position, other columns are not read.  The tokenizer file is read by each worker from ``tokenizer_path``.
     """
     end = np.array([END_ID], "<u4").tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), *([("position", pa.int64())] if position_col else [])])
 
     def run(batches: Iterator[pa.RecordBatch]):
         tok = worker_state(f"tokenizer {tokenizer_path}", lambda: WordTokenizer(tokenizer_path))
@@ -109,16 +109,17 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part, rows = b.slice(lo, 1000), []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                for doc_id, text, *position in zip(*(c.to_pylist() for c in part.columns)):
                     ids = tok.ids(text or "") + end
                     for k in range(0, len(ids), size):
                         cut = ids[k:k + size]
-                        rows.append((doc_id, k // size, k // 4, len(cut) // 4, cut))
+                        rows.append((doc_id, k // size, k // 4, len(cut) // 4, cut, *position))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids binary")
+    position = [docs[position_col].cast("long").alias("position")] if position_col else []
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), *position).mapInArrow(
+        run, "doc_id long, piece int, start long, length long, ids binary" + ", position long" * len(position))
 
 
 # ---------------------------------------------------------------- the plan
@@ -256,12 +257,16 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, groups: int =
 
 
 # ---------------------------------------------------------------- the operator
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 64, order: tuple[str, ...] = ("doc_id", "piece"), buckets: int = RANK_BUCKETS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 64, order: tuple[str, ...] = ("doc_id", "piece"), buckets: int = RANK_BUCKETS,
+         position_col: str | None = None) -> DataFrame:
     """``pieces`` (with a ``length`` of 1..capacity) and for each its sequence_id and offset.
 
     Gapless: a sequence's pieces follow each other from 0.  All other columns
     are passed on.  Pieces that tie on ``order`` take places of their length in
-    any order.  An empty table packs into nothing.  ``pieces`` is read three times: pass a written table.
+    any order.  With ``position_col`` (0, 1, ... over the documents) the pieces of a length
+    take their places in that order, and sequences are numbered by their first piece
+    in it.  An empty table packs into nothing.  ``pieces`` is read three times, and once
+    more with positions: pass a written table.
     """
     clash = {"sequence_id", "offset", "__b", "__rank", "__before", "__c"} & set(pieces.columns)
     pieces = pieces.drop(*clash)
@@ -270,7 +275,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 64, order: t
     plan = np.array(rows, np.int64).reshape(-1, 6)
     keys = (plan[:, 0] << 40) + plan[:, 1]
 
-    bucketed = pieces.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    if position_col:  # buckets are stretches of positions, so ranks follow them
+        order = (position_col, *(c for c in order if c != position_col))
+        last = pieces.agg(F.max(position_col)).first()[0] or 0
+        stretch = F.floor(F.col(position_col) / (last // buckets + 1))
+    bucketed = pieces.withColumn("__b", stretch if position_col else F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = bucketed.groupBy("length", "__b").agg(F.count("*").alias("__c"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__c").over(Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     ranked = bucketed.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__b").orderBy(*order))).join(before, ["length", "__b"]).withColumn(
@@ -286,14 +295,22 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = 64, order: t
             kept = b.select([c for c in b.schema.names if c != "__rank"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence + r // each), pa.array(offset + r % each * n)], names=[*kept.schema.names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, out)
+    packed = ranked.mapInArrow(run, out)
+    if not position_col:
+        return packed
+    packed = write_table(packed, "packed")
+    first = packed.groupBy("sequence_id").agg(F.min(F.struct(*order)).alias("__first")).withColumn("__b", F.floor(F.col(f"__first.{position_col}") / (last // buckets + 1)))
+    first = write_table(first, "sequences")  # a row a sequence
+    before = first.groupBy("__b").agg(F.count("*").alias("__c")).withColumn("__before", F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).drop("__c")  # ``buckets`` rows at most
+    number = first.join(before, "__b").select("sequence_id", (F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy("__first", "sequence_id")) - 1).cast("long").alias("__rank"))
+    return packed.join(number, "sequence_id").withColumn("sequence_id", F.col("__rank")).select(*out.names)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, groups: int = 64, keep_ids: bool = False) -> DataFrame:
-    """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32 (and ids, if kept), sequence_id, offset."""
-    pieces = tokenize_pieces(docs, tokenizer_path, capacity).withColumn("ids_crc32", F.crc32("ids"))
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, groups: int = 64, keep_ids: bool = False, position_col: str | None = None) -> DataFrame:
+    """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32 (and ids, if kept), position (if given), sequence_id, offset."""
+    pieces = tokenize_pieces(docs, tokenizer_path, capacity, position_col=position_col).withColumn("ids_crc32", F.crc32("ids"))
     pieces = write_table(pieces if keep_ids else pieces.drop("ids"), "pieces")
-    return pack(pieces, capacity, groups, ("doc_id", "piece", "ids_crc32"))
+    return pack(pieces, capacity, groups, ("doc_id", "piece", "ids_crc32"), position_col="position" if position_col else None)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -103,3 +103,21 @@ def test_registered():
     names = e.queries()
     assert [n for n in range(1, 11) if sum(k.startswith(f"op{n}_") for k in names) != 1] == [] and names["pipeline"] is C.run
     assert os.path.exists(C.word_tokenizer())
+
+
+def test_mixture_decides_the_packed_rows(spark, folder, monkeypatch):
+    from quarry.llm.mixing import mix
+
+    monkeypatch.setattr(C, "STAGES", C.STAGES[3:])
+    rows = [tuple(r) for r in C.run(spark, folder).collect()]
+    monkeypatch.setattr(C, "MIX_WEIGHTS", {"src0": 1, "src1": 30, "src2": 1, "src3": 1})
+    packed = C.run(spark, folder)
+    other = [tuple(r) for r in packed.collect()]
+    assert sorted((r[:5] for r in rows), key=repr) == sorted((r[:5] for r in other), key=repr) and sorted(rows, key=repr) != sorted(other, key=repr)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id <> 1")  # id 1 is there twice
+    at = {r.doc_id: r.position for r in mix(docs, C.MIX_WEIGHTS, C.MIX_REST).collect()}
+    first = {}
+    for r in P.pack_documents(mix(docs, C.MIX_WEIGHTS, C.MIX_REST), C.word_tokenizer(), position_col="position").collect():
+        assert r.position == at[r.doc_id]
+        first[r.sequence_id] = min(first.get(r.sequence_id, (1 << 60, 0)), (r.position, r.piece))
+    assert sorted(first) == list(range(len(first))) and [first[i] for i in range(len(first))] == sorted(first.values())
