@@ -179,3 +179,10 @@ m AS (SELECT a, min(b) AS c FROM r GROUP BY a),
 l AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT x.vec_id, coalesce(l.n, 0) AS n_links, m.c AS component_id, x.vec_id = m.c AS kept
 FROM embeddings x JOIN m ON m.a = x.vec_id LEFT JOIN l ON l.a = x.vec_id"""
+
+
+@query
+def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.curve_packing import pack_on_curve
+
+    return pack_on_curve(table(spark, sf_dir, "documents"), word_tokenizer())
