@@ -186,3 +186,60 @@ def op13_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.curve_packing import pack_on_curve
 
     return pack_on_curve(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.conversation_repair import damage, repair, report
+
+    return report(repair(damage(table(spark, sf_dir, "conversations"))))
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII string in DuckDB: eight steps a byte, marked -1."""
+    marks = f"list_transform(string_split({text}, ''), lambda ch: [ascii(ch), -1, -1, -1, -1, -1, -1, -1, -1])"
+    return (f"xor(list_reduce(flatten({marks}), lambda acc, x: CASE WHEN x >= 0 THEN xor(acc, x) WHEN acc % 2 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END, "
+            "4294967295::BIGINT), 4294967295::BIGINT)")
+
+
+#: Costs of the rest by state (0 nothing, 1 s, 2 u, 3 ua), from the last turn to the first; then the least edits from the first turn on.
+ORACLES["op12_conversation_repair"] = f"""
+WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS said FROM conversations),
+hit AS (SELECT *, {crc32_sql('said')} % 20 AS k FROM src),
+dam AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+               CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hit WHERE k <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS i,
+               rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM dam),
+fault AS (SELECT *, body = '' AS b, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS d, left(role, 1) AS c FROM num),
+row_ AS (SELECT conv_id, turn, role, text, i, b, d, NOT b AND NOT d AND right(body, 1) NOT IN ('.', '!', '?') AS t, c, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM fault),
+ends AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (b) AS blank, count(*) FILTER (d) AS duplicate, count(*) FILTER (t) AS truncated,
+                count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM row_ GROUP BY conv_id),
+cost AS (
+  SELECT conv_id, n + 1 AS i, 0 AS c0, 4 AS c1, 2 AS c2, 0 AS c3 FROM ends
+  UNION ALL
+  SELECT conv_id, i, least(b0, 2 + b2, 4 + b3), least(b1, 2 + b2, 4 + b3), least(b2, 2 + b3), least(b3, 2 + b2)
+  FROM (SELECT r.conv_id, r.i, CASE WHEN b OR d THEN 3 + c0 ELSE least(3 + c0, t::INT + 2 + c2, t::INT + CASE c WHEN 's' THEN c1 WHEN 'u' THEN c2 ELSE 999999999 END) END AS b0,
+               CASE WHEN b OR d THEN 3 + c1 ELSE least(3 + c1, t::INT + 2 + c2, t::INT + CASE c WHEN 'u' THEN c2 ELSE 999999999 END) END AS b1,
+               CASE WHEN b OR d THEN 3 + c2 ELSE least(3 + c2, t::INT + 2 + c3, t::INT + CASE c WHEN 'a' THEN c3 ELSE 999999999 END) END AS b2,
+               CASE WHEN b OR d THEN 3 + c3 ELSE least(3 + c3, t::INT + 2 + c2, t::INT + CASE c WHEN 'u' THEN c2 ELSE 999999999 END) END AS b3
+        FROM cost JOIN row_ r ON r.conv_id IS NOT DISTINCT FROM cost.conv_id AND r.i = cost.i - 1)),
+vec AS (SELECT conv_id, i, [c0, c1, c2, c3] AS v FROM cost),
+step AS (SELECT x.conv_id, x.i, x.v, y.v AS after, r.role, r.text, r.c, r.t::INT AS t, r.b OR r.d AS gone
+         FROM vec x LEFT JOIN vec y ON y.conv_id IS NOT DISTINCT FROM x.conv_id AND y.i = x.i + 1 LEFT JOIN row_ r ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.i = x.i),
+path AS (
+  SELECT conv_id, 1::BIGINT AS i, 0 AS q, '' AS audit, []::VARCHAR[] AS said, v[1] AS total, false AS done FROM vec WHERE i = 1
+  UNION ALL
+  SELECT conv_id, CASE WHEN e IN ('D', 'K', 'R') THEN i + 1 ELSE i END,
+         CASE WHEN e IN ('I', 'R') THEN nq WHEN e = 'K' THEN kq ELSE q END, audit || e,
+         CASE WHEN e = 'I' THEN list_append(said, nrole || ':') WHEN e = 'R' THEN list_append(said, nrole || ':' || text) WHEN e = 'K' THEN list_append(said, role || ':' || text) ELSE said END,
+         total, e = ''
+  FROM (SELECT *, CASE WHEN after IS NULL AND v[q + 1] = 0 THEN '' WHEN v[q + 1] = 3 + after[q + 1] THEN 'D' WHEN v[q + 1] = 2 + v[nq + 1] THEN 'I'
+                       WHEN NOT gone AND kq IS NOT NULL AND v[q + 1] = t + after[kq + 1] THEN 'K' ELSE 'R' END AS e
+        FROM (SELECT p.*, s.v, s.after, s.role, s.text, s.t, s.gone, CASE WHEN q = 2 THEN 3 ELSE 2 END AS nq, CASE WHEN q = 2 THEN 'assistant' ELSE 'user' END AS nrole,
+                     CASE WHEN q = 2 AND c = 'a' THEN 3 WHEN q <> 2 AND c = 'u' THEN 2 WHEN q = 0 AND c = 's' THEN 1 END AS kq
+              FROM path p JOIN step s ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.i = p.i WHERE NOT p.done)))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(total, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN (SELECT * FROM path WHERE done) p ON p.conv_id IS NOT DISTINCT FROM o.conv_id"""
