@@ -243,3 +243,31 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
        coalesce(total, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
 LEFT JOIN (SELECT * FROM path WHERE done) p ON p.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_conversation_trie"] = f"""
+WITH src AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, md5(length(role) || ':' || role || text) AS k, length(text) AS chars,
+               row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) - 1 AS at FROM src),
+ids AS (SELECT c, c - c % 100 AS base, {crc32_sql('c::VARCHAR')} % 6 AS h FROM (SELECT DISTINCT c FROM src)),
+taken AS (SELECT i.c, i.h, count(o.c) AS n FROM ids i LEFT JOIN own o ON o.c = i.base AND o.at < i.h GROUP BY ALL),
+turns AS (SELECT i.c, o.at + 1 AS depth, o.k, o.chars FROM ids i JOIN own o ON o.c = i.base AND o.at < i.h
+          UNION ALL SELECT t.c, t.n + o.at - t.h + 1, o.k, o.chars FROM taken t JOIN own o ON o.c = t.c AND o.at >= t.h),
+path AS (SELECT c, depth, chars, string_agg(k, '') OVER (PARTITION BY c ORDER BY depth) AS node FROM turns
+         UNION ALL SELECT c, 0, 0, '' FROM ids),
+deepest AS (SELECT c, max(depth) AS d FROM path GROUP BY c),
+nodes AS (SELECT node, depth, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars FROM path GROUP BY ALL),
+kids AS (SELECT left(node, length(node) - 32) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+tree AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (node)),
+sums AS (SELECT p.node, count(*) FILTER (t.n_children = 0) AS n_leaves, sum((t.n_convs - 1) * t.chars) AS saved_tokens
+         FROM tree t JOIN path p ON p.c = t.conv_id AND p.depth <= t.depth GROUP BY p.node),
+ends AS (SELECT p.node, string_agg(p.c::VARCHAR, ',' ORDER BY p.c) AS ids FROM path p JOIN deepest d ON d.c = p.c AND d.d = p.depth GROUP BY p.node)
+SELECT t.conv_id, t.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM tree t JOIN sums s USING (node) LEFT JOIN nodes p ON t.depth > 0 AND p.node = left(t.node, length(t.node) - 32) LEFT JOIN ends e ON e.node = t.node"""
