@@ -12,6 +12,7 @@ their tokens is cut into sequences:
 4. the stream is cut every ``capacity`` tokens.  What is left at its end is cut
    into sequences whose lengths are powers of two, which need no padding.
 
+Ids travel in two bytes each where the vocabulary allows it.
 Rows hold at most ``CHUNK`` tokens, so a very long document is several rows that
 follow each other; a piece ends where such a row ends.
 """
@@ -82,24 +83,30 @@ def document_keys(ids: list[np.ndarray], directions: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- the stream
-def tokenize_on_curve(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of at most ``CHUNK`` tokens: key, doc_id, row (number of the input row), start, doc_tokens, ids (little-endian uint32)."""
+def id_type(tokenizer_path: str) -> str:
+    """The narrowest type that holds all ids of a vocabulary."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def tokenize_on_curve(docs: DataFrame, tokenizer_path: str, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of at most ``CHUNK`` tokens: key, doc_id, row (number of the input row), start, doc_tokens, ids (of type ``kind``)."""
+    width = int(kind[-1])
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]):
         tok = worker_state(f"tokenizer {tokenizer_path}", lambda: WordTokenizer(tokenizer_path))
         directions = worker_state("tokenizer directions", _directions)
-        end, row = np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId() << 33
+        end, row = np.array([END_ID], kind).tobytes(), TaskContext.get().partitionId() << 33
         for b in batches:
             for lo in range(0, b.num_rows, 100):
                 doc_ids, texts = (c.to_pylist() for c in b.slice(lo, 100).columns)
-                ids = [tok.ids(t or "") for t in texts]
-                keys = document_keys([np.frombuffer(i, "<u4") for i in ids], directions)
+                ids = [np.frombuffer(tok.ids(t or ""), "<u4") for t in texts]
                 rows = []
-                for doc_id, i, key in zip(doc_ids, ids, keys):
-                    n = len(i) // 4 + 1
-                    i += end
-                    rows += [(key, doc_id, row, k, n, i[4 * k:4 * (k + CHUNK)]) for k in range(0, n, CHUNK)]
+                for doc_id, i, key in zip(doc_ids, ids, document_keys(ids, directions)):
+                    n, i = len(i) + 1, i.astype(kind).tobytes() + end
+                    rows += [(key, doc_id, row, k, n, i[width * k:width * (k + CHUNK)]) for k in range(0, n, CHUNK)]
                     row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
@@ -107,15 +114,15 @@ def tokenize_on_curve(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_i
         run, "key long, doc_id long, row long, start long, doc_tokens long, ids binary")
 
 
-def in_stream(rows: DataFrame) -> tuple[DataFrame, int]:
+def in_stream(rows: DataFrame, kind: str) -> tuple[DataFrame, int]:
     """``rows`` (of :func:`tokenize_on_curve`, written) range-sorted, each with its ``place`` in the one stream, and the stream's length."""
-    order = ("key", "doc_id", "row", "start")
+    order, width = ("key", "doc_id", "row", "start"), int(kind[-1])
     ranged = rows.repartitionByRange(buckets_for(rows), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]):
         part, seen = TaskContext.get().partitionId(), 0
         for b in batches:
-            n = np.array([len(i) // 4 for i in b.column("ids").to_pylist()], np.int64)
+            n = np.array([len(i) // width for i in b.column("ids").to_pylist()], np.int64)
             place = seen + np.cumsum(n) - n
             seen += int(n.sum())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(place)],
@@ -135,8 +142,8 @@ def tail_lengths(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def cut_stream(stream: DataFrame, total: int, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Pieces of a stream of ``total`` tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if kept)."""
+def cut_stream(stream: DataFrame, total: int, kind: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+    """Pieces of a stream of ``total`` tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids as uint32, if kept)."""
     full = total // capacity
     tail = list(accumulate([full * capacity, *tail_lengths(total % capacity)]))  # where the last sequences begin and end
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -147,6 +154,7 @@ def cut_stream(stream: DataFrame, total: int, capacity: int = CAPACITY, keep_ids
             for lo in range(0, b.num_rows, 500):
                 rows = []
                 for doc_id, start, doc_tokens, ids, place in zip(*(c.to_pylist() for c in b.slice(lo, 500).columns)):
+                    ids = np.frombuffer(ids, kind).astype("<u4").tobytes()
                     at, last = place, place + len(ids) // 4
                     while at < last:
                         if at < tail[0]:
@@ -171,5 +179,7 @@ def pack_on_curve(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     A null or empty text is its end id alone.  Repeated rows give their pieces each;
     a null id stays null.  Ties of the key go by doc_id, then in the order of the
     input's rows.  Other columns are not read.  An empty table packs into nothing."""
-    rows = write_table(tokenize_on_curve(docs, tokenizer_path, id_col, text_col), "curve-rows")
-    return cut_stream(*in_stream(rows), capacity, keep_ids)
+    kind = id_type(tokenizer_path)
+    rows = write_table(tokenize_on_curve(docs, tokenizer_path, kind, id_col, text_col), "curve-rows")
+    stream, total = in_stream(rows, kind)
+    return cut_stream(stream, total, kind, capacity, keep_ids)
