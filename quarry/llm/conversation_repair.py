@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACES, worker_state, write_table
+from quarry.llm.common import SPACES, buckets_for, worker_state, write_table
 from quarry.llm.conversations import BLOB, digest_in_order, range_sorted, turn_key
 
 BLOCK = 4
@@ -325,7 +325,7 @@ def repair(rows: DataFrame) -> DataFrame:
         F.col("conv_id").alias("__c"), F.col("key").alias("__k"), "first")
     later = narrow.join(spread, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("key") == F.col("__k"))).where(place > F.col("first"))
     marks = later.select("conv_id", "turn", "key", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"))
-    found = write_table(range_sorted(rows.unionByName(marks), ("conv_id", "turn", "key"), ("kind",)).mapInArrow(_stretches, _STRETCH), "stretches")
+    found = write_table(range_sorted(rows.unionByName(marks), ("conv_id", "turn", "key"), ("kind",), buckets_for(rows)).mapInArrow(_stretches, _STRETCH), "stretches")
     # conversations that reach a partition's border, or are long
     parts = found.where("NOT whole")
     summed = parts.select("conv_id", "part", "stretch", "symbols", "first_initial", "last_initial", "low_turn", "high_turn").mapInArrow(

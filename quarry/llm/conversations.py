@@ -20,9 +20,11 @@ def turn_key(role, text):
     return F.unhex(F.md5(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text)))
 
 
-def range_sorted(rows: DataFrame, keys: tuple[str, ...], then: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` dealt by ranges of ``keys`` (equal keys stay together) and sorted by ``keys`` and ``then``, nulls first."""
-    return rows.repartitionByRange(buckets_for(rows), *keys).sortWithinPartitions(*keys, *then)
+def range_sorted(rows: DataFrame, keys: tuple[str, ...], then: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """``rows`` dealt by ranges of ``keys`` (equal keys stay together) and sorted by ``keys`` and ``then``, nulls first.
+
+    ``parts`` is to be given where the planner cannot know the size of ``rows`` (behind joins)."""
+    return rows.repartitionByRange(parts or buckets_for(rows), *keys).sortWithinPartitions(*keys, *then)
 
 
 def digest_in_order(blobs: DataFrame, key: str, order: tuple[str, ...], separator: bytes) -> DataFrame:

@@ -145,7 +145,7 @@ def test_reports_against_brute_force(spark, monkeypatch, stretch, parts):
     rows = conversations(3, 40) + [(None, 0, "user", "who?"), (None, 1, "assistant", "I."), (500, None, "user", "x."), (500, None, "user", "x."), (600, 7, None, None)]
     rows += [(700, t, "user" if t % 2 == 0 else "assistant", f"turn {t}{'.' if t % 5 else ''}") for t in range(60)]
     monkeypatch.setattr(R, "STRETCH", stretch)
-    monkeypatch.setattr(R, "range_sorted", lambda df, k, t=(): df.repartitionByRange(parts, *k).sortWithinPartitions(*k, *t))
+    monkeypatch.setattr(R, "range_sorted", lambda df, k, t=(), n=0: df.repartitionByRange(parts, *k).sortWithinPartitions(*k, *t))
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, key string").repartition(3)
     got = R.report(R.repair(R.damage(df))).collect()
     want = expected(plant(rows))

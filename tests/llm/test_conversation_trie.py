@@ -64,7 +64,7 @@ def test_against_plain_dictionaries(spark, monkeypatch, block, stretch, parts):
     """One task, many rounds with tiny blocks, rounds down to single nodes; long conversations in stretches and over partitions."""
     rows = conversations(block)
     monkeypatch.setattr(T, "STRETCH", stretch)
-    monkeypatch.setattr(T, "range_sorted", lambda df, k, t=(): df.repartitionByRange(parts, *k).sortWithinPartitions(*k, *t))
+    monkeypatch.setattr(T, "range_sorted", lambda df, k, t=(), n=0: df.repartitionByRange(parts, *k).sortWithinPartitions(*k, *t))
     df = spark.createDataFrame([(*r, "clash", 3) for r in rows], SCHEMA + ", node string, depth int").repartition(3)
     assert got(df, block=block) == expected(rows)
 
