@@ -70,12 +70,13 @@ class LineRuns:
         self._write(batch.select("h1", "h2", "n_docs", F.when(new, F.col("owner")).alias("owner")), 0)
 
     def totals(self) -> DataFrame:
-        """h1, h2, n_docs, owner over all runs; the runs leave the catalog."""
-        names = [name for level in self.levels for name in level]
-        out = write_table(self._merged(names), "line-totals")
-        self._forget(names)
+        """h1, h2, n_docs, owner over all runs."""
+        return write_table(self._merged([name for level in self.levels for name in level]), "line-totals")
+
+    def close(self) -> None:
+        """The runs leave the catalog, also those of a job that failed."""
+        self._forget([name for level in self.levels for name in level])
         self.levels = []
-        return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
@@ -93,23 +94,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     docs = docs.drop(*({"n_lines", "n_dropped", "kept_text", "__t", "__drop"} & set(docs.columns)))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), F.posexplode(line_keys(text)).alias("pos", "key"))
+    # the text's hash is taken before its lines are rows: else each of them would carry the whole text
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), line_keys(text).alias("keys")).select("doc_id", "t", F.posexplode("keys").alias("pos", "key"))
     lines = lines.where(F.char_length("key") >= min_chars).select("doc_id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
     bounds = docs.agg(F.percentile_approx(id_col, [k / batches for k in range(1, batches)], 10_000).alias("q")).first()["q"] if batches > 1 else None
     batch = sum((F.col("doc_id") <= F.lit(b)).cast("int") for b in sorted(set(bounds))) if bounds else F.lit(0)  # 0 holds the largest ids
     lines = write_table(lines.withColumn("batch", batch), "lines")
 
     runs = LineRuns(spark, fan_in)
-    for k in range(len(set(bounds or ())) + 1):
-        once = lines.where(F.col("batch") == k).groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("c"))
-        runs.add(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("owner")))
-    often = runs.totals().where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner")
+    try:
+        for k in range(len(set(bounds or ())) + 1):
+            once = lines.where(F.col("batch") == k).groupBy("h1", "h2", "doc_id").agg(F.count("*").alias("c"))
+            runs.add(once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("owner")))
+        totals = runs.totals()
+    finally:
+        runs.close()
+    often = totals.where(F.col("n_docs") >= min_docs).select("h1", "h2", "owner")
     drop = lines.join(often, ["h1", "h2"]).where("doc_id <> owner").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("__drop"))
 
     joined = docs.withColumn("__t", F.xxhash64(text)).join(
         drop.withColumnsRenamed({"doc_id": "__id", "t": "__h"}), (F.col(id_col) == F.col("__id")) & (F.col("__t") == F.col("__h")), "left")
     split = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__drop"))
+    # text and places are bound once, as a lambda's variable: what a lambda encloses is evaluated for each element
+    kept = F.get(F.transform(F.array(F.struct(split.alias("lines"), F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__drop")).alias("stay"))),
+                             lambda x: F.array_join(F.transform(x["stay"], lambda i: F.get(x["lines"], i)), "\n")), 0)
     return joined.select(
         *docs.columns, F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")).alias("kept_text"))
+        F.when(F.col("__drop").isNull(), text).otherwise(kept).alias("kept_text"))

@@ -47,3 +47,25 @@ def test_runs_find_what_is_new(spark):
         runs.add(spark.createDataFrame(rows, "h1 long, h2 long, n_docs long, owner long"))
     assert [len(x) for x in runs.levels] == [1, 1]
     assert sorted(map(tuple, runs.totals().collect())) == [(1, 1, 7, 90), (2, 2, 1, 80), (3, 3, 2, 60)]
+
+
+def test_a_text_of_a_million_lines(spark):
+    """Time grows with a text, not with its square: one common line among a million."""
+    import time
+
+    common = "a line of more than forty characters that five documents hold"
+    rows = [(i, common) for i in range(5)] + [(-1, "\n".join(["x"] * 500_000 + [common] + ["y"] * 500_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in L.dedup_lines(df).collect()}
+    assert time.time() - began < 60
+    assert (got[-1].n_lines, got[-1].n_dropped) == (1_000_001, 1) and got[-1].kept_text == "\n".join(["x"] * 500_000 + ["y"] * 500_000)
+    assert got[4].kept_text == common and got[3].kept_text == ""
+
+
+def test_runs_leave_the_catalog(spark, monkeypatch):
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(L.LineRuns, "totals", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        L.dedup_lines(spark.createDataFrame([(1, "some line")], "doc_id long, text string"))
+    assert {t.name for t in spark.catalog.listTables()} == before
