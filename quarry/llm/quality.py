@@ -169,7 +169,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS)
 
 # ---------------------------------------------------------------- the operator
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN) -> DataFrame:
-    """(id, label, features) of at most ``max_rows`` labelled documents, those with the smallest hashed ids."""
+    """(id, label, features) of at most ``max_rows`` labelled rows, those with the smallest hashed ids (and texts, of one id)."""
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))])
@@ -179,9 +179,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, id_col: st
             rows = _feature_rows(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows.tolist(), pa.list_(pa.float64()))], schema=schema)
 
-    # the sample has ``max_rows`` short rows at most
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(
+    # the sample has ``max_rows`` short rows at most; an id may have several texts, so the bound holds for what comes out as well
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(
         run, "doc_id long, label int, x array<double>")
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").limit(max_rows)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN) -> AdditiveModel:

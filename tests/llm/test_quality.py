@@ -51,3 +51,32 @@ def test_held_out_accuracy_and_edges(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
     empty = Q.train(docs.limit(0), labels)
     assert Q.score(docs.limit(3), empty).first().score == 0.5 and Q.score(docs.limit(0), m).count() == 0
+
+
+def test_the_sample_is_bounded_where_an_id_has_many_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert Q.training_rows(docs, labels, "quality", max_rows=10).count() == 10
+    assert Q.training_rows(docs, labels, "quality", max_rows=1000).count() == 501
+
+
+def test_whole_scored_table_against_plain_code(spark):
+    """Every row of the scored table from the fitted tables, one feature and one pair at a time."""
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choice(["good", "Words", "x9", "!!", "\n", "é,"]) for _ in range(rnd.randint(0, 60))) for _ in range(150)] + [None, ""]
+    docs = spark.createDataFrame([(i % 140, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 140, 3)], "doc_id long, quality int")
+    m = Q.train(docs, labels)
+
+    def plain(text):
+        x, total = Q.features(text), m.intercept
+        for v, cuts, t in zip(x, m.cuts, m.tables):
+            total += t[sum(1 for c in cuts if c <= v)]
+        for a, b, t in m.pairs:
+            total += t[sum(1 for c in m.coarse[a] if c <= x[a]), sum(1 for c in m.coarse[b] if c <= x[b])]
+        return 1 / (1 + np.exp(-total))
+
+    want = sorted((i % 140, plain(t)) for i, t in enumerate(texts))
+    got = sorted((r.doc_id, r.score, r.predicted) for r in Q.score(docs, m).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert all(g[1] == pytest.approx(w[1], abs=1e-12) and g[2] == int(g[1] >= 0.5) for g, w in zip(got, want))
