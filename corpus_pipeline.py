@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import bounded_broadcast, write_table
-from quarry.llm.jaccard import jaccard_components
+from quarry.llm.jaccard import jaccard_groups, with_class
 from quarry.llm.line_dedup import dedup_lines
 from quarry.llm.mixing import in_order, mix
 from quarry.llm.packing import pack_documents
@@ -36,16 +36,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 9 on five-word shingles at 0.8: of each group the smallest id stays (one row of it); a null id links with nothing and stays."""
-    found = write_table(jaccard_components(docs, words=5, num=80, den=100), "near")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(bounded_broadcast(gone), "doc_id", "left_anti")
-    repeated = found.where("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    # rows that share the id of their group's representative: one stays
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    """Operator 9 on five-word shingles at 0.8: of each group of linked texts one row stays, of the smallest id.
+
+    A row goes by its own text, whatever other rows of its id hold.  Rows of a null id and texts
+    without words link with nothing and stay."""
+    found = write_table(jaccard_groups(docs, words=5, num=80, den=100), "near")
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("lowest") < F.col("doc_id")).alias("gone"))
+    kept = docs.join(bounded_broadcast(ids.where("n = 1 AND gone").select("doc_id")), "doc_id", "left_anti")
+    several = write_table(ids.where("n > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return kept.select(*docs.columns)
+    # ids of several rows: each row by its text's class
+    several = bounded_broadcast(several)
+    rows = with_class(docs.join(several, "doc_id", "left_semi").withColumnsRenamed({"class": "__own_class"}), words=5)
+    groups = found.where("group IS NOT NULL").select(F.col("class").alias("__class"), "group", F.col("lowest")).distinct()
+    rows = rows.join(groups, F.col("class") == F.col("__class"), "left").where("group IS NULL OR lowest = doc_id")
+    first = rows.where("group IS NOT NULL").dropDuplicates(["group"]).unionByName(rows.where("group IS NULL"))
+    once = first.drop("class", "__class", "group", "lowest").withColumnsRenamed({"__own_class": "class"})
+    return kept.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,8 +37,10 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.llm.common import bounded_broadcast, buckets_for, components, text_ascii_lower, worker_state, write_table
 from quarry.llm.lm import WordHashes, bucket_of, mix
@@ -179,7 +181,7 @@ def shingled_and_listed(docs: DataFrame, words: int, num: int, den: int, buckets
 
     def spread(batches: Iterator[pa.RecordBatch]):
         hashes, bands = worker_state("lm words", WordHashes), Bands(num, den)
-        keys, nodes, held = [], [], 0
+        keys, nodes, held, row = [], [], 0, TaskContext.get().partitionId()
 
         def flush():
             key, node, place, _ = _runs(np.concatenate(keys), np.concatenate(nodes))
@@ -217,7 +219,8 @@ def shingled_and_listed(docs: DataFrame, words: int, num: int, den: int, buckets
                             held += len(k)
                 if part.num_rows:
                     cols = [pa.array(c, f.type) for c, f in zip(zip(*found), list(packed)[5:])]
-                    yield rows(packed, part.num_rows, bucket=pa.array([(f[1] or 0) % buckets for f in found], pa.int32()), doc_id=part.column(0), **dict(zip(packed.names[5:], cols)))
+                    yield rows(packed, part.num_rows, bucket=pa.array((row + np.arange(part.num_rows)) % buckets, pa.int32()), doc_id=part.column(0), **dict(zip(packed.names[5:], cols)))
+                    row += part.num_rows  # dealt in turn: copies do not meet
                 if held > CHUNK_KEYS:
                     yield from flush()
                     keys, nodes, held = [], [], 0
@@ -423,14 +426,14 @@ def _with_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, ddl)
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text",
-                       block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles (distinct), component_id (smallest id reachable by links, itself included).
+def jaccard_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text",
+                   block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles (distinct), class (a number that equal sets share), group and lowest.
 
     Links: ``den * |intersection| >= num * |union|`` of the sets of ``words``-word
-    shingles.  Texts without words (null, empty, blank) link with nothing.  Rows
-    with a null id link with nothing and have a null component.  Rows that share
-    an id share a component.  Other columns are not read.
+    shingles; a group holds the classes that links connect, ``lowest`` is its smallest id.
+    Rows of one id may lie in several groups.  Texts without words (null, empty, blank) have no class and rows
+    of a null id no group: they link with nothing.  Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = buckets_for(docs)
@@ -471,8 +474,32 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
 
     links = sets.repartition(buckets, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(search, "a long, b long")
     joined = components(links).withColumnsRenamed({"node": "class", "component": "group"})
-    # links between rows that share an id
     classes = classes.join(joined, "class", "left").withColumn("group", F.coalesce("group", "class"))
-    lowest = classes.groupBy("group").agg(F.min("rep").alias("component_id"))
-    found = own.select("doc_id", "class").join(classes.select("class", "group"), "class").join(lowest, "group").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return meta.select("doc_id", "n_shingles").join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    lowest = classes.groupBy("group").agg(F.min("rep").alias("lowest"))
+    groups = classes.select("class", "group").join(lowest, "group").withColumnRenamed("class", "__class")
+    return meta.join(groups, (F.col("class") == F.col("__class")) & F.col("doc_id").isNotNull(), "left").drop("__class")
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text",
+                       block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles (distinct), component_id (smallest id reachable by links, itself included).
+
+    Links are those of :func:`jaccard_groups`.  Rows of a null id have a null component.  Rows that share
+    an id share a component."""
+    rows = write_table(jaccard_groups(docs, words, num, den, id_col, text_col, block_shingles), "groups")
+    # an id of several rows has the least of its groups
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("lowest").alias("least")).where("n > 1").select("doc_id", "least")
+    return rows.join(bounded_broadcast(several), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "lowest", "doc_id").alias("component_id"))
+
+
+def with_class(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """``rows`` (with text) and the ``class`` of :func:`jaccard_groups`, null for a text without words."""
+    hashed = T.StructType([*rows.schema.fields, T.StructField("class", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        hashes = worker_state("lm words", WordHashes)
+        for b in batches:
+            sets = (shingle_set(t, words, hashes) for t in b.column(b.schema.get_field_index("text")).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=hashed.names)
+
+    return rows.mapInArrow(run, hashed)

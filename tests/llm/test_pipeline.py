@@ -70,7 +70,7 @@ def test_stages_against_brute_force(spark, folder):
             assert any(d for v in text.values() for d, _ in v)
         elif name == "near_duplicates":
             keep = {i for i, _, c in groups_of([r[:2] for r in rows], 5, 80, 100) if i == c}
-            assert sorted(got, key=key) == sorted({r[0]: r for r in rows if r[0] in keep}.values(), key=key) and len(got) < len(rows)
+            assert sorted(got, key=key) == sorted({(r[0], r[1]): r for r in rows if r[0] in keep}.values(), key=key) and len(got) < len(rows)
         elif name == "mixing":
             assert sorted(got, key=key) == sorted(rows, key=key)
         else:
@@ -101,7 +101,7 @@ def test_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert [n for n in range(1, 11) if sum(k.startswith(f"op{n}_") for k in names) != 1] == [] and names["pipeline"] is C.run
+    assert [n for n in range(1, 14) if sum(k.startswith(f"op{n}_") for k in names) != 1] == [] and names["pipeline"] is C.run
     assert os.path.exists(C.word_tokenizer())
 
 
@@ -121,3 +121,23 @@ def test_mixture_decides_the_packed_rows(spark, folder, monkeypatch):
         assert r.position == at[r.doc_id]
         first[r.sequence_id] = min(first.get(r.sequence_id, (1 << 60, 0)), (r.position, r.piece))
     assert sorted(first) == list(range(len(first))) and [first[i] for i in range(len(first))] == sorted(first.values())
+
+
+def near(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, class string"
+    return sorted((r.doc_id, r.text) for r in C.near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", 1, "k") for i, t in rows], schema), "").collect())
+
+
+def test_rows_of_one_id_go_by_their_own_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    assert near(spark, [(1, a), (1, b), (2, a), (3, c)]) == [(1, a), (1, b), (3, c)]
+    assert near(spark, [(1, a), (2, b), (2, a), (3, c)]) == [(1, a), (2, b), (3, c)]
+    # one row of each group, also where its id has several rows in it
+    assert near(spark, [(1, a), (1, a), (1, a + " z"), (2, b), (3, b)]) in ([(1, a), (2, b)], [(1, a + " z"), (2, b)])
+    # clean texts under one id, texts without words, and null ids all stay
+    kept = [(1, a), (1, b), (1, c), (4, ""), (4, " ")]
+    assert near(spark, kept) == sorted(kept)
+    assert len(near(spark, [(5, None), (5, None), (6, a)])) == 3
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    null_ids = spark.createDataFrame([(None, a, "en", "s", 1), (None, a, "en", "s", 1), (7, a, "en", "s", 1)], schema)
+    assert C.near_duplicates(spark, null_ids, "").count() == 3
