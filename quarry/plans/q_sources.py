@@ -137,3 +137,30 @@ def q_multi_file_csv(spark, sf):
         o.where(F.col("o_orderstatus") == status).select(*names).write.option("header", True).csv(f"{base}/{status}")
     return R.read_many(spark, [f"{base}/{status}" for status in columns], "csv").select(
         "o_orderkey", F.col("o_custkey").cast("double").alias("o_custkey"), "o_orderstatus", "o_orderpriority")
+
+
+@query("detect_heads", """
+SELECT CAST(n_nationkey % 4 AS BIGINT) AS file_no, CASE n_nationkey % 4 WHEN 0 THEN ',' WHEN 1 THEN chr(9) WHEN 2 THEN ';' ELSE '|' END AS delimiter,
+       CASE WHEN n_nationkey % 4 = 3 THEN 'latin-1' ELSE 'utf-8' END AS encoding, CASE WHEN n_nationkey % 4 = 2 THEN 'jsonl' ELSE 'json' END AS kind
+FROM nation GROUP BY ALL
+""")
+def q_detect_heads(spark, sf):
+    """Delimiter, encoding and JSON kind of files from their heads alone."""
+    nation = table(spark, sf, "nation")
+    csv, enc, js = (scratch_path(spark, n) for n in ("heads-csv", "heads-enc", "heads-json"))
+    for k, d in enumerate(R.DELIMITERS):
+        part = nation.where(F.col("n_nationkey") % 4 == k).coalesce(1)
+        part.write.option("header", True).option("sep", d).csv(f"{csv}/f={k}")
+        name = F.concat(F.lit("caf\u00e9 "), "n_name")
+        part.select(F.encode(name, "ISO-8859-1" if k == 3 else "UTF-8").alias("value")).select(F.decode("value", "ISO-8859-1").alias("value")).write.option("encoding", "ISO-8859-1").csv(f"{enc}/f={k}")
+        rows = part.select("n_nationkey", "n_name")
+        if k == 2:
+            rows.write.json(f"{js}/f={k}")
+        else:
+            rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.text(f"{js}/f={k}")
+    no = F.regexp_extract("file_path", r"/f=(\d)/", 1).cast("long").alias("file_no")
+    files = lambda at, ext: [f"{at}/f={k}/*.{ext}" for k in range(4)]
+    d = R.detect_delimiters(spark, files(csv, "csv")).select(no, "delimiter")
+    e = R.detect_encodings(spark, files(enc, "csv")).select(no, "encoding")
+    j = R.detect_json_kind(spark, [f"{js}/f={k}/part-*" for k in range(4)]).select(no, "kind")
+    return d.join(e, "file_no").join(j, "file_no")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from quarry.plans.registry import query, table
 from quarry.session import scratch_path
+from quarry.streaming.chunks import ingest_chunks
 from quarry.streaming.streams import chunked_ingest
 
 _COLS = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
@@ -47,3 +48,26 @@ def q_stream_extract(spark, sf):
     rows = spark.read.parquet(f"{out}/rows").select(F.col("nation").cast("double"), F.col("c_custkey").cast("double"), "c_name", "c_acctbal", F.lit("rows").alias("kind"))
     none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[:-1]]
     return rows.unionByName(spark.read.parquet(f"{out}/_bad_files").select(*none, F.lit("bad").alias("kind")))
+
+
+@query("stream_chunks", """
+SELECT i // 20000 AS chunk_index, count(*) AS rows, max(i) + 1 AS running_total, i // 20000 = max(n) // 20000 AS is_last,
+       CAST(sum(l_quantity) AS BIGINT) AS quantity, min(l_orderkey) AS first_order, max(l_orderkey) AS last_order
+FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i, count(*) OVER () - 1 AS n FROM lineitem)
+GROUP BY i // 20000, n
+""")
+def q_stream_chunks(spark, sf):
+    """One large CSV file in chunks of 20,000 rows: what each chunk held, from its rows and from the plan."""
+    from pyspark.sql import functions as F
+
+    src, out, ck = (scratch_path(spark, n) for n in ("chunk-src", "chunk-out", "chunk-ckpt"))
+    li = table(spark, sf, "lineitem").select(*_COLS).orderBy("l_orderkey", "l_linenumber").coalesce(1)
+    li.write.option("header", True).csv(src)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in li.schema.fields)
+    run = ingest_chunks(spark, f"{src}/*.csv", schema, out, ck, rows=20_000, block_bytes=1 << 20)
+    run.awaitTermination()
+    if run.exception() is not None:
+        raise RuntimeError(str(run.exception()))
+    held = spark.read.parquet(out).groupBy("chunk").agg(F.count("*").alias("rows"), F.sum("l_quantity").cast("long").alias("quantity"),
+                                                       F.min("l_orderkey").alias("first_order"), F.max("l_orderkey").alias("last_order"))
+    return spark.read.parquet(f"{out}_chunks").drop("rows").join(held, "chunk").select("chunk_index", "rows", "running_total", "is_last", "quantity", "first_order", "last_order")

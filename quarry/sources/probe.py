@@ -61,6 +61,10 @@ def probe_schema(df: DataFrame, samples: int = 10, order_by: Sequence[str] | Non
                     "samples"))
 
 
+#: Largest file that is parsed as one value (a row of Spark holds less than 2 GiB).
+MOST_BYTES = 1 << 30
+
+
 def estimate_rows(file_bytes: int, sample_lines: Sequence[str]) -> int:
     """Large-file row estimate = file bytes / average sampled line bytes."""
     if not sample_lines:
@@ -72,8 +76,11 @@ def estimate_rows(file_bytes: int, sample_lines: Sequence[str]) -> int:
 # SRC-11 -------------------------------------------------------------------------------------
 def precheck_files(spark: SparkSession, paths: str | Sequence[str], kind: str = "json") -> DataFrame:
     """Issues per file with severity / code / suggestion: empty, not UTF-8,
-    not parseable JSON, JSON array with non-object elements."""
-    b = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file_path"), "length", "content")
+    not parseable JSON, JSON array with non-object elements.  A file beyond ``MOST_BYTES`` does not fit
+    one value: it gets a warning that says so, and only its size is checked."""
+    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file_path"), "length", "content")
+    large = files.where(F.col("length") > MOST_BYTES).select("file_path", F.lit("warning").alias("severity"), F.lit("TOO_LARGE").alias("code"), F.lit("not checked as a whole; read it in chunks").alias("suggestion"))
+    b = files.where(F.col("length") <= MOST_BYTES)
     text = F.col("content").cast("string")
     doc = F.try_parse_json(text)
     issues = [
@@ -96,11 +103,12 @@ def precheck_files(spark: SparkSession, paths: str | Sequence[str], kind: str =
         ]
     out = (b.select("file_path", F.explode(F.filter(F.array(*issues), lambda x: x.isNotNull())).alias("i"))
            .select("file_path", "i.*"))
+    out = out.unionByName(large)
     if not isinstance(paths, str):
         # zero-length files give no row: hold the caller's list against what was read
         bare = F.regexp_replace("file_path", "^[a-z]+:/*", "/")
         asked = spark.createDataFrame([(p,) for p in paths], "file_path string")
-        gone = asked.withColumn("__p", bare).join(b.select(bare.alias("__p")), "__p", "left_anti").select(
+        gone = asked.withColumn("__p", bare).join(files.select(bare.alias("__p")), "__p", "left_anti").select(
             "file_path", F.lit("error").alias("severity"), F.lit("EMPTY_FILE").alias("code"), F.lit("file is empty or missing").alias("suggestion"))
         out = out.unionByName(gone)
     return out

@@ -1,7 +1,7 @@
 """Readers, format detection, discovery and file predicates (SRC-01..09, 12..14, 17, 18).
 
-Detection work (delimiter, encoding, JSON vs JSON Lines) is done for all files
-at once with Spark's ``text`` / ``binaryFile`` sources and aggregated per file;
+Detection work (delimiter, encoding, JSON vs JSON Lines) is done for all files at once by
+tasks that read only the files' heads (see ``heads``);
 files are then grouped by the detected option and each group is read with one
 multi-path ``spark.read`` call.  Nothing reads a file on the driver.
 """
@@ -17,6 +17,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.sources.heads import can_open, file_heads
+
 log = logging.getLogger(__name__)
 
 # Null markers recognised by the readers.
@@ -46,17 +48,27 @@ def _delimiter_of(head: DataFrame, *keep: Column) -> DataFrame:
     return counts.withColumn("delimiter", F.get(F.array(*map(F.lit, DELIMITERS)), -best["i"])).drop(*[f"d{i}" for i in range(len(DELIMITERS))])
 
 
+def _header_and_delimiter(spark: SparkSession, paths: str | Sequence[str], lines: int) -> DataFrame:
+    """(file_path, delimiter, top): from the files' heads where tasks can open them, else by a scan; top is the SHA-256 of the whole first line."""
+    if not can_open(paths):
+        return _delimiter_of(first_lines(spark, paths, lines, None), F.min_by(F.sha2("value", 256), "n").alias("top"))
+    best = F.array_max(F.transform("counts", lambda n, i: F.struct(n.alias("n"), (-i).alias("i"))))
+    return file_heads(spark, paths, lines, 1, DELIMITERS).select("file_path", F.get(F.array(*map(F.lit, DELIMITERS)), -best["i"]).alias("delimiter"), "top")
+
+
 def detect_delimiters(spark: SparkSession, paths: str | Sequence[str], lines: int = 10) -> DataFrame:
-    """Per file: the most frequent candidate delimiter over its first ``lines`` lines."""
-    return _delimiter_of(first_lines(spark, paths, lines, None)).select("file_path", "delimiter")
+    """Per file: the most frequent candidate delimiter over its first ``lines`` lines (ties -> the earlier candidate, none -> comma)."""
+    return _header_and_delimiter(spark, paths, lines).select("file_path", "delimiter")
 
 
 # SRC-03 -------------------------------------------------------------------------------
 def detect_encodings(spark: SparkSession, paths: str | Sequence[str], probe_bytes: int = 8192) -> DataFrame:
     """Per file: BOM -> utf-8-sig / utf-32 / utf-16; else utf-8 if the first
     ``probe_bytes`` decode (cut back to a whole character), else latin-1."""
-    b = spark.read.format("binaryFile").load(paths).select(
-        F.col("path").alias("file_path"), F.substring("content", 1, probe_bytes).alias("__head"))
+    if can_open(paths):
+        b = file_heads(spark, paths, 0, probe_bytes).select("file_path", F.col("head").alias("__head"))
+    else:  # a scan, which holds a whole file as one value
+        b = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file_path"), F.substring("content", 1, probe_bytes).alias("__head"))
     h = F.hex(F.substring("__head", 1, 4))
     # drop an incomplete trailing UTF-8 sequence before validating
     trimmed = F.regexp_replace(F.hex("__head"), "(?:[C-F][0-9A-F](?:[89AB][0-9A-F]){0,2})$", "")
@@ -111,8 +123,9 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], delimiter: s
     columns differently or lack some.  The driver holds the groups' path lists, as it
     holds the listing of any read."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    top = F.min_by(F.sha2("value", 256), "n").alias("top") if header else F.lit(None).cast("string").alias("top")
-    heads = _delimiter_of(first_lines(spark, paths, lines, None), top)
+    heads = _header_and_delimiter(spark, paths, lines)
+    if not header:
+        heads = heads.withColumn("top", F.lit(None).cast("string"))
     groups = heads.withColumn("delimiter", F.lit(delimiter) if delimiter else F.col("delimiter")).groupBy("delimiter", "top").agg(
         F.sort_array(F.collect_list("file_path")).alias("p")).orderBy(F.col("p")[0])
     parts = []
@@ -129,7 +142,7 @@ def read_delimited(spark: SparkSession, paths: str | Sequence[str], delimiter: s
 def detect_json_kind(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Per file: ``jsonl`` by extension (.jsonl/.ndjson), else by its first 5 lines: not
     opening with ``[``, and at least 2 of them starting with ``{``."""
-    heads = first_lines(spark, paths, 5).groupBy("file_path").agg(
+    heads = file_heads(spark, paths, 5, 1).select("file_path", "objects", "first") if can_open(paths) else first_lines(spark, paths, 5).groupBy("file_path").agg(
         F.count_if(F.ltrim("value").startswith("{")).alias("objects"), F.min_by(F.ltrim("value"), F.struct(F.ltrim("value") == "", "n")).alias("first"))
     ext = F.lower(F.regexp_extract("file_path", r"(\.[^./]+)$", 1))
     kind = (F.when(ext.isin(".jsonl", ".ndjson"), "jsonl").when((ext == ".json") & F.col("first").startswith("["), "json")
