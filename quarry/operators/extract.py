@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions.arrays import bound
+
 log = logging.getLogger(__name__)
 
 DATA_KEYS = ("data", "values", "rows", "bins", "items")
@@ -329,9 +331,14 @@ def _key_text(v: Column) -> Column:
     return F.when(F.schema_of_variant(v).isin("STRING", "BOOLEAN"), F.to_json(v)).otherwise(F.coalesce(number, F.to_json(v)))
 
 
+#: Up to so many keys are compared one by one, more are probed by binary search.
+FEW = 16
+
+
 def doc_join(docs: DataFrame, left: Mapping[str, str], right: Mapping[str, str], how: str = "left",
              doc_col: str = "doc", id_col: str = "file_path") -> DataFrame:
-    """Join two object arrays of the same document on a key, inside the document: no shuffle.
+    """Join two object arrays of the same document on a key, inside the document: no shuffle, and keys sorted once
+    and probed, so the time goes with the elements and their matches.
 
     Numbers are equal by value; null keys match nothing.  The key has the left
     name; other names of the right that the left has too get ``_right``.  A
@@ -352,37 +359,69 @@ def doc_join(docs: DataFrame, left: Mapping[str, str], right: Mapping[str, str],
             arrays = F.flatten(F.transform(arrays, lambda x, seg=seg: F.coalesce(F.try_variant_get(at(x, seg), "$", "array<variant>"), F.array().cast("array<variant>"))))
         return F.flatten(F.transform(arrays, lambda x: F.coalesce(F.try_variant_get(at(x, last), "$", "array<variant>"), F.array().cast("array<variant>"))))
 
+    # both sides' keys and types by one aggregate over the documents
+    def fields(found: str | None) -> dict[str, str]:
+        if not (found or "").startswith("ARRAY<OBJECT<"):
+            return {}
+        return {f.name: _kind(f.dataType) for f in T.DataType.fromDDL(_as_ddl(found)).elementType.fields}
+
+    def types_of(values: Mapping[str, Column]) -> dict[str, dict[str, str] | None]:
+        """Fields of each side's elements; None where the arrays hold other things than objects."""
+        row = docs.agg(*(F.schema_of_variant_agg(v).alias(n) for n, v in values.items())).first()
+        return {n: fields(row[n]) if (row[n] or "VOID").startswith(("ARRAY<OBJECT<", "VOID", "ARRAY<VOID>")) else None for n in values}
+
+    sides_of = {"l": left["path"], "r": right["path"]}
+    single = {n: at(F.col(doc_col), strip_wildcard(_norm_path(p))) for n, p in sides_of.items() if len(split_path(strip_wildcard(p))) == 1}
+    found = types_of(single) if single else {}
+    rest = {n: F.to_variant_object(F.filter(elements(p), is_object)) for n, p in sides_of.items() if found.get(n) is None}
+    found |= types_of(rest) if rest else {}
+    lt, rt = found["l"] or {}, found["r"] or {}
+
+    # keys of one plain type are compared as such, others as text
+    plain = lt.get(lk) if lt.get(lk) == rt.get(rk) and lt.get(lk) in ("bigint", "string") else None
+
     def keyed(values: Column, key: str) -> Column:
-        return F.transform(F.filter(values, is_object), lambda v: F.struct(_key_text(child(v, key)).alias("k"), v.alias("v")))
+        k = (lambda v: F.try_variant_get(child(v, key), "$", plain)) if plain else (lambda v: _key_text(child(v, key)))
+        return F.transform(F.filter(values, is_object), lambda v: F.struct(k(v).alias("k"), v.alias("v")))
+
+    def in_order(side: str) -> Column:
+        """Keys with their places, sorted: a side that is probed."""
+        return F.array_sort(F.filter(F.transform(side, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"))), lambda x: x["k"].isNotNull()))
 
     sides = docs.select(id_col, keyed(elements(left["path"]), lk).alias("__l"), keyed(elements(right["path"]), rk).alias("__r")).where(
         "__l IS NOT NULL AND __r IS NOT NULL")
+    sides = sides.withColumns({"__ls": in_order("__l"), "__rs": in_order("__r")})
     none = F.lit(None).cast("variant")
 
+    def border(keys: str, before) -> Column:
+        """Binary search: how many of the sorted keys lie ``before``."""
+        def halve(s, _):
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            return F.when(s["lo"] >= s["hi"], s).when(before(F.get(keys, mid)["k"]), F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(keys)))), F.struct(F.lit(0).alias("lo"), F.size(keys).alias("hi")), halve, lambda s: s["lo"])
+
+    def matches(keys: str, k: Column) -> Column:
+        """Places of the elements with this key, in their order."""
+        few = F.transform(F.filter(keys, lambda x: x["k"] == k), lambda x: x["i"])
+        probed = bound(border(keys, lambda x: x < k), lambda lo: F.transform(F.slice(keys, lo + 1, border(keys, lambda x: x <= k) - lo), lambda x: x["i"]))
+        return F.when(k.isNull(), F.array().cast("array<int>")).when(F.size(keys) <= FEW, few).otherwise(probed)
+
     def pairs(l):
-        found = F.transform(F.filter("__r", lambda r: r["k"] == l["k"]), lambda r: F.struct(l["v"].alias("l"), r["v"].alias("r")))
+        found = F.transform(matches("__rs", l["k"]), lambda i: F.struct(l["v"].alias("l"), F.get("__r", i)["v"].alias("r")))
         if how not in ("left", "outer"):
             return found
         alone = F.array(F.struct(l["v"].alias("l"), none.alias("r")))
-        return F.transform(F.array(found), lambda m: F.when(F.size(m) > 0, m).otherwise(alone))[0]
+        return bound(found, lambda m: F.when(F.size(m) > 0, m).otherwise(alone))
 
     joined = F.flatten(F.transform("__l", pairs))
     if how in ("right", "outer"):
-        unmatched = F.filter("__r", lambda r: ~F.coalesce(F.exists("__l", lambda l: l["k"] == r["k"]), F.lit(False)))
+        unmatched = F.filter("__r", lambda r: F.size(matches("__ls", r["k"])) == 0)
         joined = F.concat(joined, F.transform(unmatched, lambda r: F.struct(none.alias("l"), r["v"].alias("r"))))
     only_left = F.transform("__l", lambda l: F.struct(l["v"].alias("l"), none.alias("r")))
-    has_key = F.coalesce(F.exists("__r", lambda r: r["k"].isNotNull()), F.lit(False))
-    rows = sides.where(F.size("__l") > 0).select(id_col, F.explode(F.when(has_key, joined).otherwise(only_left)).alias("__p")).select(
+    rows = sides.where(F.size("__l") > 0).select(id_col, F.explode(F.when(F.size("__rs") > 0, joined).otherwise(only_left)).alias("__p")).select(
         id_col, F.col("__p.l").alias("__l"), F.col("__p.r").alias("__r"))
 
-    # both sides' keys and types by one aggregate over the documents, whole arrays at a time
-    def fields(found: str | None) -> dict[str, str]:
-        if not (found or "").startswith("ARRAY<OBJECT<"):
-            return {}
-        return {f.name: _kind(f.dataType) for f in T.DataType.fromDDL(_as_ddl(found)).elementType.fields}
-
-    whole = sides.agg(*(F.schema_of_variant_agg(F.to_variant_object(F.transform(c, lambda x: x["v"]))).alias(c) for c in ("__l", "__r"))).first()
-    lt, rt = fields(whole["__l"]), fields(whole["__r"])
     key_kind = lt.get(lk, "string") if lt.get(lk) == rt.get(rk, lt.get(lk)) else "double" if {lt.get(lk), rt.get(rk)} <= {"bigint", "double"} else "string"
     key = F.coalesce(child(F.col("__l"), lk), child(F.col("__r"), rk))
     return rows.select(id_col, typed(key, key_kind).alias(lk), *(typed(child(F.col("__l"), n), t).alias(n) for n, t in lt.items() if n != lk),

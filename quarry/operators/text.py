@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.arrays import bound, running_totals
+
 # Redaction patterns, in the order they are applied, with their replacement text.
 DEFAULT_PATTERNS: list[tuple[str, str, str]] = [
     ("email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[EMAIL]"),
@@ -59,12 +61,13 @@ CHUNK_PATTERNS = {
 }
 CHARS_PER_TOKEN = 4
 
-_WS_STRIP = r"(?U)^\s+|\s+$"
+# White space as ``str.strip()`` knows it.
+_WS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def py_strip(c: Column) -> Column:
     """``str.strip()``: remove leading/trailing (Unicode) whitespace."""
-    return F.regexp_replace(c, _WS_STRIP, "")
+    return F.btrim(c, F.lit(_WS))
 
 
 # TXT-01 -------------------------------------------------------------------------
@@ -157,15 +160,11 @@ def redaction_log(df: DataFrame, id_col: str, text_col: str,
         t = F.col(f"__s{i}")
         pieces = F.split(t, pat, -1)
         ms = F.regexp_extract_all(t, F.lit(pat), 0)
-        # one pass over the matches, carrying the place in the text
-        lens = F.zip_with(F.slice(pieces, 1, F.size(ms)), ms,
-                          lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m"), m.alias("v")))
-        entry = "array<struct<type:string,start:int,end:int,original_length:int,__v:string>>"
-        entries = F.aggregate(
-            lens, F.struct(F.lit(0).alias("at"), F.array().cast(entry).alias("out")),
-            lambda acc, x: F.struct((acc["at"] + x["p"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct(
-                F.lit(name).alias("type"), (acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["m"]).alias("end"),
-                x["m"].alias("original_length"), x["v"].alias("__v")))).alias("out")), lambda acc: acc["out"])
+        lens = F.zip_with(F.slice(pieces, 1, F.size(ms)), ms, lambda p, m: F.struct(F.length(p).cast("bigint").alias("p"), F.length(m).cast("bigint").alias("m"), m.alias("v")))
+        # places from running totals of what lies before
+        entries = bound(lens, lambda xs: F.zip_with(xs, running_totals(F.transform(xs, lambda x: x["p"] + x["m"])), lambda x, at: F.struct(
+            F.lit(name).alias("type"), (at + x["p"]).cast("int").alias("start"), (at + x["p"] + x["m"]).cast("int").alias("end"),
+            x["m"].cast("int").alias("original_length"), x["v"].alias("__v"))))
         if allow:
             entries = F.filter(entries, lambda e: ~e["__v"].rlike(allow))
         logs.append(F.transform(F.reverse(entries), lambda e, k: F.struct(
@@ -203,29 +202,31 @@ def chunk_text(df: DataFrame, id_col: str, text_col: str, strategy: str | None =
         pats, strat = {k: v for k, v in CHUNK_PATTERNS.items() if k == (strategy or "paragraphs")}, F.lit(strategy or "paragraphs")
     base = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"), strat.alias("strategy"))
 
-    def split_by(pat: str) -> Column:  # (piece, length of the delimiter after it)
-        pieces, between = F.split("__t", pat, -1), F.regexp_extract_all(F.col("__t"), F.lit(pat), 0)
-        return F.transform(pieces, lambda p, i: F.struct(p.alias("p"), F.coalesce(F.length(F.get(between, i)), F.lit(0)).alias("d")))
+    def split_by(pat: str) -> Column:  # (pieces, lengths of the delimiters between them)
+        return F.struct(F.split("__t", pat, -1).alias("p"), F.transform(F.regexp_extract_all(F.col("__t"), F.lit(pat), 0), F.length).alias("d"))
 
-    pieces = F.lit(None).cast("array<struct<p:string,d:int>>")
+    parts = F.lit(None).cast("struct<p:array<string>,d:array<int>>")
     for name, pat in pats.items():
-        pieces = F.when(F.col("strategy") == name, split_by(pat)).otherwise(pieces)
+        parts = F.when(F.col("strategy") == name, split_by(pat)).otherwise(parts)
     chunk = "array<struct<chunk_index:int,content:string,start_char:bigint,end_char:bigint,token_count:bigint,strategy:string>>"
 
     def made(index: Column, content: Column, start: Column, n: Column, strategy: Column) -> Column:
         return F.struct(index.cast("int").alias("chunk_index"), content.alias("content"), start.cast("bigint").alias("start_char"),
                         (start + n).cast("bigint").alias("end_char"), F.floor(n / CHARS_PER_TOKEN).cast("bigint").alias("token_count"), strategy.alias("strategy"))
 
-    def step(acc: Column, x: Column) -> Column:
-        n, content = F.length(x["p"]), py_strip(x["p"])
-        own = F.when(F.length(content) > 0, F.array(made(acc["i"], content, acc["at"], n, F.col("strategy")))).otherwise(F.array().cast(chunk))
-        return F.struct((acc["i"] + 1).alias("i"), (acc["at"] + n + x["d"]).cast("bigint").alias("at"), F.concat(acc["out"], own).alias("out"))
+    def chunks_of(x: Column) -> Column:
+        lengths = F.transform(x["p"], lambda p: F.length(p).cast("bigint"))
+        starts = running_totals(F.zip_with(lengths, x["d"], lambda n, d: F.coalesce(n, F.lit(0).cast("bigint")) + F.coalesce(d, F.lit(0))))
+        # the piece, its start and its number; what is blank goes
+        placed = F.transform(F.zip_with(x["p"], starts, lambda p, at: F.struct(p.alias("p"), at.alias("at"), py_strip(p).alias("content"))),
+                             lambda y, i: F.struct(i.alias("i"), y["p"].alias("p"), y["at"].alias("at"), y["content"].alias("content")))
+        return F.transform(F.filter(placed, lambda y: y["p"].isNotNull() & (F.length(y["content"]) > 0)), lambda y: made(y["i"], y["content"], y["at"], F.length(y["p"]), F.col("strategy")))
 
-    found = F.aggregate(F.col("__p"), F.struct(F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("at"), F.array().cast(chunk).alias("out")), step, lambda acc: acc["out"])
     names = F.create_map(*[F.lit(x) for kv in WHOLE_STRATEGY.items() for x in kv])
     whole = F.array(made(F.lit(0), F.col("__t"), F.lit(0), F.length("__t"), F.coalesce(F.try_element_at(names, F.col("strategy")), F.lit("single"))))
+    found = base.withColumn("__c", F.coalesce(bound(parts, chunks_of), F.array().cast(chunk)))
     chunks = F.when(F.size("__c") > 0, F.col("__c")).otherwise(whole)
-    return base.withColumn("__p", pieces).withColumn("__c", F.coalesce(found, F.array().cast(chunk))).select("doc_id", F.explode(chunks).alias("c")).select("doc_id", "c.*")
+    return found.select("doc_id", F.explode(chunks).alias("c")).select("doc_id", "c.*")
 
 
 # TXT-04 -------------------------------------------------------------------------

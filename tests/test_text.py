@@ -2,6 +2,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quarry.operators import search as S
 from quarry.operators import text as TX
 
@@ -153,3 +155,30 @@ def test_upsert_and_soft_delete(spark):
     got = {r["id"]: r["archived_at"] for r in sd.collect()}
     assert got[1] == dt.datetime(2025, 1, 1) and got[3] == dt.datetime(2024, 1, 1) and got[2] is None
     assert TX.visible(sd).count() == 1
+
+
+def test_running_totals(spark):
+    import random
+
+    from quarry.functions.arrays import running_totals
+
+    rnd = random.Random(1)
+    for n in (0, 1, 63, 64, 65, 4096, 4097):
+        values = [rnd.randint(-5, 9) for _ in range(n)]
+        got = spark.createDataFrame([(values,)], "v array<bigint>").select(running_totals(F.col("v")).alias("r")).first().r
+        assert got == [sum(values[:i]) for i in range(n)]
+
+
+def test_long_documents_take_linear_time(spark):
+    """A million lines in one document, and two hundred thousand redactions in another."""
+    import time
+
+    lines = [f"line {i}" if i % 3 else "" for i in range(1_000_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "id long, t string")
+    began = time.time()
+    r = TX.chunk_text(df, "id", "t", pattern="\n").agg(F.count("*").alias("n"), F.max("end_char").alias("e"), F.max("chunk_index").alias("i")).first()
+    assert (r.n, r.e, r.i) == (666_666, len("\n".join(lines)) - 1, 999_998)
+    text = "mail a@b.co now " * 200_000
+    log = TX.redaction_log(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").agg(F.count("*").alias("n"), F.max("start").alias("s")).first()
+    assert (log.n, log.s) == (200_000, 16 * 199_999 + 5)
+    assert time.time() - began < 120
