@@ -388,8 +388,7 @@ def doc_join(docs: DataFrame, left: Mapping[str, str], right: Mapping[str, str],
         """Keys with their places, sorted: a side that is probed."""
         return F.array_sort(F.filter(F.transform(side, lambda x, i: F.struct(x["k"].alias("k"), i.alias("i"))), lambda x: x["k"].isNotNull()))
 
-    sides = docs.select(id_col, keyed(elements(left["path"]), lk).alias("__l"), keyed(elements(right["path"]), rk).alias("__r")).where(
-        "__l IS NOT NULL AND __r IS NOT NULL")
+    sides = docs.select(id_col, keyed(elements(left["path"]), lk).alias("__l"), keyed(elements(right["path"]), rk).alias("__r"))
     sides = sides.withColumns({"__ls": in_order("__l"), "__rs": in_order("__r")})
     none = F.lit(None).cast("variant")
 
@@ -419,8 +418,9 @@ def doc_join(docs: DataFrame, left: Mapping[str, str], right: Mapping[str, str],
         unmatched = F.filter("__r", lambda r: F.size(matches("__ls", r["k"])) == 0)
         joined = F.concat(joined, F.transform(unmatched, lambda r: F.struct(none.alias("l"), r["v"].alias("r"))))
     only_left = F.transform("__l", lambda l: F.struct(l["v"].alias("l"), none.alias("r")))
-    rows = sides.where(F.size("__l") > 0).select(id_col, F.explode(F.when(F.size("__rs") > 0, joined).otherwise(only_left)).alias("__p")).select(
-        id_col, F.col("__p.l").alias("__l"), F.col("__p.r").alias("__r"))
+    # conditions within the value, and an outer explode: filters here would be pushed down and evaluate the arrays once more each
+    of_document = F.when((F.size("__l") > 0) & F.col("__r").isNotNull(), F.when(F.size("__rs") > 0, joined).otherwise(only_left))
+    rows = sides.select(id_col, F.explode_outer(of_document).alias("__p")).where("__p IS NOT NULL").select(id_col, F.col("__p.l").alias("__l"), F.col("__p.r").alias("__r"))
 
     key_kind = lt.get(lk, "string") if lt.get(lk) == rt.get(rk, lt.get(lk)) else "double" if {lt.get(lk), rt.get(rk)} <= {"bigint", "double"} else "string"
     key = F.coalesce(child(F.col("__l"), lk), child(F.col("__r"), rk))

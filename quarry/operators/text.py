@@ -170,7 +170,7 @@ def redaction_log(df: DataFrame, id_col: str, text_col: str,
         logs.append(F.transform(F.reverse(entries), lambda e, k: F.struct(
             F.lit(i).alias("pattern_no"), k.alias("seq"), e["type"].alias("type"), e["start"].alias("start"),
             e["end"].alias("end"), e["original_length"].alias("original_length"))))
-    return (staged.select(id_col, F.explode(F.flatten(F.array(*logs))).alias("r"))
+    return (staged.select(id_col, F.explode_outer(F.flatten(F.array(*logs))).alias("r")).where("r IS NOT NULL")
             .select(id_col, "r.*"))
 
 
@@ -226,7 +226,8 @@ def chunk_text(df: DataFrame, id_col: str, text_col: str, strategy: str | None =
     whole = F.array(made(F.lit(0), F.col("__t"), F.lit(0), F.length("__t"), F.coalesce(F.try_element_at(names, F.col("strategy")), F.lit("single"))))
     found = base.withColumn("__c", F.coalesce(bound(parts, chunks_of), F.array().cast(chunk)))
     chunks = F.when(F.size("__c") > 0, F.col("__c")).otherwise(whole)
-    return found.select("doc_id", F.explode(chunks).alias("c")).select("doc_id", "c.*")
+    # an outer explode: an inner one brings a filter on the array's size, which would make all chunks once more
+    return found.select("doc_id", F.explode_outer(chunks).alias("c")).select("doc_id", "c.*")
 
 
 # TXT-04 -------------------------------------------------------------------------
