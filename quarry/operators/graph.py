@@ -1,9 +1,9 @@
 """Reference graph and dataset lineage (GRF-01..04).
 
-Traversals are iterative DataFrame joins: each hop joins the frontier with the
+Traversals are iterative DataFrame joins.  A k-hop walk joins the frontier with the
 edge table, removes already-seen nodes (``left_anti``) and stops when the
-frontier is empty or a depth that the caller gave is reached.  The driver only
-loops over hops; each hop's nodes are checkpointed, so a hop is computed once and
+frontier is empty or the depth is reached; lineage, which may be deep, doubles its paths.  The driver only
+loops over rounds; each one's nodes are checkpointed, so a round is computed once and
 the plan does not grow with the depth.  A hub's edges are split by AQE's skew join.
 """
 
@@ -58,16 +58,45 @@ def k_hop(edges: DataFrame, seeds: DataFrame | Sequence, k: int, src: str = "src
     return _walk(start, _undirected(edges, src, dst), k).withColumnRenamed("node", node_col)
 
 
+def _reach(start: DataFrame, step: DataFrame, max_depth: int | None) -> DataFrame:
+    """As :func:`_walk`, by path doubling: the depth takes its logarithm in rounds.
+
+    In round k ``jumps`` holds the pairs that 2**k steps connect, and ``seen`` all that fewer than
+    2**k steps reach, with the least number; jumping from there reaches what lies less than twice as far, and jumps
+    joined with themselves are the next ones.  Least depths have no gaps, so a round without a new
+    node is the last."""
+    ensure_checkpoint_dir(start.sparkSession)
+    jumps = step.distinct().checkpoint(eager=True)
+    seen = start.distinct().withColumn("depth", F.lit(0)).checkpoint(eager=True)
+    known = seen.count()
+    for k in count():
+        if max_depth is not None and 1 << k > max_depth:
+            break
+        far = seen.join(jumps, seen["node"] == jumps["__from"]).select(F.col("__to").alias("node"), (F.col("depth") + (1 << k)).alias("depth"))
+        seen = seen.unionByName(far).groupBy("node").agg(F.min("depth").alias("depth")).checkpoint(eager=True)
+        now = seen.count()
+        if now == known:
+            break
+        known = now
+        on = jumps.select(F.col("__from").alias("__to"), F.col("__to").alias("__next"))
+        jumps = jumps.join(on, "__to").select("__from", F.col("__next").alias("__to")).distinct().checkpoint(eager=True)
+    return seen if max_depth is None else seen.where(F.col("depth") <= max_depth)
+
+
 def lineage(edges: DataFrame, start, direction: str = "down", max_depth: int | None = None,
             parent: str = "parent", child: str = "child") -> DataFrame:
-    """GRF-03: ancestors (``up``), descendants (``down``) or both of a node, each
-    with its minimum depth, as far as they go unless ``max_depth`` says otherwise.
-    Cycles stop because seen nodes are never revisited."""
+    """GRF-03: ancestors (``up``), descendants (``down``) or both of a node or of several (a list,
+    or a DataFrame's first column), each with its minimum depth, as far as they go unless ``max_depth`` says
+    otherwise.  Cycles end, as a node's least depth is kept.  A depth d takes log2(d) rounds (:func:`_reach`)."""
     ways = {"down": (parent, child), "up": (child, parent)}
     if direction not in (*ways, "both"):
         raise ValueError(f"unknown direction {direction!r}")
-    first = edges.sparkSession.createDataFrame([(start,)], "node " + edges.schema[parent].dataType.simpleString())
-    parts = [_walk(first, edges.select(F.col(a).alias("__from"), F.col(b).alias("__to")), max_depth).where("depth > 0").withColumn("direction", F.lit(name))
+    if isinstance(start, DataFrame):
+        first = start.select(F.col(start.columns[0]).alias("node"))
+    else:
+        starts = list(start) if isinstance(start, (list, tuple, set)) else [start]
+        first = edges.sparkSession.createDataFrame([(s,) for s in starts], "node " + edges.schema[parent].dataType.simpleString())
+    parts = [_reach(first, edges.select(F.col(a).alias("__from"), F.col(b).alias("__to")), max_depth).where("depth > 0").withColumn("direction", F.lit(name))
              for name, (a, b) in ways.items() if direction in (name, "both")]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 

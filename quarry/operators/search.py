@@ -1,29 +1,35 @@
 """Keyword / vector / hybrid search and token-budget context (SRCH-01..06).
 
-Searches run for a *batch* of queries of any size, a list or a DataFrame.  Queries
-go to the tasks in blocks of bounded size, one pass over the corpus a block: a
-keyword block is one Aho-Corasick automaton, a vector block one matrix that is
-multiplied with each Arrow batch.  Tasks keep the best k of each query, so at most
-k rows per query and task leave the scan; no pair of document and query is ever
-a row.  Only the merge of those is shuffled.
+Searches run for a *batch* of queries of any size, a list or a DataFrame.  Queries are
+a table in the shared folder, cut in blocks; a DataFrame of queries never
+passes through the driver.  One scan of the corpus meets all blocks: a task takes
+a stretch of documents at a time and reads one block after the other.  A keyword block is one
+Aho-Corasick automaton (a few words are matched column by column), a vector block one matrix that is
+multiplied with the stretch.  Of a stretch at most k rows a query leave the task; no pair of
+document and query is ever a row.  Only the merge of those is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import reduce
-from itertools import islice
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.sorting import top_k_per_group
 from quarry.operators.text import DEFAULT_ALLOWLIST, DEFAULT_PATTERNS, redact_df
+from quarry.session import scratch_path
+from quarry.sources.heads import can_open, open_path
 
 QUERY_BLOCK = 4_096
+#: Words that are matched one by one; bytes of documents held at a time; vectors of one product.
+FEW_WORDS, GROUP_BYTES, PRODUCT_ROWS = 32, 64 * 1024 * 1024, 1_000
 RRF_K = 60
 
 # ship this module's mapInPandas code with the task (executors need not have the package)
@@ -35,15 +41,62 @@ CONTEXT_HEADER = "## Relevant Context\n\n"
 SNIPPET_CHARS = 200
 
 
-def _blocks(queries: DataFrame | Iterable, size: int = QUERY_BLOCK) -> Iterator[list[tuple]]:
-    """Queries (id, text or vector) in blocks; of a DataFrame only one block is on the driver at a time."""
-    rows = (tuple(r) for r in queries.toLocalIterator()) if isinstance(queries, DataFrame) else iter(queries)
-    while block := list(islice(rows, size)):
-        yield block
-
-
-def _best_of(found: list[DataFrame], top_k: int) -> DataFrame:
-    return top_k_per_group(reduce(DataFrame.unionByName, found), ["query_id"], "score", top_k, ["doc_id"], rank_col="rank")
+def _write_blocks(spark: SparkSession, queries: DataFrame | Sequence[tuple], value: str) -> tuple[str, int]:
+    """Queries (id, text or vector) as a table in the shared folder, cut in blocks by a hash: its folder and how many blocks."""
+    kind = f"query_id string, value {value}"
+    if isinstance(queries, DataFrame):
+        q, v = queries.columns[:2]
+        table = queries.select(F.col(q).cast("string").alias("query_id"), F.col(v).cast(value).alias("value"))
+    else:
+        table = spark.createDataFrame([(str(q), v) for q, v in queries], kind)
+    folder = scratch_path(spark, "queries")
+    if not can_open(folder):
+        raise ValueError(f"searches read their queries from spark.checkpoint.dir, which tasks cannot open: {folder}")
+    table = table.where("query_id IS NOT NULL")
+    count = -(-table.count() // QUERY_BLOCK)
+    if count:
+        table.withColumn("block", F.pmod(F.xxhash64("query_id", "value"), F.lit(count)).cast("int")).repartition(count, "block").write.partitionBy("block").parquet(folder)
+    return folder, count
+
+
+def _read_block(folder: str, block: int) -> tuple[list, list]:
+    """(ids, values) of one block, read by a task."""
+    fs, root = open_path(f"{folder}/block={block}")
+    found = [f.path for f in fs.get_file_info(FileSelector(root, allow_not_found=True)) if f.path.endswith(".parquet")]
+    tables = [pq.read_table(f, filesystem=fs, columns=["query_id", "value"], partitioning=None) for f in found]
+    return [q for t in tables for q in t.column(0).to_pylist()], [v for t in tables for v in t.column(1).to_pylist()]
+
+
+def _grid(folder: str, blocks: int, prepare: Callable, search: Callable):
+    """A task over a corpus partition: stretches of ``GROUP_BYTES`` against one block of queries after the other.
+
+    ``prepare(ids, values)`` makes a block's matcher and ``search(matcher, batches)`` the best rows of a stretch.  A single block
+    is prepared once."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        held, size, only = [], 0, None
+
+        def meet():
+            nonlocal only
+            for k in range(blocks):
+                matcher = only if only is not None else prepare(*_read_block(folder, k))
+                if blocks == 1:
+                    only = matcher
+                yield from search(matcher, held)
+
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > GROUP_BYTES:
+                yield from meet()
+                held, size = [], 0
+        if held:
+            yield from meet()
+
+    return run
+
+
+def _best_of(found: DataFrame, top_k: int) -> DataFrame:
+    return top_k_per_group(found, ["query_id"], "score", top_k, ["doc_id"], rank_col="rank")
 
 
 # SRCH-01 -------------------------------------------------------------------------
@@ -59,44 +112,57 @@ def keyword_search(docs: DataFrame, queries: DataFrame | Sequence[tuple[str, str
                        F.lower(F.col(content_col)).alias("__c"), F.lower(title).alias("__t")).where("doc_id IS NOT NULL")
     out = T.StructType([T.StructField("query_id", T.StringType()), *base.select("doc_id", "title", "snippet").schema.fields])
 
-    def search(block: list[tuple]):
+    def prepare(ids: list[str], texts: list[str]):
         by_word: dict[str, list] = {}
-        for q, text in block:
+        for q, text in zip(ids, texts):
             by_word.setdefault((text or "").lower(), []).append(q)
-        everywhere = by_word.pop("", [])
-
-        def run(batches: Iterator[pa.RecordBatch]):
+        everywhere, words = by_word.pop("", []), None
+        if len(by_word) > FEW_WORDS:
             words = ahocorasick.Automaton()
-            for w, ids in by_word.items():
-                words.add_word(w, ids)
-            if by_word:
-                words.make_automaton()
-            best: dict[str, list] = {}
-            for b in batches:
-                for doc_id, title, snippet, content, low in zip(*(c.to_pylist() for c in b.columns)):
-                    hits = set(everywhere) if content is not None else set()
-                    for text in (content, low):
-                        if text and by_word:
-                            for _, ids in words.iter(text):
-                                hits.update(ids)
+            for w, q in by_word.items():
+                words.add_word(w, q)
+            words.make_automaton()
+        return by_word, everywhere, words
+
+    def search(matcher, batches: list[pa.RecordBatch]):
+        by_word, everywhere, words = matcher
+        best: dict[str, list] = {}
+
+        def found(queries, rows):
+            for q in queries:
+                kept = best.setdefault(q, [])
+                kept += rows
+                if len(kept) >= 4 * top_k:  # now and then back to the k smallest ids
+                    kept.sort(key=lambda r: r[0])
+                    del kept[top_k:]
+
+        for b in batches:
+            head, content, low = b.select(["doc_id", "title", "snippet"]), b.column("__c"), b.column("__t")
+
+            def rows_of(mask):
+                return [tuple(r.values()) for r in head.filter(mask).to_pylist()]
+
+            if everywhere:
+                found(everywhere, rows_of(pc.is_valid(content)))
+            if words is None:  # a few words: each through the whole column
+                for w, queries in by_word.items():
+                    hit = [pc.fill_null(pc.match_substring(c, w), False) for c in (content, low)]
+                    if rows := rows_of(pc.or_(*hit)):
+                        found(queries, rows)
+                continue
+            for i, (text, title) in enumerate(zip(content.to_pylist(), low.to_pylist())):
+                hits = {q for t in (text, title) if t for _, ids in words.iter(t) for q in ids}
+                if hits:
+                    row = [tuple(head.slice(i, 1).to_pylist()[0].values())]
                     for q in hits:
-                        kept = best.setdefault(q, [])
-                        kept.append((doc_id, title, snippet))
-                        if len(kept) >= 4 * top_k:  # now and then back to the k smallest ids
-                            kept.sort(key=lambda r: r[0])
-                            del kept[top_k:]
-            rows = [(q, *r) for q, kept in best.items() for r in sorted(kept, key=lambda r: r[0])[:top_k]]
-            if rows:
-                names = ["query_id", "doc_id", "title", "snippet"]
-                types = [pa.string(), b.schema.field(0).type, pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-
-        return run
+                        found([q], row)
+        rows = [(q, *r) for q, kept in best.items() for r in sorted(kept, key=lambda r: r[0])[:top_k]]
+        if rows:
+            types = [pa.string(), batches[0].schema.field(0).type, pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["query_id", "doc_id", "title", "snippet"])
 
-    found = [base.mapInArrow(search(block), out) for block in _blocks(queries)]
-    if not found:
-        found = [base.select(F.lit("").alias("query_id"), "doc_id", "title", "snippet").limit(0)]
-    return _best_of([f.withColumn("score", F.lit(1.0)) for f in found], top_k)
+    folder, blocks = _write_blocks(docs.sparkSession, queries, "string")
+    return _best_of(base.mapInArrow(_grid(folder, blocks, prepare, search), out).withColumn("score", F.lit(1.0)), top_k)
 
 
 # SRCH-02 -------------------------------------------------------------------------
@@ -118,39 +184,45 @@ def vector_search(corpus: DataFrame, id_col: str, vec_col: str, queries: DataFra
     base = corpus.select(F.col(id_col).alias("doc_id"), F.col(vec_col).cast("array<double>").alias("v")).where("doc_id IS NOT NULL AND v IS NOT NULL")
     out = T.StructType([T.StructField("query_id", T.StringType()), base.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
-    def search(block: list[tuple]):
+    def prepare(ids: list[str], vectors: list[list[float]]):
         by_dim: dict[int, list] = {}
-        for q, v in block:
-            by_dim.setdefault(len(v), []).append((q, v))
-        matrices = {d: ([q for q, _ in qs], _unit_rows(np.array([v for _, v in qs], np.float64))) for d, qs in by_dim.items()}
-
-        def run(batches: Iterator[pa.RecordBatch]):
-            best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-            kind = None
-            for b in batches:
-                kind = b.schema.field(0).type
-                ids, size = np.array(b.column(0).to_pylist()), np.array([len(v) for v in b.column(1)])
-                vectors = b.column(1).to_pylist()
-                for d in set(size.tolist()) & matrices.keys():
-                    at = np.flatnonzero(size == d)
-                    names, m = matrices[d]
-                    scores = m @ _unit_rows(np.array([vectors[i] for i in at], np.float64)).T
-                    for q, s in zip(names, scores):
-                        old_s, old_i = best.get(q, (np.zeros(0), ids[:0]))
-                        s, i = np.concatenate([old_s, s]), np.concatenate([old_i, ids[at]])
-                        if len(s) > top_k:  # all ties of the k-th stay until ids decide
-                            keep = s >= np.partition(s, -top_k)[-top_k]
-                            s, i = s[keep], i[keep]
-                        order = np.lexsort((i, -s))[:top_k]
-                        best[q] = s[order], i[order]
-            rows = [(q, x, float(y)) for q, (s, i) in best.items() for x, y in zip(i.tolist(), s)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), kind, pa.float64()))], names=["query_id", "doc_id", "score"])
-
-        return run
-
-    found = [base.mapInArrow(search([(str(q), [float(x) for x in v]) for q, v in block if v is not None]), out) for block in _blocks(queries)]
-    return _best_of(found or [base.select(F.lit("").alias("query_id"), "doc_id", F.lit(0.0).alias("score")).limit(0)], top_k)
+        for q, v in zip(ids, vectors):
+            if v is not None:
+                by_dim.setdefault(len(v), []).append((q, v))
+        return {d: ([q for q, _ in qs], _unit_rows(np.array([v for _, v in qs], np.float64))) for d, qs in by_dim.items()}
+
+    def search(matrices, batches: list[pa.RecordBatch]):
+        # of each dimension: query, score and place of the best so far, and the k-th score of each query
+        best = {d: (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.full(len(m[0]), -np.inf)) for d, m in matrices.items()}
+        ids = pa.chunked_array([b.column(0) for b in batches]).to_numpy()
+        at = 0
+        for b in batches:
+            lists, places = b.column(1), np.arange(at, at + b.num_rows)
+            at += b.num_rows
+            sizes = pc.list_value_length(lists).to_numpy()
+            for d in set(sizes.tolist()) & matrices.keys():
+                rows, (_, m) = np.flatnonzero(sizes == d), matrices[d]
+                vectors = pc.list_flatten(lists.take(pa.array(rows))).to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
+                for lo in range(0, len(rows), PRODUCT_ROWS):
+                    q, s, i, least = best[d]
+                    scores = m @ _unit_rows(vectors[lo:lo + PRODUCT_ROWS]).T
+                    new_q, new_i = np.nonzero(scores >= least[:, None])
+                    if not len(new_q):
+                        continue
+                    q, s, i = np.concatenate([q, new_q]), np.concatenate([s, scores[new_q, new_i]]), np.concatenate([i, places[rows[lo + new_i]]])
+                    order = np.lexsort((ids[i], -s, q))
+                    q, s, i = q[order], s[order], i[order]
+                    rank = np.arange(len(q)) - np.searchsorted(q, q)
+                    least = least.copy()
+                    least[q[rank == top_k - 1]] = s[rank == top_k - 1]
+                    best[d] = q[rank < top_k], s[rank < top_k], i[rank < top_k], least
+        for d, (q, s, i, _) in best.items():
+            if len(q):
+                names = np.array(matrices[d][0], object)
+                yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.string()), pa.array(ids[i], batches[0].schema.field(0).type), pa.array(s)], names=["query_id", "doc_id", "score"])
+
+    folder, blocks = _write_blocks(corpus.sparkSession, [(q, [float(x) for x in v] if v is not None else None) for q, v in queries] if not isinstance(queries, DataFrame) else queries, "array<double>")
+    return _best_of(base.mapInArrow(_grid(folder, blocks, prepare, search), out), top_k)
 
 
 # SRCH-03 -------------------------------------------------------------------------

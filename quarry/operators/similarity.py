@@ -8,6 +8,8 @@ without pairing every document that shares a frequent token:
   Jaccard >= t always share a prefix token, so candidates come from an equi-join
   on prefix tokens only; the prefixes hold the rarest tokens, so the join
   groups are small even when a token occurs in a third of all documents;
+* cells -- a token's list of more than ``STRETCH`` documents is cut in stretches, and
+  pairs of stretches meet in cells of their own, so no task holds a long list;
 * size filter -- ``t*|a| <= |b| <= |a|/t``;
 * positional filter -- a pair's first shared token leaves room for the overlap;
 * verification -- exact overlap by joining the candidate pairs with the token
@@ -45,6 +47,22 @@ def overlaps(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(inter, ["a", "b"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
 
 
+#: Documents of one list that meet in one task at a time.
+STRETCH = 2_000
+
+
+def in_cells(rows: DataFrame, keys: list[str], member: str, stretch: int = STRETCH) -> DataFrame:
+    """Rows with the cells (i, j) in which a list's members meet, and each member's own ``stretch``.
+
+    A list (the rows of one key) of more than ``stretch`` members is cut in stretches by a hash; a member goes to
+    the cells of its stretch with every other, so each two meet in one cell, which holds two stretches
+    at most, however long the list is.  Short lists are one cell."""
+    long = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > stretch).select(*keys, F.ceil(F.col("__n") / stretch).cast("int").alias("__parts"))
+    cut = rows.join(long, keys, "left").withColumn("__parts", F.coalesce("__parts", F.lit(1))).withColumn("stretch", F.pmod(F.xxhash64(member), F.col("__parts")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("__parts") - 1), lambda k: F.struct(F.least(k, "stretch").alias("i"), F.greatest(k, "stretch").alias("j")))
+    return cut.withColumn("__cell", F.explode_outer(cells)).select(*rows.columns, "stretch", "__cell.i", "__cell.j")
+
+
 def jaccard_pairs(tokens: DataFrame, threshold: float = 0.15) -> DataFrame:
     """Pairs (a < b, same group) with Jaccard(keywords) >= threshold.
 
@@ -64,14 +82,16 @@ def jaccard_pairs(tokens: DataFrame, threshold: float = 0.15) -> DataFrame:
     w = Window.partitionBy("doc").orderBy("df", "token")
     prefix = ranked.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= plen) \
         .select("doc", "grp", "token", "n", "__r")
-    pa = prefix.select(F.col("doc").alias("a"), "grp", "token", F.col("n").alias("na"), F.col("__r").alias("ra"))
-    pb = prefix.select(F.col("doc").alias("b"), "grp", "token", F.col("n").alias("nb"), F.col("__r").alias("rb"))
+    prefix = in_cells(prefix, ["grp", "token"], "doc")
+    pa = prefix.select(F.col("doc").alias("a"), "grp", "token", "i", "j", F.col("stretch").alias("sa"), F.col("n").alias("na"), F.col("__r").alias("ra"))
+    pb = prefix.select(F.col("doc").alias("b"), "grp", "token", "i", "j", F.col("stretch").alias("sb"), F.col("n").alias("nb"), F.col("__r").alias("rb"))
     num, den = t.numerator, t.denominator
     # what can follow the shared token must allow the overlap; a pair's first shared token
     # passes this if any does, as the most that can follow only shrinks
     most = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
-    shared = pa.join(pb, ["grp", "token"]).filter(
-        (F.col("a") < F.col("b")) & (F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num))
+    # two documents of one stretch meet in its own cell only
+    shared = pa.join(pb, ["grp", "token", "i", "j"]).filter(
+        (F.col("a") < F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("sa") != F.col("sb"))) & (F.col("nb") * den >= F.col("na") * num) & (F.col("na") * den >= F.col("nb") * num))
     first = shared.groupBy("a", "b", "na", "nb").agg(F.max(most).alias("most"))  # map-side: a row a pair and task
     cand = first.filter(F.col("most") * (num + den) >= (F.col("na") + F.col("nb")) * num).select("a", "b", "na", "nb")
     ov = overlaps(tokens, cand)
