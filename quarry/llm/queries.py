@@ -74,7 +74,7 @@ def op7_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-#: Target parts of the named sources, and of all others together.
+#: Target parts of the named sources, and of all others together (shared evenly among them).
 MIX_WEIGHTS, MIX_REST = {"src0": 8, "src1": 5, "src2": 4, "src3": 3}, 20
 
 
@@ -86,22 +86,29 @@ def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_pfair_mixing"] = """
-WITH RECURSIVE cfg AS (SELECT [8, 5, 4, 3, 20] AS c, 40 AS p, 16 AS bd),
+WITH RECURSIVE named AS (SELECT * FROM (VALUES ('src0', 8, 0), ('src1', 5, 1), ('src2', 4, 2), ('src3', 3, 3)) v(source, w, o)),
+others AS (SELECT DISTINCT source FROM documents WHERE source IS NULL OR source NOT IN (SELECT source FROM named)),
+raw AS (SELECT source, w * greatest(1, (SELECT count(*) FROM others)) AS c, o FROM named
+        UNION ALL SELECT source, 20, 3 + row_number() OVER (ORDER BY source NULLS FIRST) FROM others),
+num_ AS (SELECT source, c, row_number() OVER (ORDER BY o) AS s FROM raw),
+cfg AS (SELECT list_transform(l, lambda x: (x // g)::BIGINT) AS c, (list_sum(l) // g)::BIGINT AS p, 16 AS bd, len(l) AS m
+        FROM (SELECT list(c ORDER BY s) AS l, list_reduce(list(c ORDER BY s), lambda a, b: gcd(a, b)) AS g FROM num_)),
 edf(t, k, pick) AS (
-  SELECT -1, [0, 0, 0, 0, 0], 0
+  SELECT -1::BIGINT, list_transform(c, lambda x: 0::BIGINT), 0::BIGINT FROM cfg
   UNION ALL
-  SELECT t + 1, [k[1] + (pick = 1)::INT, k[2] + (pick = 2)::INT, k[3] + (pick = 3)::INT, k[4] + (pick = 4)::INT, k[5] + (pick = 5)::INT], pick
-  FROM (SELECT t, k, (SELECT i FROM (SELECT unnest([1, 2, 3, 4, 5]) AS i)
+  SELECT t + 1, list_transform(k, lambda x, i: x + (i = pick)::BIGINT), pick
+  FROM (SELECT t, k, p, (SELECT i FROM (SELECT unnest(range(1, m + 1)) AS i)
                       WHERE k[i] < c[i] AND k[i] * p < (t + 2) * c[i]
-                      ORDER BY ceil((k[i] + 1) * p / c[i]), i LIMIT 1)::INT AS pick
+                      ORDER BY ceil((k[i] + 1) * p / c[i]), i LIMIT 1) AS pick
         FROM edf, cfg WHERE t < p - 1)),
 slots AS (SELECT t AS slot, pick, k[pick] - 1 AS j FROM edf WHERE t >= 0),
-docs AS (SELECT doc_id, source, CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 2 WHEN 'src2' THEN 3 WHEN 'src3' THEN 4 ELSE 5 END AS s FROM documents),
+docs AS (SELECT d.doc_id, d.source, n.s FROM documents d JOIN num_ n ON n.source IS NOT DISTINCT FROM d.source),
 num AS (SELECT doc_id, source, s, row_number() OVER (PARTITION BY s ORDER BY md5(doc_id::VARCHAR), doc_id) - 1 AS n FROM docs),
-blk AS (SELECT num.*, n // bd AS block, c[s] AS cs, p FROM num, cfg)
+blk AS (SELECT num.*, n // bd AS block, c[s] AS cs, p FROM num, cfg),
+share AS (SELECT min(((coalesce(n, 0) + bd - 1) // bd) * p // cfg.c[s]) AS x FROM num_ LEFT JOIN (SELECT s, count(*) AS n FROM docs GROUP BY s) USING (s), cfg)
 SELECT doc_id, source, (s - 1)::INT AS stream, block, (block * p) // cs AS release, ((block + 1) * p + cs - 1) // cs AS deadline,
        (block // cs) * p + slot AS slot,
-       row_number() OVER (ORDER BY (block // cs) * p + slot, n) - 1 AS position
+       row_number() OVER (ORDER BY (block // cs) * p + slot, n) - 1 AS position, (block // cs) * p + slot < (SELECT x FROM share) AS in_share
 FROM blk JOIN slots ON pick = s AND j = block % cs"""
 
 
