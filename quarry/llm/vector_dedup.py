@@ -14,6 +14,7 @@ node's links are complete within its component however many they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from pyspark.sql import types as T
 from quarry.llm.common import components, write_table
 
 THRESHOLD, NEIGHBOURS, TREES, LEAF, BLOCK = 0.93, 10, 6, 200, 2048
-AUDIT_ROWS, AUDIT_RECALL, MAX_ROUNDS = 200, 0.98, 24
+AUDIT_ROWS, AUDIT_RECALL, LEAST_RECALL, MARGIN, MAX_ROUNDS = 200, 0.98, 0.9, 0.05, 24
+MOST_AUDITED = 16_384
 _ROWS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float64())])
 _ROWS_DDL = "u long, v long, sim double"
 
@@ -163,18 +165,21 @@ def _joined_neighbours(lists: DataFrame, nodes: DataFrame, comp: DataFrame | Non
     return rows.repartition(parts, "center").sortWithinPartitions("center", F.xxhash64(F.lit(turn), "id"), "id").mapInArrow(pairs, _ROWS_DDL)
 
 
-def audit(nodes: DataFrame, comp: DataFrame, kind: str, threshold: float, rows: int, block: int = BLOCK) -> float:
-    """Of the sampled nodes that have true links, the share whose every link lies within the component.
+def audit(nodes: DataFrame, lists: DataFrame, comp: DataFrame, kind: str, threshold: float, rows: int, block: int = BLOCK, margin: float = MARGIN) -> tuple[float, float]:
+    """Of the nodes that have true links, the share whose every link lies within the component: an estimate and its lower bound (95 %).
 
-    Nodes are sampled by a hash of the id: first about ``rows`` of them, then twice
-    as many again and again, until ``rows`` linked ones were seen or every node was.
-    Each is compared with all nodes of its group, in blocks.  So few links mean a
-    larger sample, up to all nodes; only when all of them were compared and none has
-    a link is there nothing to find (1.0).
+    About ``rows`` nodes of each of three strata, by a hash of the id: those with a found link, those whose best
+    found neighbour lies less than ``margin`` below the threshold, and the others.  Each is compared with
+    all nodes of its group, in blocks.  Strata count by their sizes.  Where fewer than ``rows`` linked nodes were seen
+    the others are sampled on, up to ``MOST_AUDITED``: the work grows with the nodes, not with their square.  Where no node of the sample has a link the estimate is 1, and the bound says what the sample can: a stratum of n
+    nodes without one among m holds less than 3 n / m linked ones.
     """
     scale, parts = 1 << 30, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    inside = nodes.select("id", "group", "vec").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
-    inside = write_table(inside.select("id", "group", "vec", F.coalesce("component", "id").alias("component"), F.pmod(F.xxhash64(F.lit(rows), "id"), F.lit(scale)).alias("at")), "audit")
+    best = lists.groupBy(F.col("u").alias("id")).agg(F.max("sim").alias("best"))
+    stratum = F.when(F.col("best") >= threshold, 0).when(F.col("best") >= threshold - margin, 1).otherwise(2)
+    inside = nodes.select("id", "group", "vec").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").join(best, "id", "left")
+    inside = write_table(inside.select("id", "group", "vec", F.coalesce("component", "id").alias("component"), stratum.alias("stratum"), F.pmod(F.xxhash64(F.lit(rows), "id"), F.lit(scale)).alias("at")), "audit")
+    sizes = {r["stratum"]: r["n"] for r in inside.groupBy("stratum").agg(F.count("*").alias("n")).collect()}
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("outside", pa.int64())])
 
     def links(batches: Iterator[pa.RecordBatch]):
@@ -192,18 +197,40 @@ def audit(nodes: DataFrame, comp: DataFrame, kind: str, threshold: float, rows:
         return of.join(counts, "group").withColumn(own, F.pmod(F.xxhash64(F.lit(1), "id"), F.col(f"n_{own}")).cast("int")).withColumn(
             other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1))).select("group", "i", "j", F.lit(sampled).alias("sampled"), "id", "component", "vec")
 
-    total, linked, good, low = inside.count(), 0, 0, 0
-    high = min(scale, -(-scale * rows // max(total, 1)))
+    seen: dict[int, list[int]] = {k: [0, 0, 0] for k in sizes}  # compared, linked, good
+    done = dict.fromkeys(sizes, 0)  # of the hash's range
+    target = dict.fromkeys(sizes, rows)
     while True:
-        sample = inside.where((F.col("at") >= low) & (F.col("at") < high))
+        upto = {k: min(scale, -(-scale * target[k] // sizes[k])) for k in sizes}
+        fits = [(F.col("stratum") == k) & (F.col("at") >= done[k]) & (F.col("at") < upto[k]) for k in sizes]
+        if not fits:
+            break
+        sample = inside.where(reduce(lambda x, y: x | y, fits))
         counts = blocks(sample, "n_i").join(blocks(inside, "n_j"), "group")
         pairs = deal(sample, "i", "j", counts, True).unionByName(deal(inside, "j", "i", counts, False))
         found = pairs.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(links, "id long, links long, outside long").groupBy("id").agg(
-            F.sum("links").alias("links"), F.sum("outside").alias("outside")).agg(F.count_if(F.col("links") > 0).alias("linked"), F.count_if((F.col("links") > 0) & (F.col("outside") == 0)).alias("good")).first()
-        linked, good = linked + found.linked, good + found.good
-        if linked >= rows or high >= scale:
-            return good / linked if linked else 1.0
-        low, high = high, min(scale, 3 * high)
+            F.sum("links").alias("links"), F.sum("outside").alias("outside"))
+        for r in found.join(sample.select("id", "stratum"), "id").groupBy("stratum").agg(
+                F.count("*").alias("n"), F.count_if(F.col("links") > 0).alias("linked"), F.count_if((F.col("links") > 0) & (F.col("outside") == 0)).alias("good")).collect():
+            seen[r["stratum"]] = [x + y for x, y in zip(seen[r["stratum"]], (r["n"], r["linked"], r["good"]))]
+        done = upto
+        # the others are sampled on where few links were seen, up to a bound
+        if sum(l for _, l, _ in seen.values()) >= rows or 2 not in sizes or done[2] >= scale or target[2] >= MOST_AUDITED:
+            break
+        target[2] = min(3 * target[2], MOST_AUDITED)
+    return _estimate([(sizes[k], n, l, g) for k, (n, l, g) in seen.items() if n])
+
+
+def _estimate(strata: list[tuple[int, int, int, int]]) -> tuple[float, float]:
+    """(size, sampled, linked, good) by stratum: the share of good ones among the linked, and a lower bound of it."""
+    linked = sum(size * l / n for size, n, l, _ in strata)
+    good = sum(size * g / n for size, n, _, g in strata)
+    if not linked:
+        return 1.0, 1.0
+    share = good / linked
+    # variance of the ratio, from each stratum's sample (all of a stratum sampled: none)
+    spread = sum(size * size * (1 - n / size) / n * max(0.0, (g * (1 - share) ** 2 + (l - g) * share ** 2) / n) for size, n, l, g in strata)
+    return share, max(0.0, share - 1.645 * spread ** 0.5 / linked)
 
 
 def _counted(nodes: DataFrame, comp: DataFrame, kind: str, threshold: float, block: int, parts: int) -> DataFrame:
@@ -237,7 +264,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
     precision.  Rows whose id, label or vector is null, or whose vector is empty,
     zero or has null or non-finite components, link with nothing (component: the
     own id).  Rows that repeat an id are rows of their own in n_links.  Other columns
-    are not read.  Raises if lists do not settle or the audited recall is not reached.
+    are not read.  Lists are enlarged until the audited recall is reached (its estimate ``recall``, its lower bound ``LEAST_RECALL``);
+    raises only if lists as long as the table do not reach it.
     """
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -262,8 +290,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
         if not new.isEmpty():
             comp = write_table(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new)), "components")
         lists = write_table(_refined(lists.withColumn("fresh", F.lit(False)).drop("inside").unionByName(found.withColumn("fresh", F.lit(True))), comp, k), "lists")
-        if lists.where("fresh").isEmpty():
-            if audit(nodes, comp, kind, threshold, audit_rows, block) >= recall:
+        if lists.where("fresh").isEmpty() or turn - settled >= MAX_ROUNDS:  # lists that go on changing are held to the same audit
+            share, low = audit(nodes, lists, comp, kind, threshold, audit_rows, block)
+            if share >= recall and low >= LEAST_RECALL:
                 break
             if k >= total:
                 raise RuntimeError("the audited recall of links was not reached")
@@ -273,8 +302,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, neighbours
             links = more.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
             comp = write_table(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)), "components")
             lists = write_table(_refined(lists.drop("inside").unionByName(more), comp, k), "lists")
-        elif turn - settled >= MAX_ROUNDS:
-            raise RuntimeError("the lists of neighbours did not settle")
 
     counted = _counted(nodes, comp, kind, threshold, block, parts)
     first = F.col("first") if "first" in nodes.columns else F.col("id")

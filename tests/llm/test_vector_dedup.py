@@ -78,11 +78,11 @@ def test_audit_of_rare_links_is_not_empty(spark):
     for i in range(4):
         x[2 * i + 1] = x[2 * i] + 0.01 * rnd.normal(size=48)
     nodes, kind = _nodes(spark, x)
-    none = spark.createDataFrame([], "node long, component long")
-    assert V.audit(nodes, none, kind, V.THRESHOLD, 200) == 0
+    none, lists = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "u long, v long, sim double")
+    assert V.audit(nodes, lists, none, kind, V.THRESHOLD, 200) == (0, 0)
     found = spark.createDataFrame([(2 * i + j, 2 * i) for i in range(3) for j in range(2)], "node long, component long")
-    assert V.audit(nodes, found, kind, V.THRESHOLD, 200) == 0.75
-    assert V.audit(nodes.where("id >= 8"), none, kind, V.THRESHOLD, 200) == 1  # all were compared
+    assert V.audit(nodes, lists, found, kind, V.THRESHOLD, 200) == (0.75, 0.75)
+    assert V.audit(nodes.where("id >= 8"), lists, none, kind, V.THRESHOLD, 200) == (1, 1)  # all were compared
 
 
 def test_audit_counts_nodes_not_links(spark):
@@ -93,7 +93,10 @@ def test_audit_counts_nodes_not_links(spark):
     x[200:] = x[100:200] + 0.01 * rnd.normal(size=(100, 48))
     nodes, kind = _nodes(spark, x)
     found = spark.createDataFrame([(i, 0) for i in range(100)], "node long, component long")
-    assert V.audit(nodes, found, kind, V.THRESHOLD, 300, block=64) == pytest.approx(1 / 3)
+    lists = spark.createDataFrame([(i, (i + 1) % 100, 0.99) for i in range(100)] + [(100, 101, 0.9)], "u long, v long, sim double")
+    assert V.audit(nodes, lists, found, kind, V.THRESHOLD, 300, block=64)[0] == pytest.approx(1 / 3)
+    share, low = V.audit(nodes, lists, found, kind, V.THRESHOLD, 40, block=64)
+    assert low < share < 0.7  # strata by their sizes, with a sample's doubt
 
 
 def test_rounds_go_on_while_lists_are_fresh(spark, monkeypatch):
@@ -107,8 +110,19 @@ def test_rounds_go_on_while_lists_are_fresh(spark, monkeypatch):
 
     seen = []
     monkeypatch.setattr(V, "_refined", kept)
-    monkeypatch.setattr(V, "audit", lambda *a, **k: seen.append(rounds[-1].where("fresh").count()) or 1.0)
+    monkeypatch.setattr(V, "audit", lambda *a, **k: seen.append(rounds[-1].where("fresh").count()) or (1.0, 1.0))
     rnd = np.random.default_rng(6)
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rnd.normal(size=(400, 12)))], "vec_id long, embedding array<double>, label int")
     V.near_duplicates(df, neighbours=6, leaf=10, trees=1)
     assert seen == [0]
+
+
+def test_lists_that_do_not_settle_are_audited(spark, monkeypatch):
+    """At the bound of rounds the audit decides; it does not raise."""
+    monkeypatch.setattr(V, "MAX_ROUNDS", 1)
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(300, 16))
+    x[150:] = x[:150] + 0.01 * rnd.normal(size=(150, 16))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in V.near_duplicates(df, neighbours=4, leaf=10, trees=2).collect()}
+    assert sum(got[i].component_id == i - 150 for i in range(150, 300)) >= 147
