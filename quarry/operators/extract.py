@@ -155,6 +155,21 @@ def _merged_kind(names: set[str | None]) -> str:
     return kinds.pop() if len(kinds) == 1 else "double" if kinds == {"bigint", "double"} else "string"
 
 
+def distinct_names(names: Sequence[str], taken: Sequence[str] = ()) -> list[str]:
+    """Column names that later steps can tell apart whatever their case: a name that an earlier one (or one ``taken``) has, but
+    for case, gets the next free of ``_2``, ``_3``, ..."""
+    used, out = {t.lower() for t in taken}, []
+    wanted = {n.lower() for n in names}
+    for n in names:
+        new, k = n, 1
+        while new.lower() in used or (k > 1 and new.lower() in wanted):
+            k += 1
+            new = f"{n}_{k}"
+        used.add(new.lower())
+        out.append(new)
+    return out
+
+
 def child(v: Column, key: str) -> Column:
     """The value under a key, whatever quotes the key has."""
     if '"' not in key and "\\" not in key:
@@ -165,7 +180,8 @@ def child(v: Column, key: str) -> Column:
 # EXT-01 ---------------------------------------------------------------------------------
 def flat_object(docs: DataFrame, path: str = "$", flatten_nested: bool = True, flatten_separator: str = "_",
                 doc_col: str = "doc", keep: Sequence[str] = ("file_path",), max_columns: int | None = None) -> DataFrame:
-    """One row per document from the object at ``path``.  Nested objects become
+    """One row per document from the object at ``path``.  Keys that differ only in case
+    are columns of their own (:func:`distinct_names`).  Nested objects become
     prefixed columns (or JSON text when ``flatten_nested`` is false); lists
     become JSON text.  Keys come out in sorted order (VARIANT sorts them)."""
     keep = [k for k in keep if k in docs.columns]
@@ -177,9 +193,10 @@ def flat_object(docs: DataFrame, path: str = "$", flatten_nested: bool = True, f
             if isinstance(f.dataType, T.StructType) and flatten_nested:
                 yield from columns(f.dataType, child(v, f.name), name)
             else:
-                yield typed(child(v, f.name), _kind(f.dataType)).alias(name)
+                yield name, typed(child(v, f.name), _kind(f.dataType))
 
-    return base.select(*keep, *columns(discover_object(base, "__o", max_columns), F.col("__o"), ""))
+    found = list(columns(discover_object(base, "__o", max_columns), F.col("__o"), ""))
+    return base.select(*keep, *(c.alias(n) for n, (_, c) in zip(distinct_names([n for n, _ in found], keep), found)))
 
 
 # EXT-02 ---------------------------------------------------------------------------------
@@ -247,7 +264,8 @@ def headers_data(docs: DataFrame, path: str = "$", headers_key: str | None = Non
         return F.get("__c", F.when(back > 0, F.size("__h") - back).cast("int"))
 
     own = [typed(F.col(k), kept_kinds.get(k, "string")).alias(k) if k in variants else F.col(k) for k in keep]
-    return rows.where("__row IS NOT NULL").select(*own, *(typed(cell(n), t).alias(n) for n, t in kinds.items() if n not in keep))
+    cells = [(n, t) for n, t in kinds.items() if n not in keep]
+    return rows.where("__row IS NOT NULL").select(*own, *(typed(cell(n), t).alias(new) for new, (n, t) in zip(distinct_names([n for n, _ in cells], keep), cells)))
 
 
 # EXT-03 ---------------------------------------------------------------------------------
@@ -270,7 +288,7 @@ def _select_objects(el: DataFrame, found: Sequence[tuple[str, str]], fields: Seq
     if fields:
         tmap = dict(found)
         found = [(f, tmap.get(f)) for f in fields]
-    return el.select(*keep, *(typed(child(F.col("__o"), k), t or "string").alias(k) for k, t in found))
+    return el.select(*keep, *(typed(child(F.col("__o"), k), t or "string").alias(n) for n, (k, t) in zip(distinct_names([k for k, _ in found], keep), found)))
 
 
 # EXT-04 ---------------------------------------------------------------------------------

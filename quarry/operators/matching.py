@@ -6,19 +6,22 @@ target contained (0.85), fuzzy ratio >= 0.5 (Ratcliff/Obershelp, Python's
 ``difflib``).  The best candidate per target is the highest tier, then the
 highest score, then the earliest candidate.
 
-The target list is configuration-sized and becomes a literal array: every
-candidate row is scored against every target in one projection and the best
+The target list is configuration-sized and becomes a literal array: every distinct
+name is scored against every target in one projection and the best
 per target is a ``max_by`` aggregate with map-side partial aggregation -- no
-join.  The fuzzy ratio is the only Python: an Arrow-batched pandas UDF.
+join.  The fuzzy tier is tried only for targets that the others left open, and of their pairs only for
+those whose characters allow the ratio: a bound from character counts, in the JVM.
+What passes is scored by an Arrow-batched pandas UDF.
 """
 
 from __future__ import annotations
 
 import difflib
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,14 +35,17 @@ import sys as _sys  # noqa: E402
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 
-def _ratios_udf(targets: Sequence[str]):
-    tl = [t.lower() for t in targets]
+@F.pandas_udf(T.DoubleType())
+def _ratio(targets: pd.Series, names: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, t, n).ratio() for t, n in zip(targets, names)])
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def ratios(names: pd.Series) -> pd.Series:
-        return pd.Series([[difflib.SequenceMatcher(None, t, (n or "").lower()).ratio() for t in tl] for n in names])
 
-    return ratios
+def ratio_bound(target: str, name: Column) -> Column:
+    """At least the ratio of ``target`` and ``name``: matching blocks cannot hold more of a character than both have."""
+    shared = F.lit(0)
+    for c in dict.fromkeys(target):
+        shared = shared + F.least(F.lit(target.count(c)), F.length(name) - F.length(F.replace(name, F.lit(c), F.lit(""))))
+    return 2.0 * shared / (F.length(name) + len(target))
 
 
 def match_names(candidates: DataFrame, name_col: str, order_col: str, targets: Sequence[str],
@@ -48,34 +54,31 @@ def match_names(candidates: DataFrame, name_col: str, order_col: str, targets: S
     """Best candidate per target: target, best, confidence, tier (null best when nothing matches)."""
     aliases = {k.lower(): [a.lower() for a in v] for k, v in (aliases or {}).items()}
     renamed = {k: v.lower() for k, v in (rename_map or {}).items()}
-    name = F.col(name_col)
-    low = F.lower(name)
+    spark = candidates.sparkSession
+    # a name counts once, at its earliest place
+    names = candidates.select(F.col(name_col).alias("__n"), F.col(order_col).alias("__o")).where("__n IS NOT NULL").groupBy("__n").agg(F.min("__o").alias("__o")).withColumn("__l", F.lower("__n"))
     ren = F.create_map(*[x for k, v in renamed.items() for x in (F.lit(k), F.lit(v))]) if renamed else None
-    scored = candidates.select(name.alias("__n"), F.col(order_col).alias("__o"), low.alias("__l"),
-                               _ratios_udf(targets)(name).alias("__r"))
+
+    def best_of(pairs: DataFrame) -> list:
+        key = F.struct(F.col("m.tier"), F.col("m.score"), (-F.col("__o")).alias("neg_order"))
+        return pairs.groupBy("m.target").agg(F.max_by(F.struct("__n", "m.score", "m.tier"), key).alias("b")).select("target", "b.*").collect()  # a row a target
+
     per_target = []
-    for i, t in enumerate(targets):
+    for t in targets:
         tl = t.lower()
-        ren_hit = (F.try_element_at(ren, F.col("__n")) == F.lit(tl)) if ren is not None else F.lit(False)
-        alias_hit = F.lit(False)
-        for a in aliases.get(tl, []):
-            alias_hit = alias_hit | F.col("__l").contains(a)
-        fuzzy = F.col("__r")[i]
-        tier = (F.when(ren_hit | (F.col("__l") == F.lit(tl)), 4).when(alias_hit, 3)
-                .when(F.col("__l").contains(tl), 2).when(fuzzy >= fuzzy_min, 1).otherwise(0))
-        score = (F.when(tier == 4, EXACT).when(tier == 3, ALIAS).when(tier == 2, SUBSTRING)
-                 .when(tier == 1, fuzzy).otherwise(0.0))
+        exact = F.col("__l") == F.lit(tl)
+        if ren is not None:
+            exact = F.coalesce(F.try_element_at(ren, F.col("__n")) == F.lit(tl), F.lit(False)) | exact
+        alias = reduce(lambda a, b: a | b, (F.col("__l").contains(a) for a in aliases.get(tl, [])), F.lit(False))
+        tier = F.when(exact, 4).when(alias, 3).when(F.col("__l").contains(tl), 2).otherwise(0)
+        score = F.when(tier == 4, EXACT).when(tier == 3, ALIAS).otherwise(SUBSTRING)
         per_target.append(F.struct(F.lit(t).alias("target"), tier.alias("tier"), score.alias("score")))
-    pairs = scored.select("__n", "__o", F.explode(F.array(*per_target)).alias("m")) \
-        .select(F.col("m.target").alias("target"), F.col("m.tier").alias("tier"), F.col("m.score").alias("score"),
-                "__n", "__o").filter(F.col("tier") > 0)
-    # rank key: tier, then score, then earliest candidate (negated order)
-    key = F.struct(F.col("tier"), F.col("score"), (-F.col("__o")).alias("neg_order"))
-    best = pairs.groupBy("target").agg(F.max_by(F.struct("__n", "score", "tier"), key).alias("b"))
-    tiers = F.create_map(F.lit(4), F.lit("exact"), F.lit(3), F.lit("alias"), F.lit(2), F.lit("substring"),
-                         F.lit(1), F.lit("fuzzy"))
-    spark = candidates.sparkSession
-    all_targets = spark.createDataFrame([(t,) for t in targets], "target string")
-    return all_targets.join(best, "target", "left").select(
-        "target", F.col("b.__n").alias("best"), F.coalesce(F.col("b.score"), F.lit(0.0)).alias("confidence"),
-        F.element_at(tiers, F.col("b.tier")).alias("tier"))
+    found = {r["target"]: r for r in best_of(names.select("__n", "__o", F.explode(F.array(*per_target)).alias("m")).where("m.tier > 0"))} if per_target else {}
+    if left := [t for t in targets if t not in found]:
+        open_ = F.array(*[F.struct(F.lit(t).alias("target"), F.lit(t.lower()).alias("low"), ratio_bound(t.lower(), F.col("__l")).alias("most")) for t in left])
+        pairs = names.select("__n", "__o", "__l", F.explode(open_).alias("t")).where(F.col("t.most") >= fuzzy_min)
+        scored = pairs.select("__n", "__o", F.struct(F.col("t.target").alias("target"), F.lit(1).alias("tier"), _ratio("t.low", "__l").alias("score")).alias("m"))
+        found |= {r["target"]: r for r in best_of(scored.where(F.col("m.score") >= fuzzy_min))}
+    tiers = {4: "exact", 3: "alias", 2: "substring", 1: "fuzzy"}
+    rows = [(t, found[t]["__n"], float(found[t]["score"]), tiers[found[t]["tier"]]) if t in found else (t, None, 0.0, None) for t in targets]
+    return spark.createDataFrame(rows, "target string, best string, confidence double, tier string")

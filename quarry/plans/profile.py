@@ -44,6 +44,8 @@ class Profile:
     tables: list[dict] = field(default_factory=list)
     contexts: dict[str, dict] = field(default_factory=dict)
     image_contexts: list[dict] = field(default_factory=list)
+    #: Context columns that are times, and their strptime formats ("": ISO 8601).
+    time_fields: dict[str, str] = field(default_factory=dict)
     file_filter: dict | None = None
     population: dict | None = None
     validation: dict = field(default_factory=dict)
@@ -119,15 +121,16 @@ def _contract_contexts(raw: Mapping[str, Any]) -> dict[str, Any]:
         if p.get("required"):
             required.append(p["field"])
             policies.add(p.get("on_fail", "warn"))
-    images = []
+    images, times = [], {}
     for c in raw.get("contexts") or []:
+        times |= c.get("time_fields") or {}
         if c.get("level") == "image":
             images.append({"path": (c.get("paths") or ["$.images[*]"])[0], "key_map": dict(c.get("key_map") or {})})
         else:
             for name, path in (c.get("key_map") or {}).items():
                 specs.setdefault(name, {})["json_path"] = path
     strictest = next((p for p in ("error", "skip_file", "warn") if p in policies), "warn")
-    return {"contexts": specs, "image_contexts": images, "required_context": list(dict.fromkeys(required)), "required_policy": strictest,
+    return {"contexts": specs, "image_contexts": images, "time_fields": times, "required_context": list(dict.fromkeys(required)), "required_policy": strictest,
             "allowed_overrides": list(given.get("allow_user_override") or [])}
 
 
@@ -248,7 +251,10 @@ def _normalized(df: DataFrame, norm: Mapping[str, Any], row_filters: Sequence[Ma
     if norm.get("nan_values"):
         df = X.replace_null_markers(df, [str(v) for v in norm["nan_values"]])
     if norm.get("numeric_coercion"):
-        df = X.auto_numeric_coercion(df, max_fail_ratio=1e-12 if norm.get("numeric_errors") in ("raise", "ignore") else 0.5)
+        clean = X.numeric_coercion_plan(df, None, 1e-12) if norm.get("numeric_errors") in ("raise", "ignore") else None
+        if norm.get("numeric_errors") == "raise" and (bad := sorted(set(X.numeric_coercion_plan(df, None, 0.5)) - set(clean))):
+            raise ValueError(f"cells that are no numbers in numeric columns: {', '.join(bad)}")
+        df = X.auto_numeric_coercion(df) if clean is None else X.auto_numeric_coercion(df, clean, 1e-12) if clean else df
     df = FL.apply_row_filters(df, row_filters)
     if norm.get("units_policy") and norm.get("column_units"):
         df = X.apply_units_policy(df, norm["units_policy"], norm["column_units"], norm.get("units"))
@@ -325,13 +331,36 @@ def _with_images(df: DataFrame, images: Sequence[DataFrame]) -> DataFrame:
     return df
 
 
-def build_outputs(prof: Profile, tables: Mapping[str, DataFrame], with_context: Callable[[DataFrame], DataFrame],
-                  selected: Sequence[str] | None = None, include_context: bool | None = None) -> dict[str, DataFrame]:
+def _timed(df: DataFrame, fields: Mapping[str, str]) -> DataFrame:
+    """Context columns as timestamps; what does not have the format becomes null."""
+    known = {c: f for c, f in fields.items() if c in df.columns}
+    return df.withColumns({c: F.try_to_timestamp(c, F.lit(X.strptime_to_java(f))) if f else F.try_to_timestamp(c) for c, f in known.items()}) if known else df
+
+
+def _merged(tables: Sequence[Mapping[str, Any]]) -> dict[str, Any]:
+    """Entries with one id (of several levels) as one: lists after each other, mappings united, else the first that is set."""
+    out: dict[str, Any] = {}
+    for t in tables:
+        for k, v in t.items():
+            if isinstance(v, list) and isinstance(out.get(k), list):
+                out[k] = out[k] + [x for x in v if x not in out[k]]
+            elif isinstance(v, Mapping) and isinstance(out.get(k), Mapping):
+                out[k] = {**v, **out[k]}
+            elif out.get(k) is None:
+                out[k] = v
+    return out
+
+
+def build_outputs(prof: Profile, tables: Mapping[str, DataFrame], with_run: Callable[[DataFrame], DataFrame], with_images: Callable[[DataFrame], DataFrame],
+                  selected: Sequence[str] | None = None, include_context: bool | None = None, include_run_context: bool | None = None,
+                  include_image_context: bool | None = None, added: Mapping[str, tuple[set[str], set[str]]] | None = None) -> dict[str, DataFrame]:
     """Aggregations, joins and named outputs of a profile.
 
     Named outputs unite their tables by column name.  All default outputs are built,
-    and the optional ones that ``selected`` names; ``include_context`` overrides the
-    outputs' own toggle."""
+    and the optional ones that ``selected`` names.  Run and image context have a toggle each:
+    the caller's ``include_run_context`` / ``include_image_context``, else ``include_context`` for both, else
+    the output's own keys of these names, else both are there.  ``added`` names the run and the image columns that each
+    table got before: an output without them leaves them out."""
     cfg, made = prof.outputs or {}, dict(tables)
     for agg in cfg.get("aggregations") or []:
         source = agg.get("table") or agg["from_table"]
@@ -344,16 +373,21 @@ def build_outputs(prof: Profile, tables: Mapping[str, DataFrame], with_context:
             made[jn.get("id", f"{left}_{right}")] = joined
     optional = cfg.get("optional_outputs") or cfg.get("long_form_optional") or []
     for o in [*(cfg.get("defaults") or []), *(o for o in optional if o["id"] in (selected or ()))]:
-        parts = [made[t] for t in o.get("from_tables") or [] if t in made]
-        if parts:
-            combined = J.union_diagonal(parts)
-            wanted = o.get("include_context", True) if include_context is None else include_context
-            made[o["id"]] = with_context(combined) if wanted else combined
+        sources = [t for t in o.get("from_tables") or [] if t in made]
+        if not sources:
+            continue
+        kinds = (("include_run_context", include_run_context, with_run), ("include_image_context", include_image_context, with_images))
+        wanted = [next(c for c in (own, include_context, o.get(key), o.get("include_context"), True) if c is not None) for key, own, _ in kinds]
+        out = J.union_diagonal([made[t].drop(*(c for show, columns in zip(wanted, (added or {}).get(t, ())) if not show for c in columns)) for t in sources])
+        for show, (_, _, attach) in zip(wanted, kinds):
+            out = attach(out) if show else out
+        made[o["id"]] = out
     return made
 
 
 def run_profile(spark: SparkSession, profile: Profile | Mapping[str, Any] | str, root: str, output_dir: str | None = None,
-                selected_outputs: Sequence[str] | None = None, include_context: bool | None = None) -> dict[str, Any]:
+                selected_outputs: Sequence[str] | None = None, include_context: bool | None = None, include_run_context: bool | None = None,
+                include_image_context: bool | None = None) -> dict[str, Any]:
     """Extract -> context -> population -> validate -> normalise -> transform -> outputs.
 
     Returns tables, file_context, validation, warnings, context_warnings, bad_files and previews (tables with masked columns).
@@ -385,14 +419,19 @@ def run_profile(spark: SparkSession, profile: Profile | Mapping[str, Any] | str,
         if prof.required_context else (ctx, None)
     if prof.required_context and prof.required_policy == "skip_file":
         docs = docs.join(ctx.select("file_path"), "file_path", "left_semi")
-    images = [CT.image_context(docs, c["key_map"], c["path"].split("[*]")[0]) for c in prof.image_contexts]
+    images = [_timed(CT.image_context(docs, c["key_map"], c["path"].split("[*]")[0]), prof.time_fields) for c in prof.image_contexts]
+    ctx = _timed(ctx, prof.time_fields)
     specs = [{**t, "select": {**t["select"], **({"max_columns": prof.limits["max_columns"]} if "max_columns" in prof.limits else {})}} for t in prof.tables]
     tables, warnings = E.extract_tables(docs, specs)
-    by_id = {t["id"]: t for t in prof.tables}
-    results, quarantined = [], []
+    by_id = {i: _merged([t for t in prof.tables if t["id"] == i]) for i in dict.fromkeys(t["id"] for t in prof.tables)}
+    results, quarantined, added = [], [], {}
     for name, df in list(tables.items()):
         table, rules = by_id[name], _rules(prof, by_id[name])
-        df = _with_images(CT.attach_context(df, ctx, "file_path"), images)
+        own = set(df.columns)
+        df = CT.attach_context(df, ctx, "file_path")
+        of_run = set(df.columns) - own
+        df = _with_images(df, images)
+        added[name] = of_run, set(df.columns) - own - of_run
         if prof.population:
             df = FL.population(df, prof.population.get("strategy", "all"), prof.population.get("config"))
         found, issues = _validated(df, name, rules)
@@ -407,7 +446,8 @@ def run_profile(spark: SparkSession, profile: Profile | Mapping[str, Any] | str,
         wrong = validation.where("NOT valid").select("table_name", "errors").collect()  # a row a table
         if wrong:
             raise ValueError("validation failed: " + ", ".join(f"{r['table_name']} has {r['errors']} errors" for r in wrong))
-    tables = build_outputs(prof, tables, lambda df: _with_images(CT.attach_context(df, ctx, "file_path") if "file_path" in df.columns else df, images), selected_outputs, include_context)
+    with_run = lambda df: CT.attach_context(df, ctx, "file_path") if "file_path" in df.columns else df
+    tables = build_outputs(prof, tables, with_run, lambda df: _with_images(df, images), selected_outputs, include_context, include_run_context, include_image_context, added)
     if quarantined:
         tables[prof.quarantine_table] = J.union_diagonal(quarantined)
     if output_dir:

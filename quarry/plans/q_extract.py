@@ -188,3 +188,13 @@ def q_flagship(spark, sf):
 
     out = flagship(spark, sf)
     return out.withColumns({c: F.round(c, 9 if c == "p_returnflag" else 6) for c in ("l_extendedprice_mean", "l_discount_mean", "f_returnflag", "p_returnflag")})
+
+
+@query("json_case_keys", """
+SELECT n_nationkey::BIGINT AS id, n_regionkey::BIGINT AS id_2, n_name AS name, upper(n_name) AS name_2 FROM nation
+""")
+def q_json_case_keys(spark, sf):
+    """Keys that differ only in case: each is a column that later steps can name."""
+    text = F.format_string('{"ID": %d, "Id": %d, "NAME": "%s", "name": "%s"}', F.col("n_nationkey"), F.col("n_regionkey"), F.col("n_name"), F.upper("n_name"))
+    docs = table(spark, sf, "nation").select(F.col("n_name").alias("file_path"), F.try_parse_json(text).alias("doc"))
+    return E.flat_object(docs).select(F.col("ID").alias("id"), F.col("Id_2").alias("id_2"), F.col("NAME").alias("name"), F.col("name_2").alias("name_2"))

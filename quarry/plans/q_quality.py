@@ -212,3 +212,60 @@ def q_run_profile_outputs(spark, sf):
     extra = tables["extra"].select(F.lit("extra").alias("output"), "nation", "o_orderstatus", F.col("price_count").alias("n"))
     return extra.unionByName(tables["export"].groupBy("nation").agg(F.count("*").alias("n")).select(
         F.lit("export").alias("output"), "nation", F.lit(None).cast("string").alias("o_orderstatus"), "n"))
+
+
+_LEVELS = {
+    "schema_version": "1.0.0", "version": 1, "meta": {"profile_id": "levels"},
+    "contexts": [{"name": "run", "level": "run", "paths": ["$.meta"], "key_map": {"nation": "$.meta.nation"}},
+                 {"name": "image", "level": "image", "paths": ["$.images[*]"], "key_map": {"image_segment": "$.segment"}}],
+    "levels": [{"name": "run", "tables": [{"id": "rows", "select": {"strategy": "array_of_objects", "path": "$.orders[*]"},
+                                           "validation_constraints": [{"column": "o_totalprice", "type": "range", "max": 400000}]}]},
+               {"name": "image", "tables": [{"id": "rows", "select": {"strategy": "array_of_objects", "path": "$.images[*]"},
+                                             "validation_constraints": [{"column": "balance", "type": "range", "min": 0}]}]}],
+    "on_validation_fail": "quarantine",
+    "outputs": {"defaults": [{"id": "out", "from_level": "run", "from_tables": ["rows"], "include_run_context": True, "include_image_context": False}]},
+}
+_LEVEL_ROWS = """
+WITH r AS (SELECT o_orderkey, o_totalprice, NULL AS image_id, NULL AS balance, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey
+           UNION ALL SELECT NULL, NULL, c_custkey, c_acctbal, c_nationkey FROM customer),
+bad AS (SELECT *, coalesce(o_totalprice > 400000, false) OR coalesce(balance < 0, false) AS wrong FROM r)
+"""
+
+
+def _run_levels(spark, sf, **kw):
+    from quarry.plans.profile import run_profile
+    from quarry.session import scratch_path
+
+    folder = scratch_path(spark, "level-docs")
+    c = table(spark, sf, "customer")
+    orders = table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.collect_list(F.struct("o_orderkey", "o_totalprice")).alias("orders"))
+    images = c.groupBy("c_nationkey").agg(F.collect_list(F.struct(F.col("c_custkey").alias("image_id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))).alias("images"))
+    docs = orders.join(images, "c_nationkey").select(F.struct(F.col("c_nationkey").cast("string").alias("nation")).alias("meta"), "orders", "images", F.col("c_nationkey").alias("k"))
+    docs.write.partitionBy("k").json(folder)
+    return run_profile(spark, _LEVELS, folder, **kw)["tables"]
+
+
+@query("run_profile_levels", _LEVEL_ROWS + """
+SELECT c_nationkey::BIGINT AS nation, count(*) FILTER (NOT wrong) AS kept, count(*) FILTER (o_totalprice > 400000) AS dear, count(*) FILTER (balance < 0) AS in_debt FROM bad GROUP BY 1
+""")
+def q_run_profile_levels(spark, sf):
+    """Two tables share an id in two levels: the rules of both hold."""
+    tables = _run_levels(spark, sf)
+    kept = tables["rows"].groupBy("nation").agg(F.count("*").alias("kept"))
+    rule = lambda r: F.count_if(F.array_contains("failed_rules", r))
+    failed = tables["validation_failures"].groupBy("nation").agg(rule("o_totalprice:max").alias("dear"), rule("balance:min").alias("in_debt"))
+    return kept.join(failed, "nation", "left").na.fill(0).withColumn("nation", F.col("nation").cast("long"))
+
+
+@query("run_profile_toggles", _LEVEL_ROWS + """
+SELECT 'run' AS shown, CAST(c_nationkey AS VARCHAR) AS value, count(*) AS n FROM bad WHERE NOT wrong GROUP BY ALL
+UNION ALL SELECT 'image', c_mktsegment, count(*) FROM customer WHERE c_acctbal >= 0 GROUP BY ALL
+""")
+def q_run_profile_toggles(spark, sf):
+    """A named output with run context alone, and with image context alone: neither shows the other's columns."""
+    run = _run_levels(spark, sf)["out"]
+    image = _run_levels(spark, sf, include_run_context=False, include_image_context=True)["out"]
+    if "image_segment" in run.columns or "nation" in image.columns:
+        raise ValueError("a context that was switched off is shown")
+    count = lambda df, c, name: df.groupBy(c.cast("string").alias("value")).agg(F.count("*").alias("n")).withColumn("shown", F.lit(name))
+    return count(run, F.col("nation").cast("long"), "run").unionByName(count(image.where("image_id IS NOT NULL"), F.col("image_segment"), "image")).select("shown", "value", "n")

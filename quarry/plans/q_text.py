@@ -515,3 +515,29 @@ def q_fuzzy_levels(spark, sf):
     from quarry.operators.matching import match_names
 
     return match_names(table(spark, sf, "part"), "p_name", "p_partkey", _TARGETS, _ALIASES)
+
+
+@query("fuzzy_names", """
+SELECT 'Ringqqqq' AS target, p_name AS best, round(8.0 / (8 + length(p_name)), 9) AS confidence, 'fuzzy' AS tier
+FROM part WHERE contains(lower(p_name), 'ring') ORDER BY length(p_name), p_partkey LIMIT 1
+""")
+def q_fuzzy_names(spark, sf):
+    """The fuzzy tier wins: only "ring" is shared, so the ratio is twice its length over both lengths."""
+    from quarry.operators.matching import match_names
+
+    parts = table(spark, sf, "part").where(F.lower("p_name").contains("ring"))
+    return match_names(parts, "p_name", "p_partkey", ["Ringqqqq"], fuzzy_min=0.3).withColumn("confidence", F.round("confidence", 9))
+
+
+@query("lineage_deep", """
+WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT o_orderkey::VARCHAR AS node, CAST(i % 1000 AS INTEGER) AS depth, 'down' AS direction FROM o WHERE i % 1000 > 0
+""")
+def q_lineage_deep(spark, sf):
+    """Chains of a thousand orders each, from all their heads at once."""
+    order = table(spark, sf, "orders").select("o_orderkey").orderBy("o_orderkey")
+    from quarry.operators.sorting import running_sum
+
+    i = running_sum(order.withColumn("one", F.lit(1)).withColumn("g", F.lit(0)), ["g"], ["o_orderkey"], "one", "i").select((F.col("i") - 1).alias("i"), F.col("o_orderkey").cast("string").alias("node"))
+    edges = i.where("i % 1000 < 999").select("i", F.col("node").alias("parent")).join(i.select((F.col("i") - 1).alias("i"), F.col("node").alias("child")), "i").select("parent", "child")
+    return G.lineage(edges, i.where("i % 1000 = 0").select("node"), "down")

@@ -204,3 +204,18 @@ def test_run_profile_end_to_end(spark, tmpdir_path):
     assert res["validation"].filter("table_name = 'sites'").first()["valid"] is True
     assert os.path.isdir(os.path.join(tmpdir_path, "out", "_combined"))
     assert check_profile({"tables": [{"id": "a", "select": {"strategy": "bad"}}]})
+
+
+def test_keys_that_differ_in_case_are_columns_of_their_own(spark):
+    d = spark.createDataFrame([("f", '{"id": 1, "ID": 2, "id_2": 3, "n": {"a": 4, "A": 5}, "l": [{"k": 1, "K": "x"}], "h": ["v", "V"], "rows": [[7, 8]]}')], "file_path string, t string") \
+        .select("file_path", F.try_parse_json("t").alias("doc"))
+    flat = E.flat_object(d)
+    assert len({c.lower() for c in flat.columns}) == len(flat.columns)
+    r = flat.first()
+    assert sorted(r[c] for c in flat.columns if c.lower().startswith("id")) == [1, 2, 3] and {r[c] for c in flat.columns if c.lower().startswith("n_a")} == {4, 5}
+    flat.select("id").collect()
+    rows = E.array_of_objects(d, "$.l[*]")
+    assert [c.lower() for c in rows.columns] == ["file_path", "k", "k_2"] and set(rows.first()[1:]) == {1, "x"}
+    block = E.headers_data(d, "$", headers_key="h", data_key="rows")
+    assert tuple(block.select("v", "V_2").first()) == (7, 8)
+    assert E.distinct_names(["a", "A", "a_2", "B"], ["b"]) == ["a", "A_3", "a_2", "B_2"]

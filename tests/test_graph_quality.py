@@ -88,3 +88,21 @@ def test_lineage_goes_as_deep_as_the_chain(spark):
     got = {r["node"]: r["depth"] for r in G.lineage(edges, 0, "down").collect()}
     assert got == {i: i for i in range(1, 54)}
     assert G.lineage(edges, 0, "down", max_depth=3).count() == 3
+
+
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1000)] + [(7, 500), (1000, 3)], "parent long, child long")
+    rounds = []
+    kept = G.count
+
+    def counted():
+        for k in kept():
+            rounds.append(k)
+            yield k
+
+    monkeypatch.setattr(G, "count", counted)
+    got = {r.node: r.depth for r in G.lineage(edges, 0).collect()}
+    assert len(rounds) <= 12 and got[7] == 7 and got[500] == 8 and got[499] == 499 and got[1000] == 508 and len(got) == 1000
+    assert {r.node: r.depth for r in G.lineage(edges, 0, max_depth=9).collect()} == {**{i: i for i in range(1, 10)}, 500: 8, 501: 9}
+    two = {r.node: r.depth for r in G.lineage(edges.where("parent < 50"), [0, 40], "down").collect()}
+    assert two[45] == 5 and two[39] == 39

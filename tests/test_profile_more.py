@@ -91,3 +91,44 @@ def test_profiles_with_mistakes_raise():
                   {"outputs": {"defaults": [{"id": "o", "from_tables": ["nowhere"]}]}}):
         with pytest.raises(ValueError):
             load_profile({**CONTRACT, **wrong})
+
+
+def test_run_and_image_context_have_toggles_of_their_own(spark, tmpdir_path):
+    _contract_docs(tmpdir_path)
+
+    def columns(own=None, **kw):
+        prof = {**CONTRACT, "outputs": {"defaults": [{"id": "all", "from_level": "run", "from_tables": ["sites", "pictures"], **(own or {})}]}}
+        got = set(run_profile(spark, prof, tmpdir_path, **kw)["tables"]["all"].columns)
+        return {"lot", "wafer"} <= got, "taken" in got
+
+    assert columns() == (True, True)
+    assert columns({"include_context": False}) == (False, False)
+    assert columns({"include_run_context": True, "include_image_context": False}) == (True, False)
+    assert columns({"include_context": False}, include_image_context=True) == (False, True)
+    assert columns({"include_image_context": True}, include_run_context=False) == (False, True)
+    assert columns(include_context=False) == (False, False)
+
+
+def test_tables_of_one_id_in_two_levels_keep_all_rules(spark, tmpdir_path):
+    _contract_docs(tmpdir_path)
+    block = {"strategy": "headers_data", "path": "$.sites[{i}].cd", "headers_key": "h", "data_key": "rows", "repeat_over": {"path": "$.sites", "as": "i"}}
+    levels = [{"name": "run", "tables": [{"id": "t", "select": block, "validation_constraints": [{"column": "y", "type": "range", "max": 5}]}]},
+              {"name": "image", "tables": [{"id": "t", "select": {"strategy": "array_of_objects", "path": "$.images[*]"}, "validation_constraints": [{"column": "x", "type": "range", "max": 2}]}]}]
+    res = run_profile(spark, {**CONTRACT, "levels": levels, "outputs": {}, "on_validation_fail": "quarantine"}, tmpdir_path)
+    assert sorted((r["y"], tuple(r["failed_rules"])) for r in res["tables"]["validation_failures"].collect()) == [(9, ("x:max", "y:max"))] or \
+        sorted((r["y"], tuple(sorted(r["failed_rules"]))) for r in res["tables"]["validation_failures"].collect()) == [(9, ("x:max", "y:max"))]
+    assert res["tables"]["t"].count() == 3
+
+
+def test_numeric_errors_and_time_fields(spark, tmpdir_path):
+    for k, v in enumerate(["1", "2", "3", "x"]):
+        with open(os.path.join(tmpdir_path, f"f{k}.json"), "w") as f:
+            json.dump({"meta": {"at": f"2024-01-0{k + 1} 10:00"}, "s": {"v": v, "w": str(k)}}, f)
+    prof = {"schema_version": "1.0.0", "version": 1, "meta": {"profile_id": "n"},
+            "contexts": [{"name": "run", "level": "run", "paths": ["$.meta"], "key_map": {"at": "$.meta.at"}, "time_fields": {"at": "%Y-%m-%d %H:%M"}}],
+            "levels": [{"name": "run", "tables": [{"id": "s", "select": {"strategy": "flat_object", "path": "$.s"}}]}]}
+    run = lambda errors: run_profile(spark, {**prof, "normalization": {"numeric_coercion": True, "numeric_errors": errors}}, tmpdir_path)["tables"]["s"]
+    assert sorted(r["v"] for r in run("ignore").collect()) == ["1", "2", "3", "x"] and dict(run("ignore").dtypes)["w"] == "double"
+    assert dict(run("coerce").dtypes)["v"] == "double" and sorted(str(r["at"]) for r in run("coerce").collect())[0] == "2024-01-01 10:00:00"
+    with pytest.raises(ValueError, match="numeric columns: v"):
+        run("raise")

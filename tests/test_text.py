@@ -182,3 +182,47 @@ def test_long_documents_take_linear_time(spark):
     log = TX.redaction_log(spark.createDataFrame([(1, text)], "id long, t string"), "id", "t").agg(F.count("*").alias("n"), F.max("start").alias("s")).first()
     assert (log.n, log.s) == (200_000, 16 * 199_999 + 5)
     assert time.time() - began < 120
+
+
+def test_lists_in_cells_meet_each_pair_once(spark):
+    from collections import Counter
+
+    from quarry.operators.similarity import in_cells
+
+    rows = spark.createDataFrame([(t, d) for d in range(60) for t in (["hot"] if d % 2 else ["hot", "rare"])], "token string, doc long")
+    cells = in_cells(rows, ["token"], "doc", stretch=7)
+    a = cells.selectExpr("token", "doc AS a", "i", "j", "stretch AS sa")
+    b = cells.selectExpr("token", "doc AS b", "i", "j", "stretch AS sb")
+    met = Counter((r.token, r.a, r.b) for r in a.join(b, ["token", "i", "j"]).where("a < b AND (i = j OR sa <> sb)").collect())
+    assert set(met.values()) == {1} and len(met) == 60 * 59 // 2 + 30 * 29 // 2
+    assert cells.groupBy("token", "i", "j").count().agg({"count": "max"}).first()[0] < 40
+
+
+def test_queries_of_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(S, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(S, "GROUP_BYTES", 500)
+    docs = spark.createDataFrame([(i, f"Word{i % 13} and word{i % 7} text") for i in range(80)] + [(100, None)], "doc_id long, text string").repartition(3)
+    words = [(f"q{k}", f"word{k}") for k in range(13)] + [("all", ""), ("none", "zebra"), ("twice", "word3")]
+    queries = spark.createDataFrame(words, "id string, word string")
+    for given in (words, queries):
+        got = {}
+        for r in S.keyword_search(docs, given, "doc_id", "text", top_k=3).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.doc_id))
+        want = {q: [i for i in range(80) if w in f"word{i % 13} and word{i % 7} text"][:3] for q, w in words}
+        assert {q: [d for _, d in sorted(v)] for q, v in got.items()} == {q: v for q, v in want.items() if v}
+    rnd = np.random.default_rng(2)
+    x = np.round(rnd.normal(size=(50, 6)), 1)
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, [0.0] * 6), (91, [1.0, 2.0])], "id long, v array<double>").repartition(4)
+    qs = spark.createDataFrame([(str(i), x[i].tolist()) for i in range(12)] + [("z", [0.0] * 6)], "q string, v array<double>")
+    got = {}
+    for r in S.vector_search(corpus, "id", "v", qs, 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
+    full = np.vstack([x, np.zeros((1, 6))])
+    ids = [*range(50), 90]
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    for q, v in [(str(i), x[i]) for i in range(12)] + [("z", np.zeros(6))]:
+        s = unit(full) @ unit(v[None])[0]
+        order = sorted(range(51), key=lambda k: (-s[k], ids[k]))[:4]
+        assert [round(y, 9) for _, _, y in sorted(got[q])] == [round(float(s[k]), 9) for k in order]
