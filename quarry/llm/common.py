@@ -35,11 +35,11 @@ def mounted(uri: str) -> str:
     return os.path.normpath(parts.path)
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     spark, uri = df.sparkSession, shared_folder(df.sparkSession, name)
     schema = df.schema
-    df.write.parquet(uri)
+    (df.write.option("compression", compression) if compression else df.write).parquet(uri)
     return spark.read.schema(schema).parquet(uri)
 
 

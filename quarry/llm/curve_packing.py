@@ -128,7 +128,7 @@ def in_stream(rows: DataFrame, kind: str) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(place)],
                                              names=[*b.schema.names, "length", "part", "place"])
 
-    placed = write_table(ranged.drop("row").mapInArrow(run, "key long, doc_id long, start long, doc_tokens long, ids binary, length long, part int, place long"), "curve")
+    placed = write_table(ranged.drop("row").mapInArrow(run, "key long, doc_id long, start long, doc_tokens long, ids binary, length long, part int, place long"), "curve", "zstd")
     totals = dict(placed.groupBy("part").agg(F.sum("length")).collect())  # a number a partition
     starts = dict(zip(sorted(totals), accumulate([0, *(totals[p] for p in sorted(totals))])))
     if not starts:
@@ -180,6 +180,6 @@ def pack_on_curve(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
     a null id stays null.  Ties of the key go by doc_id, then in the order of the
     input's rows.  Other columns are not read.  An empty table packs into nothing."""
     kind = id_type(tokenizer_path)
-    rows = write_table(tokenize_on_curve(docs, tokenizer_path, kind, id_col, text_col), "curve-rows")
+    rows = write_table(tokenize_on_curve(docs, tokenizer_path, kind, id_col, text_col), "curve-rows", "zstd")
     stream, total = in_stream(rows, kind)
     return cut_stream(stream, total, kind, capacity, keep_ids)
