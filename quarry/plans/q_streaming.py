@@ -71,3 +71,23 @@ def q_stream_chunks(spark, sf):
     held = spark.read.parquet(out).groupBy("chunk").agg(F.count("*").alias("rows"), F.sum("l_quantity").cast("long").alias("quantity"),
                                                        F.min("l_orderkey").alias("first_order"), F.max("l_orderkey").alias("last_order"))
     return spark.read.parquet(f"{out}_chunks").drop("rows").join(held, "chunk").select("chunk_index", "rows", "running_total", "is_last", "quantity", "first_order", "last_order")
+
+
+@query("folder_sync", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new ' ELSE 'old ' END || lang AS text, CASE WHEN doc_id % 3 = 0 THEN 'updated' ELSE 'inserted' END AS action FROM documents
+""")
+def q_folder_sync(spark, sf):
+    """Documents written as files, synced, a third of them changed by later files, synced again; the snapshot's rows."""
+    from pyspark.sql import functions as F
+
+    from quarry.streaming.streams import folder_sync, read_snapshot
+
+    src, snap, ck = (scratch_path(spark, n) for n in ("sync-src", "sync-snap", "sync-ckpt"))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("old "), "lang").alias("text"))
+    for rows in (docs, docs.where("doc_id % 3 = 0").withColumn("text", F.replace("text", F.lit("old "), F.lit("new ")))):
+        rows.repartition(2).write.mode("append").json(src)
+        run = folder_sync(spark, src, snap, ck, schema="doc_id long, text string", snapshot_buckets=16)
+        run.awaitTermination()
+        if run.exception() is not None:
+            raise RuntimeError(str(run.exception()))
+    return read_snapshot(spark, snap).select("doc_id", "text", "action")

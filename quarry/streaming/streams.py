@@ -76,35 +76,97 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def merge_documents(spark: SparkSession, docs: DataFrame, snapshot_dir: str, staging: str, id_col: str = "doc_id",
-                    text_col: str = "text", buckets: int = 256) -> None:
-    """Upsert ``docs`` (with source_file, source_time) into the snapshot by content hash.
+# ---------------------------------------------------------------- a snapshot in versions
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def snapshot_versions(spark: SparkSession, snapshot_dir: str) -> list[int]:
+    """Committed versions, oldest first."""
+    if not _exists(spark, f"{snapshot_dir}/commits"):
+        return []
+    fs, p = _fs(spark, f"{snapshot_dir}/commits")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit())
+
+
+def _manifest(spark: SparkSession, snapshot_dir: str, version: int | None) -> dict[int, int]:
+    """Which version of each bucket a version of the snapshot holds (a row a bucket)."""
+    return {} if version is None else {r["bucket"]: r["version"] for r in spark.read.parquet(f"{snapshot_dir}/manifests/{version}").collect()}
+
+
+def read_snapshot(spark: SparkSession, snapshot_dir: str, version: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame | None:
+    """The last committed version (or the one given) of the snapshot, or some of its buckets; None where there is none.
+
+    A version is a list of bucket folders that are never written again, so readers see it whole whatever is being merged."""
+    known = snapshot_versions(spark, snapshot_dir)
+    if not known:
+        return None
+    held = _manifest(spark, snapshot_dir, known[-1] if version is None else version)
+    paths = [f"{snapshot_dir}/data/version={v}/bucket={b}" for b, v in sorted(held.items()) if buckets is None or b in buckets]
+    if not paths:
+        some = next(iter(held.items()))
+        return spark.read.option("basePath", f"{snapshot_dir}/data").parquet(f"{snapshot_dir}/data/version={some[1]}/bucket={some[0]}").drop("version").limit(0)
+    return spark.read.option("basePath", f"{snapshot_dir}/data").option("mergeSchema", True).parquet(*paths).drop("version")
+
+
+def drop_old_versions(spark: SparkSession, snapshot_dir: str, keep: int = 1) -> int:
+    """Delete bucket folders, manifests and marks of all but the last ``keep`` versions; returns how many versions went."""
+    known = snapshot_versions(spark, snapshot_dir)
+    old, kept = known[:-keep], known[-keep:]
+    used = {(b, v) for k in kept for b, v in _manifest(spark, snapshot_dir, k).items()}
+    for k in old:  # the mark goes first: a version is there as a whole or not at all
+        fs, p = _fs(spark, f"{snapshot_dir}/commits/{k}")
+        fs.delete(p, False)
+    for k in old:
+        for b, v in _manifest(spark, snapshot_dir, k).items():
+            if (b, v) not in used:
+                fs, p = _fs(spark, f"{snapshot_dir}/data/version={v}/bucket={b}")
+                fs.delete(p, True)
+        fs, p = _fs(spark, f"{snapshot_dir}/manifests/{k}")
+        fs.delete(p, True)
+    return len(old)
+
+
+def merge_documents(spark: SparkSession, docs: DataFrame, snapshot_dir: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = 256) -> int | None:
+    """Upsert ``docs`` (with source_file, source_time) into the snapshot by content hash; returns the version made.
 
     Of several versions of an id the one with the latest source time counts, the
     snapshot's own included: an older file that arrives later changes nothing.  The
-    snapshot is partitioned by a hash bucket of the id; only the buckets touched are
-    read and rewritten, through ``staging``, so a failed run leaves it as it was."""
+    snapshot is dealt by a hash bucket of the id; only the buckets touched are
+    read, and written under the new version; the others are taken over by the manifest.  The version counts from the
+    moment its mark is made, the last and smallest step: a run that fails before leaves the old one whole, and
+    its leftovers are overwritten by the next.  Two writers cannot make the same mark."""
     from quarry.operators.text import hash_upsert
 
     if docs.isEmpty():  # files without a row
-        return
+        return None
     others = [c for c in docs.columns if c != id_col]
     newest = (docs.groupBy(id_col).agg(F.max_by(F.struct(*others), F.struct("source_time", "source_file")).alias("r")).select(id_col, "r.*")
               .withColumn("content_hash", F.substring(F.sha2(F.col(text_col), 256), 1, 16))
               .withColumn("archived_at", F.lit(None).cast("timestamp"))
               .withColumn("bucket", F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int")))
-    if not _exists(spark, snapshot_dir):
+    known = snapshot_versions(spark, snapshot_dir)
+    held = _manifest(spark, snapshot_dir, known[-1] if known else None)
+    version = known[-1] + 1 if known else 1
+    touched = [r[0] for r in newest.select("bucket").distinct().collect()]  # at most ``buckets``
+    old = read_snapshot(spark, snapshot_dir, buckets=touched) if known else None
+    if old is None:
         result = newest.withColumn("action", F.lit("inserted"))
     else:
-        touched = [r[0] for r in newest.select("bucket").distinct().collect()]  # at most ``buckets``
-        old = spark.read.parquet(snapshot_dir).filter(F.col("bucket").isin(touched))
-        known = old.select(id_col, F.col("source_time").alias("__known"))
-        newest = newest.join(known, id_col, "left").where("__known IS NULL OR source_time >= __known").drop("__known")
+        before = old.select(id_col, F.col("source_time").alias("__known"))
+        newest = newest.join(before, id_col, "left").where("__known IS NULL OR source_time >= __known").drop("__known")
         acts = hash_upsert(old.select(id_col, "content_hash", "archived_at"), newest.select(id_col, "content_hash"), id_col).select(id_col, "action")
         result = newest.join(acts, id_col).unionByName(old.join(newest.select(id_col), id_col, "left_anti"), allowMissingColumns=True)
-    result.write.mode("overwrite").partitionBy("bucket").parquet(staging)
-    written = spark.read.schema(result.schema).parquet(staging)
-    written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(snapshot_dir)
+    data = f"{snapshot_dir}/data/version={version}"
+    result.write.mode("overwrite").partitionBy("bucket").parquet(data)
+    fs, p = _fs(spark, data)
+    written = {int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(p) if f.getPath().getName().startswith("bucket=")}
+    manifest = {**{b: v for b, v in held.items() if b not in touched}, **dict.fromkeys(written, version)}
+    spark.createDataFrame(sorted(manifest.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{snapshot_dir}/manifests/{version}")
+    fs, p = _fs(spark, f"{snapshot_dir}/commits/{version}")
+    fs.create(p, False).close()
+    return version
 
 
 def _with_source(docs: DataFrame) -> DataFrame:
@@ -123,8 +185,9 @@ def _files_read(spark: SparkSession, snapshot_dir: str, checkpoint_dir: str | No
         parts.append(log.select(F.col("path").alias("source_file"), F.timestamp_millis("timestamp").alias("then")))
     if _exists(spark, f"{snapshot_dir}_files"):
         parts.append(spark.read.parquet(f"{snapshot_dir}_files"))
-    if _exists(spark, snapshot_dir):
-        parts.append(spark.read.parquet(snapshot_dir).select("source_file", F.col("source_time").alias("then")))
+    held = read_snapshot(spark, snapshot_dir)
+    if held is not None:
+        parts.append(held.select("source_file", F.col("source_time").alias("then")))
     return reduce(lambda a, b: a.unionByName(b), parts).groupBy(_plain("source_file").alias("source_file")).agg(F.max("then").alias("then"))
 
 
@@ -133,7 +196,7 @@ def _plain(path: str) -> Column:
     return F.regexp_replace(path, "^file:/+", "file:/")
 
 
-def sync_edited(spark: SparkSession, docs_dir: str, snapshot_dir: str, staging: str, schema: str | None = None, fmt: str = "json",
+def sync_edited(spark: SparkSession, docs_dir: str, snapshot_dir: str, schema: str | None = None, fmt: str = "json",
                 checkpoint_dir: str | None = None, **kw) -> int:
     """Merge again the files that were changed after they were read; returns how many.
 
@@ -143,7 +206,7 @@ def sync_edited(spark: SparkSession, docs_dir: str, snapshot_dir: str, staging:
     edited = listed.join(_files_read(spark, snapshot_dir, checkpoint_dir), "source_file").where("now > then").select("path", "source_file", "now").collect()  # edited files only
     if edited:
         reader = spark.read.schema(schema) if schema else spark.read
-        merge_documents(spark, _with_source(reader.format(fmt).load([r["path"] for r in edited])), snapshot_dir, staging, **kw)
+        merge_documents(spark, _with_source(reader.format(fmt).load([r["path"] for r in edited])), snapshot_dir, **kw)
         spark.createDataFrame([(r["source_file"], r["now"]) for r in edited], "source_file string, then timestamp").coalesce(1).write.mode("append").parquet(f"{snapshot_dir}_files")
     return len(edited)
 
@@ -151,21 +214,21 @@ def sync_edited(spark: SparkSession, docs_dir: str, snapshot_dir: str, staging:
 def folder_sync(spark: SparkSession, docs_dir: str, snapshot_dir: str, checkpoint_dir: str,
                 id_col: str = "doc_id", text_col: str = "text", schema: str | None = None,
                 fmt: str = "json", available_now: bool = True, snapshot_buckets: int = 256) -> StreamingQuery:
-    """STR-02: keep a snapshot of a folder of documents, the newest version per id.
+    """STR-02: keep a snapshot of a folder of documents, the newest version per id; :func:`read_snapshot` reads it.
 
     New files arrive as a stream.  The file source never reads a known path again,
     so files edited in place are found by :func:`sync_edited`, at the start and
     with every batch.  ``action`` records the last change applied to each row."""
     kw = {"id_col": id_col, "text_col": text_col, "buckets": snapshot_buckets}
-    sync_edited(spark, docs_dir, snapshot_dir, f"{snapshot_dir}_staging/edited", schema, fmt, checkpoint_dir, **kw)
+    sync_edited(spark, docs_dir, snapshot_dir, schema, fmt, checkpoint_dir, **kw)
     rd = spark.readStream.format(fmt)
     if schema:
         rd = rd.schema(schema)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        merge_documents(s, batch, snapshot_dir, f"{snapshot_dir}_staging/batch={batch_id}", **kw)
-        sync_edited(s, docs_dir, snapshot_dir, f"{snapshot_dir}_staging/edited", schema, fmt, checkpoint_dir, **kw)
+        merge_documents(s, batch, snapshot_dir, **kw)
+        sync_edited(s, docs_dir, snapshot_dir, schema, fmt, checkpoint_dir, **kw)
 
     w = _with_source(rd.load(docs_dir)).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="500 milliseconds")

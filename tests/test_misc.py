@@ -53,7 +53,7 @@ def test_roles_and_transforms(spark):
 def test_folder_sync_stream(spark, tmpdir_path):
     import json
 
-    from quarry.streaming.streams import folder_sync
+    from quarry.streaming.streams import folder_sync, read_snapshot
 
     src = os.path.join(tmpdir_path, "docs")
     os.makedirs(src)
@@ -62,14 +62,14 @@ def test_folder_sync_stream(spark, tmpdir_path):
     snap, ck = os.path.join(tmpdir_path, "snap"), os.path.join(tmpdir_path, "ck")
     schema = "doc_id long, text string"
     folder_sync(spark, src, snap, ck, schema=schema).awaitTermination(120)
-    first = {r["doc_id"]: r["action"] for r in spark.read.parquet(snap).collect()}
+    first = {r["doc_id"]: r["action"] for r in read_snapshot(spark, snap).collect()}
     assert first == {1: "inserted", 2: "inserted"}
     with open(os.path.join(src, "b.json"), "w") as f:
         f.write(json.dumps({"doc_id": 2, "text": "two v2"}) + "\n" + json.dumps({"doc_id": 3, "text": "three"}) + "\n")
     folder_sync(spark, src, snap, ck, schema=schema).awaitTermination(120)
-    second = {r["doc_id"]: (r["action"], r["text"]) for r in spark.read.parquet(snap).collect()}
+    second = {r["doc_id"]: (r["action"], r["text"]) for r in read_snapshot(spark, snap).collect()}
     assert second == {1: ("inserted", "one"), 2: ("updated", "two v2"), 3: ("inserted", "three")}
-    assert spark.read.parquet(snap).count() == 3
+    assert read_snapshot(spark, snap).count() == 3
 
 
 def test_related_documents_fill_what_the_budget_leaves(spark):

@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 
 from quarry.streaming import streams as ST
 
@@ -77,7 +79,7 @@ def test_folder_sync_sees_edits_and_ignores_older_files(spark, tmpdir_path):
 
     def sync():
         ST.folder_sync(spark, src, snap, ck, schema="doc_id long, text string").awaitTermination(120)
-        return [(r["text"], r["action"]) for r in spark.read.parquet(snap).collect()]
+        return [(r["text"], r["action"]) for r in ST.read_snapshot(spark, snap).collect()]
 
     write("a.json", "one", 1_000_000)
     assert sync() == [("one", "inserted")]
@@ -99,7 +101,7 @@ def test_folder_sync_sees_edits_of_files_without_a_row_in_the_snapshot(spark, tm
 
     def sync():
         ST.folder_sync(spark, src, snap, ck, schema="doc_id long, text string").awaitTermination(120)
-        return sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(snap).collect())
+        return sorted((r["doc_id"], r["text"]) for r in ST.read_snapshot(spark, snap).collect())
 
     write("old name.json", '{"doc_id": 1, "text": "old"}\n', 1_000_000)
     write("new.json", '{"doc_id": 1, "text": "new"}\n', 2_000_000)
@@ -110,3 +112,33 @@ def test_folder_sync_sees_edits_of_files_without_a_row_in_the_snapshot(spark, tm
     assert sync() == [(1, "edited"), (2, "filled")]
     write("old name.json", '{"doc_id": 3, "text": "again"}\n', 4_000_000)
     assert sync() == [(1, "edited"), (2, "filled"), (3, "again")]
+
+
+def test_a_crash_in_a_merge_leaves_the_old_snapshot_whole(spark, tmpdir_path, monkeypatch):
+    import datetime
+
+    snap = os.path.join(tmpdir_path, "versions")
+
+    def docs(rows, day):
+        return spark.createDataFrame([(i, t, "f", datetime.datetime(2024, 1, day)) for i, t in rows], "doc_id long, text string, source_file string, source_time timestamp")
+
+    read = lambda: sorted((r.doc_id, r.text) for r in ST.read_snapshot(spark, snap).collect())
+    assert ST.read_snapshot(spark, snap) is None
+    assert ST.merge_documents(spark, docs([(i, "one") for i in range(20)], 1), snap, buckets=4) == 1
+    first = [(i, "one") for i in range(20)]
+    assert read() == first
+    # the buckets are written, the manifest is not
+    real = ST._manifest
+    monkeypatch.setattr(ST, "_fs", lambda s, p: 1 / 0 if "data/version=2" in p else (s._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(s._jsc.hadoopConfiguration()), s._jvm.org.apache.hadoop.fs.Path(p)))
+    with pytest.raises(ZeroDivisionError):
+        ST.merge_documents(spark, docs([(i, "two") for i in range(10)], 2), snap, buckets=4)
+    monkeypatch.undo()
+    assert os.path.exists(f"{snap}/data/version=2") and read() == first and ST.snapshot_versions(spark, snap) == [1]
+    # the next run overwrites what was left
+    assert ST.merge_documents(spark, docs([(3, "three")], 3), snap, buckets=4) == 2
+    assert read() == sorted([(i, "one") for i in range(20) if i != 3] + [(3, "three")])
+    assert len({v for v in real(spark, snap, 2).values()}) == 2  # untouched buckets are those of version 1
+    held = ST.read_snapshot(spark, snap, version=1)
+    assert sorted((r.doc_id, r.text) for r in held.collect()) == first
+    assert ST.drop_old_versions(spark, snap) == 1 and read()[3] == (3, "three") and len(read()) == 20
+    assert ST.snapshot_versions(spark, snap) == [2] and ST.merge_documents(spark, docs([], 4), snap) is None
