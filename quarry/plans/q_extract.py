@@ -198,3 +198,55 @@ def q_json_case_keys(spark, sf):
     text = F.format_string('{"ID": %d, "Id": %d, "NAME": "%s", "name": "%s"}', F.col("n_nationkey"), F.col("n_regionkey"), F.col("n_name"), F.upper("n_name"))
     docs = table(spark, sf, "nation").select(F.col("n_name").alias("file_path"), F.try_parse_json(text).alias("doc"))
     return E.flat_object(docs).select(F.col("ID").alias("id"), F.col("Id_2").alias("id_2"), F.col("NAME").alias("name"), F.col("name_2").alias("name_2"))
+
+
+def _customer_docs(spark, sf):
+    c = table(spark, sf, "customer")
+    # the second image is named by its metadata alone; to_json leaves nulls out
+    image = lambda own, name, balance: F.struct(own.cast("string").alias("image_id"), F.struct(name.cast("string").alias("image_name"), balance.cast("double").alias("balance")).alias("metadata"))
+    no, none = F.col("c_custkey").cast("string"), F.lit(None)
+    text = F.to_json(F.struct(F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).alias("meta"), F.array(
+        image(F.concat(F.lit("a"), no), none, F.col("c_acctbal")), image(none, F.concat(F.lit("b"), no), none)).alias("images")))
+    path = F.when(F.col("c_custkey") % 5 == 0, F.lit("/x/none.json")).otherwise(F.format_string("/x/LOT%d_a.json", "c_custkey"))
+    return c.select(F.concat(path, F.lit("?"), F.col("c_custkey").cast("string")).alias("file_path"), F.try_parse_json(text).alias("doc"))
+
+
+@query("required_context", """
+SELECT c_custkey AS no, CASE WHEN c_custkey % 5 = 0 THEN 'skipped' ELSE 'kept' END AS fate FROM customer
+""")
+def q_required_context(spark, sf):
+    """Files whose name lacks a required field are told and left out (CTX-03)."""
+    from quarry.operators import context as CT
+
+    ctx = CT.file_context(_customer_docs(spark, sf), {"lot": {"regex": {"pattern": r"(?P<lot>LOT\d+)_", "group": "lot", "scope": "filename"}}})
+    kept, told = CT.required_pattern_policy(ctx, ["lot"], "skip_file")
+    no = F.substring_index("file_path", "?", -1).cast("long").alias("no")
+    return kept.select(no, F.lit("kept").alias("fate")).unionByName(told.select(no, F.lit("skipped").alias("fate")))
+
+
+@query("run_and_image_context", """
+SELECT c_custkey AS no, c_mktsegment AS segment, 'a' || c_custkey AS image_id, c_acctbal AS balance FROM customer
+UNION ALL SELECT c_custkey, c_mktsegment, 'b' || c_custkey, NULL FROM customer
+""")
+def q_run_and_image_context(spark, sf):
+    """Context of a file and of each of its images (CTX-04, CTX-05)."""
+    from quarry.operators import context as CT
+
+    docs = _customer_docs(spark, sf)
+    images = CT.image_context(docs, {"balance": "$.balance"})
+    out = CT.attach_context(images, CT.run_context(docs, {"segment": "$.meta.segment"}))
+    return out.select(F.substring_index("file_path", "?", -1).cast("long").alias("no"), "segment", "image_id", F.col("balance").cast("double").alias("balance"))
+
+
+@query("config_errors", """
+SELECT CASE WHEN p_size % 3 = 0 THEN 'no path' WHEN p_size % 3 = 1 THEN 'unknown' ELSE 'good' END AS kind, count(*) AS n FROM part GROUP BY 1
+""")
+def q_config_errors(spark, sf):
+    """Table configurations held in a column, each checked (EXT-08); few distinct ones, counted by their rows."""
+    import json
+
+    kinds = {0: {"strategy": "array_of_objects"}, 1: {"strategy": "magic"}, 2: {"strategy": "flat_object", "path": "$"}}
+    told = {json.dumps(c): "good" if not (e := E.validate_config(c)) else "no path" if "path" in e[0] else "unknown" for c in kinds.values()}
+    rows = table(spark, sf, "part").select(F.element_at(F.array(*[F.lit(json.dumps(kinds[k])) for k in range(3)]), (F.col("p_size") % 3 + 1).cast("int")).alias("config"))
+    names = F.create_map(*[F.lit(x) for kv in told.items() for x in kv])
+    return rows.select(F.element_at(names, F.col("config")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))

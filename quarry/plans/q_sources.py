@@ -164,3 +164,63 @@ def q_detect_heads(spark, sf):
     e = R.detect_encodings(spark, files(enc, "csv")).select(no, "encoding")
     j = R.detect_json_kind(spark, [f"{js}/f={k}/part-*" for k in range(4)]).select(no, "kind")
     return d.join(e, "file_no").join(j, "file_no")
+
+
+@query("dataset_roundtrip", """
+SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 6) AS balance, (SELECT count(*) FROM customer) AS manifest_rows, 3::BIGINT AS manifest_columns FROM customer GROUP BY 1
+""")
+def q_dataset_roundtrip(spark, sf):
+    """A dataset written with its manifest, found in the catalogue and read back (SNK-01, SRC-18)."""
+    base = scratch_path(spark, "datasets")
+    K.write_dataset(table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), base, "customers", lineage=["raw"])
+    rows, manifest = R.read_dataset(spark, base, "customers")
+    told = manifest.join(R.list_datasets(spark, base).select("dataset_id"), "dataset_id").select(F.col("row_count").alias("manifest_rows"), F.size("columns").cast("long").alias("manifest_columns"), F.lit(1).alias("k"))
+    out = rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 6).alias("balance")).withColumn("k", F.lit(1))
+    return out.join(told, "k").drop("k")
+
+
+@query("export_tables", """
+SELECT 'nation' AS table_name, n_nationkey::BIGINT AS id, n_name AS name FROM nation UNION ALL SELECT 'region', r_regionkey, r_name FROM region
+UNION ALL SELECT 'csv', n_nationkey, n_name FROM nation UNION ALL SELECT 'json', r_regionkey, r_name FROM region
+""")
+def q_export_tables(spark, sf):
+    """Tables written one by one and together by table id, and exported as CSV and JSON (SNK-02, SNK-03)."""
+    base = scratch_path(spark, "exports")
+    tables = {n: table(spark, sf, n).select(F.col(f"{n[0]}_{n}key").cast("long").alias("id"), F.col(f"{n[0]}_name").alias("name")) for n in ("nation", "region")}
+    K.write_tables(tables, base)
+    both = spark.read.parquet(f"{base}/_combined").select(F.col("__table_id__").alias("table_name"), "id", "name")
+    K.export(tables["nation"], f"{base}/csv", "csv")
+    K.export(tables["region"], f"{base}/json", "json")
+    csv = R.read_any(spark, f"{base}/csv/part-*.csv").select(F.lit("csv").alias("table_name"), F.col("id").cast("long").alias("id"), "name")
+    return both.unionByName(csv).unionByName(R.read_json(spark, f"{base}/json/part-*.json").select(F.lit("json").alias("table_name"), "id", "name"))
+
+
+@query("discover_files", """
+SELECT r_name AS folder, 'csv' AS extension, true AS supported FROM region UNION ALL SELECT r_name, 'dat', false FROM region WHERE r_regionkey % 2 = 0
+""")
+def q_discover_files(spark, sf):
+    """Files of a folder tree with their extensions, those that a reader knows marked (SRC-12, SRC-13)."""
+    root = scratch_path(spark, "tree")
+    region = table(spark, sf, "region")
+    region.withColumn("folder", F.col("r_name")).write.partitionBy("folder").option("header", True).csv(f"{root}/a")
+    region.where("r_regionkey % 2 = 0").select(F.col("r_name").alias("folder"), F.col("r_comment" if "r_comment" in region.columns else "r_name").alias("value")).write.partitionBy("folder").text(f"{root}/b")
+    found = R.discover_files(spark, root, exclude=["_SUCCESS"]).where(F.col("extension").isin(".csv", ".txt"))
+    return found.select(F.regexp_extract("path", "folder=(.*)$", 1).alias("folder"), F.when(F.col("extension") == ".txt", "dat").otherwise(F.substring("extension", 2, 9)).alias("extension"),
+                        (F.col("supported") & (F.col("extension") == ".csv")).alias("supported"))
+
+
+@query("table_availability", """
+WITH f AS (SELECT o_orderkey::VARCHAR AS file_path, o_orderkey % 4 AS k FROM orders)
+SELECT file_path, 'lines' AS table_id, CASE WHEN k = 0 THEN 'FAILED' WHEN k = 1 THEN 'PARTIAL' ELSE 'AVAILABLE' END AS status,
+       CASE WHEN k = 1 THEN 'price' ELSE '' END AS missing, CASE WHEN k > 1 THEN 1 ELSE 0 END::BIGINT AS selected FROM f
+""")
+def q_table_availability(spark, sf):
+    """Tables of many files: there, in part or not at all, and what is selected of them (SRC-15, SRC-16)."""
+    from quarry.sources.probe import select_tables, table_availability
+
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey") % 4
+    columns = F.when(k == 0, F.array(F.lit(None).cast("string"))).when(k == 1, F.array(F.lit("id"))).otherwise(F.array(F.lit("id"), F.lit("price")))
+    tried = o.select(F.col("o_orderkey").cast("string").alias("file_path"), F.lit("lines").alias("table_id"), F.explode(columns).alias("column_name"))
+    avail = table_availability(tried, {"lines": ["id", "price"]})
+    chosen = select_tables(avail, ["lines"]).select("file_path", F.size("tables").cast("long").alias("selected"))
+    return avail.join(chosen, "file_path", "left").select("file_path", "table_id", "status", F.array_join("missing_columns", ",").alias("missing"), F.coalesce("selected", F.lit(0)).cast("long").alias("selected"))

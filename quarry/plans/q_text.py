@@ -541,3 +541,25 @@ def q_lineage_deep(spark, sf):
     i = running_sum(order.withColumn("one", F.lit(1)).withColumn("g", F.lit(0)), ["g"], ["o_orderkey"], "one", "i").select((F.col("i") - 1).alias("i"), F.col("o_orderkey").cast("string").alias("node"))
     edges = i.where("i % 1000 < 999").select("i", F.col("node").alias("parent")).join(i.select((F.col("i") - 1).alias("i"), F.col("node").alias("child")), "i").select("parent", "child")
     return G.lineage(edges, i.where("i % 1000 = 0").select("node"), "down")
+
+
+@query("expand_queries", """
+SELECT doc_id, lang || CASE doc_id % 3 WHEN 0 THEN ' architecture decision alternatives consequences rationale patterns' WHEN 1 THEN ' milestones tasks dependencies verification implementation timeline' ELSE '' END || ' overview' AS query
+FROM documents
+""")
+def q_expand_queries(spark, sf):
+    kind = F.when(F.col("doc_id") % 3 == 0, "ADR").when(F.col("doc_id") % 3 == 1, "plan").otherwise("other")
+    return table(spark, sf, "documents").select("doc_id", S.expand_query(F.col("lang"), kind, "overview").alias("query"))
+
+
+@query("embed_missing", """
+SELECT vec_id FROM embeddings WHERE vec_id % 4 <> 0
+""")
+def q_embed_missing(spark, sf):
+    """Only rows without a vector are embedded; run again, nothing is left (SRCH-06)."""
+    e = table(spark, sf, "embeddings")
+    text = e.select("vec_id", F.concat(F.lit("label "), F.col("label").cast("string")).alias("text"))
+    first = S.embed_missing(text, e.where("vec_id % 4 = 0"), "vec_id", "text", S.hash_embedding(8), 8)
+    done = e.where("vec_id % 4 = 0").select("vec_id").unionByName(first.select("vec_id"))
+    again = S.embed_missing(text, done, "vec_id", "text", S.hash_embedding(8), 8)
+    return first.where(F.size("vector") == 8).select("vec_id").unionByName(again.select("vec_id"))

@@ -94,8 +94,6 @@ def export(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrit
         df.write.mode(mode).option("header", True).csv(path)
     elif fmt == "json":
         df.write.mode(mode).json(path)
-    elif fmt == "excel":
-        raise NotImplementedError("Excel export needs openpyxl (not installed)")
     else:
         raise ValueError(f"unknown export format {fmt}")
 
