@@ -265,21 +265,20 @@ def group_means(df: DataFrame, factor: str, response: str, z: float = Z_975) ->
 
 def detect_roles(df: DataFrame, max_levels: int = 100, min_numeric: int = 10) -> DataFrame:
     """Factor candidates: non-numeric columns with at most ``max_levels`` distinct values;
-    responses: numeric columns with at least ``min_numeric`` non-null values.  One aggregate."""
+    responses: numeric columns with at least ``min_numeric`` non-null values.
+
+    Each column is counted by its values in an aggregate of its own, which reads that
+    column alone: one aggregate of them all would copy every row, whole, once a column."""
     from pyspark.sql import types as T
 
-    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)}
-    aggs = []
-    for i, c in enumerate(df.columns):
-        aggs += [F.count_distinct(F.col(c)).alias(f"d{i}"), F.count(F.col(c)).alias(f"n{i}")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column_name"),
-                     (F.when(F.lit(c in numeric) & (F.col(f"n{i}") >= min_numeric), "response")
-                      .when(F.lit(c not in numeric) & (F.col(f"d{i}") <= max_levels), "factor")
-                      .otherwise("other")).alias("role"),
-                     F.col(f"d{i}").alias("distinct_count"), F.col(f"n{i}").alias("non_null"))
-            for i, c in enumerate(df.columns)]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    def counted(c: str, numeric: bool) -> DataFrame:
+        values = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        of = values.agg(F.count("v").alias("d"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("n"))
+        role = (F.when(F.lit(numeric) & (F.col("n") >= min_numeric), "response")
+                .when(F.lit(not numeric) & (F.col("d") <= max_levels), "factor").otherwise("other"))
+        return of.select(F.lit(c).alias("column_name"), role.alias("role"), F.col("d").alias("distinct_count"), F.col("n").alias("non_null"))
+
+    return reduce(DataFrame.unionByName, [counted(f.name, isinstance(f.dataType, T.NumericType)) for f in df.schema.fields])
 
 
 def transform_response(df: DataFrame, response: str, transform: str | None = None, where: str | None = None,
