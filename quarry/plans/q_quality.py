@@ -138,7 +138,10 @@ def q_factor_levels_check(spark, sf):
     return Q.factor_levels_check(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity")
 
 
-# Profiles in the contract's layout, over one JSON document a nation built from customer and orders.
+#: Orders of a document, about: a nation's orders are cut in as many documents as that takes.
+_DOC_ORDERS = 50_000
+
+# Profiles in the contract's layout, over JSON documents of a nation built from customer and orders.
 _PROFILE = {
     "schema_version": "1.0.0", "version": 1,
     "meta": {"profile_id": "orders-by-nation", "title": "Orders"},
@@ -172,9 +175,12 @@ def _run_profile(spark, sf, **kw):
 
     folder = scratch_path(spark, "profile-docs")
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    docs = o.groupBy("c_nationkey").agg(F.struct(F.col("c_nationkey").cast("string").alias("nation")).alias("meta"),
-                                        F.collect_list(F.struct("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")).alias("orders"))
-    docs.withColumn("k", F.col("c_nationkey")).drop("c_nationkey").write.partitionBy("k").json(folder)
+    # a document is one task's: its size must not follow the table's
+    parts = -(-table(spark, sf, "orders").count() // (_DOC_ORDERS * max(1, table(spark, sf, "nation").count())))
+    docs = o.groupBy("c_nationkey", F.pmod(F.xxhash64("o_orderkey"), F.lit(max(1, parts))).alias("part")).agg(
+        F.struct(F.col("c_nationkey").cast("string").alias("nation")).alias("meta"),
+        F.collect_list(F.struct("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")).alias("orders"))
+    docs.withColumn("k", F.col("c_nationkey")).drop("c_nationkey").write.partitionBy("k", "part").json(folder)
     return run_profile(spark, _PROFILE, folder, **kw)["tables"]
 
 
