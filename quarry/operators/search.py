@@ -11,7 +11,7 @@ document and query is ever a row.  Only the merge of those is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -67,12 +67,15 @@ def _read_block(folder: str, block: int) -> tuple[list, list]:
     return [q for t in tables for q in t.column(0).to_pylist()], [v for t in tables for v in t.column(1).to_pylist()]
 
 
-def _grid(folder: str, blocks: int, prepare: Callable, search: Callable):
+def _grid(folder: str, blocks: int, prepare: Callable, search: Callable, one_by_one: bool = False):
     """A task over a corpus partition: stretches of ``GROUP_BYTES`` against one block of queries after the other.
 
     ``prepare(ids, values)`` makes a block's matcher and ``search(matcher, batches)`` the best rows of a stretch.  A single block
-    is prepared once."""
+    is prepared once; a search that goes ``one_by_one`` through its batches then gets them as they come, and none is held."""
     def run(batches: Iterator[pa.RecordBatch]):
+        if one_by_one and blocks == 1:
+            yield from search(prepare(*_read_block(folder, 0)), batches)
+            return
         held, size, only = [], 0, None
 
         def meet():
@@ -124,9 +127,10 @@ def keyword_search(docs: DataFrame, queries: DataFrame | Sequence[tuple[str, str
             words.make_automaton()
         return by_word, everywhere, words
 
-    def search(matcher, batches: list[pa.RecordBatch]):
+    def search(matcher, batches: Iterable[pa.RecordBatch]):
         by_word, everywhere, words = matcher
         best: dict[str, list] = {}
+        id_type = None
 
         def found(queries, rows):
             for q in queries:
@@ -138,6 +142,7 @@ def keyword_search(docs: DataFrame, queries: DataFrame | Sequence[tuple[str, str
 
         for b in batches:
             head, content, low = b.select(["doc_id", "title", "snippet"]), b.column("__c"), b.column("__t")
+            id_type = b.schema.field(0).type
 
             def rows_of(mask):
                 return [tuple(r.values()) for r in head.filter(mask).to_pylist()]
@@ -158,11 +163,11 @@ def keyword_search(docs: DataFrame, queries: DataFrame | Sequence[tuple[str, str
                         found([q], row)
         rows = [(q, *r) for q, kept in best.items() for r in sorted(kept, key=lambda r: r[0])[:top_k]]
         if rows:
-            types = [pa.string(), batches[0].schema.field(0).type, pa.string(), pa.string()]
+            types = [pa.string(), id_type, pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["query_id", "doc_id", "title", "snippet"])
 
     folder, blocks = _write_blocks(docs.sparkSession, queries, "string")
-    return _best_of(base.mapInArrow(_grid(folder, blocks, prepare, search), out).withColumn("score", F.lit(1.0)), top_k)
+    return _best_of(base.mapInArrow(_grid(folder, blocks, prepare, search, one_by_one=True), out).withColumn("score", F.lit(1.0)), top_k)
 
 
 # SRCH-02 -------------------------------------------------------------------------
