@@ -87,28 +87,37 @@ def apply_null_markers(df: DataFrame, markers: Sequence[str] = tuple(NULL_MARKER
     return df.select(*cols)
 
 
+#: Types that text becomes, in the order they are tried; rows whose values rule types out first.
+TEXT_TYPES, HEAD_ROWS = ("bigint", "double", "boolean", "date", "timestamp_ntz"), 1_000
+
+
 def infer_types(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
-    """String columns -> bigint / double / boolean / timestamp when every non-null
-    value converts (one aggregate; bad cells would become null with ``try_cast``)."""
+    """String columns -> the first of bigint / double / boolean / date / timestamp to which every non-null
+    value converts (bad cells would become null with ``try_cast``).
+
+    One value that does not convert rules a type out, so the first rows leave few; all rows are
+    then read for each column's first type left, and once more where that failed, for all others left."""
     src = df.limit(sample_rows) if sample_rows else df
-    strings = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
-    if not strings:
-        return df
-    checks = []
-    for i, c in enumerate(strings):
-        v = F.trim(F.col(c))
-        for t in ("bigint", "double", "boolean", "timestamp_ntz", "date"):
-            checks.append(F.count_if(v.isNotNull() & v.try_cast(t).isNull()).alias(f"{t}_{i}"))
-        checks.append(F.count(v).alias(f"n_{i}"))
-    row = src.agg(*checks).first()
-    out = {}
-    for i, c in enumerate(strings):
-        if not row[f"n_{i}"]:
-            continue
-        for t in ("bigint", "double", "boolean", "date", "timestamp_ntz"):
-            if row[f"{t}_{i}"] == 0:
-                out[c] = F.trim(F.col(c)).try_cast(t)
-                break
+    left = {f.name: list(TEXT_TYPES) for f in df.schema.fields if f.dataType.typeName() == "string"}
+    out: dict[str, Column] = {}
+
+    def failing(rows: DataFrame, types: Mapping[str, Sequence[str]]) -> dict[str, tuple[int, list[str]]]:
+        """Of each column how many values there are, and to which types some do not convert."""
+        tests = [(c, t) for c, ts in types.items() for t in ts]
+        aggs = [F.count_if(F.col(c).isNotNull() & F.trim(F.col(c)).try_cast(t).isNull()).alias(f"t{i}") for i, (c, t) in enumerate(tests)]
+        row = rows.agg(*aggs, *(F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(types))).first()
+        return {c: (row[f"n{i}"], [t for k, (d, t) in enumerate(tests) if d == c and row[f"t{k}"]]) for i, c in enumerate(types)}
+
+    for rows, most in ((src.limit(HEAD_ROWS), None), (src, 1), (src, None)):
+        tried = {c: ts[:most] for c, ts in left.items() if ts}
+        if not tried:
+            break
+        for c, (n, bad) in failing(rows, tried).items():
+            left[c] = [t for t in left[c] if t not in bad]
+            if rows is src and (not n or left[c][:1] == tried[c][:1] or most is None):
+                if n and left[c]:
+                    out[c] = F.trim(F.col(c)).try_cast(left[c][0])
+                left[c] = []
     return df.withColumns(out) if out else df
 
 
