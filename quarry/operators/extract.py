@@ -201,7 +201,8 @@ def flat_object(docs: DataFrame, path: str = "$", flatten_nested: bool = True, f
 
 # EXT-02 ---------------------------------------------------------------------------------
 def _first_present(v: Column, keys: Sequence[str], typ: str) -> Column:
-    return F.coalesce(*[F.try_variant_get(child(v, k), "$", typ) for k in keys])
+    plain = lambda k: '"' not in k and "\\" not in k
+    return F.coalesce(*[F.try_variant_get(v, f'$["{k}"]', typ) if plain(k) else F.try_variant_get(child(v, k), "$", typ) for k in keys])
 
 
 def _header_rows(docs: DataFrame, path: str, headers_key: str | None, data_key: str | None, infer_headers: bool,
@@ -217,7 +218,9 @@ def _header_rows(docs: DataFrame, path: str, headers_key: str | None, data_key:
         headers.append(F.when(first.isNotNull(), F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.concat(F.lit("col_"), i.cast("string")))))
     if default_headers:
         headers.append(F.array(*map(F.lit, default_headers)))
-    rows = blk.withColumn("__h", F.coalesce(*headers)).where("__h IS NOT NULL").select(*keep, "__h", F.explode_outer("__rows").alias("__row"))
+    # the condition within the value: a filter would be pushed down and read the headers once more
+    block = F.filter(F.array(F.struct(F.coalesce(*headers).alias("h"), F.col("__rows").alias("r"))), lambda b: b["h"].isNotNull())
+    rows = blk.select(*keep, F.explode(block).alias("__b")).select(*keep, F.col("__b.h").alias("__h"), F.explode_outer("__b.r").alias("__row"))
     r = F.col("__row")
     members = F.try_variant_get(r, "$", "map<string,variant>")
     cells = F.coalesce(F.try_variant_get(r, "$", "array<variant>"),  # a list: by position
