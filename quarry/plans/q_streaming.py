@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from quarry.plans.registry import query, table
 from quarry.session import scratch_path
+from quarry.sources.sinks import drop_folder, join_files
 from quarry.streaming.chunks import ingest_chunks
 from quarry.streaming.streams import chunked_ingest
 
@@ -61,8 +62,10 @@ def q_stream_chunks(spark, sf):
     from pyspark.sql import functions as F
 
     src, out, ck = (scratch_path(spark, n) for n in ("chunk-src", "chunk-out", "chunk-ckpt"))
-    li = table(spark, sf, "lineitem").select(*_COLS).orderBy("l_orderkey", "l_linenumber").coalesce(1)
-    li.write.option("header", True).csv(src)
+    li = table(spark, sf, "lineitem").select(*_COLS).orderBy("l_orderkey", "l_linenumber")
+    li.write.csv(f"{src}-parts")
+    join_files(spark, f"{src}-parts", f"{src}/lineitem.csv", ",".join(_COLS).encode() + b"\n")
+    drop_folder(spark, f"{src}-parts")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in li.schema.fields)
     run = ingest_chunks(spark, f"{src}/*.csv", schema, out, ck, rows=20_000, block_bytes=1 << 20)
     run.awaitTermination()

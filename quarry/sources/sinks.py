@@ -10,16 +10,51 @@ import datetime as dt
 import hashlib
 import json
 import re
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation
+import pyarrow as pa
+from pyarrow.fs import FileSelector
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.heads import open_path
+
 ID_SEED = 42
+#: Bytes of a file that are held at a time while files are joined.
+JOIN_BYTES = 8 << 20
 _UNSAFE = r'[<>:"/\\|?*]'
 
 
+def join_files(spark: SparkSession, folder: str, path: str, head: bytes = b"") -> None:
+    """One file at ``path`` from ``head`` and the part files that Spark wrote to ``folder``, in their order.
+
+    The rows were sorted and formatted by many tasks; one task only copies their bytes, a stretch at a time, to a name of its
+    own that becomes ``path`` at the end, so a task run again does no harm."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            (fs, root), (to, name) = open_path(folder), open_path(path)
+            parts = sorted((f.path for f in fs.get_file_info(FileSelector(root)) if f.base_name.startswith("part-")), key=lambda f: (len(f), f))
+            to.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            own = f"{name}.{uuid.uuid4().hex}.tmp"
+            with to.open_output_stream(own) as out:
+                out.write(head)
+                for part in parts:
+                    with fs.open_input_stream(part) as f:
+                        while data := f.read(JOIN_BYTES):
+                            out.write(data)
+            to.move(own, name)
+            yield b
+
+    spark.range(0, 1, 1, 1).mapInArrow(run, "id long").collect()
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 # SNK-05 -----------------------------------------------------------------------------------
 def stable_id(payload: Mapping[str, Any], length: int = 8, seed: int = ID_SEED) -> str:
     """SHA-256 of sorted-key compact JSON with ``_seed``; first ``length`` hex chars."""

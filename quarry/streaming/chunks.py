@@ -3,10 +3,10 @@
 1. Plan: tasks count row ends in byte blocks of the files (both for an even and an odd number
    of quotes before the block, so quoted line breaks are no row ends); running sums over a file's blocks turn
    these into row numbers; only blocks in which a chunk begins are read once more, for its byte.
-2. The plan is written as one small file a chunk.  Spark's file source streams that folder,
-   ``maxFilesPerTrigger`` chunks a micro-batch, so admission, progress and restart are Spark's own.
-3. A batch's tasks read their chunk's byte range and parse its rows in the JVM; output goes to a partition of
-   the chunk, overwritten as a whole, so a restart redoes the open chunks only.
+2. The plan is written as one small file a micro-batch, of one chunk or, for many chunks, several.  Spark's file source
+   streams that folder, a file a trigger, so admission, progress and restart are Spark's own.
+3. A batch's tasks, one a chunk, read their chunk's byte range and parse its rows in the JVM; output goes to a partition of
+   the chunk, overwritten as a whole, so a restart redoes the open batch's chunks only.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from quarry.sources.heads import listed, open_path
 #: Rows of a chunk, and of one of a file beyond ``LARGE_FILE`` bytes.
 CHUNK_ROWS, LARGE_CHUNK_ROWS, LARGE_FILE = 50_000, 100_000, 1 << 30
 BLOCK_BYTES = 8 * 1024 * 1024
+#: Micro-batches of a stream at most, if nothing else is asked for: what a batch costs besides its chunks does not grow with the files.
+BATCHES = 64
 _PLAN = "file_path string, chunk_index long, first_row long, rows long, start long, end long, running_total long, is_last boolean"
 
 
@@ -85,6 +87,7 @@ def plan_chunks(spark: SparkSession, paths: str | Sequence[str], rows: int | Non
     first = F.ceil((F.greatest(F.col("before") + 1, F.lit(lead)) - lead) / F.col("size"))
     last = F.floor((F.least(F.col("before") + F.col("n"), F.col("total") + lead - 1) - lead) / F.col("size"))
     holding = placed.where((F.col("total") > 0) & (last >= first)).select("file_path", "length", "block", "inside", "before", "size", "total", first.alias("first"), last.alias("last"))
+    holding = holding.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file_path", "block")  # the windows left a file's blocks in one task
 
     def locate(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -139,11 +142,12 @@ def parse_rows(rows: DataFrame, schema: str, fmt: str = "csv", options: Mapping[
 
 def ingest_chunks(spark: SparkSession, paths: str | Sequence[str], schema: str, output_dir: str, checkpoint_dir: str, rows: int | None = None, fmt: str = "csv",
                   header: bool = True, options: Mapping[str, Any] | None = None, transform: Callable[[DataFrame], DataFrame] | None = None,
-                  chunks_per_trigger: int = 1, block_bytes: int = BLOCK_BYTES) -> StreamingQuery:
+                  chunks_per_trigger: int | None = None, block_bytes: int = BLOCK_BYTES) -> StreamingQuery:
     """Stream large files chunk by chunk into ``output_dir/chunk=<n>``, and what each chunk held into ``output_dir``\\ ``_chunks``.
 
-    The plan is made once and kept under ``checkpoint_dir``, so a restart goes on with the
-    same chunks.  JSON is JSON Lines.  ``transform`` sees a batch's rows with file_path, chunk_index and row."""
+    ``chunks_per_trigger`` chunks are a micro-batch; by default one, or of many chunks as many as keep the stream to ``BATCHES``
+    micro-batches.  The plan is made once and kept under ``checkpoint_dir``, so a restart goes on with the
+    same chunks and micro-batches.  JSON is JSON Lines.  ``transform`` sees a batch's rows with file_path, chunk_index and row."""
     quote = '"' if fmt == "csv" else None
     plan_dir = f"{checkpoint_dir}/plan"
     from quarry.streaming.streams import _exists
@@ -151,15 +155,19 @@ def ingest_chunks(spark: SparkSession, paths: str | Sequence[str], schema: str,
     if not _exists(spark, f"{plan_dir}/_SUCCESS"):
         plan = plan_chunks(spark, paths, rows, header and fmt == "csv", quote, block_bytes)
         number = F.row_number().over(Window.orderBy("file_path", "chunk_index")) - 1  # a row a chunk
-        plan.withColumn("chunk", number.cast("long")).withColumn("n", F.col("chunk")).write.mode("overwrite").partitionBy("n").json(plan_dir)
-    stream = spark.readStream.schema(_PLAN + ", chunk long").option("maxFilesPerTrigger", chunks_per_trigger).json(f"{plan_dir}/n=*")
+        per = F.lit(chunks_per_trigger) if chunks_per_trigger else F.ceil(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) / BATCHES)
+        plan.withColumns({"chunk": number.cast("long"), "per": per}).withColumn("n", F.floor(F.col("chunk") / F.col("per"))).drop("per") \
+            .write.mode("overwrite").partitionBy("n").json(plan_dir)
+    stream = spark.readStream.schema(_PLAN + ", chunk long").option("maxFilesPerTrigger", 1).json(f"{plan_dir}/n=*")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.repartition(chunks_per_trigger, "chunk").persist()  # a task a chunk
+        held = batch.persist()
+        batch = held.repartitionByRange(max(1, held.count()), "chunk").persist()  # a task a chunk
         out = parse_rows(read_ranges(batch, quote), schema, fmt, options)
         out = (transform(out) if transform else out).join(F.broadcast(batch.select("file_path", "chunk_index", "chunk")), ["file_path", "chunk_index"])
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(output_dir)
         batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(f"{output_dir}_chunks")
         batch.unpersist()
+        held.unpersist()
 
     return stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{checkpoint_dir}/stream").trigger(availableNow=True).start()
